@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, decontaminate, gam, rules, simhash
+from loomwork.llm import bpe, decontaminate, gam, hmm, rules, simhash, urls
 from loomwork.llm.shared import table
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return gam.classify(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -20,6 +24,19 @@ def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+URL_RULES = [
+    urls.UrlRule.parse("block", "com/en/"),
+    urls.UrlRule.parse("allow", "example.com/en/7"),
+    urls.UrlRule.parse("block", "net/de/"),
+    urls.UrlRule.parse("block", "example.net/de/8"),
+    urls.UrlRule.parse("block", "org/es/"),
+]
+
+
+def op7_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,11 +52,70 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_score": op1_hmm_score,
     "op3_gam_quality": op3_gam_quality,
     "op6_trie_bpe": op6_trie_bpe,
+    "op7_url_aliases": op7_url_aliases,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Links, components and rules of op7 in DuckDB: the graph's closure by a recursive query.
+OP7_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html,
+    coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), link AS (
+  SELECT url, unnest([
+    nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''),
+    nullif(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '')]) AS raw
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), target AS (
+  SELECT l.url, replace(raw, '&amp;', '&') AS t, regexp_extract(l.url, '^(?s:(.*?))://', 1) AS scheme, p.host, nullif(regexp_extract(p.path, '^(?s:(.*/))', 1), '') AS folder
+  FROM link l JOIN (SELECT DISTINCT url, host, path FROM p) p USING (url) WHERE raw IS NOT NULL
+), absolute AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t
+    WHEN starts_with(t, '/') THEN scheme || '://' || host || t ELSE scheme || '://' || host || coalesce(folder, '/') || t END AS t
+  FROM target
+), named AS (
+  SELECT DISTINCT u, CASE WHEN instr(u, '://') > 0 THEN
+    translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || coalesce(nullif(regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(u, '^(?s:.*?)://[^?#]*(\?[^#]*)', 1) END AS node
+  FROM (SELECT url AS u FROM pages UNION SELECT t FROM absolute)
+), edge AS (
+  SELECT a.node AS u, b.node AS v FROM absolute x JOIN named a ON a.u = x.url JOIN named b ON b.u = x.t WHERE a.node <> b.node
+), pair AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
+reach(node, other) AS (SELECT DISTINCT u, u FROM pair UNION SELECT r.node, b.v FROM reach r JOIN pair b ON b.u = r.other),
+rules(allow, h, q) AS (VALUES (false, 'com', '/en/'), (true, 'example.com', '/en/7'), (false, 'net', '/de/'), (false, 'example.net', '/de/8'), (false, 'org', '/es/')),
+ruled AS (
+  SELECT other, arg_max(allow, length(h || q)) AS allow
+  FROM (SELECT DISTINCT other, split_part(other, '/', 1) AS host, regexp_extract(other, '^[^/?]*(/[^?]*)', 1) AS path FROM reach) JOIN rules
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY other
+), alias AS (SELECT node, bool_or(allow) AS allow FROM reach JOIN ruled USING (other) GROUP BY node),
+own AS (
+  SELECT host, path, arg_max(h || q, length(h || q)) AS rule, arg_max(allow, length(h || q)) AS allow
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, own.rule, CASE WHEN coalesce(own.allow, alias.allow, true) THEN 'allow' ELSE 'block' END AS verdict,
+  own.rule IS NULL AND alias.allow IS NOT NULL AS inherited
+FROM p LEFT JOIN named ON named.u = p.url LEFT JOIN alias USING (node) LEFT JOIN own ON own.host = p.host AND own.path = p.path
+"""
+
+#: Window matches of op8 in DuckDB.
+OP8_SQL = r"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS n, list_slice(w, k, k + least(len(w), 13) - 1) AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+here AS (SELECT r, k, n, list_slice(w, k, k + n - 1) AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT r, k, here.n, item FROM here JOIN win ON here.g = win.g),
+counted AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS k FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN counted USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_url_aliases": OP7_SQL, "op8_decontaminate": OP8_SQL}
