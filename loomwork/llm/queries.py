@@ -7,14 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, decontaminate, gam, hmm, rules, simhash, urls
-from loomwork.llm.shared import table
+from loomwork.llm import bpe, decontaminate, gam, hmm, rules, simhash, urls, warc
+from loomwork.llm.shared import scratch_path, table
 
 
 def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc-archives")
+    warc.write_archives(pages, path)
+    return warc.read_pages(spark, path, pages.schema["page_id"].dataType)
+
+
 def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return gam.classify(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +59,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_score": op1_hmm_score,
+    "op2_warc_segments": op2_warc_segments,
     "op3_gam_quality": op3_gam_quality,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_url_aliases": op7_url_aliases,
@@ -104,6 +111,17 @@ SELECT page_id, p.host, p.path, own.rule, CASE WHEN coalesce(own.allow, alias.al
 FROM p LEFT JOIN named ON named.u = p.url LEFT JOIN alias USING (node) LEFT JOIN own ON own.host = p.host AND own.path = p.path
 """
 
+#: DuckDB has no base32: the digits are read off the SHA-1, five bits at a time.
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS keep, sha1(html) AS x FROM p),
+bits AS (SELECT DISTINCT html, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', x[i:i]) - 1), 4, '0')), lambda a, b: a || b) AS b FROM h),
+digest AS (SELECT html, list_reduce(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * b[5*i+1:5*i+1]::INT + 8 * b[5*i+2:5*i+2]::INT + 4 * b[5*i+3:5*i+3]::INT + 2 * b[5*i+4:5*i+4]::INT + b[5*i+5:5*i+5]::INT]), lambda a, c: a || c) AS payload_digest FROM bits)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM keep OR keep IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM keep AND keep IS NOT NULL THEN keep END AS refers_to
+FROM h JOIN digest USING (html)
+"""
+
 #: Window matches of op8 in DuckDB.
 OP8_SQL = r"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -118,4 +136,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN counted USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_url_aliases": OP7_SQL, "op8_decontaminate": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_segments": OP2_SQL, "op7_url_aliases": OP7_SQL, "op8_decontaminate": OP8_SQL}

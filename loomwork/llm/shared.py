@@ -26,9 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's path under the shared one."""
+    return f"{shared_dir(spark)}/loomwork/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends at files any executor can read."""
-    path = f"{shared_dir(df.sparkSession)}/loomwork/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
