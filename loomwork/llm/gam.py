@@ -116,15 +116,19 @@ def _tree(g: np.ndarray, h: np.ndarray, ridge: float, least: float, depth: int =
     return np.concatenate([_tree(g[:at], h[:at], ridge, least, depth - 1), _tree(g[at:], h[at:], ridge, least, depth - 1)])
 
 
-def _pair_tree(g: np.ndarray, h: np.ndarray, ridge: float, least: float, depth: int = 2) -> np.ndarray:
-    """The same on a two-dimensional histogram, each node cut along either axis."""
-    cuts = [_cut(g.sum(axis=1 - a), h.sum(axis=1 - a), ridge, least) for a in (0, 1)] if depth else [(0.0, 0)] * 2
-    axis = int(cuts[1][0] > cuts[0][0])
-    gain, at = cuts[axis]
-    if not gain:
+def _pair_tree(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
+    """Leaf values of the best tree on a two-dimensional histogram that cuts one axis and then both halves of the other
+    at one place: all pairs of cuts are tried at once, as a first cut alone may gain nothing."""
+    gs, hs = (np.cumsum(np.cumsum(x, axis=0), axis=1) for x in (g, h))
+    quarters = lambda c: (c[:-1, :-1], c[:-1, -1:] - c[:-1, :-1], c[-1:, :-1] - c[:-1, :-1], c[-1, -1] - c[:-1, -1:] - c[-1:, :-1] + c[:-1, :-1])
+    if min(g.shape) < 2:
         return np.full(g.shape, _leaf(g.sum(), h.sum(), ridge))
-    lo, hi = (np.s_[:at], np.s_[at:]) if axis == 0 else (np.s_[:, :at], np.s_[:, at:])
-    return np.concatenate([_pair_tree(g[lo], h[lo], ridge, least, depth - 1), _pair_tree(g[hi], h[hi], ridge, least, depth - 1)], axis=axis)
+    parts = list(zip(quarters(gs), quarters(hs), strict=True))
+    i, j = np.unravel_index(np.argmax(sum(a**2 / (b + ridge) for a, b in parts)), (g.shape[0] - 1, g.shape[1] - 1))
+    leaf = [_leaf(a[i, j], b[i, j], ridge) for a, b in ((np.broadcast_to(a, (g.shape[0] - 1, g.shape[1] - 1)), np.broadcast_to(b, (g.shape[0] - 1, g.shape[1] - 1))) for a, b in parts)]
+    found = np.empty(g.shape)
+    found[: i + 1, : j + 1], found[: i + 1, j + 1 :], found[i + 1 :, : j + 1], found[i + 1 :, j + 1 :] = leaf
+    return found
 
 
 def train(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 200, pair_rounds: int = 60, max_pairs: int = 6, rate: float = 0.1, ridge: float = 1.0, least: float = 2.0, patience: int = 20) -> Model:
@@ -158,7 +162,7 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 200, pair_
                 p = 1 / (1 + np.exp(-margin))
                 g = np.bincount(at, weight * (y - p), minlength=int(np.prod(shape))).reshape(shape)
                 h = np.bincount(at, weight * p * (1 - p), minlength=int(np.prod(shape))).reshape(shape)
-                step = rate * (_tree(g, h, ridge, least) if len(shape) == 1 else _pair_tree(g, h, ridge, least))
+                step = rate * (_tree(g, h, ridge, least) if len(shape) == 1 else _pair_tree(g, h, ridge))
                 tables[k] += step
                 margin = margin + step.reshape(-1)[at]
             now = loss()
@@ -177,7 +181,7 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 200, pair_
         at = b[:, i] * shape[1] + b[:, j]
         g = np.bincount(at, weight * (y - p), minlength=shape[0] * shape[1]).reshape(shape)
         h = np.bincount(at, weight * p * (1 - p), minlength=shape[0] * shape[1]).reshape(shape)
-        step = _pair_tree(g, h, ridge, least)
+        step = _pair_tree(g, h, ridge)
         worth[i, j] = float((2 * g * step - h * step**2).sum())
     pairs = tuple(sorted(sorted(worth, key=lambda ij: (-worth[ij], ij))[:max_pairs]))
     shapes = [(b[:, i] * (len(edges[j]) + 1) + b[:, j], (len(edges[i]) + 1, len(edges[j]) + 1)) for i, j in pairs]
