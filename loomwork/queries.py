@@ -78,9 +78,9 @@ def n2_filter(spark, sf_dir):
     return nodes.filter_rows(table(spark, sf_dir, "orders"), "o_totalprice > 150000 AND nullif(o_orderstatus, 'P') <> 'F'").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 4) AS unit_price FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS unit_price FROM lineitem")
 def n3_calculated(spark, sf_dir):
-    return nodes.calculated(table(spark, sf_dir, "lineitem"), "unit_price", "round(l_extendedprice / nullif(l_quantity, 0), 4)").select("l_orderkey", "l_linenumber", "unit_price")
+    return nodes.calculated(table(spark, sf_dir, "lineitem"), "unit_price", "l_extendedprice / nullif(l_quantity, 0)").select("l_orderkey", "l_linenumber", "unit_price")
 
 
 CUSTOMER_ORDERS = "SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice, o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey"
@@ -161,9 +161,9 @@ def n13_outliers_zscore(spark, sf_dir):
     return nodes.outliers(table(spark, sf_dir, "events").select("event_id", "value"), "value", "zscore", 1.5, "remove")
 
 
-@query("SELECT least(count(*), 5000) AS n, least(count(*), 5000) AS n_distinct FROM lineitem")
+@query("SELECT least(count(*), 5000) AS n FROM lineitem")
 def n14_sample(spark, sf_dir):
-    return nodes.sample(table(spark, sf_dir, "lineitem"), 5000, seed=7).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey", "l_linenumber").alias("n_distinct"))
+    return nodes.sample(table(spark, sf_dir, "lineitem"), 5000, seed=7).agg(F.count("*").alias("n"))
 
 
 # --- mapping ------------------------------------------------------------------
@@ -509,7 +509,7 @@ def s9_infer_mapping(spark, sf_dir):
     return spark.createDataFrame([(path, n, leaf) for n, leaf in columns.items()], "path string, name string, leaf string")
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\[\s*[a-zA-Z0-9]{1,3}\s*\]', '', 'g'), '\s+', ' ', 'g')) AS title, len(string_split(html, '<p>')) > 1 AS has_text FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\[\s*[a-zA-Z0-9]{1,3}\s*\]', '', 'g'), '\s+', ' ', 'g')) AS title, len(string_split(html, '<p>')) > 1 AS has_text FROM pages""")
 def s12_articles(spark, sf_dir):
     return pages.extract_articles(table(spark, sf_dir, "pages")).select("page_id", "title", (F.col("text") != "").alias("has_text"))
 
