@@ -52,6 +52,10 @@ def try_cast(c: Column, kind: str, source: str = "string") -> Column:
         return F.round(number, 0).try_cast("bigint")
     if kind == "bigint" and source in ("double", "float"):
         return F.bround(c, 0).try_cast("bigint")
+    if kind in ("date", "timestamp_ntz") and not source.startswith(("string", "date", "timestamp")):
+        return c.cast("string").try_cast(kind)  # numbers and booleans are no dates
+    if source.startswith(("date", "timestamp")) and not kind.startswith(("string", "date", "timestamp")):
+        return c.cast("string").try_cast(kind)
     return c.try_cast(kind)
 
 

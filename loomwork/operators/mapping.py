@@ -234,7 +234,10 @@ def loss_counters(df: DataFrame, doc: MappingDoc, crosswalks: Mapping[str, DataF
 
 
 def apply_observed(df: DataFrame, doc: MappingDoc, crosswalks: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, Observation]:
-    """The mapped table and an Observation with its rows and loss counters, filled by whatever action runs first: no second scan."""
+    """The mapped table and an Observation with its rows and loss counters, filled by whatever action runs first: no second scan.
+
+    A sort above it reads its input twice and so counts twice: write first, or sort what was written.
+    """
     doc.validate(df.columns)
     held, built = _build(df, doc, crosswalks or {})
     seen = Observation()

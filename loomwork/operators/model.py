@@ -135,12 +135,12 @@ def solved(s: np.ndarray, mean: np.ndarray, n: int, pick: Sequence[int], y: int,
     inverse = np.linalg.inv(a)
     w = inverse @ b
     ssr = float(max(s[y, y] - b @ w, 0.0))
-    r2 = max(0.0, min(1.0, 1 - ssr / s[y, y]))
+    r2 = float(max(0.0, min(1.0, 1 - ssr / s[y, y])))
     var = ssr / (n - k - 1)
     se = np.sqrt(np.maximum(var * np.diag(inverse), 0))
     intercept = float(mean[y] - w @ mean[pick])
     se0 = math.sqrt(max(var * (1 / n + mean[pick] @ inverse @ mean[pick]), 0))
-    p = lambda x, e: t_two_sided(math.inf if e == 0 else x / e, n - k - 1)
+    p = lambda x, e: t_two_sided(math.inf if e == 0 else float(x / e), n - k - 1)
     model = Model(
         target, [names[j] for j in pick], n, r2, adjusted(r2, n, k), model_p(r2, n, k), _bic(ssr, n, k + 1),
         {"intercept": intercept} | {names[j]: float(x) for j, x in zip(pick, w, strict=True)},
@@ -217,8 +217,10 @@ def diagnose(df: DataFrame, model: Model, columns: dict[str, Column]) -> Diagnos
     jb = n / 6 * ((m3 / m2**1.5) ** 2 + (m4 / m2**2 - 3) ** 2 / 4) if m2 > 0 else 0.0
     spread = m[3] - n * m2**2
     bp = n * float(m[6:] @ inverse @ m[6:]) / spread if spread > 0 else 0.0
-    normal, even, strong = chi2_tail(jb, 2), chi2_tail(bp, k), int(m[4])
-    problems = ["residuals are not normal"] * (normal < 0.05) + ["their spread changes with the predictors"] * (even < 0.05) + ["over 5% of rows have much influence"] * (strong > 0.05 * n)
+    jb, bp, strong = float(jb), float(bp), int(m[4])
+    normal, even = chi2_tail(jb, 2), chi2_tail(bp, k)
+    found = {"residuals are not normal": normal < 0.05, "their spread changes with the predictors": even < 0.05, "over 5% of rows have much influence": strong > 0.05 * n}
+    problems = [text for text, holds in found.items() if holds]
     return Diagnostics(n, jb, normal, bp, even, strong, problems, ("good", "caution", "poor")[min(len(problems), 2)])
 
 

@@ -53,13 +53,13 @@ def pearson_tests(df: DataFrame, columns: Sequence[str]) -> list[PairTest]:
         for k, (a, b) in enumerate(part):
             x, y = number(a), number(b)
             both = x.isNotNull() & y.isNotNull()
-            exprs.append(F.struct(F.count_if(both).alias("n"), F.corr(x, y).alias("r"), F.var_pop(F.when(both, x)).alias("vx"), F.var_pop(F.when(both, y)).alias("vy")).alias(f"p{k}"))
+            exprs.append(F.struct(F.count_if(both).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(F.when(both, x)).alias("vx"), F.var_pop(F.when(both, y)).alias("vy")).alias(f"p{k}"))
         row = df.agg(*exprs).first()
         for k, (a, b) in enumerate(part):
-            n, r, vx, vy = row[f"p{k}"]
-            if n < LEAST_PAIRS or not vx or not vy or r is None or math.isnan(r):
+            n, c, vx, vy = row[f"p{k}"]
+            if n < LEAST_PAIRS or not vx or not vy:
                 continue
-            r = max(-1.0, min(1.0, r))
+            r = max(-1.0, min(1.0, c / math.sqrt(vx * vy)))
             t = math.inf if abs(r) == 1 else r * math.sqrt((n - 2) / (1 - r * r))
             found.append(PairTest(a, b, "num-num", "pearson", r, t_two_sided(t, n - 2), abs(r), "|r|", n, "positive" if r >= 0 else "negative", {"r_squared": r * r}))
     return found
