@@ -142,18 +142,21 @@ class TrieEncoder:
             self.known[word.decode()] = b"".join(ids)
             self.held += len(word) + 4 * len(ids)
 
+    def remember(self, words: set[str]) -> None:
+        """See to it that the words are among those known; if memory is full, they alone are."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > MEMORY_WORDS or self.held > MEMORY_BYTES:
+            self.forget()
+            new = words
+        self.learn(new)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; the texts' new words go through one trie."""
         v, split = self.v, []
         for text in texts:
             pieces = v.split.split(text) if v.split else [text]
             split.append([(p, None) if p in v.added else (p, v.words.findall(p)) for p in pieces])
-        words = {w for pieces in split for _, found in pieces for w in found or ()}
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > MEMORY_WORDS or self.held > MEMORY_BYTES:
-            self.forget()
-            new = words
-        self.learn(new)
+        self.remember({w for pieces in split for _, found in pieces for w in found or ()})
         known = self.known.__getitem__
         return [b"".join(self.packed[v.added[p]] if found is None else b"".join(map(known, found)) for p, found in pieces) for pieces in split]
 
@@ -178,7 +181,7 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
 _made: dict[int, TrieEncoder] = {}
 
 
-def _encoder(vocabulary_text) -> TrieEncoder:
+def encoder_of(vocabulary_text) -> TrieEncoder:
     """One encoder for each worker process and vocabulary."""
     key = vocabulary_text.value
     if (at := hash(key)) not in _made:
@@ -192,7 +195,7 @@ def encoded(text: Column, vocabulary_text) -> Column:
 
     @arrow_udf("binary")
     def of(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(vocabulary_text)
+        encoder = encoder_of(vocabulary_text)
         return pa.array([ids for block in in_blocks(texts) for ids in encoder.encode(block)], pa.binary())
 
     return of(text)
@@ -203,7 +206,7 @@ def decoded(ids: Column, vocabulary_text) -> Column:
 
     @arrow_udf("string")
     def of(values: pa.Array) -> pa.Array:
-        v = _encoder(vocabulary_text).v
+        v = encoder_of(vocabulary_text).v
         return pa.array([decode(np.frombuffer(x.as_py() or b"", dtype="<u4"), v) for x in values], pa.string())
 
     return of(ids)
@@ -225,7 +228,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     @arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(sent)
+        encoder = encoder_of(sent)
         n, of_ids, of_text = [], [], []
         for ids in (ids for block in in_blocks(texts) for ids in encoder.encode(block)):
             n.append(len(ids) // 4)

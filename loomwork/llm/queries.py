@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, decontaminate, gam, hmm, rules, simhash, urls, warc
+from loomwork.llm import bpe, decontaminate, gam, hmm, language, rules, simhash, token_counts, urls, warc
 from loomwork.llm.shared import scratch_path, table
 
 
@@ -26,6 +26,14 @@ def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_scrubbed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_score": op1_hmm_score,
     "op2_warc_segments": op2_warc_segments,
     "op3_gam_quality": op3_gam_quality,
+    "op4_language_fusion": op4_language_fusion,
+    "op5_edit_counts": op5_edit_counts,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_url_aliases": op7_url_aliases,
     "op8_decontaminate": op8_decontaminate,
