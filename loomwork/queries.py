@@ -509,6 +509,16 @@ def s9_infer_mapping(spark, sf_dir):
     return spark.createDataFrame([(path, n, leaf) for n, leaf in columns.items()], "path string, name string, leaf string")
 
 
+@query("""SELECT p_brand AS page_id, 'Parts of ' || p_brand AS table_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_index, CAST(p_partkey AS VARCHAR) AS key, p_name AS name, p_type AS name_2 FROM part""")
+def s10_html_tables(spark, sf_dir):
+    """Each brand's parts as a page with a table, read back; the header has footnotes and a repeated name."""
+    row = F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), F.col("p_name"), F.lit(" [1]</td><td>"), F.col("p_type"), F.lit("</td></tr>"))
+    bodies = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    html = F.concat(F.lit("<nav><table><tr><td>a</td><td>b</td></tr></table></nav><h2>Parts of "), F.col("p_brand"), F.lit("</h2><table><tr><th>key[a]</th><th>name</th><th>name [2]</th></tr>"), F.col("rows"), F.lit("</table>"))
+    found = pages.extract_tables(bodies.select(F.col("p_brand").alias("page_id"), html.alias("html")))
+    return found.select("page_id", "table_name", F.col("row_index").cast("long").alias("row_index"), *[F.element_at("cells", n).alias(n) for n in ("key", "name", "name_2")])
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\[\s*[a-zA-Z0-9]{1,3}\s*\]', '', 'g'), '\s+', ' ', 'g')) AS title, len(string_split(html, '<p>')) > 1 AS has_text FROM pages""")
 def s12_articles(spark, sf_dir):
     return pages.extract_articles(table(spark, sf_dir, "pages")).select("page_id", "title", (F.col("text") != "").alias("has_text"))
