@@ -4,8 +4,8 @@ Test items become windows of ``width`` words (a shorter item is one window).
 Words of the windows get numbers, a window becomes one 64-bit sum of products,
 and a text's windows are looked up in the sorted sums, whole arrays at a time;
 each hit is verified word by word. The set is broadcast in blocks of at most
-``BLOCK_WINDOWS`` windows; with more than one block every text is scanned once
-for each and the hit spans are united, so the benchmark may grow.
+``BLOCK_WINDOWS`` windows, ``BLOCKS_TOGETHER`` of them at a time; a benchmark
+of more blocks takes more passes over the texts, whose hit spans are united.
 """
 
 from __future__ import annotations
@@ -13,17 +13,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import utf8
+from loomwork.llm.shared import materialize, utf8
 
 WIDTH = 13
 #: Windows in one broadcast block: about 100 MB of words at most.
 BLOCK_WINDOWS = 500_000
+#: Blocks a task holds at once.
+BLOCKS_TOGETHER = 4
 FACTOR = 0x9E3779B97F4A7C15
 
 #: A-Z lower-cased; ASCII that is neither letter nor digit becomes a space; bytes of other characters stay.
@@ -153,19 +156,34 @@ def _united(spans: Column) -> Column:
     return of(spans)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_WINDOWS, text: str = "text") -> DataFrame:
-    """``docs`` with ``hits``: struct of n_words, n_hit, items (sorted ids), spans (in words).
-
-    One block needs no shuffle. More blocks scan each text once for each, in
-    the same task: the hit columns of the blocks sit side by side and are united.
-    """
-    blocks = blocks_of(benchmark, width, most)
+def _side_by_side(docs: DataFrame, blocks: list, text: str) -> DataFrame:
+    """``docs`` with ``hits`` of some blocks: their hit columns are made in the same task and united."""
     if len(blocks) == 1:
         return docs.withColumn("hits", _hits(blocks[0])(F.col(text)))
     each = docs.withColumns({f"hits{k}": _hits(b)(F.col(text)) for k, b in enumerate(blocks)})
     every = lambda name: F.flatten(F.array(*[F.col(f"hits{k}.{name}") for k in range(len(blocks))]))
-    spans = each.withColumn("hits", F.struct(F.col("hits0.n_words").alias("n_words"), _united(every("spans")).alias("n_hit"), F.array_sort(F.array_distinct(every("items"))).alias("items"), every("spans").alias("spans")))
-    return spans.drop(*[f"hits{k}" for k in range(len(blocks))])
+    return each.withColumn("hits", _union(F.col("hits0.n_words"), every("spans"), every("items"))).drop(*[f"hits{k}" for k in range(len(blocks))])
+
+
+def _union(n_words: Column, spans: Column, items: Column) -> Column:
+    return F.struct(n_words.alias("n_words"), _united(spans).alias("n_hit"), F.array_sort(F.array_distinct(items)).alias("items"), spans.alias("spans"))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_WINDOWS, text: str = "text", together: int = BLOCKS_TOGETHER) -> DataFrame:
+    """``docs`` with ``hits``: struct of n_words, n_hit, items (sorted ids), spans (in words).
+
+    Up to ``together`` blocks need no shuffle. Beyond, the texts are written
+    once with a row number, each pass writes the hits of its blocks by row,
+    and a text's hits, no more than its windows and items, are brought
+    together by row.
+    """
+    blocks = blocks_of(benchmark, width, most)
+    if len(blocks) <= together:
+        return _side_by_side(docs, blocks, text)
+    held = materialize(docs.withColumn("hit_row", F.monotonically_increasing_id()), "decontaminate-texts")
+    passes = [materialize(_side_by_side(held.select("hit_row", text), blocks[k : k + together], text).select("hit_row", "hits"), "decontaminate-hits") for k in range(0, len(blocks), together)]
+    merged = reduce(DataFrame.union, passes).groupBy("hit_row").agg(F.max("hits.n_words").alias("n"), F.flatten(F.collect_list("hits.spans")).alias("s"), F.flatten(F.collect_list("hits.items")).alias("i"))
+    return held.join(merged.select("hit_row", _union(F.col("n"), F.col("s"), F.col("i")).alias("hits")), "hit_row").drop("hit_row")
 
 
 def contaminated(n_hit: Column, n_words: Column, per: int = 20) -> Column:
