@@ -132,26 +132,50 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.when(~F.isnan(quoted(f.name)), quoted(f.name)) for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))})
 
 
+def _distinct(df: DataFrame) -> list[tuple[int, int, float]]:
+    """(rows, nulls, distinct) of each column: approximate for all in one pass, exact only where a rule could turn on the difference."""
+    plain = [f for f in df.schema.fields if not is_nested(f.dataType)]
+    rough = {r["column"]: r for r in _rough_counts(df).collect()}
+
+    def near(r) -> bool:
+        share = r["distinct"] / max(r["rows"] - r["nulls"], 1)
+        return r["distinct"] <= 4 * MAX_LEVELS or abs(share - IDENTIFIER_SHARE) < 5 * ROUGH
+
+    unsure = [f.name for f in plain if near(rough[f.name])]
+    exact = df.agg(*[F.countDistinct(quoted(c)).alias(f"c{k}") for k, c in enumerate(unsure)]).first() if unsure else ()
+    found = {c: r["distinct"] for c, r in rough.items()} | dict(zip(unsure, exact, strict=True))
+    return [(rough[c]["rows"], rough[c]["nulls"], found[c]) for c in df.columns]
+
+
+#: Relative deviation of the approximate counts.
+ROUGH = 0.01
+
+
+def _rough_counts(df: DataFrame) -> DataFrame:
+    parts = [F.struct(F.lit(f.name).alias("column"), F.count_if(quoted(f.name).isNull()).alias("nulls"), (F.lit(0).cast("long") if is_nested(f.dataType) else F.approx_count_distinct(quoted(f.name), ROUGH)).alias("distinct")).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]
+    found = df.agg(F.count("*").alias("rows"), *parts)
+    return found.select("rows", F.explode(F.array(*[F.col(f"c{k}") for k in range(len(df.columns))])).alias("x")).select("x.column", "rows", "x.nulls", "x.distinct")
+
+
 def classify(df: DataFrame) -> DataFrame:
-    """column, role (numeric, categorical or excluded), reason for every column, from one aggregate; booleans are numbers."""
-    counts = column_counts(without_nan(df), exact=True).collect()
+    """column, role (numeric, categorical or excluded), reason for every column; booleans are numbers, NaN is missing."""
     rows = []
-    for k, (f, r) in enumerate(zip(df.schema.fields, counts, strict=True)):
-        filled, kind = r["rows"] - r["nulls"], f.dataType
+    for k, (f, (total, nulls, distinct)) in enumerate(zip(df.schema.fields, _distinct(without_nan(df)), strict=True)):
+        filled, kind = total - nulls, f.dataType
         if filled == 0:
             role, why = "excluded", "all values are missing"
         elif is_nested(kind) or isinstance(kind, T.BinaryType):
             role, why = "excluded", f"nested or binary type {kind.simpleString()}"
-        elif r["distinct"] <= 1:
+        elif distinct <= 1:
             role, why = "excluded", "constant"
         elif isinstance(kind, T.BooleanType) or is_number(kind):
             role, why = "numeric", None
         elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             role, why = "excluded", "date or time"
-        elif r["distinct"] / filled >= IDENTIFIER_SHARE:
+        elif distinct / filled >= IDENTIFIER_SHARE:
             role, why = "excluded", "looks like an identifier: nearly every value is different"
-        elif r["distinct"] > MAX_LEVELS:
-            role, why = "excluded", f"{r['distinct']} levels, more than {MAX_LEVELS}"
+        elif distinct > MAX_LEVELS:
+            role, why = "excluded", f"about {distinct} levels, more than {MAX_LEVELS}"
         else:
             role, why = "categorical", None
         rows.append((k, f.name, role, why))

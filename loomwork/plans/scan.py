@@ -107,7 +107,8 @@ def scan(df: DataFrame, target: str | None = None, max_rows: int | None = None,
     """
     total = df.count()
     sampled = max_rows is not None and total > max_rows
-    held = profile.without_nan(nodes.sample(df, max_rows, seed) if sampled else df).persist()
+    kept = nodes.sample(df, max_rows, seed).persist() if sampled else df  # a sample is bounded; a whole table is read again
+    held = profile.without_nan(kept)
     try:
         roles = {r["column"]: (r["role"], r["reason"]) for r in profile.classify(held).orderBy("position").collect()}
         if target is not None and roles.get(target, ("excluded", None))[0] == "excluded":
@@ -132,7 +133,8 @@ def scan(df: DataFrame, target: str | None = None, max_rows: int | None = None,
             out.notes.append(f"a sample of {max_rows:,} of {total:,} rows, seed {seed}")
         return out
     finally:
-        held.unpersist()
+        if sampled:
+            kept.unpersist()
 
 
 def save_findings(spark: SparkSession, result: Scan, path: str, created_at: datetime | None = None) -> int:

@@ -93,7 +93,8 @@ def jdbc_options(dialect: str, values: Mapping[str, str]) -> dict[str, str]:
 
 def redacted(options: Mapping[str, str]) -> dict[str, str]:
     """Options that may be shown: no password, in the URL neither."""
-    return {k: "***" if k == "password" else re.sub(r"(?i)(password=|:)([^:@/;&]+)(@|(?<=password=)[^;&]*)", r"\1***\3", v) if "@" in v and "//" in v else v for k, v in options.items()}
+    hide = lambda v: re.sub(r"(?i)(password=)[^;&]*", r"\1***", re.sub(r"(//[^/:@]+:)[^@/]+@", r"\1***@", v))
+    return {k: "***" if k == "password" else hide(v) for k, v in options.items()}
 
 
 def read_database(spark: SparkSession, options: Mapping[str, str], table: str = "", query: str = "", partition: tuple[str, object, object, int] | None = None) -> DataFrame:

@@ -75,6 +75,7 @@ def test_files_catalog_and_reports(spark, tmp_path):
 def test_database_options_and_round_trip(spark):
     o = files.jdbc_options("postgresql", {"host": "h", "database": "d b", "user": "u", "password": "p/w"})
     assert o["url"] == "jdbc:postgresql://h:5432/d%20b" and files.redacted(o)["password"] == "***"
+    assert files.redacted({"url": "jdbc:x://u:pw@h/d?password=z&k=1"})["url"] == "jdbc:x://u:***@h/d?password=***&k=1"
     with pytest.raises(ValueError, match="host, user"):
         files.jdbc_options("mysql", {"database": "d"})
     with pytest.raises(ValueError):
