@@ -41,8 +41,7 @@ class Counter:
         self.encoder.remember({w for part in words for w in part})
 
     def count(self, words: Sequence[str]) -> np.ndarray:
-        known = self.encoder.known
-        return np.fromiter((len(known[w]) for w in words), dtype=np.int64, count=len(words)) // 4
+        return np.fromiter(map(len, map(self.encoder.known.__getitem__, words)), dtype=np.int64, count=len(words)) // 4
 
 
 @dataclass
@@ -193,20 +192,32 @@ def updated(text: Column, tree: Column, edits: Column, vocabulary_text) -> Colum
     return of(text, tree, edits)
 
 
-#: What scrubbing replaces, in order: mail addresses, telephone numbers, long keys.
-SCRUBS = ((r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<email>"), (r"\+?\(?\d[\d ().-]{7,}\d", "<phone>"), (r"\b[A-Za-z0-9_]{32,}\b", "<key>"))
+#: Parts of a mail address: before the @, at most 64 characters of it, and from it on.
+MAIL_NAME, MAIL_HOST = re.compile(r"[\w.+-]+\Z"), re.compile(r"@[\w-]+(?:\.[\w-]+)+")
+PHONE, KEY, KEY_LENGTH = re.compile(r"[\d+(][\d ().-]{7,}\d"), re.compile(r"(?<!\w)\w{32,}"), 32
 
 
-def scrub_edits(text: str, scrubs: Sequence[tuple[str, str]] = SCRUBS) -> list[tuple[int, int, str]]:
-    """Edits that replace every match, the last place first, so that the places of the others stay true; of overlapping ones the first pattern's."""
+def scrub_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that replace mail addresses, telephone numbers and long keys, the last place first, so that the places of the others stay true.
+
+    Of overlapping finds the one that starts first stays, of these the longer.
+    Time is linear in the text.
+    """
     found: list[tuple[int, int, str]] = []
-    taken: set[int] = set()
-    for pattern, new in scrubs:
-        for m in re.finditer(pattern, text):
-            if m.start() not in taken and m.end() - 1 not in taken:
-                found.append((m.start(), m.end(), new))
-                taken.update(range(m.start(), m.end()))
-    return sorted(found, reverse=True)
+    place = text.find("@")
+    while place >= 0:
+        name, host = MAIL_NAME.search(text[max(0, place - 64) : place]), MAIL_HOST.match(text, place)
+        if name and host:
+            found.append((place - len(name[0]), host.end(), "<email>"))
+        place = text.find("@", place + 1)
+    found += [(m.start(), m.end(), "<phone>") for m in PHONE.finditer(text)]
+    if max(map(len, text.split()), default=0) >= KEY_LENGTH:
+        found += [(m.start(), m.end(), "<key>") for m in KEY.finditer(text)]
+    kept: list[tuple[int, int, str]] = []
+    for e in sorted(found, key=lambda e: (e[0], -e[1])):
+        if not kept or e[0] >= kept[-1][1]:
+            kept.append(e)
+    return kept[::-1]
 
 
 def scrubbing(text: Column) -> Column:
@@ -222,14 +233,33 @@ def scrubbing(text: Column) -> Column:
 
 
 
+COUNTED = "n_tokens_before long, n_tokens long, n_edits int, n_chars long, recounted_chars long, text_sha256 string"
+
+
 def count_scrubbed(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens_before, n_tokens, n_edits, n_chars, recounted_chars, text_sha256 of every row of ``docs`` (doc_id, text) after scrubbing.
+    """doc_id and ``COUNTED`` of every row of ``docs`` (doc_id, text) after scrubbing; text_sha256 is of the scrubbed text.
 
     Trees are built, edits found and counts updated in one pass without a
     shuffle. Null is the empty text; repeated rows come back as often; other
     columns are not read.
     """
     sent = send_vocabulary(docs.sparkSession, path)
-    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = held.select("doc_id", updated(F.col("text"), trees(F.col("text"), sent), scrubbing(F.col("text")), sent).alias("u"))
-    return found.select("doc_id", "u.n_tokens_before", "u.n_tokens", "u.n_edits", "u.n_chars", "u.recounted_chars", F.sha2(F.col("u.text").cast("binary"), 256).alias("text_sha256"))
+
+    @F.arrow_udf(COUNTED)
+    def of(texts: pa.Array) -> pa.Array:
+        counter, rows = Counter(encoder_of(sent)), []
+        for block in in_blocks(texts):
+            words = [counter.findall(t) for t in block]
+            counter.learn(words)
+            built = [Tree.build(w, counter.count(w)) for w in words]
+            for now, tree in zip(block, built, strict=True):
+                before, work, edits = tree.tokens, 0, scrub_edits(now)
+                for start, stop, new in edits:
+                    tree, now, n = edit_tree(tree, now, start, stop, new, counter)
+                    work += n
+                rows.append((before, tree.tokens, len(edits), tree.chars, work, hashlib.sha256(now.encode()).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split(" ")[0] for f in COUNTED.split(", ")])
+
+    return docs.select("doc_id", of(F.col("text")).alias("c")).select("doc_id", "c.*")
