@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from loomwork.llm.shared import pick
+
 #: Pre-tokens of byte-level BPE (fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words, and bytes of words and their ids, that a task remembers before it starts a new trie; results are the same.
@@ -236,4 +238,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             of_text.append(hashlib.sha256(decode(np.frombuffer(ids, dtype="<u4"), encoder.v).encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", digests(F.col("text")).alias("d")).select("doc_id", "d.*")
+    return pick(docs, "doc_id", "text").select("doc_id", digests(F.col("text")).alias("d")).select("doc_id", "d.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import materialize, utf8
+from loomwork.llm.shared import materialize, numbered, pick, utf8
 
 WIDTH = 13
 #: Windows in one broadcast block: about 100 MB of words at most.
@@ -103,7 +103,7 @@ def blocks_of(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_WINDOW
     """The benchmark as broadcast blocks; items come to the driver a partition at a time. Null ids and texts are left out."""
     blocks, now = [], []
     send = benchmark.sparkSession.sparkContext.broadcast
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).dropna().toLocalIterator():
+    for row in pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).dropna().toLocalIterator():
         for window in item_windows(bytes(row["text"]), row["item"], width):
             now.append(window)
             if len(now) >= most:
@@ -196,7 +196,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int =
     Null and empty texts have no words and are clean; repeated rows come back
     as often; other columns are not read; an empty benchmark hits nothing.
     """
-    found = with_hits(docs.select("doc_id", "text"), benchmark, width, most).select("doc_id", "hits.*")
+    found = with_hits(pick(docs, "doc_id", "text"), benchmark, width, most).select("doc_id", "hits.*")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated")
     )
@@ -232,9 +232,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}: documents or spans")
-    names = docs.columns
-    text = next(f"c{k}" for k, n in enumerate(names) if n.lower() == "text")
-    held = with_hits(docs.toDF(*[f"c{k}" for k in range(len(names))]), benchmark, width, most, text)
+    names, (held, at) = docs.columns, numbered(docs)
+    text = at["text"]
+    held = with_hits(held, benchmark, width, most, text)
     if mode == "documents":
         held = held.filter(~contaminated(F.col("hits.n_hit"), F.col("hits.n_words")))
     else:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from loomwork.llm.shared import fold_of, utf8
+from loomwork.llm.shared import fold_of, numbered, pick, utf8
 from loomwork.llm.text_stats import SPACES, duplicate_lines, histogram, repeated_words, word_ids
 
 #: Labelled rows that the model is fitted on at most: those of the least hash of their id.
@@ -201,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, label: str
     are left out; of rows that share an id one is learned from.
     """
     picked = (
-        labels.select("doc_id", label).dropna().filter(learning_fold()).groupBy("doc_id").agg(F.avg(label).cast("double").alias("y"))
+        pick(labels, "doc_id", label).dropna().filter(learning_fold()).groupBy("doc_id").agg(F.avg(label).cast("double").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.struct("y", text_features(F.col("text")).alias("x")).alias("r"))  # at most ``most`` rows are sent
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.struct("y", text_features(F.col("text")).alias("x")).alias("r"))  # at most ``most`` rows are sent
     found = rows.groupBy("doc_id").agg(F.min("r").alias("r")).orderBy("doc_id").select("r.y", "r.x").toPandas()
     x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return train(x, found["y"].to_numpy(float))
@@ -227,13 +227,11 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows come back as often; a null id is in no held-out fold; a null
     text scores as the empty one.
     """
-    scored = docs.select("doc_id", (~learning_fold()).alias("held_out"), score(F.col("text"), model).alias("score"))
+    scored = pick(docs, "doc_id", "text").select("doc_id", (~learning_fold()).alias("held_out"), score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that the model takes for label 1."""
-    names = docs.columns
-    held = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    text = next(f"c{k}" for k, n in enumerate(names) if n.lower() == "text")
-    return held.withColumn("s", score(F.col(text), model)).filter("s >= 0.5").drop("s").toDF(*names)
+    held, at = numbered(docs)
+    return held.withColumn("s", score(F.col(at["text"]), model)).filter("s >= 0.5").drop("s").toDF(*docs.columns)

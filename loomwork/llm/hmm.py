@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import LOWER_AZ, fold_of, materialize, utf8
+from loomwork.llm.shared import LOWER_AZ, fold_of, materialize, pick, utf8
 
 STATES = 8
 ITERATIONS = 5
@@ -314,7 +314,7 @@ def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITE
     every word is unknown. Other columns are not read.
     """
     spark = docs.sparkSession
-    held = docs.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "text")
+    held = pick(docs, "doc_id", "text").select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "text")
     counts = materialize(word_counts(held.filter("not held_out")), "hmm-counts")
     lex = lexicon(counts, held.filter("not held_out").count(), dictionary)
     coded = materialize(encode(held.withColumn("row", F.monotonically_increasing_id()), spark.sparkContext.broadcast(lex)), "hmm-coded")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import materialize, utf8
+from loomwork.llm.shared import materialize, pick, utf8
 
 BUCKETS = 1 << 14
 #: Languages at most; each has a table of BUCKETS numbers that every task holds.
@@ -47,7 +47,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     Tasks count into one table for each language they meet; the driver gets
     languages x BUCKETS sums. Rows without a label or text count for nothing.
     """
-    labelled = docs.select("lang", "text").dropna()
+    labelled = pick(docs, "lang", "text").dropna()
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -106,7 +106,7 @@ def text_evidence(pages: DataFrame, languages: list[str], logs: np.ndarray) -> D
         return pa.array(out, pa.list_(pa.float64()))
 
     host, domain, suffix = host_parts(F.col("url"))
-    found = pages.select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared_language(F.col("html")).alias("declared"), loglik(visible(F.col("html"))).alias("loglik"))
+    found = pick(pages, "page_id", "url", "html").select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared_language(F.col("html")).alias("declared"), loglik(visible(F.col("html"))).alias("loglik"))
     top = F.array_max("loglik")
     best = F.when(F.size(F.array_distinct("loglik")) > 1, F.array_position("loglik", top) - 1).cast("int")
     return found.withColumn("best", best).withColumn("loglik", F.transform("loglik", lambda x: x - top))

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.shared import numbered, pick
 from loomwork.llm.text_stats import text_stats
 
 #: Labelled rows that rules are learned from at most: those of the least hash of their id.
@@ -131,10 +132,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     is left out. Rows that share an id all come; fit() learns from one of them.
     """
     picked = (
-        labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
+        pick(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``most`` rows
+    return pick(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``most`` rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Rule]:
@@ -163,15 +164,14 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     One row for each row of ``docs``, repeated ones included; other columns are
     not read. A null text has no words and so fails the base rules.
     """
-    counted = docs.select("doc_id", text_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
+    counted = pick(docs, "doc_id", "text").select("doc_id", text_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
     judged = counted.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs``, all columns, that neither the base rules nor a learned rule rejects."""
-    names = docs.columns
-    held = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    text = next(f"c{k}" for k, n in enumerate(names) if n.lower() == "text")
-    held = held.withColumn("s", text_stats(F.col(text))).select(*held.columns, "s.*")
-    return held.filter(~base_failed() & verdict(rules).isNull()).select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
+    held, at = numbered(docs)
+    own = held.columns
+    held = held.withColumn("s", text_stats(F.col(at["text"]))).select(*own, "s.*")
+    return held.filter(~base_failed() & verdict(rules).isNull()).select(*own).toDF(*docs.columns)

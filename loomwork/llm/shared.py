@@ -38,6 +38,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and where each name is now, lower-cased names too: exact spelling first, then the first alike.
+
+    Columns whose names differ in case only, or not at all, are told apart.
+    """
+    at = {}
+    for k, name in reversed(list(enumerate(df.columns))):
+        at[name.lower()] = f"c{k}"
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), at | {n: f"c{k}" for k, n in reversed(list(enumerate(df.columns)))}
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns of ``df``, whatever else it has."""
+    held, at = numbered(df)
+    if missing := [n for n in names if n not in at]:
+        raise ValueError(f"no column {', '.join(missing)}; there are: {', '.join(df.columns)}")
+    return held.select(*[F.col(at[n]).alias(n) for n in names])
+
+
 def fold_of(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from loomwork.llm.components import connected_components
-from loomwork.llm.shared import LOWER_AZ, materialize, utf8
+from loomwork.llm.shared import LOWER_AZ, materialize, numbered, pick, utf8
 
 BITS = 64
 #: A (partition, key) bucket of more index x probe pairs than this goes the way that emits no pairs.
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, bucket_pai
     in its component but names none; a component of such rows only has a null
     component_id. An empty table gives no rows.
     """
-    prints = materialize(docs.select(F.col("doc_id").alias("id"), fingerprint(F.col("text"), width).alias("fp")), "simhash-prints")
+    prints = materialize(pick(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), fingerprint(F.col("text"), width).alias("fp")), "simhash-prints")
     found = prints.join(components_of(prints, radius, bucket_pairs), "fp", "left")
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -264,9 +264,7 @@ def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     Other columns pass through whatever their names; rows get an id of their
     own in a written copy, so that repeated rows are told apart.
     """
-    names = docs.columns
-    held = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    at = {n.lower(): f"c{k}" for k, n in reversed(list(enumerate(names)))}
+    names, (held, at) = docs.columns, numbered(docs)
     held = materialize(held.withColumns({"row": F.monotonically_increasing_id(), "fp": fingerprint(F.col(at["text"]), width)}), "simhash-docs")
     prints = held.select(F.col(at["doc_id"]).alias("id"), "fp", "row")
     found = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("row"))).alias("id"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.bpe import TrieEncoder, encoder_of, in_blocks, send_vocabulary
+from loomwork.llm.shared import pick
 
 #: Pre-tokens in a leaf when a tree is built, and from which its tree is built anew.
 LEAF, CROWDED = 32, 256
@@ -262,4 +263,4 @@ def count_scrubbed(docs: DataFrame, path: str) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split(" ")[0] for f in COUNTED.split(", ")])
 
-    return docs.select("doc_id", of(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return pick(docs, "doc_id", "text").select("doc_id", of(F.col("text")).alias("c")).select("doc_id", "c.*")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.shared import materialize
+from loomwork.llm.shared import materialize, pick
 
 SEGMENT_BYTES = 32_768  # of a record's block
 CHUNK_BYTES = 8_192  # of an HTTP chunk
@@ -146,7 +146,7 @@ def with_roles(pages: DataFrame, least_bytes: int = 0, broadcast_groups: int = B
     Payloads under ``least_bytes`` are never revisits. Digests are grouped, not
     payloads; unless very many groups share a payload, payloads are not shuffled.
     """
-    held = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    held = pick(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     large = held.filter(F.octet_length("payload") >= least_bytes)
     groups = materialize(large.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1 and keep is not null").select("sha", "keep"), "warc-groups")
     few = groups.limit(broadcast_groups + 1).count() <= broadcast_groups
