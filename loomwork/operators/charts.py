@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -134,14 +133,16 @@ def scatter(df: DataFrame, spec: ChartSpec, seed: int = 42) -> ChartData:
     return ChartData(spec, sample(shown, POINTS, seed), state)
 
 
-def box(df: DataFrame, spec: ChartSpec) -> ChartData:
+def box(df: DataFrame, spec: ChartSpec, accuracy: int | None = None) -> ChartData:
     """x, n, q0 to q4, whiskers and outliers of each group, over all rows; the 16 largest groups.
 
-    Whiskers are the extreme values within 1.5 interquartile ranges of the quartiles.
+    Whiskers are the extreme values within 1.5 interquartile ranges of the
+    quartiles. ``accuracy`` takes approximate quartiles, for groups with very
+    many different values.
     """
     rows = df.select(quoted(column(df, spec.x)).alias("x"), quoted(column(df, spec.y)).cast("double").alias("y")).filter("x is not null and y is not null")
     rows = _positive(rows, spec, [("y", spec.y_scale)])
-    five = rows.groupBy("x").agg(F.count("*").alias("n"), *[F.percentile("y", F.lit(p)).alias(f"q{k}") for k, p in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))])
+    five = rows.groupBy("x").agg(F.count("*").alias("n"), *[(F.percentile_approx("y", p, accuracy) if accuracy else F.percentile("y", F.lit(p))).alias(f"q{k}") for k, p in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))])
     largest = five.orderBy(F.desc("n"), "x").limit(BOXES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("y") >= F.col("q1") - reach) & (F.col("y") <= F.col("q3") + reach)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.operators.nodes import aggregate, column, quoted, sample
+from loomwork.operators.nodes import column, quoted, sample
 
 BINS = 10
 TOP = 8
@@ -87,12 +87,15 @@ def profile(df: DataFrame, max_rows: int | None = None, seed: int = 42) -> dict[
     return out
 
 
-def column_stats(df: DataFrame, name: str) -> DataFrame:
-    """rows, nulls, distinct and, of a numeric column, min, max, mean, stddev, median: one row."""
+def column_stats(df: DataFrame, name: str, accuracy: int | None = None) -> DataFrame:
+    """rows, nulls, distinct and, of a numeric column, min, max, mean, stddev, median: one row.
+
+    ``accuracy`` takes approximate distinct values and median, for columns with very many different values.
+    """
     c = quoted(column(df, name))
-    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), F.countDistinct(c).alias("distinct")]
+    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), (F.approx_count_distinct(c, 0.01) if accuracy else F.countDistinct(c)).alias("distinct")]
     if is_number(df.schema[column(df, name)].dataType):
-        parts += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("stddev"), F.median(c).cast("double").alias("median")]
+        parts += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("stddev"), (F.percentile_approx(c, 0.5, accuracy) if accuracy else F.median(c)).cast("double").alias("median")]
     return df.agg(*parts)
 
 
@@ -180,6 +183,3 @@ def classify(df: DataFrame) -> DataFrame:
             role, why = "categorical", None
         rows.append((k, f.name, role, why))
     return df.sparkSession.createDataFrame(rows, "position int, column string, role string, reason string")
-
-
-__all__ = ["aggregate", "capped", "classify", "column_counts", "column_stats", "governed_aggregate", "histograms", "numeric_summary", "profile", "top_values", "without_nan"]

@@ -194,19 +194,19 @@ def tutorial(spark):
     days = np.datetime64("2023-01-01") + np.arange(n)
     temp = 15 + 12 * np.sin(np.arange(n) * 2 * np.pi / 365) + rng.normal(0, 3, n)
     school, ads = (rng.random(n) < 0.2).astype(int), rng.gamma(2, 25, n)
-    ice = np.round(40 + 9.5 * np.maximum(temp, 0) + 120 * school + 0.6 * ads + rng.normal(0, 35, n)).astype(int)
+    sales = np.round(40 + 9.5 * np.maximum(temp, 0) + 120 * school + 0.6 * ads + rng.normal(0, 35, n)).astype(int)
     return frame(
         spark, date=[str(d) for d in days], temperature_c=temp, humidity_pct=70 - 0.4 * temp + rng.normal(0, 12, n), school_out=school, ad_spend=ads,
-        website_visits=np.round(200 + 3.5 * ads + rng.normal(0, 60, n)).astype(int), competitor_promo=(rng.random(n) < 0.2).astype(int), lottery_numbers=rng.integers(1, 50, n), ice_cream_sales=ice,
+        website_visits=np.round(200 + 3.5 * ads + rng.normal(0, 60, n)).astype(int), competitor_promo=(rng.random(n) < 0.2).astype(int), lottery_numbers=rng.integers(1, 50, n), daily_sales=sales,
     ).withColumn("date", F.to_date("date"))
 
 
 def test_scan_finds_planted_truth_and_no_decoys(spark, tutorial, tmp_path):
-    s = scan.scan(tutorial, "ice_cream_sales", name="tutorial")
+    s = scan.scan(tutorial, "daily_sales", name="tutorial")
     assert s.roles["date"][0] == "excluded" and [f.predictor for f in s.drivers[:2]] == ["temperature_c", "school_out"] and s.drivers[0].adj_r2 > 0.6
     assert {"temperature_c", "school_out", "ad_spend"} <= set(s.model.predictors) and s.model.adj_r2 > 0.85
     decoys = {"competitor_promo", "lottery_numbers"}
-    assert not any(set(f.columns) == {d, "ice_cream_sales"} for f in s.findings for d in decoys)
+    assert not any(set(f.columns) == {d, "daily_sales"} for f in s.findings for d in decoys)
     assert s.pca and s.diagnostics.verdict in ("good", "caution", "poor")
     assert not any(word in f.headline for f in s.findings for word in ("cause", "because"))
     n = scan.save_findings(spark, s, str(tmp_path / "f"))
