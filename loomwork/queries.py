@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import charts, mapping, model, nodes, pairs, profile, regression, suggest
+from loomwork.operators import charts, mapping, model, moments, nodes, pairs, profile, regression, suggest
 from loomwork.plans import flow, scan
 from loomwork.sources import files, pages, push, records
 
@@ -558,3 +558,110 @@ def k7_chart_export(spark, sf_dir):
     return files.read_file(spark, path, "x string, series string, y double").select("x", "y")
 
 
+
+
+# --- whole flows, models and dashboards ------------------------------------------------
+
+
+def _part_flow(sf_dir: str, out: str) -> flow.Flow:
+    doc = {"fields": [{"target": "id", "sources": ["p_partkey"]}, {"target": "label", "sources": ["p_brand", "p_type"], "join_with": ": "}, {"target": "price", "sources": ["p_retailprice"], "type": "DECIMAL(10,1)"}]}
+    return flow.flow_with_mapping(f"{sf_dir}/part.parquet", doc, out)
+
+
+@query("SELECT p_partkey AS id, p_brand || ': ' || p_type AS label, CAST(p_retailprice AS DECIMAL(10,1)) AS price FROM part")
+def n15_map_fields(spark, sf_dir):
+    return _part_flow(sf_dir, "none").frame(spark, "map")
+
+
+@query("SELECT p_partkey AS id, p_brand || ': ' || p_type AS label, CAST(p_retailprice AS DECIMAL(10,1)) AS price, (SELECT count(*) FROM part) AS written FROM part")
+def f4_run_outputs(spark, sf_dir):
+    path = files.scratch(spark, "parts")
+    report = flow.run_outputs(spark, _part_flow(sf_dir, path))["out"]
+    return spark.read.parquet(path).withColumn("written", F.lit(report.written).cast("long"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def f5_generated_flow(spark, sf_dir):
+    path = files.scratch(spark, "customers")
+    flow.run_outputs(spark, flow.flow_from_columns(f"{sf_dir}/customer.parquet", ["c_custkey", "c_mktsegment"], path))
+    return spark.read.parquet(path)
+
+
+@query("SELECT count(*) AS total, least(count(*), 500) AS shown, 'n_name,revenue,ship_year' AS columns FROM (SELECT n_name, year(l_shipdate) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ALL)")
+def f3_preview(spark, sf_dir):
+    doc = flagship_doc(sf_dir)
+    doc["nodes"][-2]["params"]["group_by"] = ["n_name", "ship_year"]
+    schema, total, first = flow.preview(spark, flow.Flow.from_doc(doc), "sums")
+    return spark.createDataFrame([(total, first.count(), ",".join(sorted(c for c, _ in schema)))], "total long, shown long, columns string")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
+def m7_inline_lookup(spark, sf_dir):
+    fields = [{"target": "o_orderkey", "sources": ["o_orderkey"]}, {"target": "status", "sources": ["o_orderstatus"], "steps": steps(("lookup", {"pairs": [["F", "done"], ["O", "open"], ["F", "again"]]}))}]
+    return mapping.apply_mapping(table(spark, sf_dir, "orders"), mapping.MappingDoc.from_dict({"fields": fields}))
+
+
+@query("SELECT p_name AS before, substr(upper(p_name), 1, 6) AS after FROM part")
+def m8_preview(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    doc = {"fields": [{"target": "short", "sources": ["p_name"], "steps": steps(("upper",), ("truncate", {"length": 6}))}]}
+    return mapping.preview(parts, mapping.MappingDoc.from_dict(doc), "short", rows=2**31 - 1)
+
+
+MIXED = "SELECT l_quantity AS x, l_extendedprice + 500 * l_quantity AS y FROM lineitem"
+
+
+def mixed(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") + 500 * F.col("l_quantity")).alias("y"))
+
+
+@query(f"SELECT 'x' AS predictor, round(regr_slope(y, x), 4) AS coefficient, round(regr_intercept(y, x), 2) AS intercept, round(regr_r2(y, x), 8) AS r2, round(sqrt(regr_r2(y, x)), 8) AS std_coefficient, count(*) AS n FROM ({MIXED})")
+def p18_final_model(spark, sf_dir):
+    m, _ = model.fit_multivariate(mixed(spark, sf_dir), "y", ["x"], [])
+    rows = [(p, round(m.coefficients[p], 4), round(m.coefficients["intercept"], 2), round(m.r2, 8), round(m.std_coefficients[p], 8), m.n) for p in m.predictors]
+    return spark.createDataFrame(rows, "predictor string, coefficient double, intercept double, r2 double, std_coefficient double, n long")
+
+
+@query("SELECT round(1 / (1 - corr(l_quantity, l_extendedprice)^2), 6) AS vif FROM lineitem")
+def p19_vif(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    names = ["l_quantity", "l_extendedprice", "l_tax"]
+    n, mean, s = moments.gram(lines, [pairs.number(c) for c in names], 1).total()
+    m = model.solved(s, mean, n, [0, 1], 2, names, "l_tax")
+    return spark.createDataFrame([(round(m.vif["l_quantity"], 6),)], "vif double")
+
+
+@query(f"""WITH d AS ({MIXED}), m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n FROM d),
+  e AS (SELECT x, y - a - b * x AS e, 1 / n + (x - mx)^2 / sxx AS h, n FROM d, m), v AS (SELECT avg(e^2) AS m2, sum(e^2) / (any_value(n) - 2) AS s2 FROM e)
+  SELECT CAST(any_value(n) AS BIGINT) AS n, round(any_value(n) / 6 * ((avg(e^3) / any_value(m2)^1.5)^2 + (avg(e^4) / any_value(m2)^2 - 3)^2 / 4), 4) AS jarque_bera, round(any_value(n) * corr(e^2, x)^2, 4) AS breusch_pagan,
+    count(*) FILTER (e^2 / (2 * s2) * h / (1 - h)^2 > 4 / n) AS influential FROM e, v""")
+def p21_diagnostics(spark, sf_dir):
+    rows = mixed(spark, sf_dir)
+    m, columns = model.fit_multivariate(rows, "y", ["x"], [])
+    d = model.diagnose(rows, m, columns)
+    return spark.createDataFrame([(d.n, round(d.jarque_bera, 4), round(d.breusch_pagan, 4), d.influential)], "n long, jarque_bera double, breusch_pagan double, influential long")
+
+
+@query()
+def p25_saved_findings(spark, sf_dir):
+    """Findings written with their lineage and read back."""
+    result = scan.scan(mixed(spark, sf_dir), "y", name="mixed")
+    path = files.scratch(spark, "findings")
+    scan.save_findings(spark, result, path)
+    return spark.read.parquet(path).select("dataset", "target", "seed", "kind", "title", "n")
+
+
+@query("SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1")
+def s3_parquet_and_catalog(spark, sf_dir):
+    held = files.Catalog(spark)
+    held.open_file(f"{sf_dir}/nation.parquet", name="loomwork_nation")
+    return held.get("loomwork_nation").unionAll(spark.sql("SELECT * FROM loomwork_nation WHERE n_regionkey = 1"))
+
+
+@query("SELECT 0 AS chart, o_orderpriority AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 2 UNION ALL SELECT 1, p_brand, max(p_retailprice) FROM part GROUP BY 2 ORDER BY 1, 3 DESC, 2 LIMIT 1000")
+def v9_dashboard(spark, sf_dir):
+    board = charts.Dashboard()
+    board.add(charts.ChartSpec("bar", "o_orderpriority", agg="count", dataset="orders"))
+    board.add(charts.ChartSpec("bar", "p_brand", "p_retailprice", agg="max", limit=1000, dataset="part"))
+    shown = board.evaluate({n: table(spark, sf_dir, n) for n in board.needs()})
+    return shown[0].df.select(F.lit(0).alias("chart"), "x", "y").unionAll(shown[1].df.select(F.lit(1).alias("chart"), "x", "y"))
