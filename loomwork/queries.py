@@ -5,6 +5,7 @@ Doubles are rounded on both sides, as engines add them up in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -373,18 +374,27 @@ def p15_categorical_fit(spark, sf_dir):
     return rounded(rounded(found, 4, ["intercept"]), 8, ["r2", "adj_r2"])
 
 
+def worth(spark, sf_dir):
+    """Line items with a value that quantity, discount and flag go into."""
+    value = F.expr("l_extendedprice + 500 * l_quantity - 40000 * l_discount + if(l_returnflag = 'R', 3000, 0)")
+    return table(spark, sf_dir, "lineitem").select(value.alias("worth"), "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
 @query()
 def p16_best_fits(spark, sf_dir):
-    return regression.fits_frame(spark, regression.best_fits(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]))
+    return regression.fits_frame(spark, regression.best_fits(worth(spark, sf_dir), "worth", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]))
 
 
 @query()
 def p17_model(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    m, columns = model.fit_multivariate(lines, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], ["l_returnflag"])
-    d = model.diagnose(lines, m, columns)
-    rows = [(p, m.coefficients[p], m.p_values[p], m.std_coefficients.get(p), m.vif.get(p), p in m.weak, m.adj_r2, d.verdict) for p in ["intercept", *m.predictors]]
-    return spark.createDataFrame(rows, "predictor string, coefficient double, p_value double, std_coefficient double, vif double, weak boolean, adj_r2 double, verdict string")
+    rows = worth(spark, sf_dir)
+    made = model.fit_multivariate(rows, "worth", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], ["l_returnflag"])
+    found = []
+    if made:  # else nothing is better than the mean
+        m, columns = made
+        d = model.diagnose(rows, m, columns)
+        found = [(p, m.coefficients[p], m.p_values[p], m.std_coefficients.get(p), m.vif.get(p), p in m.weak, m.adj_r2, d.verdict) for p in ["intercept", *m.predictors]]
+    return spark.createDataFrame(found, "predictor string, coefficient double, p_value double, std_coefficient double, vif double, weak boolean, adj_r2 double, verdict string")
 
 
 @query()
@@ -395,7 +405,7 @@ def p22_pca(spark, sf_dir):
 
 @query()
 def p23_scan(spark, sf_dir):
-    return scan.scan(table(spark, sf_dir, "lineitem"), "l_extendedprice").frame(spark)
+    return scan.scan(worth(spark, sf_dir), "worth").frame(spark)
 
 
 # --- charts -----------------------------------------------------------------------
@@ -467,7 +477,7 @@ def s2_json_lines(spark, sf_dir):
 
 @query("SELECT * FROM supplier")
 def k2_table_round_trip(spark, sf_dir):
-    name = f"loomwork_supplier_{abs(hash(sf_dir)) % 10**8}"
+    name = f"loomwork_supplier_{uuid.uuid4().hex[:12]}"
     files.write_table(table(spark, sf_dir, "supplier"), name, dry_run=False)
     return spark.table(name)
 
