@@ -47,14 +47,16 @@ def pearson_tests(df: DataFrame, columns: Sequence[str]) -> list[PairTest]:
     """Pearson's r of every pair over the rows where both are there, with n >= 8 and spread in both; two-sided p."""
     found = []
     pairs = list(combinations(columns, 2))
+    held = df.select(*[number(c).alias(f"x{k}") for k, c in enumerate(columns)])  # each value is made once a row
+    made = {c: F.col(f"x{k}") for k, c in enumerate(columns)}
     for at in range(0, len(pairs), WIDTH):
         part = pairs[at : at + WIDTH]
         exprs = []
         for k, (a, b) in enumerate(part):
-            x, y = number(a), number(b)
+            x, y = made[a], made[b]
             both = x.isNotNull() & y.isNotNull()
             exprs.append(F.struct(F.count_if(both).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(F.when(both, x)).alias("vx"), F.var_pop(F.when(both, y)).alias("vy")).alias(f"p{k}"))
-        row = df.agg(*exprs).first()
+        row = held.agg(*exprs).first()
         for k, (a, b) in enumerate(part):
             n, c, vx, vy = row[f"p{k}"]
             if n < LEAST_PAIRS or not vx or not vy:

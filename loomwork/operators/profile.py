@@ -93,7 +93,7 @@ def column_stats(df: DataFrame, name: str, accuracy: int | None = None) -> DataF
     ``accuracy`` takes approximate distinct values and median, for columns with very many different values.
     """
     c = quoted(column(df, name))
-    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), (F.approx_count_distinct(c, 0.01) if accuracy else F.countDistinct(c)).alias("distinct")]
+    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), (rough_distinct(c) if accuracy else F.countDistinct(c)).alias("distinct")]
     if is_number(df.schema[column(df, name)].dataType):
         parts += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("stddev"), (F.percentile_approx(c, 0.5, accuracy) if accuracy else F.median(c)).cast("double").alias("median")]
     return df.agg(*parts)
@@ -135,27 +135,32 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.when(~F.isnan(quoted(f.name)), quoted(f.name)) for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))})
 
 
+#: Relative deviation of rough_distinct().
+ROUGH = 0.01
+
+
+def rough_distinct(c: Column) -> Column:
+    """Distinct values by a sketch of 16 KB."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), F.lit(14))), F.lit(0).cast("long"))
+
+
 def _distinct(df: DataFrame) -> list[tuple[int, int, float]]:
     """(rows, nulls, distinct) of each column: approximate for all in one pass, exact only where a rule could turn on the difference."""
     plain = [f for f in df.schema.fields if not is_nested(f.dataType)]
     rough = {r["column"]: r for r in _rough_counts(df).collect()}
 
-    def near(r) -> bool:
-        share = r["distinct"] / max(r["rows"] - r["nulls"], 1)
-        return r["distinct"] <= 4 * MAX_LEVELS or abs(share - IDENTIFIER_SHARE) < 5 * ROUGH
-
-    unsure = [f.name for f in plain if near(rough[f.name])]
-    exact = df.agg(*[F.countDistinct(quoted(c)).alias(f"c{k}") for k, c in enumerate(unsure)]).first() if unsure else ()
+    few = [f.name for f in plain if rough[f.name]["distinct"] <= 4 * MAX_LEVELS]
+    share = lambda r: r["distinct"] / max(r["rows"] - r["nulls"], 1)
+    unsure = few + [f.name for f in plain if f.name not in few and abs(share(rough[f.name]) - IDENTIFIER_SHARE) < 5 * ROUGH]
+    # the sets of columns with few values stay small
+    exact = df.agg(*[(F.size(F.collect_set(quoted(c))) if c in few else F.countDistinct(quoted(c))).alias(f"c{k}") for k, c in enumerate(unsure)]).first() if unsure else ()
     found = {c: r["distinct"] for c, r in rough.items()} | dict(zip(unsure, exact, strict=True))
     return [(rough[c]["rows"], rough[c]["nulls"], found[c]) for c in df.columns]
 
 
-#: Relative deviation of the approximate counts.
-ROUGH = 0.01
-
 
 def _rough_counts(df: DataFrame) -> DataFrame:
-    parts = [F.struct(F.lit(f.name).alias("column"), F.count_if(quoted(f.name).isNull()).alias("nulls"), (F.lit(0).cast("long") if is_nested(f.dataType) else F.approx_count_distinct(quoted(f.name), ROUGH)).alias("distinct")).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]
+    parts = [F.struct(F.lit(f.name).alias("column"), F.count_if(quoted(f.name).isNull()).alias("nulls"), (F.lit(0).cast("long") if is_nested(f.dataType) else rough_distinct(quoted(f.name))).alias("distinct")).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]
     found = df.agg(F.count("*").alias("rows"), *parts)
     return found.select("rows", F.explode(F.array(*[F.col(f"c{k}") for k in range(len(df.columns))])).alias("x")).select("x.column", "rows", "x.nulls", "x.distinct")
 

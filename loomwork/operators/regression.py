@@ -45,13 +45,13 @@ def model_p(r2: float, n: int, k: int) -> float:
     return 0.0 if r2 >= 1 else f_tail(r2 / k / ((1 - r2) / (n - k - 1)), k, n - k - 1)
 
 
-def _pairs(df: DataFrame, target: str, predictors: Sequence[str]) -> list[tuple[Column, Column]]:
-    out = []
-    for p in predictors:
-        x, y = number(p), number(target)
-        both = x.isNotNull() & y.isNotNull()
-        out.append((F.when(both, x), F.when(both, y)))
-    return out
+def _pairs(df: DataFrame, target: str, predictors: Sequence[str]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """(frame, its columns of each predictor and the target): both are null where either is; each value is made once a row."""
+    names = [*predictors, target]
+    held = df.select(*[number(c).alias(f"n{k}") for k, c in enumerate(names)])
+    y = F.col(f"n{len(predictors)}")
+    held = held.select(*[c for k in range(len(predictors)) for c in (F.when(y.isNotNull(), F.col(f"n{k}")).alias(f"x{k}"), F.when(F.col(f"n{k}").isNotNull(), y).alias(f"y{k}"))])
+    return held, [(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(len(predictors))]
 
 
 def ladder(df: DataFrame, target: str, predictors: Sequence[str]) -> list[Fit]:
@@ -60,20 +60,21 @@ def ladder(df: DataFrame, target: str, predictors: Sequence[str]) -> list[Fit]:
     The first gives means and bounds, the second all sums, the third the
     residuals on the target's scale of the forms that log it.
     """
-    pairs = _pairs(df, target, predictors)
-    first = df.agg(*[F.struct(F.count(x).alias("n"), F.avg(x).alias("mx"), F.stddev_samp(x).alias("sx"), F.min(x).alias("lx"), F.avg(y).alias("my"), F.stddev_samp(y).alias("sy"), F.min(y).alias("ly")).alias(f"p{k}") for k, (x, y) in enumerate(pairs)]).first() if pairs else None
-    used, exprs = [], []
+    held, pairs = _pairs(df, target, predictors)
+    first = held.agg(*[F.struct(F.count(x).alias("n"), F.avg(x).alias("mx"), F.stddev_samp(x).alias("sx"), F.min(x).alias("lx"), F.avg(y).alias("my"), F.stddev_samp(y).alias("sy"), F.min(y).alias("ly")).alias(f"p{k}") for k, (x, y) in enumerate(pairs)]).first() if pairs else None
+    used, exprs, made = [], [], {}
     for k, (x, y) in enumerate(pairs):
         s = first[f"p{k}"]
         if s["n"] < LEAST_ROWS or not s["sx"] or not s["sy"]:
             continue
         used.append(k)
-        z, v = (x - s["mx"]) / s["sx"], y - s["my"]
-        shapes = {"linear": (x, y)} | ({"log-x": (F.ln(x), y)} if s["lx"] > 0 else {}) | ({"log-y": (x, F.ln(y))} if s["ly"] > 0 else {}) | ({"log-log": (F.ln(x), F.ln(y))} if min(s["lx"], s["ly"]) > 0 else {})
-        exprs.append(F.struct(*[F.struct(F.regr_slope(b, a).alias("b"), F.regr_intercept(b, a).alias("a"), F.regr_r2(b, a).alias("r2"), F.stddev_samp(a).alias("sa"), F.stddev_samp(b).alias("sb")).alias(f) for f, (a, b) in shapes.items()], *[F.sum(e).alias(n) for n, e in (("z2", z * z), ("z3", z**3), ("z4", z**4), ("zv", z * v), ("z2v", z * z * v), ("vv", v * v), ("z1", z), ("v1", v))]).alias(f"q{k}"))
+        made |= {f"z{k}": (x - s["mx"]) / s["sx"], f"v{k}": y - s["my"], f"lx{k}": F.ln(x), f"ly{k}": F.ln(y)}
+        z, v, lx, ly = (F.col(f"{n}{k}") for n in ("z", "v", "lx", "ly"))
+        shapes = {"linear": (x, y)} | ({"log-x": (lx, y)} if s["lx"] > 0 else {}) | ({"log-y": (x, ly)} if s["ly"] > 0 else {}) | ({"log-log": (lx, ly)} if min(s["lx"], s["ly"]) > 0 else {})
+        exprs.append(F.struct(*[F.struct(F.regr_slope(b, a).alias("b"), F.regr_intercept(b, a).alias("a"), F.regr_r2(b, a).alias("r2"), F.stddev_samp(a).alias("sa"), F.stddev_samp(b).alias("sb")).alias(f) for f, (a, b) in shapes.items()], *[F.sum(e).alias(n) for n, e in (("z2", z * z), ("z3", z * z * z), ("z4", z * z * z * z), ("zv", z * v), ("z2v", z * z * v), ("vv", v * v), ("z1", z), ("v1", v))]).alias(f"q{k}"))
     if not used:
         return []
-    second = df.agg(*exprs).first()
+    second = held.withColumns(made).agg(*exprs).first()
     fits: list[Fit] = []
     back: list[tuple[Fit, Column]] = []
     for k in used:
@@ -92,7 +93,7 @@ def ladder(df: DataFrame, target: str, predictors: Sequence[str]) -> list[Fit]:
                 back.append((fit, F.exp(F.lit(a) + F.lit(b) * (x if form == "log-y" else F.ln(x))) - y))
         fits += [f for f in [_quadratic(target, p, n, s, q)] if f]
     if back:
-        third = df.agg(*[F.sum(e * e).alias(f"r{k}") for k, (_, e) in enumerate(back)]).first()
+        third = held.agg(*[F.sum(e * e).alias(f"r{k}") for k, (_, e) in enumerate(back)]).first()
         for k, (fit, _) in enumerate(back):
             i = predictors.index(fit.predictor)
             q = second[f"q{i}"]
