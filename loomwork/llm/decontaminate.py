@@ -10,8 +10,6 @@ of more blocks takes more passes over the texts, whose hit spans are united.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
