@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators import charts, mapping, model, moments, nodes, pairs, profile, regression, suggest
@@ -39,6 +39,27 @@ def rounded(df: DataFrame, digits: int = 6, only: Sequence[str] | None = None) -
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) + F.lit(0.0) for c in names})
 
 
+#: A document holds so many records at least where its group has them, and less than twice as many.
+PART_ROWS = 1000
+
+
+def parts_of(df: DataFrame, key: str, order: str, rows: int = PART_ROWS) -> DataFrame:
+    """``df`` with ``start``: groups of ``key`` are cut, in ``order``, into parts of ``rows`` to 2 * ``rows`` - 1 rows; ``start`` counts those before the part.
+
+    Smaller groups are one part. Ranks are taken within ranges, and totals of
+    earlier ranges added, so a group that holds most rows is not one task's.
+    """
+    files.scratch(df.sparkSession, "")  # sees to a checkpoint folder
+    ranged = df.repartitionByRange(key, order).withColumn("range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy(key, "range").agg(F.count("*").alias("n"))  # a row for each range of a group
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("range")) - F.col("n")
+    starts = counts.select(F.col(key).alias("of"), F.col("range").alias("at"), before.alias("before"), F.sum("n").over(Window.partitionBy(key)).alias("total"))
+    within = F.row_number().over(Window.partitionBy(key, "range").orderBy(order)) - 1
+    held = ranged.withColumn("within", within).join(starts, F.col(key).eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    part = F.least(F.floor((F.col("before") + F.col("within")) / rows), F.greatest(F.floor(F.col("total") / rows), F.lit(1)) - 1)
+    return held.select(*df.columns, (part * rows).alias("start"))
+
+
 # --- flows and nodes ----------------------------------------------------------
 
 
@@ -507,26 +528,27 @@ def s7_json_records(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey AS id, o_totalprice AS \"info.price\", '[\"' || o_orderstatus || '\",\"' || o_orderpriority || '\"]' AS tags FROM orders")
 def s8_json_flatten(spark, sf_dir):
     item = F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_totalprice").alias("price")).alias("info"), F.array("o_orderstatus", "o_orderpriority").alias("tags"))
-    docs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.struct(F.collect_list(item).alias("items"), F.count("*").alias("total")).alias("body"))
+    docs = parts_of(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").groupBy("o_custkey", "start").agg(F.struct(F.collect_list(item).alias("items"), F.count("*").alias("total")).alias("body"))
     return records.to_table(docs, "items", None, "body", ("o_custkey",))
 
 
 @query("SELECT 'items' AS path, unnest(['id', 'info_price', 'tags']) AS name, unnest(['id', 'info.price', 'tags']) AS leaf")
 def s9_infer_mapping(spark, sf_dir):
     item = F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_totalprice").alias("price")).alias("info"), F.array("o_orderstatus").alias("tags"))
-    text = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(item).alias("items"), F.count("*").alias("total"))).alias("body"))
+    text = parts_of(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").groupBy("o_custkey", "start").agg(F.to_json(F.struct(F.collect_list(item).alias("items"), F.count("*").alias("total"))).alias("body"))
     path, columns = records.infer_mapping(records.parse_documents(text, "body"), "body")
     return spark.createDataFrame([(path, n, leaf) for n, leaf in columns.items()], "path string, name string, leaf string")
 
 
 @query("""SELECT p_brand AS page_id, 'Parts of ' || p_brand AS table_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_index, CAST(p_partkey AS VARCHAR) AS key, p_name AS name, p_type AS name_2 FROM part""")
 def s10_html_tables(spark, sf_dir):
-    """Each brand's parts as a page with a table, read back; the header has footnotes and a repeated name."""
+    """Each brand's parts as pages with a table, read back; the header has footnotes and a repeated name."""
     row = F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), F.col("p_name"), F.lit(" [1]</td><td>"), F.col("p_type"), F.lit("</td></tr>"))
-    bodies = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    bodies = parts_of(table(spark, sf_dir, "part"), "p_brand", "p_partkey").groupBy("p_brand", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
     html = F.concat(F.lit("<nav><table><tr><td>a</td><td>b</td></tr></table></nav><h2>Parts of "), F.col("p_brand"), F.lit("</h2><table><tr><th>key[a]</th><th>name</th><th>name [2]</th></tr>"), F.col("rows"), F.lit("</table>"))
-    found = pages.extract_tables(bodies.select(F.col("p_brand").alias("page_id"), html.alias("html")))
-    return found.select("page_id", "table_name", F.col("row_index").cast("long").alias("row_index"), *[F.element_at("cells", n).alias(n) for n in ("key", "name", "name_2")])
+    found = pages.extract_tables(bodies.select(F.concat(F.col("start").cast("string"), F.lit("/"), F.col("p_brand")).alias("page_id"), html.alias("html")))
+    start, brand = F.regexp_extract("page_id", "^([0-9]+)/", 1).cast("long"), F.regexp_replace("page_id", "^[0-9]+/", "")
+    return found.select(brand.alias("page_id"), "table_name", (start + F.col("row_index")).alias("row_index"), *[F.element_at("cells", n).alias(n) for n in ("key", "name", "name_2")])
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\[\s*[a-zA-Z0-9]{1,3}\s*\]', '', 'g'), '\s+', ' ', 'g')) AS title, len(string_split(html, '<p>')) > 1 AS has_text FROM pages""")
