@@ -15,9 +15,13 @@ def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
+#: Most pages of the given tables are longer, so that their records come through continuation and reassembly.
+OP2_SEGMENT_BYTES = 2_048
+
+
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc-archives")
-    warc.write_archives(pages, path)
+    warc.write_archives(pages, path, segment=OP2_SEGMENT_BYTES)
     return warc.read_pages(spark, path, pages.schema["page_id"].dataType)
 
 
