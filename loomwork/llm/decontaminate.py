@@ -193,6 +193,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int =
 
     Null and empty texts have no words and are clean; repeated rows come back
     as often; other columns are not read; an empty benchmark hits nothing.
+    Benchmark rows with a null item_id or text are left out, as in OP8_SQL.
     """
     found = with_hits(pick(docs, "doc_id", "text"), benchmark, width, most).select("doc_id", "hits.*")
     return found.select(
@@ -227,6 +228,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width
 
     mode "documents": contaminated rows go, all others stay as they are.
     mode "spans": every row stays; hit words and what stands between them are cut out of ``text``.
+    Benchmark rows with a null item_id or text are left out: passages of such an item stay in.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}: documents or spans")
