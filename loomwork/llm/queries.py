@@ -82,30 +82,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rules": op10_rules,
 }
 
-#: Links, components and rules of op7 in DuckDB: the graph's closure by a recursive query.
+#: Links, components and rules of op7 in DuckDB: tags and attributes by linear patterns, dot segments one at a time, the graph's closure by a recursive query.
 OP7_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html,
     coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
-), link AS (
-  SELECT url, unnest([
-    nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''),
-    nullif(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '')]) AS raw
+), tag AS (
+  SELECT DISTINCT url, unnest(regexp_extract_all(html, '<!--(?:-?>|(?s:.*?)(?:-->|--!>|\z))'
+    || '|<[sS][cC][rR][iI][pP][tT](?:[ \t\n\f\r/]REST)?(?:>(?s:.*?)(?:</[sS][cC][rR][iI][pP][tT][ \t\n\f\r/>]|\z)|\z)'
+    || '|<[sS][tT][yY][lL][eE](?:[ \t\n\f\r/]REST)?(?:>(?s:.*?)(?:</[sS][tT][yY][lL][eE][ \t\n\f\r/>]|\z)|\z)'
+    || '|<[tT][iI][tT][lL][eE](?:[ \t\n\f\r/]REST)?(?:>(?s:.*?)(?:</[tT][iI][tT][lL][eE][ \t\n\f\r/>]|\z)|\z)'
+    || '|<[tT][eE][xX][tT][aA][rR][eE][aA](?:[ \t\n\f\r/]REST)?(?:>(?s:.*?)(?:</[tT][eE][xX][tT][aA][rR][eE][aA][ \t\n\f\r/>]|\z)|\z)'
+    || '|(<(?:[lL][iI][nN][kK]|[mM][eE][tT][aA])[ \t\n\f\r/]REST(?:>|\z))|</?[a-zA-Z]REST(?:>|\z)|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\z)', 1)) AS t
   FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), held AS (
+  SELECT url, translate(t[2:5], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS tag, list_transform(
+    regexp_extract_all(t[6:], '[^ \t\n\f\r/>=]+(?:[ \t\n\f\r]*=[ \t\n\f\r]*(?:"[^"]*"?|''[^'']*''?|[^ \t\n\f\r>"''][^ \t\n\f\r>]*)?)?'),
+    lambda x: {'n': translate(regexp_extract(x, '^[^ \t\n\f\r/>=]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'v': regexp_extract(x, '^[^=]*=[ \t\n\f\r]*((?s:.*))$', 1)}) AS a
+  FROM tag WHERE ends_with(t, '>')
+), closed AS (
+  SELECT url, tag, list_transform(a, lambda x: {'n': x.n, 'v': CASE WHEN x.v[1:1] IN ('"', '''') THEN x.v[2:-2] ELSE x.v END}) AS a
+  FROM held WHERE len(list_filter(a, lambda x: x.v[1:1] IN ('"', '''') AND (length(x.v) = 1 OR x.v[-1:] <> x.v[1:1]))) = 0
+), named_attribute AS (
+  SELECT url, tag, list_filter(a, lambda x: x.n = 'rel')[1].v AS rel, list_filter(a, lambda x: x.n = 'href')[1].v AS href,
+    list_filter(a, lambda x: x.n = 'http-equiv')[1].v AS equiv, list_filter(a, lambda x: x.n = 'content')[1].v AS content FROM closed
+), link AS (
+  SELECT url, href AS raw FROM named_attribute WHERE tag = 'link' AND regexp_matches(rel, '(?:^|[ \t\n\f\r])[cC][aA][nN][oO][nN][iI][cC][aA][lL](?:[ \t\n\f\r]|$)')
+  UNION ALL
+  SELECT url, nullif(CASE r[1:1] WHEN '"' THEN regexp_extract(r, '^"([^"]*)', 1) WHEN '''' THEN regexp_extract(r, '^''([^'']*)', 1) ELSE r END, '') FROM (
+    SELECT url, regexp_extract(content, '^[ \t\n\f\r]*[0-9.]+(?:[ \t\n\f\r]*[;,]|[ \t\n\f\r])[ \t\n\f\r]*(?:[uU][rR][lL][ \t\n\f\r]*=[ \t\n\f\r]*)?((?s:.*))$', 1) AS r
+    FROM named_attribute WHERE tag = 'meta' AND regexp_matches(equiv, '^[ \t\n\f\r]*[rR][eE][fF][rR][eE][sS][hH][ \t\n\f\r]*$'))
 ), target AS (
-  SELECT l.url, replace(raw, '&amp;', '&') AS t, regexp_extract(l.url, '^(?s:(.*?))://', 1) AS scheme, p.host, nullif(regexp_extract(p.path, '^(?s:(.*/))', 1), '') AS folder
+  SELECT l.url, replace(translate(trim(raw, chr(32) || chr(9) || chr(10) || chr(12) || chr(13)), chr(9) || chr(10) || chr(13), ''), '&amp;', '&') AS t,
+    translate(regexp_extract(l.url, '^(?s:(.*?))://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme, p.host,
+    coalesce(nullif(p.path, ''), '/') AS path, coalesce(nullif(regexp_extract(p.path, '^((?s:.*/))', 1), ''), '/') AS folder
   FROM link l JOIN (SELECT DISTINCT url, host, path FROM p) p USING (url) WHERE raw IS NOT NULL
 ), absolute AS (
-  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t
-    WHEN starts_with(t, '/') THEN scheme || '://' || host || t ELSE scheme || '://' || host || coalesce(folder, '/') || t END AS t
+  SELECT url, CASE
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN
+      CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') AND translate(split_part(t, ':', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ('http', 'https', scheme) THEN t END
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t
+    WHEN starts_with(t, '?') THEN scheme || '://' || host || path || t WHEN t = '' OR starts_with(t, '#') THEN url
+    ELSE scheme || '://' || host || folder || t END AS t
   FROM target
+), part AS (
+  SELECT u, translate(regexp_extract(u, '^(?s:(.*?))://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme,
+    translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(nullif(regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), ''), '/') AS path, regexp_extract(u, '^(?s:.*?)://[^?#]*(\?[^#]*)', 1) AS query
+  FROM (SELECT url AS u FROM pages UNION SELECT t FROM absolute WHERE t IS NOT NULL) WHERE instr(u, '://') > 0
+), dots(path, now) AS (
+  SELECT DISTINCT path, path FROM part
+  UNION
+  SELECT path, CASE WHEN regexp_matches(now, '^/\.\.?(/|$)') THEN regexp_replace(now, '^/\.\.?(/|$)', '/')
+    WHEN regexp_matches(now, '/\.(/|$)') THEN regexp_replace(now, '/\.(/|$)', '/') ELSE regexp_replace(now, '/[^/]*/\.\.(/|$)', '/') END
+  FROM dots WHERE regexp_matches(now, '/\.\.?(/|$)')
 ), named AS (
-  SELECT DISTINCT u, CASE WHEN instr(u, '://') > 0 THEN
-    translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || coalesce(nullif(regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(u, '^(?s:.*?)://[^?#]*(\?[^#]*)', 1) END AS node
-  FROM (SELECT url AS u FROM pages UNION SELECT t FROM absolute)
+  SELECT u, CASE WHEN scheme = 'http' AND ends_with(host, ':80') THEN host[:-4] WHEN scheme = 'https' AND ends_with(host, ':443') THEN host[:-5] ELSE host END || now || query AS node
+  FROM part JOIN dots USING (path) WHERE NOT regexp_matches(now, '/\.\.?(/|$)')
 ), edge AS (
   SELECT a.node AS u, b.node AS v FROM absolute x JOIN named a ON a.u = x.url JOIN named b ON b.u = x.t WHERE a.node <> b.node
 ), pair AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
@@ -113,7 +148,7 @@ reach(node, other) AS (SELECT DISTINCT u, u FROM pair UNION SELECT r.node, b.v F
 rules(allow, h, q) AS (VALUES (false, 'com', '/en/'), (true, 'example.com', '/en/7'), (false, 'net', '/de/'), (false, 'example.net', '/de/8'), (false, 'org', '/es/')),
 ruled AS (
   SELECT other, arg_max(allow, length(h || q)) AS allow
-  FROM (SELECT DISTINCT other, split_part(other, '/', 1) AS host, regexp_extract(other, '^[^/?]*(/[^?]*)', 1) AS path FROM reach) JOIN rules
+  FROM (SELECT DISTINCT other, regexp_extract(other, '^[^/?]*') AS host, regexp_extract(other, '^[^/?]*(/[^?]*)', 1) AS path FROM reach) JOIN rules
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY other
 ), alias AS (SELECT node, bool_or(allow) AS allow FROM reach JOIN ruled USING (other) GROUP BY node),
 own AS (
@@ -123,7 +158,7 @@ own AS (
 SELECT page_id, p.host, p.path, own.rule, CASE WHEN coalesce(own.allow, alias.allow, true) THEN 'allow' ELSE 'block' END AS verdict,
   own.rule IS NULL AND alias.allow IS NOT NULL AS inherited
 FROM p LEFT JOIN named ON named.u = p.url LEFT JOIN alias USING (node) LEFT JOIN own ON own.host = p.host AND own.path = p.path
-"""
+""".replace("REST", r"""(?:[^ \t\n\f\r/>=]+|[ \t\n\f\r/]+|=[ \t\n\f\r]*(?:"[^"]*"?|''[^'']*''?|[^ \t\n\f\r>"''][^ \t\n\f\r>]*)?)*""")
 
 #: DuckDB has no base32: the digits are read off the SHA-1, five bits at a time.
 OP2_SQL = """
