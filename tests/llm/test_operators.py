@@ -5,9 +5,11 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomwork.llm import bpe, components, decontaminate, gam, hmm, rules, simhash, text_stats, urls, warc
+from loomwork.llm import bpe, components, decontaminate, gam, hmm, queries, rules, simhash, text_stats, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -265,22 +267,59 @@ def brute_hits(text, items, width=13):
             for at in range(len(words) - len(g) + 1):
                 if words[at : at + len(g)] == g:
                     hit.update(range(at, at + len(g)))
-                    found.add(str(item))
+                    if item is not None:
+                        found.add(str(item))
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
 @pytest.mark.parametrize("block", [500_000, 7])
 def test_decontamination_against_brute_force(spark, block):
-    items = [(k, t) for k, t in enumerate(random_texts(12, seed=9, words=30))] + [(40, "Short one"), (41, ""), (42, None), (43, "x!"), (44, "Short one")]
+    items = [(k, t) for k, t in enumerate(random_texts(12, seed=9, words=30))] + [(40, "Short one"), (41, ""), (42, None), (43, "x!"), (44, "Short one"), (None, "No name here"), (None, None), (43, "x!")]
     texts = EDGE_TEXTS + random_texts(20, seed=4, words=50)
     texts += [f"{a} ... {b.upper() if b else ''} {a}" for a, b in zip(random_texts(12, seed=8, words=200), [t for _, t in items[:12]], strict=True)]
-    texts += ["short -- ONE two", "shortone", "x x x", "one short one short one"]
-    docs = documents(spark, texts)
+    texts += ["short -- ONE two", "shortone", "x x x", "one short one short one", "no NAME, here! short one"]
+    docs = documents(spark, texts).withColumn("N_HIT", F.lit("x"))
     got = decontaminate.scan(docs, spark.createDataFrame(items, "item_id long, text string"), most=block).orderBy("doc_id").collect()
     for r, t in zip(got, texts, strict=True):
         assert tuple(r)[1:] == brute_hits(t, items), t
 
 
+def test_decontamination_agrees_with_its_sql_on_null_ids(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(6)]
+    items = [(None if k % 3 == 0 else k // 2, None if k == 5 else " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 14])))) for k in range(12)] + [(None, "nobody's words")]
+    docs = documents(spark, [None, "", "Nobody s words"] + [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(30)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.withColumn("item_id", F.col("item_id").cast("string")).toPandas())
+    got = sorted(map(tuple, decontaminate.scan(docs, bench).collect()), key=repr)
+    assert got == sorted(con.execute(queries.OP8_SQL).fetchall(), key=repr) and any(r[2] and not r[3] for r in got)
+
+
+def test_a_window_of_many_items_is_one_window(spark):
+    shared = " ".join(f"s{k}" for k in range(13))
+    bench = spark.createDataFrame([(k, f"{shared} own{k}") for k in range(1000)], "item_id long, text string")
+    text = f"{shared} and " * 3000
+    began = time.perf_counter()
+    for most in (1_000_000, 700):
+        row = decontaminate.scan(documents(spark, [text, None, ""]), bench, most=most).orderBy("doc_id").collect()
+        digest = hashlib.sha256(",".join(sorted(map(str, range(1000)))).encode()).hexdigest()
+        assert tuple(row[0]) == (0, 42_000, 39_000, 1000, digest, True)
+        assert [tuple(r)[1:4] for r in row[1:]] == [(0, 0, 0)] * 2
+    assert time.perf_counter() - began < 60
+    assert decontaminate.scan(documents(spark, []), bench).count() == 0
+
+
+def test_hash_set_finds_what_it_holds_and_nothing_else():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 1000, 70_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(rng.choice([1, 2, 1 << 40])))
+        held = decontaminate.HashSet(keys)
+        other = np.setdiff1d(rng.integers(0, 1 << 63, 1000, dtype=np.uint64), keys)
+        assert np.array_equal(held.find(keys), np.arange(len(keys))) and (held.find(other) == -1).all()
+
+
 def test_remove_documents_and_spans(spark):
     item = " ".join(f"w{k}" for k in range(15))
     texts = [f"Before, {item}! After.", "clean text", None, item, " ".join(f"z{k}" for k in range(400)) + " " + item]
