@@ -6,8 +6,10 @@ ending. A state emits a class, the class emits the word by its smoothed share
 of the class's count. Start, transition and class tables are therefore of a
 fixed size and are broadcast, while word counts stay a distributed table as
 large as the vocabulary. Training: tasks compute expected counts over all
-training texts, cut into windows, and their sums make the next tables. Scoring
-is exact over whole texts.
+training texts, each from its first word to its end, and their sums make the
+next tables. Forward states of long texts are saved every ``SAVE`` words and
+those between computed again on the way back, so that memory stays small.
+Scoring is exact over whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from loomwork.llm.shared import LOWER_AZ, fold_of, materialize, pick, utf8
 
 STATES = 8
 ITERATIONS = 5
-WINDOW = 256  # words of a training sequence
+SAVE = 1_024  # words between two saved forward states of a training sequence
+HOLD = 32_000_000  # words a training task holds, as two bytes each, so that texts of like length are computed together
 OWN_CLASSES = 2_000  # words with a class of their own
 ENDING_CLASSES = 512
 DICTIONARY = 100_000  # frequent words, counted out in place; about 5 MB in each task
@@ -155,7 +158,6 @@ def encode(docs: DataFrame, sent) -> DataFrame:
 @dataclass(frozen=True)
 class Hmm:
     start: np.ndarray  # states
-    inside: np.ndarray  # share of states inside texts, where training windows start
     move: np.ndarray  # states x states
     emit: np.ndarray  # states x classes
 
@@ -165,62 +167,83 @@ class Hmm:
         share = (class_counts + SMOOTH) / (class_counts + SMOOTH).sum()
         emit = share * np.exp(np.random.default_rng(seed).normal(0, 0.5, (states, len(share))))
         even = np.full(states, 1 / states)
-        return cls(even, even, np.full((states, states), 0.05 / max(states - 1, 1)) * (1 - np.eye(states)) + (0.95 if states > 1 else 1.0) * np.eye(states), emit / emit.sum(axis=1, keepdims=True))
+        return cls(even, np.full((states, states), 0.05 / max(states - 1, 1)) * (1 - np.eye(states)) + (0.95 if states > 1 else 1.0) * np.eye(states), emit / emit.sum(axis=1, keepdims=True))
 
     def updated(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, class_counts: np.ndarray, keep: float = 20.0) -> Hmm:
         """The tables of expected counts, smoothed: emissions towards the class shares of the corpus with weight ``keep``."""
         share = (class_counts + SMOOTH) / (class_counts + SMOOTH).sum()
         total = emit.sum(axis=1, keepdims=True)
         used = (total[:, 0] + 1) / (total + 1).sum()
-        return Hmm((start + used) / (start.sum() + 1), used, (move + 1 / len(move)) / (move.sum(axis=1, keepdims=True) + 1), (emit + keep * share) / (total + keep))
+        return Hmm((start + used) / (start.sum() + 1), (move + 1 / len(move)) / (move.sum(axis=1, keepdims=True) + 1), (emit + keep * share) / (total + keep))
 
 
-def _expected(model: Hmm, codes: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of sequences ``codes`` (steps x sequences), longest first, and their log-likelihood."""
+def _expected(model: Hmm, codes: np.ndarray, lengths: np.ndarray, save: int = SAVE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of sequences ``codes`` (steps x sequences), longest first, and their log-likelihood.
+
+    Exact whatever the lengths: ``save`` steps of all sequences and one state
+    of each for every ``save`` steps are held at a time.
+    """
     steps, k = len(codes), len(model.start)
     emit, move = model.emit.T.astype(np.float32), model.move.astype(np.float32)
-    active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
-    alpha, scale = np.zeros((steps, len(lengths), k), np.float32), np.ones((steps, len(lengths)), np.float32)
-    a = np.where(first[:, None], model.start, model.inside).astype(np.float32)
-    for t, n in enumerate(active):
-        a = (a[:n] @ move if t else a) * emit[codes[t, :n]]
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        alpha[t, :n], scale[t, :n] = a, s
-    loglik = float(np.log(scale.astype(np.float64)).sum())
-    moves, beta = np.zeros((k, k)), np.ones((active[-1], k), np.float32)
-    for t in range(steps - 2, -1, -1):
-        n, ahead = active[t], active[t + 1]
-        w = emit[codes[t + 1, :ahead]] * beta / scale[t + 1, :ahead, None]
-        moves += alpha[t, :ahead].T @ w
-        alpha[t + 1, :ahead] *= beta  # from here on what the state is worth, not the forward share
-        beta = np.ones((n, k), np.float32)
-        beta[:ahead] = w @ move.T
-    alpha[0] *= beta
-    held = np.arange(steps)[:, None] < lengths[None, :]
-    of, weight = codes[held], alpha[held]
-    emissions = np.stack([np.bincount(of, weight[:, j], minlength=model.emit.shape[1]) for j in range(k)])
-    return alpha[0][first].sum(axis=0).astype(float), moves * model.move, emissions, loglik
-
-
-def _windows(classes: Iterator[bytes], window: int) -> Iterator[tuple[np.ndarray, bool]]:
-    for value in classes:
-        codes = np.frombuffer(value, dtype="<u2")
-        for at in range(0, len(codes), window):
-            yield codes[at : at + window], at == 0
-
-
-def _padded(rows: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = sorted(rows, key=lambda r: -len(r[0]))
-    lengths = np.array([len(c) for c, _ in rows])
-    codes = np.zeros((lengths[0], len(rows)), dtype=np.int64)
-    for j, (c, _) in enumerate(rows):
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences longer than each step
+
+    def forward(a: np.ndarray, lo: int, hi: int, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        for t in range(lo, hi):
+            n = active[t]
+            a = (a[:n] @ move if t else a) * emit[codes[t, :n]]
+            s = a.sum(axis=1)
+            a /= s[:, None]
+            alpha[t - lo, :n], scale[t - lo, :n] = a, s
+        return a
+
+    def room() -> tuple[np.ndarray, np.ndarray]:
+        size = min(save, steps)
+        return np.zeros((size, len(lengths), k), np.float32), np.ones((size, len(lengths)), np.float32)
+
+    saved, loglik = [np.tile(model.start.astype(np.float32), (len(lengths), 1))], 0.0
+    alpha, scale = room()
+    for lo in range(0, steps, save):
+        scale[:] = 1
+        saved.append(forward(saved[-1], lo, min(lo + save, steps), alpha, scale))
+        loglik += float(np.log(scale.astype(np.float64)).sum())
+    moves, emissions, w = np.zeros((k, k)), np.zeros((k, model.emit.shape[1])), np.zeros((0, k), np.float32)
+    for lo in reversed(range(0, steps, save)):
+        hi = min(lo + save, steps)
+        if hi < steps:  # the last stretch is still there
+            forward(saved[lo // save], lo, hi, alpha, scale)
+        for t in range(hi - 1, lo - 1, -1):
+            n, ahead, at = active[t], len(w), t - lo
+            moves += alpha[at, :ahead].T @ w
+            beta = np.ones((n, k), np.float32)
+            beta[:ahead] = w @ move.T
+            w = emit[codes[t, :n]] * beta / scale[at, :n, None]
+            alpha[at, :n] *= beta  # from here on what the state is worth, not the forward share
+        held = np.arange(len(lengths)) < active[lo:hi, None]
+        of, weight = codes[lo:hi][held], alpha[: hi - lo][held]
+        emissions += np.stack([np.bincount(of, weight[:, j], minlength=model.emit.shape[1]) for j in range(k)])
+    return alpha[0].sum(axis=0).astype(float), moves * model.move, emissions, loglik
+
+
+def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes as steps x sequences, lengths), longest first."""
+    rows = sorted(rows, key=len, reverse=True)
+    codes = np.zeros((len(rows[0]), len(rows)), dtype=np.uint16)
+    for j, c in enumerate(rows):
         codes[: len(c), j] = c
-    return codes, lengths, np.array([f for _, f in rows])
+    return codes, np.array([len(c) for c in rows])
+
+
+def _alike(rows: list[np.ndarray], together: int = 1024, cells: int = 8_000_000) -> Iterator[list[np.ndarray]]:
+    """The sequences in groups of like length: at most ``together`` of them, and steps x sequences at most ``cells`` unless alone."""
+    rows = sorted(rows, key=len, reverse=True)
+    while rows:
+        n = min(together, max(1, cells // max(len(rows[0]), 1)))
+        yield rows[:n]
+        rows = rows[n:]
 
 
-def baum_welch_step(coded: DataFrame, model: Hmm, class_counts: np.ndarray, window: int = WINDOW, together: int = 1024) -> tuple[Hmm, float]:
-    """One iteration over all rows of ``coded.classes``: (next model, log-likelihood under ``model``).
+def baum_welch_step(coded: DataFrame, model: Hmm, class_counts: np.ndarray, hold: int = HOLD) -> tuple[Hmm, float]:
+    """One iteration over all rows of ``coded.classes``, each one whole sequence: (next model, log-likelihood under ``model``).
 
     Each task sums its expected counts and sends one set of tables; the driver
     receives their sum, states x classes numbers.
@@ -231,21 +254,24 @@ def baum_welch_step(coded: DataFrame, model: Hmm, class_counts: np.ndarray, wind
         m: Hmm = sent.value
         k = len(m.start)
         start, move, emit, loglik = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape), 0.0
-        held: list[tuple[np.ndarray, bool]] = []
+        held: list[np.ndarray] = []
+        words = 0
 
         def drain() -> None:
             nonlocal start, move, emit, loglik
-            a, b, c, d = _expected(m, *_padded(held))
-            start, move, emit, loglik = start + a, move + b, emit + c, loglik + d
+            for group in _alike(held):
+                a, b, c, d = _expected(m, *_padded(group))
+                start, move, emit, loglik = start + a, move + b, emit + c, loglik + d
             held.clear()
 
         for batch in batches:
-            for row in _windows((v.as_py() for v in batch.column(0)), window):
-                held.append(row)
-                if len(held) == together:
+            for value in batch.column(0):
+                held.append(np.frombuffer(value.as_py(), dtype="<u2"))
+                words += len(held[-1])
+                if words > hold:
                     drain()
-        if held:
-            drain()
+                    words = 0
+        drain()
         tables = [(0, 0, start), *((1, i, move[i]) for i in range(k)), *((2, i, emit[i]) for i in range(k)), (3, 0, np.array([loglik]))]
         yield pa.record_batch({"kind": pa.array([t[0] for t in tables], pa.int32()), "i": pa.array([t[1] for t in tables], pa.int32()), "x": pa.array([t[2].tolist() for t in tables], pa.list_(pa.float64()))})
 
@@ -269,7 +295,7 @@ def log10_forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
         # As many sequences at a time as a bounded table of steps x sequences holds; one of any length always fits.
         take = order[: max(1, 4_000_000 // max(len(sequences[order[0]]), 1))]
         order = order[len(take) :]
-        codes, lengths, _ = _padded([(sequences[j], True) for j in take]) if len(sequences[take[0]]) else (np.zeros((0, 0), int), np.zeros(len(take), int), None)
+        codes, lengths = _padded([sequences[j] for j in take]) if len(sequences[take[0]]) else (np.zeros((0, 0), int), np.zeros(len(take), int))
         total, a = np.zeros(len(take)), np.tile(model.start, (len(take), 1))
         active = len(take)
         for t in range(len(codes)):
@@ -305,13 +331,14 @@ def train(coded: DataFrame, class_counts: np.ndarray, states: int = STATES, iter
 
 
 def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, dictionary: int = DICTIONARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, states of every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     Learns from rows whose id is in none of the held-out folds (crc32 of the
     id as text modulo 10 is not 0). Null and empty texts are one end token. A
     null id counts as the empty text, which is held out. Repeated rows come
-    back, and are learned from, as often as they came. With no training row
-    every word is unknown. Other columns are not read.
+    back, and are learned from, as often as they came. Very long texts are
+    learned from and scored whole. With no training row every word is unknown.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     held = pick(docs, "doc_id", "text").select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "text")

@@ -399,7 +399,7 @@ def brute_forward(m, codes):
 
 def small_model(states=3, classes=5, seed=0):
     rng = np.random.default_rng(seed)
-    return hmm.Hmm(*(rng.dirichlet(np.ones(states)) for _ in range(2)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(classes), states))
+    return hmm.Hmm(rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(classes), states))
 
 
 def test_forward_is_the_sum_over_paths():
@@ -408,23 +408,23 @@ def test_forward_is_the_sum_over_paths():
     assert np.allclose(hmm.log10_forward(m, seqs), [brute_forward(m, s) for s in seqs])
 
 
-def test_expected_counts_are_those_of_all_paths():
+@pytest.mark.parametrize("save", [1, 2, 3, 5, 1024])
+def test_expected_counts_are_those_of_all_paths(save):
     m, rng = small_model(), np.random.default_rng(2)
-    rows = [(rng.integers(0, 5, n), f) for n, f in ((5, True), (3, False), (1, True), (4, True))]
-    start, move, emit, loglik = hmm._expected(m, *hmm._padded(rows))
+    rows = [rng.integers(0, 5, n) for n in (5, 3, 1, 4)]
+    start, move, emit, loglik = hmm._expected(m, *hmm._padded(rows), save=save)
     s2, m2, e2, l2 = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), 0.0
-    for codes, first in rows:
+    for codes in rows:
         weights = {}
         for path in itertools.product(range(3), repeat=len(codes)):
-            p = (m.start if first else m.inside)[path[0]] * m.emit[path[0], codes[0]]
+            p = m.start[path[0]] * m.emit[path[0], codes[0]]
             for a, b, c in zip(path, path[1:], codes[1:], strict=False):
                 p *= m.move[a, b] * m.emit[b, c]
             weights[path] = p
         z = sum(weights.values())
         l2 += math.log(z)
         for path, p in weights.items():
-            if first:
-                s2[path[0]] += p / z
+            s2[path[0]] += p / z
             for k, s in enumerate(path):
                 e2[s, codes[k]] += p / z
                 if k:
@@ -447,18 +447,83 @@ def test_base_score_and_counts_against_brute_force(spark, dictionary):
         assert r["score"] < 0
 
 
-def test_score_does_not_depend_on_the_dictionary_and_sums_to_one(spark):
-    docs = documents(spark, random_texts(50, seed=3, vocabulary=30))
-    by = [{r["doc_id"]: r["score"] for r in hmm.score_documents(docs, states=2, iterations=2, dictionary=d).collect()} for d in (1000, 5)]
-    # fewer words with a class of their own make another model, but both are proper and near
-    assert all(math.isfinite(x) for b in by for x in b.values())
+def brute_counts(m, codes):
+    """Expected starts, moves and emissions of one sequence by the forward and backward recursions in double precision, with its log10 likelihood."""
+    n, k = len(codes), len(m.start)
+    a, b, c = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for t in range(n):
+        a[t] = (m.start if t == 0 else a[t - 1] @ m.move) * m.emit[:, codes[t]]
+        c[t] = a[t].sum()
+        a[t] /= c[t]
+    moves = np.zeros((k, k))
+    for t in range(n - 2, -1, -1):
+        after = m.emit[:, codes[t + 1]] * b[t + 1] / c[t + 1]
+        b[t] = m.move @ after
+        moves += np.outer(a[t], after) * m.move
+    emissions = np.zeros(m.emit.shape)
+    for t in range(n):
+        emissions[:, codes[t]] += a[t] * b[t]
+    return a[0] * b[0], moves, emissions, np.log10(c).sum()
+
+
+@pytest.mark.parametrize("dictionary", [100_000, 500])
+def test_score_against_brute_force_from_texts_to_sums(spark, dictionary):
+    texts = random_texts(70, seed=11, words=150, vocabulary=3000) + EDGE_TEXTS
+    rows = sorted(hmm.score_documents(documents(spark, texts), states=2, iterations=2, dictionary=dictionary).collect())
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    tokens = [[w.encode() for w in WORD.findall(lower(t))] for t in texts]
+    counts = Counter(w for ws, h in zip(tokens, held, strict=True) if not h for w in ws)
+    # words with a class of their own: the most frequent of those in the dictionary, which is cut at a level of counts
+    level = {w: math.floor(math.log2(c) * 16) for w, c in counts.items()}
+    listed = [w for w in counts if sum(x >= level[w] for x in level.values()) <= dictionary]
+    own = {w: k for k, w in enumerate(sorted(listed, key=lambda w: (-counts[w], w))[: hmm.OWN_CLASSES])}
+    class_of = lambda w: own[w] if w in own else hmm.OWN_CLASSES + zlib.crc32(w[-3:]) % hmm.ENDING_CLASSES
+    total, distinct = Counter(), Counter()
+    for w, c in counts.items():
+        total[class_of(w)] += c
+        distinct[class_of(w)] += 1
+    sizes = np.zeros(hmm.CLASSES)
+    for k, c in total.items():
+        sizes[k] = c
+    sizes[hmm.END] = held.count(False)
+    codes = [[*map(class_of, ws), hmm.END] for ws in tokens]
+    m = hmm.Hmm.initial(sizes, 2)
+    for _ in range(2):
+        sums = [np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)]
+        for seq, h in zip(codes, held, strict=True):
+            if not h:
+                sums = [x + y for x, y in zip(sums, brute_counts(m, seq)[:3], strict=True)]
+        m = m.updated(*sums, sizes)
+    within = lambda w: 0.0 if w in own else math.log10((counts[w] + 0.1) / (total[class_of(w)] + 0.1 * (distinct[class_of(w)] + 1)))
+    for r, seq, ws in zip(rows, codes, tokens, strict=True):
+        assert math.isclose(r["score"], brute_counts(m, seq)[3] + sum(map(within, ws)), rel_tol=1e-4), r["doc_id"]
+
+
+def test_the_shares_of_a_class_make_one(spark):
+    docs = documents(spark, random_texts(50, seed=3, words=200, vocabulary=4000))
     counts = hmm.materialize(hmm.word_counts(docs), "t")
     lex = hmm.lexicon(counts, 50)
-    # within each class the shares of its known words and of one unknown word make one
-    shares = Counter()
+    # in each ending class the shares of its words and of one unknown word make one
+    shares, members = Counter(), Counter()
     for w, k in lex.number.items():
         shares[lex.cls[k]] += 10 ** lex.log_within[k]
-    assert all(math.isclose(s, 1) for c, s in shares.items() if c < hmm.OWN_CLASSES)
+        members[lex.cls[k]] += 1
+    assert members and any(c >= hmm.OWN_CLASSES for c in shares)
+    for c, share in shares.items():
+        assert math.isclose(share if c < hmm.OWN_CLASSES else share + hmm.SMOOTH / 10 ** lex.class_log[c], 1)
+
+
+def test_very_long_texts_are_learned_from_and_scored_whole(spark):
+    rng = random.Random(1)
+    text = " ".join(rng.choice("abcdefgh") for _ in range(150_000))
+    docs = documents(spark, [text, "a b", text, ""], [1, 2, 3, 4])
+    rows = {r["doc_id"]: r for r in hmm.score_documents(docs, states=2, iterations=1).collect()}
+    assert rows[1]["n_tokens"] == 150_001 and rows[1]["train_tokens"] >= 300_000 and rows[1]["score"] == rows[3]["score"]
+    assert abs(rows[1]["score"] / 150_001 + math.log10(8)) < 0.05
+    m = small_model()
+    seq = np.random.default_rng(0).integers(0, 5, 5000).astype("<u2")
+    got, want = hmm._expected(m, *hmm._padded([seq, seq[:77]]), save=100), [x + y for x, y in zip(brute_counts(m, seq), brute_counts(m, seq[:77]), strict=True)]
+    assert all(np.allclose(g, w, rtol=1e-3, atol=1e-3) for g, w in zip(got[:3], want[:3], strict=True)) and math.isclose(got[3], want[3] * math.log(10), rel_tol=1e-5)
 
 
 def test_training_raises_the_likelihood_and_beats_unigrams_held_out(spark):
