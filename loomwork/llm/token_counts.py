@@ -193,25 +193,32 @@ def updated(text: Column, tree: Column, edits: Column, vocabulary_text) -> Colum
     return of(text, tree, edits)
 
 
-#: Parts of a mail address: before the @, at most 64 characters of it, and from it on.
-MAIL_NAME, MAIL_HOST = re.compile(r"[\w.+-]+\Z"), re.compile(r"@[\w-]+(?:\.[\w-]+)+")
-PHONE, KEY, KEY_LENGTH = re.compile(r"[\d+(][\d ().-]{7,}\d"), re.compile(r"(?<!\w)\w{32,}"), 32
+#: Parts of a mail address, the one before the @ from its end.
+MAIL_NAME, MAIL_HOST = re.compile(r"[\w.+-]+"), re.compile(r"@[\w-]+(?:\.[\w-]+)+")
+#: What telephone numbers are made of; one begins at a digit, + or (, ends at a digit and has 9 characters or more.
+PHONE_PARTS, PHONE_LENGTH = re.compile(r"\+?[\d ().-]+"), 9
+KEY, KEY_LENGTH = re.compile(r"(?<!\w)\w{32,}"), 32
 
 
 def scrub_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits that replace mail addresses, telephone numbers and long keys, the last place first, so that the places of the others stay true.
 
     Of overlapping finds the one that starts first stays, of these the longer.
-    Time is linear in the text.
+    Time is linear in the text: between two @ all is looked at once from either
+    side, and a run of digits and separators is trimmed, not searched.
     """
     found: list[tuple[int, int, str]] = []
-    place = text.find("@")
+    last, place = 0, text.find("@")
     while place >= 0:
-        name, host = MAIL_NAME.search(text[max(0, place - 64) : place]), MAIL_HOST.match(text, place)
+        name, host = MAIL_NAME.match(text[last:place][::-1]), MAIL_HOST.match(text, place)
         if name and host:
             found.append((place - len(name[0]), host.end(), "<email>"))
-        place = text.find("@", place + 1)
-    found += [(m.start(), m.end(), "<phone>") for m in PHONE.finditer(text)]
+        last, place = place + 1, text.find("@", place + 1)
+    for m in PHONE_PARTS.finditer(text):
+        number = m[0].rstrip(" ().-+")
+        start = m.end() - len(m[0].lstrip(" ).-"))
+        if m.start() + len(number) - start >= PHONE_LENGTH:
+            found.append((start, m.start() + len(number), "<phone>"))
     if max(map(len, text.split()), default=0) >= KEY_LENGTH:
         found += [(m.start(), m.end(), "<key>") for m in KEY.finditer(text)]
     kept: list[tuple[int, int, str]] = []
@@ -232,8 +239,6 @@ def scrubbing(text: Column) -> Column:
     return of(text)
 
 
-
-
 COUNTED = "n_tokens_before long, n_tokens long, n_edits int, n_chars long, recounted_chars long, text_sha256 string"
 
 
@@ -241,8 +246,8 @@ def count_scrubbed(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ``COUNTED`` of every row of ``docs`` (doc_id, text) after scrubbing; text_sha256 is of the scrubbed text.
 
     Trees are built, edits found and counts updated in one pass without a
-    shuffle. Null is the empty text; repeated rows come back as often; other
-    columns are not read.
+    shuffle. Null is the empty text; very long texts are counted whole;
+    repeated rows come back as often; other columns are not read.
     """
     sent = send_vocabulary(docs.sparkSession, path)
 

@@ -3,7 +3,10 @@
 import hashlib
 import math
 import random
+import re
+import time
 from collections import Counter as Bag
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -39,9 +42,37 @@ PAGES = [
 ]
 
 
+class Seen(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.parts, self.hidden = [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden = tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.hidden = False
+
+    def handle_data(self, data):
+        self.parts += [] if self.hidden else [data]
+
+
+def seen(page):
+    parser = Seen()
+    parser.feed(page or "")
+    parser.close()
+    return " ".join(parser.parts)
+
+
+def grams(text):
+    """Buckets of the byte trigrams of letters in lower case, words apart by one space."""
+    flat = " ".join(re.findall(r"[a-zA-Z\x80-\U0010ffff]+", text or ""))
+    flat = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in flat.encode()) + b" "
+    return [((flat[k] * 65536 + flat[k + 1] * 256 + flat[k + 2]) * 2654435761 % 2**32) // 2**18 for k in range(len(flat) - 2)]
+
+
 def brute(pages, docs):
     """The same formulas, one page and language at a time."""
-    grams = lambda t: [b for block in language.trigrams((t or "").encode()) for b in block.tolist()]
     rows = [(r["text"], r["lang"]) for r in docs.collect() if r["text"] is not None and r["lang"] is not None]
     langs = sorted({x for _, x in rows})
     counts = {x: Bag() for x in langs}
@@ -49,14 +80,12 @@ def brute(pages, docs):
         counts[x].update(grams(t))
     every = sum(counts.values(), Bag())
     total = sum(every.values())
-    share = lambda b: (every[b] + 0.01) / (total + 0.01 * language.BUCKETS)
+    share = lambda b: (every[b] + 0.01) / (total + 0.01 * 2**14)
     log = lambda x, b: math.log((counts[x][b] + 100 * share(b)) / (sum(counts[x].values()) + 100))
-    import re
-
     facts = []
     for i, url, h in pages:
-        g = grams(re.sub(language.TAGS, " ", h or ""))
-        ll = [sum(log(x, b) for b in g) * min(1, language.EVIDENCE / len(g)) if g else 0.0 for x in langs]
+        g = grams(seen(h))
+        ll = [sum(log(x, b) for b in g) / 3 for x in langs]
         m = re.match(r"[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
         host = m[1].lower() or None if m else None
         d = re.search(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,8})", h or "")
@@ -95,6 +124,27 @@ def test_posteriors_sum_to_one_and_empty_tables(spark, docs):
     assert {r["language"] for r in language.identify(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_many_languages(spark, docs):
+    rng = random.Random(4)
+    own = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(150)}
+    many = spark.createDataFrame([(" ".join(rng.choice(own[x]) for _ in range(30)), x) for x in own for _ in range(2)], "text string, lang string").coalesce(1)
+    pages = spark.createDataFrame([(k, f"http://h{k}.x/", html("zz", " ".join(own[x]))) for k, x in enumerate(own)], PAGE)
+    rows = language.identify(pages, many).collect()
+    assert len(rows) == 150 and all(r["language"] == f"l{r['page_id']:03}" and len(r["posteriors"]) == 150 for r in rows)
+
+
+def test_markup_that_does_not_end_is_read_once(spark, docs):
+    parts = ["<", "<!--", "<script>", "<html ", "<html lang=", "<a href='", "<style ", "<!", "</", "x"]
+    texts = [p * (1_000_000 // len(p)) for p in parts] + ["a < b the and with that", "<!-- <html lang=de> --><html\nxml:lang=de LANG = 'en-GB'>the and with", "<p lang=fr><html lang=de>"]
+    pages = spark.createDataFrame([(k, None, t) for k, t in enumerate(texts)], PAGE).repartition(4).cache()
+    pages.count()
+    began = time.perf_counter()
+    rows = {r["page_id"]: r for r in pages.select("page_id", language.visible(F.col("html")).alias("text"), language.declared_language(F.col("html")).alias("declared")).collect()}
+    assert time.perf_counter() - began < 20
+    assert rows[0]["text"].strip() == texts[0] and not rows[1]["text"].strip() and rows[9]["text"] == texts[9]
+    assert rows[10]["text"] == texts[10] and [rows[k]["declared"] for k in (10, 11, 12)] == [None, "en", "de"]
+
+
 def test_long_texts_are_counted_in_blocks_as_a_whole():
     text = ("abc déf " * 200_000).encode()
     flat = b" " + b" ".join(text.translate(language.LETTERS).split()) + b" "
@@ -147,6 +197,26 @@ def test_an_edit_recounts_only_what_it_touches(counter):
         token_counts.edit_tree(tree, "abc", 2, 9, "", counter)
 
 
+MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+
+
+def test_scrubbing_finds_what_plain_patterns_find():
+    rng = random.Random(9)
+    for k in range(3000):
+        text = "".join(rng.choice("0123 ().-+a(٣") for _ in range(rng.randint(0, 40)))
+        want = [(m.start(), m.end(), "<phone>") for m in re.finditer(r"[\d+(][\d ().-]{7,}\d", text)]
+        assert token_counts.scrub_edits(text)[::-1] == want, text
+    for text in ("x" * 100 + ".y@host.example.org!", "a@b@c.de", "a@b", "@c.de", "é.ü@ö.de,z+w@q-r.x.y"):
+        assert [e[:2] for e in token_counts.scrub_edits(text) if e[2] == "<email>"][::-1] == [m.span() for m in MAIL.finditer(text)], text
+
+
+def test_scrubbing_takes_linear_time():
+    began = time.perf_counter()
+    for part in ("(", "+", "1 ", "+(", "@", "a@", "a.", "x" * 99 + "@", "9(", "-"):
+        token_counts.scrub_edits(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
+
+
 def test_scrubbed_documents(spark, library):
     texts = [None, "", "mail me@x.example.com or +1 (743) 555-3824, key " + "A1b2" * 10 + "!", "12345678901 a@b.co a@b.co", "plain", "x " * 40_000 + "q@w.example.org"]
     docs = spark.createDataFrame([(k // 2, t, "z") for k, t in enumerate(texts)] * 2, "doc_id long, text string, n_tokens string")
