@@ -224,7 +224,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text; no other column is read).
 
     Each text is encoded and its ids are decoded again in the same task, with
-    no shuffle. Null is the empty text; repeated rows come back as often.
+    no shuffle. Null is the empty text; very long texts are encoded whole;
+    repeated rows come back as often.
     """
     sent = send_vocabulary(docs.sparkSession, path)
 

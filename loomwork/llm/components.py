@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import shared_dir
+from loomwork.llm.shared import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,19 +30,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Every round is two aggregations with a map-side minimum and two joins that
     adaptive execution may split, so a hub with a third of all edges is no
-    single task's work. A round ends in checkpoint(), in the shared folder.
+    single task's work. A round ends in a table in the shared folder, and the
+    table of the round before is deleted.
     Self-loops and repeated edges are allowed; edges with a null end are left
     out; nodes without an edge have no row; an empty input gives no row.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.select("u", "v").filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    spark = edges.sparkSession
+    now, path = stored(edges.select("u", "v").filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     state = _state(now)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        nxt = _small_star(_large_star(now)).checkpoint()
+        nxt, written = stored(_small_star(_large_star(now)), "components")
         after = _state(nxt)
-        now, settled, state = nxt, after == state, after
+        discard(spark, path)
+        now, path, settled, state = nxt, written, after == state, after
         if settled:
             break
     else:

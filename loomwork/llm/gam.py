@@ -225,7 +225,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; no other column is read).
 
     Repeated rows come back as often; a null id is in no held-out fold; a null
-    text scores as the empty one.
+    text scores as the empty one; very long texts are read whole.
     """
     scored = pick(docs, "doc_id", "text").select("doc_id", (~learning_fold()).alias("held_out"), score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -162,7 +162,8 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``doc_id`` with the counts, ``base_failed``, ``rule`` (number of the learned rule that rejects, else null) and ``kept``.
 
     One row for each row of ``docs``, repeated ones included; other columns are
-    not read. A null text has no words and so fails the base rules.
+    not read. A null text has no words and so fails the base rules; very long
+    texts are counted whole.
     """
     counted = pick(docs, "doc_id", "text").select("doc_id", text_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
     judged = counted.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})

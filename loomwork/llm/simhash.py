@@ -134,7 +134,7 @@ def allocate(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
     return best[spare]
 
 
-def plan_partitions(prints: DataFrame, radius: int, choices: tuple[int, ...] = (2, 3, 4)) -> list[tuple[int, int]]:
+def plan_partitions(prints: DataFrame, radius: int, choices: tuple[int, ...] = (1, 2, 3, 4)) -> list[tuple[int, int]]:
     """[(bit mask, threshold)] of least estimated cost; collisions are counted on all fingerprints for each mask tried."""
     n, together = bit_statistics(prints)
     tried = {m: partition_bits(n, together, m) for m in choices}
@@ -248,7 +248,8 @@ def components_of(prints: DataFrame, radius: int = 2, bucket_pairs: int = BUCKET
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs`` (doc_id, text; other columns are not read).
 
-    Null and word-less texts have fingerprint zero and link like any other.
+    Null and word-less texts have fingerprint zero and link like any other;
+    very long texts are read whole.
     Repeated rows come back as often as they came. A row with a null doc_id is
     in its component but names none; a component of such rows only has a null
     component_id. An empty table gives no rows.

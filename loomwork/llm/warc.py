@@ -11,6 +11,7 @@ them by number, verifies the total length and decodes the chunks.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -121,19 +122,21 @@ class Parser:
             raise ValueError("archive ends inside a record")
 
 
-def unpacked(content: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+def unpacked(content: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
     """An archive's bytes in pieces, gzip members unpacked one after the other; plain archives as they are."""
+    pieces = (content[at : at + piece] for at in range(0, len(content), piece))
     if content[:2] != b"\x1f\x8b":
-        yield from (content[at : at + piece] for at in range(0, len(content), piece))
+        yield from pieces
         return
-    rest = content
-    while rest:
-        member = zlib.decompressobj(31)
-        data = member.decompress(rest, piece)
-        while data or member.unconsumed_tail:
-            yield data
-            data = member.decompress(member.unconsumed_tail, piece)
-        rest = member.unused_data
+    member = zlib.decompressobj(31)
+    for rest in pieces:
+        while rest:
+            yield member.decompress(rest, 1 << 20)
+            rest = member.unused_data or member.unconsumed_tail
+            if member.eof:
+                member = zlib.decompressobj(31)
+    while data := member.decompress(b"", 1 << 20):
+        yield data
 
 
 def _identifier(page_id, digest: str) -> str:
@@ -143,18 +146,19 @@ def _identifier(page_id, digest: str) -> str:
 def with_roles(pages: DataFrame, least_bytes: int = 0, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """page_id, url, payload, keep: the largest page_id with the same payload where another row has it too, else null.
 
-    Payloads under ``least_bytes`` are never revisits. Digests are grouped, not
-    payloads; unless very many groups share a payload, payloads are not shuffled.
+    Payloads under ``least_bytes`` are never revisits. Lengths and two hashes
+    are grouped, not payloads, so two payloads made to have one SHA-1 stay
+    apart; unless very many groups share a payload, payloads are not shuffled.
     """
-    held = pick(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    held = pick(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("key", F.struct(F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("size"), F.xxhash64("payload").alias("hash")))
     large = held.filter(F.octet_length("payload") >= least_bytes)
-    groups = materialize(large.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1 and keep is not null").select("sha", "keep"), "warc-groups")
+    groups = materialize(large.groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1 and keep is not null").select("key", "keep"), "warc-groups")
     few = groups.limit(broadcast_groups + 1).count() <= broadcast_groups
-    return held.join(F.broadcast(groups) if few else groups, "sha", "left").drop("sha")
+    return held.join(F.broadcast(groups) if few else groups, "key", "left").drop("key")
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT_BYTES, archive_records: int = ARCHIVE_RECORDS, broadcast_groups: int = BROADCAST_GROUPS) -> None:
-    """Write ``pages`` (page_id, url, html) as gzipped WARC archives under ``path``, where they are read.
+    """Write ``pages`` (page_id, url, html) as WARC archives under ``path``, each record a gzip member of its own, where they are read.
 
     A null html is an empty payload, a null url leaves its header out. Of rows
     with equal payloads those of the largest page_id are responses, repeated
@@ -170,11 +174,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
                     digest = payload_digest(data)
                     refers = None if kept is None or kept == page else _identifier(kept, digest)
                     out += page_records(_identifier(page, digest), url.as_py(), data, refers, segment)
-                yield pa.record_batch({"value": pa.array(out, pa.binary())})
+                yield pa.record_batch({"value": pa.array([gzip.compress(r + END, 6, mtime=0) for r in out], pa.binary())})
 
     records = with_roles(pages, least_bytes, broadcast_groups).mapInArrow(write, "value binary")
-    # The text writer puts a row's bytes and the line end as they are: with a record's closing line ends, its files are archives.
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive_records).option("compression", "gzip").text(path)
+    # The text writer puts a row's bytes and the line end as they are. An empty gzip member as line end leaves a file of members alone.
+    line_end = gzip.compress(b"", 6, mtime=0).decode("latin-1")
+    records.select(F.col("value").cast("string")).write.option("lineSep", line_end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", archive_records).option("compression", "none").text(path)
 
 
 READ = "type string, record_id string, refers_to string, digest string, origin string, number int, total long, payload_bytes long, payload binary"

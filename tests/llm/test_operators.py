@@ -193,6 +193,43 @@ def test_rules_find_the_planted_rule(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows if r["kept"])
 
 
+def test_grown_and_pruned_literals_are_the_best_of_all():
+    rng = np.random.default_rng(3)
+    for seed in range(6):
+        x = {"a": rng.integers(0, 6, 60).astype(float), "b": rng.random(60).round(1), "c": np.zeros(60)}
+        bad = (x["a"] > 3) & (x["b"] < 0.5) ^ (rng.random(60) < 0.1)
+        grown = rules._grow(x, bad, 4)
+        inside = np.ones(60, bool)
+        for literal in grown:
+            # every threshold between two values, either way, scored by p * (log2 of the precision after - that before)
+            best, before = 0.0, math.log2(bad[inside].mean())
+            for values in x.values():
+                for low, high in itertools.pairwise(sorted(set(values[inside]))):
+                    for side in (values > (low + high) / 2, values <= (low + high) / 2):
+                        both = inside & side
+                        if bad[both].any():
+                            best = max(best, bad[both].sum() * (math.log2(bad[both].mean()) - before))
+            now = inside & literal.holds(x)
+            assert best > 0 and math.isclose(bad[now].sum() * (math.log2(bad[now].mean()) - before), best)
+            inside = now
+        assert grown
+        y, worse = {k: v[::-1] for k, v in x.items()}, bad[::-1]
+        worth = []
+        for k in range(1, len(grown) + 1):
+            held = np.logical_and.reduce([g.holds(y) for g in grown[:k]])
+            worth.append((2 * worse[held].sum() - held.sum()) / held.sum() if held.any() else -1.0)
+        assert len(rules._prune(grown, y, worse)) == 1 + int(np.argmax(np.round(worth, 12)))
+
+
+def test_rules_judge_every_count_of_awkward_documents(spark):
+    texts = EDGE_TEXTS + random_texts(20, seed=12, words=120, vocabulary=9)
+    docs = documents(spark, texts).withColumn("N_WORDS", F.lit("x")).withColumn("kept", F.lit(1))
+    for r in rules.judge(docs, []).collect():
+        n, chars, symbols, dup, repeat = brute_stats(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
+        assert r["kept"] == (not (n < 50 or 100 * repeat > 50 * n))
+
+
 def test_decision_list_agrees_with_its_spark_form(spark):
     docs, labels = labelled(spark)
     learned = rules.fit(docs, labels)
@@ -229,6 +266,28 @@ def test_gam_held_out_accuracy_and_folds(spark):
     assert np.array_equal(gam.fit(docs, flipped).tables[2], model.tables[2])
 
 
+def brute_features(text):
+    words = WORD.findall(text)
+    n, data = max(len(words), 1), text.encode()
+    of = lambda chars: sum(c in chars for c in text)
+    blank = sum(c in " \t\n\v\f\r" for c in text)
+    digits, capitals, small = of("0123456789"), sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    _, chars, _, dup, repeat = brute_stats(text)
+    return [
+        math.log(1 + len(words)), chars / n, of("#*$%&<>@^~_=+\\{}[]") / n, digits / n, capitals / n, of(".,;:!?'\"-()/") / n, of("|") / n, (sum("!" <= c <= "~" for c in text) - digits - capitals - small) / n,
+        sum(b >= 128 for b in data) / max(len(data), 1), dup / n, repeat / n, len(set(words)) / n, sum(a == b for a, b in itertools.pairwise(words)) / n, n / (text.count("\n") + 1),
+        math.log(1 + max((len(w.encode()) for w in words), default=0)), blank / n,
+    ]
+
+
+def test_gam_features_against_plain_counts(spark):
+    texts = [t or "" for t in EDGE_TEXTS] + random_texts(30, seed=7) + ["#a$ | B|9\n.b.\n.b.\n", "".join(map(chr, range(1, 300))), "x y x y x y\v\f"]
+    for t in texts:
+        assert np.allclose(gam.features_of(t.encode()), brute_features(t), atol=1e-12), t
+    got = documents(spark, texts).select("doc_id", gam.text_features(F.col("text")).alias("x")).orderBy("doc_id").collect()
+    assert np.allclose([r["x"] for r in got], [brute_features(t) for t in texts])
+
+
 def test_gam_finds_an_interaction_no_single_feature_shows():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
@@ -570,6 +629,22 @@ def test_warc_round_trip(spark, tmp_path, segment, groups):
     assert sorted(((*tuple(r)[:5], bytes(r["payload"])) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_payloads_of_one_sha1_stay_apart_and_each_record_is_a_member(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "aaaa"), (2, "v", "bbbb"), (3, "w", "bbbb"), (4, "x", "bbbbb")], "page_id long, url string, html string")
+    monkeypatch.setattr(F, "sha1", lambda c: F.lit("ab" * 20))  # every payload collides
+    assert {r["page_id"]: r["keep"] for r in warc.with_roles(pages).collect()} == {1: None, 2: 3, 3: 3, 4: None}
+    monkeypatch.undo()
+    warc.write_archives(pages, str(tmp_path / "m"))
+    for content in (r["content"] for r in spark.read.format("binaryFile").load(str(tmp_path / "m")).collect()):
+        members, rest = [], bytes(content)
+        while rest:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(rest))
+            rest = one.unused_data
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and m.count(b"WARC-Record-ID") == 1 for m in members if m)
+        assert b"".join(warc.unpacked(bytes(content), 7)) == b"".join(members)
+
+
 def test_warc_empty_table_and_threshold(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id long, url string, html string")
     warc.write_archives(pages.limit(0), str(tmp_path / "e"))
