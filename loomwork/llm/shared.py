@@ -66,7 +66,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """(``df`` written as Parquet in the shared folder and read back, where it is): the lineage ends at files any executor can read."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
