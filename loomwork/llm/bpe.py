@@ -29,9 +29,9 @@ from loomwork.llm.shared import pick
 #: Pre-tokens of byte-level BPE (fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words, and bytes of words and their ids, that a task remembers before it starts a new trie; results are the same.
-MEMORY_WORDS, MEMORY_BYTES = 800_000, 64_000_000
+MEMORY_WORDS, MEMORY_BYTES = 400_000, 32_000_000
 #: Token pairs whose fit a task remembers.
-MEMORY_PAIRS = 1_000_000
+MEMORY_PAIRS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
