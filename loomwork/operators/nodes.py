@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.operators.ranks import quantiles
+
 JOIN_KINDS = ("inner", "left", "right", "full")
 NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
 
@@ -158,14 +160,16 @@ def outliers(df: DataFrame, column_name: str, method: str = "iqr", factor: float
     """Flag (``is_outlier``) or remove values far from the rest; null is never an outlier.
 
     iqr: beyond ``factor`` interquartile ranges from the interpolated
-    quartiles; ``accuracy`` takes approximate ones, for very large inputs.
+    quartiles, exact by ranges of values; ``accuracy`` takes approximate ones.
     zscore: over ``factor`` sample deviations from the mean; no spread, no outlier.
     The one row of statistics is broadcast.
     """
     c = quoted(column(df, column_name))
     if method == "iqr":
-        q = (lambda p: F.percentile_approx(c, p, accuracy)) if accuracy else (lambda p: F.percentile(c, F.lit(p)))
-        stats = df.agg(q(0.25).alias("__a"), q(0.75).alias("__b"))
+        if accuracy:
+            stats = df.agg(*[F.percentile_approx(c, p, accuracy).alias(n) for n, p in (("__a", 0.25), ("__b", 0.75))])
+        else:
+            stats = quantiles(df, c, (0.25, 0.75)).select(F.col("q0").alias("__a"), F.col("q1").alias("__b"))
         reach = F.lit(float(factor)) * (F.col("__b") - F.col("__a"))
         far = (c < F.col("__a") - reach) | (c > F.col("__b") + reach)
     elif method == "zscore":

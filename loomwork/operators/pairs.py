@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.tails import chi2_tail, f_tail, t_two_sided
 from loomwork.operators.nodes import quoted
-from loomwork.sources.files import scratch
+from loomwork.operators.ranks import cumulated, smallest_after
 
 LEAST_PAIRS, LEAST_GROUP = 8, 3
 #: Aggregate expressions in one job.
@@ -69,13 +69,7 @@ def pearson_tests(df: DataFrame, columns: Sequence[str]) -> list[PairTest]:
 
 def average_ranks(df: DataFrame, name: str) -> DataFrame:
     """value, rank of each distinct value of a column, ties at their mean rank; sorted and summed by ranges, not in one task."""
-    counts = df.select(number(name).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    scratch(df.sparkSession, "")  # sees to a checkpoint folder
-    ranged = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()).checkpoint()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    starts = ranged.groupBy("part").agg(F.sum("n").alias("total")).withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0))).select("part", "start")
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("value")) - F.col("n")
-    return ranged.withColumn("within", within).join(F.broadcast(starts), "part").select("value", (F.col("start") + F.col("within") + (F.col("n") + 1) / 2).alias("rank"))
+    return cumulated(df, number(name)).select("value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -194,12 +188,15 @@ def benjamini_hochberg(p_values: Sequence[float], alpha: float = 0.05) -> tuple[
 
 
 def with_q_values(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
-    """A tests frame with ``q_value`` and ``significant``: the same correction as columns. The frame is small: one window."""
-    everything = Window.orderBy(F.col(p).asc(), F.monotonically_increasing_id())
-    ranked = tests.withColumns({"__k": F.row_number().over(everything), "__n": F.count("*").over(Window.partitionBy())})
-    down = Window.orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__k")).over(down))
-    return ranked.withColumn("q_value", q).withColumn("significant", F.col("q_value") <= alpha).drop("__k", "__n")
+    """A tests frame with ``q_value`` and ``significant``: the same correction as columns, for frames of any length.
+
+    Equal p-values share their q-value, so it is found for each distinct one,
+    by ranges. Rows without a p-value have neither and count for nothing.
+    """
+    c = quoted(p)
+    rate = F.col("value") * F.col("total") / (F.col("before") + F.col("n"))
+    found = smallest_after(tests, c, rate).select(F.col("value").alias("__p"), F.least(F.lit(1.0), F.col("least")).alias("q_value"))
+    return tests.join(found, c == F.col("__p"), "left").drop("__p").withColumn("significant", F.col("q_value") <= alpha)
 
 
 TESTS_SCHEMA = "a string, b string, kind string, test string, statistic double, p_value double, effect double, effect_name string, n long, direction string"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.operators.nodes import column, quoted, sample
+from loomwork.operators.ranks import quantiles
 
 BINS = 10
 TOP = 8
@@ -90,13 +91,16 @@ def profile(df: DataFrame, max_rows: int | None = None, seed: int = 42) -> dict[
 def column_stats(df: DataFrame, name: str, accuracy: int | None = None) -> DataFrame:
     """rows, nulls, distinct and, of a numeric column, min, max, mean, stddev, median: one row.
 
-    ``accuracy`` takes approximate distinct values and median, for columns with very many different values.
+    Both are exact, the median by ranges of values; ``accuracy`` takes approximate ones.
     """
-    c = quoted(column(df, name))
-    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), (rough_distinct(c) if accuracy else F.countDistinct(c)).alias("distinct")]
-    if is_number(df.schema[column(df, name)].dataType):
-        parts += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("stddev"), (F.percentile_approx(c, 0.5, accuracy) if accuracy else F.median(c)).cast("double").alias("median")]
-    return df.agg(*parts)
+    c, numeric = quoted(column(df, name)), is_number(df.schema[column(df, name)].dataType)
+    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), (rough_distinct(c) if accuracy else F.count_distinct(c)).alias("distinct")]
+    if numeric:
+        parts += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("stddev")]
+    if numeric and accuracy:
+        parts.append(F.percentile_approx(c, 0.5, accuracy).cast("double").alias("median"))
+    found = df.agg(*parts)
+    return found.crossJoin(F.broadcast(quantiles(df, c, (0.5,)).select(F.col("q0").alias("median")))) if numeric and not accuracy else found
 
 
 def governed_aggregate(df: DataFrame, metrics: Sequence[tuple[str, str]], group_by: Sequence[str] = (), limit: int = ROWS, min_group_size: int = 1) -> DataFrame:

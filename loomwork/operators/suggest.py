@@ -27,14 +27,20 @@ ABBREVIATIONS = {
 }
 
 #: Families of types by the prefix of their names.
-FAMILIES = {"numeric": r"(?i)^(tiny|small|big|huge|u)?(int|byte|short|long)|^(float|double|decimal|real)", "temporal": r"(?i)^(date|timestamp|time)", "text": r"(?i)^(varchar|text|string|char)"}
+FAMILIES = {
+    "numeric": r"(?i)^u?(tiny|small|big|huge)?int(eger|[0-9]+)?\b|^(byte|short|long|float|double|decimal|numeric|real)",
+    "temporal": r"(?i)^(date|timestamp|time)",
+    "text": r"(?i)^(varchar|text|string|char)",
+}
+#: Words inside a name: capitals before a capitalised word, a word with the capitals it begins with, capitals alone.
+WORD_SHAPES = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+"
 
 
 def _words(name):
     """The name's words in lower case, camel case and punctuation split, abbreviations written out."""
-    split = F.regexp_replace(F.regexp_replace(name, r"[^0-9a-zA-Z]+", " "), r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    words = F.transform(F.regexp_extract_all(name, F.lit(WORD_SHAPES), F.lit(0)), lambda w: F.lower(w))
     known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(split), " "), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(known, w), w)))
+    return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)))
 
 
 def _family(kind):

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import quote
@@ -14,20 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomwork.operators.nodes import column, quoted
+from loomwork.scratch import scratch  # noqa: F401
 
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
 TABLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a local one is set only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="loomwork-")
-        spark.sparkContext.setCheckpointDir(where)
-    return f"{where}/loomwork/{uuid.uuid4().hex}/{name}"
-
-
 def suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     return "." + name.rsplit(".", 1)[1] if "." in name else ""

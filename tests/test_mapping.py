@@ -12,14 +12,14 @@ from loomwork.operators import mapping, suggest
 @pytest.mark.parametrize(
     "key,args,value,want",
     [
-        ("trim", {}, "  a b ", "a b"), ("upper", {}, "ab", "AB"), ("title", {}, "hELLO  wORLD-foo", "Hello  World-foo"), ("truncate", {"length": 2}, "héllo", "hé"),
-        ("prepend", {"text": "x"}, None, None), ("append", {"text": "!"}, "a", "a!"), ("replace", {"find": ".", "with": "-"}, "a.b.c", "a-b-c"),
-        ("split_part", {"sep": "|", "index": 2}, "a|b", "b"), ("split_part", {"sep": "|", "index": 5}, "a|b", ""), ("regex_extract", {"pattern": "([a-z]+)([0-9]+)", "group": 2}, "ab12", "12"),
-        ("regex_extract", {"pattern": "z"}, "ab", ""), ("regex_replace", {"pattern": "(a)", "with": r"$\1"}, "aba", "$ab$a"), ("pad", {"length": 4, "char": "0"}, "12", "0012"),
-        ("pad", {"length": 4, "char": ".", "side": "right"}, "12345", "1234"), ("default", {"value": "n"}, None, "n"), ("default", {"value": "n"}, "", ""), ("round", {"places": 1}, "2.25", 2.3),
-        ("round", {}, "x", None), ("lookup", {"pairs": {"a": "1"}}, "a", "1"), ("lookup", {"pairs": {"a": "1"}}, "b", "b"), ("cast", {"type": "BIGINT"}, "1.5", 2), ("cast", {"type": "BIGINT"}, "1e3", 1000),
-        ("cast", {"type": "BIGINT"}, "x", None), ("cast", {"type": "BOOLEAN"}, "true", True), ("parse_date", {"format": "%Y-%m-%d"}, "2024-1-5", dt.datetime(2024, 1, 5)),
-        ("parse_date", {"format": "%d.%m.%Y at %H:%M"}, "05.01.2024 at 07:08", dt.datetime(2024, 1, 5, 7, 8)), ("parse_date", {"format": "%Y"}, "no", None), ("date_format", {"format": "%d/%m/%y it's %H"}, "2024-03-09 05:06:07", "09/03/24 it's 05"),
+        ("trim", {}, "\t", "\t"), ("trim", {}, "   kiln   ", "kiln"), ("upper", {}, "mixed Case 7", "MIXED CASE 7"), ("lower", {}, "QUARTZ", "quartz"), ("title", {}, "river OF stones", "River Of Stones"),
+        ("truncate", {"length": 3}, "übergröße", "übe"), ("truncate", {"length": 9}, "short", "short"), ("prepend", {"text": "no. "}, "17", "no. 17"), ("prepend", {"text": "no. "}, None, None), ("append", {"text": " kg"}, "3.5", "3.5 kg"),
+        ("replace", {"find": "--", "with": "/"}, "p--q--r", "p/q/r"), ("split_part", {"sep": ":", "index": 3}, "h:m:s", "s"), ("split_part", {"sep": ":", "index": 4}, "h:m:s", ""), ("regex_extract", {"pattern": "([0-9]+)x([0-9]+)", "group": 2}, "size 30x45 cm", "45"),
+        ("regex_extract", {"pattern": "[0-9]"}, "none", ""), ("regex_replace", {"pattern": "([aeiou])", "with": r"<\1>"}, "tin", "t<i>n"), ("pad", {"length": 6, "char": "*"}, "781", "***781"),
+        ("pad", {"length": 3, "char": "_", "side": "right"}, "z", "z__"), ("pad", {"length": 2, "char": "_", "side": "right"}, "zebra", "ze"), ("default", {"value": "missing"}, None, "missing"), ("default", {"value": "missing"}, " ", " "), ("round", {"places": 2}, "7.125", 7.13),
+        ("round", {}, "seven", None), ("lookup", {"pairs": {"ja": "yes", "nej": "no"}}, "nej", "no"), ("lookup", {"pairs": {"ja": "yes"}}, "måske", "måske"), ("cast", {"type": "BIGINT"}, "-4.5", -5), ("cast", {"type": "BIGINT"}, "25e1", 250),
+        ("cast", {"type": "BIGINT"}, "4 5", None), ("cast", {"type": "BOOLEAN"}, "false", False), ("parse_date", {"format": "%d/%m/%Y"}, "7/11/2019", dt.datetime(2019, 11, 7)),
+        ("parse_date", {"format": "%H.%M on %Y-%m-%d"}, "23.59 on 1999-12-31", dt.datetime(1999, 12, 31, 23, 59)), ("parse_date", {"format": "%m"}, "May", None), ("date_format", {"format": "day %d of '%y at %M"}, "2031-02-03 14:25:36", "day 03 of '31 at 25"),
     ],
 )
 def test_transform(spark, key, args, value, want):
@@ -41,14 +41,14 @@ def test_bad_arguments(key, args):
 
 
 @pytest.fixture(scope="module")
-def vendor(spark):
-    return spark.createDataFrame([("Oxford Shirt", "Navy", "ab1234-NVY-M"), ("Chore Coat", None, "cc9-OLV-L")], "prod_nm string, colorway string, sku_raw string")
+def catches(spark):
+    return spark.createDataFrame([("Nordlys", "Tromsø", "f31/cod/410"), ("Havbris", None, "f7/ling/95")], "boat string, harbour string, lot string")
 
 
-SCHEMA = [{"name": "styleCode", "type": "VARCHAR", "required": True}, {"name": "styleDescription", "type": "VARCHAR", "required": True}, {"name": "retailPrice", "type": "DECIMAL(18,4)"}]
+SCHEMA = [{"name": "vesselCode", "type": "VARCHAR", "required": True}, {"name": "landedBy", "type": "VARCHAR", "required": True}, {"name": "kilos", "type": "DECIMAL(9,2)"}]
 FIELDS = [
-    {"target": "styleDescription", "sources": ["prod_nm", "colorway"], "join_with": " - "},
-    {"target": "styleCode", "sources": ["sku_raw"], "steps": [{"key": "split_part", "args": {"sep": "-", "index": 1}}, {"key": "upper"}]},
+    {"target": "landedBy", "sources": ["boat", "harbour"], "join_with": " @ "},
+    {"target": "vesselCode", "sources": ["lot"], "steps": [{"key": "split_part", "args": {"sep": "/", "index": 1}}, {"key": "upper"}]},
 ]
 
 
@@ -56,27 +56,27 @@ def doc(**more):
     return mapping.MappingDoc.from_dict({"fields": FIELDS, "schema": SCHEMA, **more})
 
 
-def test_policies(vendor):
-    null = mapping.apply_mapping(vendor, doc(unmapped="null"))
-    assert null.dtypes == [("styleCode", "string"), ("styleDescription", "string"), ("retailPrice", "decimal(18,4)")]
-    assert sorted(map(tuple, null.collect())) == [("AB1234", "Oxford Shirt - Navy", None), ("CC9", "Chore Coat", None)]
-    assert mapping.apply_mapping(vendor, doc()).columns == ["styleDescription", "styleCode"]
-    extra = vendor.withColumn("note", F.lit(1)).withColumn("STYLECODE", F.lit(2))
-    assert mapping.apply_mapping(extra, doc(unmapped="passthrough")).columns == ["note", "styleDescription", "styleCode"]
+def test_policies(catches):
+    null = mapping.apply_mapping(catches, doc(unmapped="null"))
+    assert null.dtypes == [("vesselCode", "string"), ("landedBy", "string"), ("kilos", "decimal(9,2)")]
+    assert sorted(map(tuple, null.collect())) == [("F31", "Nordlys @ Tromsø", None), ("F7", "Havbris", None)]
+    assert mapping.apply_mapping(catches, doc()).columns == ["landedBy", "vesselCode"]
+    extra = catches.withColumn("note", F.lit(1)).withColumn("VESSELCODE", F.lit(2))
+    assert mapping.apply_mapping(extra, doc(unmapped="passthrough")).columns == ["note", "landedBy", "vesselCode"]
     assert mapping.MappingDoc.from_dict(doc().to_dict()) == doc()
 
 
 @pytest.mark.parametrize(
     "change,text",
     [
-        ({"unmapped": "keep"}, "policy"), ({"fields": FIELDS[:1]}, "required"), ({"fields": [*FIELDS, {"target": "STYLECODE"}]}, "twice"), ({"fields": [*FIELDS, {"target": "other"}]}, "not in the schema"),
-        ({"fields": [*FIELDS, {"target": "retailPrice", "sources": ["x"]}]}, "no source column x"), ({"fields": [*FIELDS, {"target": "retailPrice", "sources": ["prod_nm"], "constant": "1"}]}, "constant"),
-        ({"fields": [*FIELDS, {"target": "retailPrice", "type": "DECIMAL(1); drop"}]}, "unknown type"), ({"fields": [*FIELDS, {"target": "retailPrice", "steps": [{"key": "zap"}]}]}, "unknown transform"),
+        ({"unmapped": "keep"}, "policy"), ({"fields": FIELDS[:1]}, "required"), ({"fields": [*FIELDS, {"target": "VESSELCODE"}]}, "twice"), ({"fields": [*FIELDS, {"target": "other"}]}, "not in the schema"),
+        ({"fields": [*FIELDS, {"target": "kilos", "sources": ["x"]}]}, "no source column x"), ({"fields": [*FIELDS, {"target": "kilos", "sources": ["boat"], "constant": "1"}]}, "constant"),
+        ({"fields": [*FIELDS, {"target": "kilos", "type": "DECIMAL(1); drop"}]}, "unknown type"), ({"fields": [*FIELDS, {"target": "kilos", "steps": [{"key": "zap"}]}]}, "unknown transform"),
     ],
 )
-def test_validation(vendor, change, text):
+def test_validation(catches, change, text):
     with pytest.raises(ValueError, match=text):
-        mapping.apply_mapping(vendor, mapping.MappingDoc.from_dict({"fields": FIELDS, "schema": SCHEMA} | change))
+        mapping.apply_mapping(catches, mapping.MappingDoc.from_dict({"fields": FIELDS, "schema": SCHEMA} | change))
 
 
 def test_losses_are_counted_once_and_observed(spark):
@@ -107,14 +107,25 @@ def test_crosswalks(spark):
 
 
 def test_suggestions_by_name(spark):
-    source = spark.createDataFrame([("prod_nm", "string"), ("qty", "int"), ("unrelated", "binary")], "name string, type string")
-    target = spark.createDataFrame([("productName", "VARCHAR"), ("Quantity", "BIGINT"), ("zzz", "DATE")], "name string, type string")
+    source = spark.createDataFrame([("cust_addr", "string"), ("HTTPStatusCd", "usmallint"), ("payload", "binary")], "name string, type string")
+    target = spark.createDataFrame([("customerAddress", "VARCHAR"), ("http-status", "UBIGINT"), ("w", "DATE")], "name string, type string")
     got = {r["target"]: (r["source"], round(r["confidence"], 3), r["shared"]) for r in suggest.suggest_by_name(source, target).collect()}
-    assert got["productName"] == ("prod_nm", round(0.5 + 0.3 * 2 * 6 / 17 + 0.2, 3), ["name", "product"])
-    assert got["Quantity"][0] == "qty" and "zzz" not in got
+    assert got["customerAddress"] == ("cust_addr", round(0.5 + 0.3 * 2 * 8 / 23 + 0.2, 3), ["address", "customer"])
+    assert got["http-status"][0] == "HTTPStatusCd" and got["http-status"][2] == ["http", "status"] and "w" not in got
+
+
+@pytest.mark.parametrize("name,words", [("HTTPStatusCd", ["http", "status", "code"]), ("a1B2", ["a1", "b2"]), ("XYZ", ["xyz"]), ("__x--y9Z", ["x", "y9", "z"]), ("qtyQTY", ["quantity"]), ("", []), ("éa", ["a"])])
+def test_words_of_names(spark, name, words):
+    assert spark.createDataFrame([(name,)], "n string").select(suggest._words(F.col("n"))).first()[0] == words
+
+
+def test_families_of_types(spark):
+    kinds = {"numeric": "TINYINT UTINYINT USMALLINT UINTEGER UBIGINT HUGEINT int bigint INT4 double DECIMAL(9,2) float real", "temporal": "DATE timestamp TIME timestamp_ntz", "text": "VARCHAR string char(3)", "unknown": "INTERVAL binary BOOLEAN struct<a:int> interesting"}
+    df = spark.createDataFrame([(k, f) for f, ks in kinds.items() for k in ks.split()], "kind string, family string")
+    assert df.filter(suggest._family(F.col("kind")) != F.col("family")).collect() == []
 
 
 def test_suggestions_by_values(spark):
-    a = spark.createDataFrame([("NVY",), ("BLK",), ("WHT",), ("OLV ",), (None,)], "c1 string")
-    b = spark.createDataFrame([("nvy", 1), ("blk", 2), ("wht", 3), ("red", 4), ("", 5)], "colour_code string, n int")
-    assert [tuple(r) for r in suggest.suggest_by_values(a, b).collect()] == [("c1", "colour_code", 3, 0.75)]
+    a = spark.createDataFrame([("Cod",), ("ling ",), ("Hake",), ("tusk",), ("saithe",), (None,)], "species string")
+    b = spark.createDataFrame([("cod", 1), ("LING", 2), ("perch", 3), ("", 4)], "fish string, n int")
+    assert [(*tuple(r)[:3], round(r["confidence"], 6)) for r in suggest.suggest_by_values(a, b).collect()] == [("species", "fish", 2, round(2 / 3, 6))]

@@ -122,7 +122,8 @@ def test_charts(spark):
     assert len(board.evaluate({"d": df})) == 3
     with pytest.raises(ValueError, match="d"):
         board.evaluate({})
-    assert charts.ChartSpec("bar", "x", "y", "c").display_title == "sum of y by x, split by c" and charts.ChartSpec("bar", "x", agg="count").y_label == "rows"
+    assert charts.labels(charts.ChartSpec("bar", "x", "y", "c")) == ("sum of y", "sum of y by x, split by c") and charts.labels(charts.ChartSpec("line", "x", agg="count"))[0] == "rows"
+    assert charts.labels(charts.ChartSpec("histogram", "x"))[1] == "Distribution of x" and charts.labels(charts.ChartSpec("box", "x", "y", title="T")) == ("y", "T")
     for bad in ({"mark": "pie", "x": "x"}, {"mark": "bar"}, {"mark": "bar", "x": "x"}, {"mark": "bar", "x": "x", "y": "y", "agg": "mode"}, {"mark": "bar", "x": "x", "y": "y", "y_scale": "cubic"}):
         with pytest.raises(ValueError):
             charts.chart(df, bad)
