@@ -316,9 +316,9 @@ def p5_governed_aggregate(spark, sf_dir):
     return rounded(profile.governed_aggregate(table(spark, sf_dir, "orders"), [("count", "*"), ("avg", "o_totalprice"), ("median", "o_totalprice"), ("stddev", "o_totalprice")], ["o_orderstatus", "o_orderpriority"], min_group_size=5), 4)
 
 
-@query("SELECT 200 AS n")
+@query("SELECT CAST(least(200, count(DISTINCT l_partkey)) AS INTEGER) AS n FROM lineitem")
 def p6_capped(spark, sf_dir):
-    return profile.capped(table(spark, sf_dir, "lineitem")).agg(F.count("*").cast("int").alias("n"))
+    return profile.capped(table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"))).agg(F.count("*").cast("int").alias("n"))
 
 
 @query("""WITH s AS (SELECT count(DISTINCT o_orderpriority) AS levels FROM orders) SELECT * FROM (VALUES (0, 'o_orderkey', 'numeric'), (1, 'o_custkey', 'numeric'), (2, 'o_orderstatus', 'categorical'), (3, 'o_totalprice', 'numeric'), (4, 'o_orderdate', 'excluded'), (5, 'o_orderpriority', 'categorical'), (6, 'none', 'excluded'), (7, 'same', 'excluded'), (8, 'ident', 'excluded'), (9, 'flag', 'numeric')) t(position, "column", role)""")
@@ -356,10 +356,20 @@ def p11_chi_square(spark, sf_dir):
     return rounded(pairs.tests_frame(spark, pairs.chi_square_tests(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])).select("a", "b", "statistic", "effect"))
 
 
-@query()
+LEVELS = ["l_returnflag", "l_linestatus", "l_linenumber"]
+PEARSON_SQL = "SELECT '{a}' AS a, '{b}' AS b, 'num-num' AS kind, 'pearson' AS test, round(corr({a}, {b}), 5) AS statistic, round(abs(corr({a}, {b})), 5) AS effect, count(*) AS n FROM lineitem"
+ANOVA_SQL = """SELECT '{a}', '{b}', 'num-cat', 'anova', round(sum(n * (m - grand)^2) / (count(*) - 1) / (sum(m2) / (sum(n) - count(*))), 5), round(sum(n * (m - grand)^2) / (sum(n * (m - grand)^2) + sum(m2)), 5), CAST(sum(n) AS BIGINT)
+  FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS grand FROM (SELECT {b} AS l, count(*) AS n, avg({a}) AS m, var_pop({a}) * count(*) AS m2 FROM lineitem GROUP BY 1 HAVING count(*) >= 3))"""
+CHI_SQL = """SELECT '{a}', '{b}', 'cat-cat', 'chi-square', round(sum((o - e)^2 / e), 5), round(sqrt(sum((o - e)^2 / e) / (any_value(total) * (least(count(DISTINCT a), count(DISTINCT b)) - 1))), 5), CAST(any_value(total) AS BIGINT)
+  FROM (SELECT r.a, k.b, coalesce(c.n, 0) AS o, na * nb / total AS e, total FROM (SELECT {a} AS a, count(*) AS na FROM lineitem GROUP BY 1) r CROSS JOIN (SELECT {b} AS b, count(*) AS nb FROM lineitem GROUP BY 1) k CROSS JOIN (SELECT count(*) AS total FROM lineitem) t
+  LEFT JOIN (SELECT {a} AS a, {b} AS b, count(*) AS n FROM lineitem GROUP BY ALL) c ON c.a = r.a AND c.b = k.b)"""
+
+
+@query(" UNION ALL ".join(
+    [PEARSON_SQL.format(a=a, b=b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]] + [ANOVA_SQL.format(a=a, b=b) for a in NUMBERS for b in LEVELS] + [CHI_SQL.format(a=a, b=b) for i, a in enumerate(LEVELS) for b in LEVELS[i + 1 :]]
+))
 def p12_all_pairs(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    return pairs.tests_frame(spark, pairs.all_pairs(lines, NUMBERS, ["l_returnflag", "l_linestatus", "l_linenumber"]))
+    return rounded(pairs.tests_frame(spark, pairs.all_pairs(table(spark, sf_dir, "lineitem"), NUMBERS, LEVELS)).select("a", "b", "kind", "test", "statistic", "effect", "n"), 5)
 
 
 @query("""WITH t AS (SELECT p_partkey, p_retailprice / 2100.0 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS k, count(*) OVER () AS n FROM t)
