@@ -54,3 +54,15 @@ def test_no_two_near_copies_are_left(spark, small_bucket):
         reached |= more
     assert reached == set(before)
     assert shingles.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_passage_that_many_texts_share_neither_joins_them_nor_hides_their_copies(spark):
+    rng = random.Random(7)
+    passage = " ".join(f"p{k}" for k in range(120))
+    texts = [passage + " " + " ".join(f"t{n}x{rng.randrange(1000)}" for _ in range(60)) for n in range(60)]
+    others = [" ".join(f"o{n}x{k}" for k in range(80)) for n in range(5)]
+    copies = [edited(t, 1, rng) for t in texts + others]
+    sets = [brute_set(t) for t in texts]
+    assert not any(similar(a, b) for a in sets for b in sets if a is not b)
+    kept = sorted(r["doc_id"] for r in shingles.keep_one(documents(spark, texts + others + copies), small_bucket=4).collect())
+    assert kept == list(range(65))
