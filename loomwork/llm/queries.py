@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, decontaminate, divergence, gam, hmm, language, rules, simhash, token_counts, urls, warc
+from loomwork.llm import bpe, conversations, decontaminate, divergence, gam, hmm, language, rules, simhash, token_counts, urls, warc
 from loomwork.llm.shared import scratch_path, table
 
 
@@ -73,6 +73,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return conversations.audited(talks, conversations.damage(talks))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_score": op1_hmm_score,
     "op2_warc_segments": op2_warc_segments,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
     "op11_divergence": op11_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 #: Links, components and rules of op7 in DuckDB: tags and attributes by linear patterns, dot segments one at a time, the graph's closure by a recursive query.
@@ -208,4 +214,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_divergence": OP11_SQL, "op2_warc_segments": OP2_SQL, "op7_url_aliases": OP7_SQL, "op8_decontaminate": OP8_SQL}
+#: op12 in DuckDB: CRC-32 a bit at a time; the best (cost, audit, repaired lines) of each state, row by row, in a recursive query.
+OP12_SQL = r"""
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(key) + 1), lambda i: list_concat([ord(key[i:i])::BIGINT], [256::BIGINT, 256, 256, 256, 256, 256, 256, 256])))),
+  lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 20 AS fault FROM raw),
+rows AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM crc, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM rows),
+marked AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+row_ AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN seen THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM marked),
+step AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, [{'s': 0, 'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}] AS best FROM placed
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, (SELECT list(m) FROM (SELECT min(struct_pack(cost := o.cost, audit := o.audit, s := o.s, lines := o.lines)) AS m0, struct_pack(s := any_value(o.s), cost := min(struct_pack(cost := o.cost, audit := o.audit, lines := o.lines)).cost, audit := min(struct_pack(cost := o.cost, audit := o.audit, lines := o.lines)).audit, lines := min(struct_pack(cost := o.cost, audit := o.audit, lines := o.lines)).lines) AS m
+    FROM (SELECT unnest(flatten(list_transform(p.best, lambda x: list_filter([
+        {'s': x.s, 'cost': x.cost + 4, 'audit': x.audit || 'D', 'lines': x.lines},
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s = 0 AND r.c = 's' THEN {'s': 1, 'cost': x.cost + t, 'audit': x.audit || 'K', 'lines': list_append(x.lines, r.role || ':' || r.text)} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s <> 2 AND r.c = 'u' THEN {'s': 2, 'cost': x.cost + t, 'audit': x.audit || 'K', 'lines': list_append(x.lines, r.role || ':' || r.text)} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s = 2 AND r.c = 'a' THEN {'s': 3, 'cost': x.cost + t, 'audit': x.audit || 'K', 'lines': list_append(x.lines, r.role || ':' || r.text)} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s <> 2 THEN {'s': 2, 'cost': x.cost + t + 3, 'audit': x.audit || 'R', 'lines': list_append(x.lines, 'user:' || r.text)} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s = 2 THEN {'s': 3, 'cost': x.cost + t + 3, 'audit': x.audit || 'R', 'lines': list_append(x.lines, 'assistant:' || r.text)} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s <> 2 AND r.c = 'a' THEN {'s': 3, 'cost': x.cost + t + 3, 'audit': x.audit || 'IK', 'lines': list_concat(x.lines, ['user:', r.role || ':' || r.text])} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s = 2 AND r.c = 'u' THEN {'s': 2, 'cost': x.cost + t + 3, 'audit': x.audit || 'IK', 'lines': list_concat(x.lines, ['assistant:', r.role || ':' || r.text])} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s <> 2 THEN {'s': 3, 'cost': x.cost + t + 6, 'audit': x.audit || 'IR', 'lines': list_concat(x.lines, ['user:', 'assistant:' || r.text])} END,
+        CASE WHEN r.fault NOT IN ('b', 'd') AND x.s = 2 THEN {'s': 2, 'cost': x.cost + t + 6, 'audit': x.audit || 'IR', 'lines': list_concat(x.lines, ['assistant:', 'user:' || r.text])} END
+      ], lambda y: y IS NOT NULL)))) AS o) GROUP BY o.s))
+  FROM step p JOIN (SELECT *, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS t FROM row_) r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+),
+ended AS (
+  SELECT conv_id, list_min(list_transform(best, lambda x: {'cost': x.cost + CASE x.s WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'audit': x.audit || CASE x.s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'lines': list_concat(x.lines, CASE x.s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)})) AS e
+  FROM step WHERE i = (SELECT max(i) FROM placed q WHERE q.conv_id IS NOT DISTINCT FROM step.conv_id)
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM row_ GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.cost, 0)::BIGINT AS cost,
+  coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_conversation_repair": OP12_SQL, "op11_divergence": OP11_SQL, "op2_warc_segments": OP2_SQL, "op7_url_aliases": OP7_SQL, "op8_decontaminate": OP8_SQL}
