@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, conversations, decontaminate, divergence, gam, hmm, language, rules, simhash, token_counts, urls, warc
+from loomwork.llm import bpe, conversations, decontaminate, divergence, gam, hmm, language, licences, rules, simhash, token_counts, urls, warc
 from loomwork.llm.shared import scratch_path, table
 
 
@@ -78,6 +78,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audited(talks, conversations.damage(talks))
 
 
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_score": op1_hmm_score,
     "op2_warc_segments": op2_warc_segments,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rules": op10_rules,
     "op11_divergence": op11_divergence,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_licences": op13_licences,
 }
 
 #: Links, components and rules of op7 in DuckDB: tags and attributes by linear patterns, dot segments one at a time, the graph's closure by a recursive query.
@@ -255,4 +260,39 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_conversation_repair": OP12_SQL, "op11_divergence": OP11_SQL, "op2_warc_segments": OP2_SQL, "op7_url_aliases": OP7_SQL, "op8_decontaminate": OP8_SQL}
+
+
+def _words(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', {_words(t.words)})" for k, t in enumerate(licences.TEMPLATES))
+_PHRASES = ", ".join(f"({k}, {n}, {licences.place_in(t.words, p)}, {_words(p.split(' '))})" for k, t in enumerate(licences.TEMPLATES) for n, p in enumerate(t.phrases))
+_BASE = ", ".join(f"({_words(p.split(' '))}, '{label}')" for p, label in licences.BASE.items())
+
+#: op13 in DuckDB: every word of every text is a row; votes and phrases by joins.
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT r, k - 1 AS place, w[k] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+t(template, label, w) AS (VALUES {_TEMPLATES}), phr(template, phrase, start, p) AS (VALUES {_PHRASES}), b(p, label) AS (VALUES {_BASE}),
+tw AS (SELECT template, k - 1 AS start, w[k] AS word FROM (SELECT template, w, unnest(range(1, len(w) + 1)) AS k FROM t)),
+df AS (SELECT word, count(DISTINCT r) AS n FROM pos WHERE word IN (SELECT word FROM tw) GROUP BY word),
+ranked AS (SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY coalesce(n, 0), word) AS k, length(bin((SELECT count(*) FROM d) // greatest(coalesce(n, 0), 1))) AS weight
+  FROM (SELECT DISTINCT template, word FROM tw) LEFT JOIN df USING (word) QUALIFY k <= 16),
+whole AS (SELECT template, sum(weight) FILTER (k <= 8) AS whole FROM ranked GROUP BY template),
+mine AS (SELECT r, template, word, weight FROM (SELECT DISTINCT r, word FROM pos) JOIN ranked USING (word) QUALIFY row_number() OVER (PARTITION BY r, template ORDER BY k) <= 8),
+may AS (SELECT r, template FROM mine JOIN whole USING (template) GROUP BY r, template, whole HAVING 100 * sum(weight) >= 60 * whole),
+votes AS (SELECT r, template, word, weight, place - start AS o FROM mine JOIN may USING (r, template) JOIN pos USING (r, word) JOIN tw USING (template, word)),
+grid(g) AS (VALUES (0), (1)),
+agreed AS (SELECT r, template, g, bin, sum(weight) AS weight FROM (SELECT DISTINCT r, template, g, floor((o + g * 8)::DOUBLE / 16) AS bin, word, weight FROM votes, grid) GROUP BY ALL),
+starts AS (SELECT r, template, phrase, p, k - start AS o FROM (SELECT r, w, template, phrase, p, start, unnest(range(0, len(w) - len(p) + 1)) AS k FROM (SELECT * FROM d WHERE r IN (SELECT r FROM may)), phr) WHERE list_slice(w, k + 1, k + len(p)) = p),
+near AS (SELECT r, template, g, bin, count(DISTINCT phrase) AS seen FROM (SELECT r, template, phrase, g, floor((o + g * 8)::DOUBLE / 16) AS bin FROM starts, grid) GROUP BY ALL),
+told AS (SELECT r, list(DISTINCT label) FILTER (100 * weight >= 60 * whole AND seen = (SELECT count(*) FROM phr WHERE phr.template = agreed.template)) AS more, max(weight / whole) AS share
+  FROM agreed JOIN whole USING (template) JOIN (SELECT template, label FROM t) USING (template) LEFT JOIN near USING (r, template, g, bin) GROUP BY r),
+base AS (SELECT r, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list(DISTINCT label) AS labels FROM (SELECT r, w, p, label, unnest(range(0, len(w) - len(p) + 1)) AS k FROM d, b) WHERE list_slice(w, k + 1, k + len(p)) = p GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN told USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_licences": OP13_SQL, "op12_conversation_repair": OP12_SQL, "op11_divergence": OP11_SQL, "op2_warc_segments": OP2_SQL, "op7_url_aliases": OP7_SQL, "op8_decontaminate": OP8_SQL}
