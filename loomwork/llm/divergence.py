@@ -13,7 +13,7 @@ one block, for two tiles of ``TILE`` sources at most.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,9 @@ from loomwork.llm.shared import materialize, pick, utf8
 #: A kept term is in so many documents of its language at least; added to counts; ranks of the ``term`` part.
 LEAST_DOCS, ADDED, TOP, SCALE = 10, 2, 10, 1_000_000_000
 #: Terms of a block; sources of a tile; distinct (group, term) a task holds before it passes its counts on.
-BLOCK, TILE, HELD = 1_024, 64, 200_000
+BLOCK, TILE, HELD = 1_024, 64, 700_000
 
+DOCUMENTS = (1 << 40) - 1
 #: A-Z lower-cased; all ASCII that is no letter parts terms.
 TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -40,27 +41,24 @@ def counted(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it) of ``docs`` (text, lang, source), nulls as empty texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], dict[bytes, list[int]]] = defaultdict(dict)
+        held: dict[tuple[bytes, bytes], dict[bytes, int]] = defaultdict(dict)  # occurrences * 2**40 + documents
         size = 0
 
         def emptied() -> pa.RecordBatch:
-            rows = [(lang, source, term, *pair) for (lang, source), terms in held.items() for term, pair in terms.items()]
+            size = sum(map(len, held.values()))
+            texts = lambda values: pa.array(values, pa.binary(), size=size).cast(pa.string())
+            pairs = np.fromiter((n >> 40 for of in held.values() for n in of.values()), np.int64, size), np.fromiter((n & DOCUMENTS for of in held.values() for n in of.values()), np.int64, size)
+            lang, source = ([key[k] for key, of in held.items() for _ in of] for k in (0, 1))
+            batch = pa.record_batch({"lang": texts(lang), "source": texts(source), "term": texts([t for of in held.values() for t in of]), "n": pairs[0], "docs": pairs[1]})
             held.clear()
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.record_batch({"lang": pa.array(columns[0], pa.binary()).cast(pa.string()), "source": pa.array(columns[1], pa.binary()).cast(pa.string()), "term": pa.array(columns[2], pa.binary()).cast(pa.string()), "n": pa.array(columns[3], pa.int64()), "docs": pa.array(columns[4], pa.int64())})
+            return batch
 
         for batch in batches:
             for text, lang, source in zip(*(utf8(batch[name]) for name in ("text", "lang", "source")), strict=True):
-                of, seen = held[lang, source], set()
-                before = len(of)
-                for term in terms_of(text):
-                    pair = of.get(term)
-                    if pair is None:
-                        of[term] = pair = [0, 0]
-                    pair[0] += 1
-                    if term not in seen:
-                        seen.add(term)
-                        pair[1] += 1
+                of = held[lang, source]
+                before, get = len(of), of.get
+                for term, n in Counter(terms_of(text)).items():
+                    of[term] = get(term, 0) + (n << 40) + 1
                 size += len(of) - before
                 if size >= HELD:
                     yield emptied()
@@ -90,7 +88,8 @@ def blocks(kept: DataFrame) -> DataFrame:
     slots of a band by hash, so a block has ``BLOCK`` terms or somewhat more or less.
     """
     banded = kept.withColumn("band", F.length(F.bin("total")))
-    slots = banded.groupBy("lang", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("slots"))
+    # Written first, so that its size is known when the join is planned: a hot band's terms then stay where they are.
+    slots = materialize(banded.groupBy("lang", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("slots")), "divergence-slots")
     dealt = banded.join(slots, ["lang", "band"]).withColumn("slot", F.pmod(F.xxhash64("term"), F.col("slots")))
     whole = Window.partitionBy("lang", "band", "slot")
     return dealt.withColumn("place", (F.row_number().over(whole.orderBy("term")) - 1).cast("int")).withColumn("size", F.count("*").over(whole).cast("int")).drop("slots")
@@ -203,7 +202,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     """
     spark = docs.sparkSession
     counts = materialize(counted(docs), "divergence-counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
+    kept = materialize(counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs"), "divergence-kept")
     held = materialize(counts.select("lang", "source", "term", "n").join(blocks(kept), ["lang", "term"]), "divergence-terms")
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     occurring = pick(docs, "lang", "source").select(empty("lang"), empty("source")).distinct()
