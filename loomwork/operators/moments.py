@@ -76,3 +76,43 @@ def gram(df: DataFrame, columns: Sequence[Column], folds: int = FOLDS) -> Gram:
     found = summed(held, task, 1 + d + d * d)
     found = found if len(found) else np.zeros((folds, 1 + d + d * d))
     return Gram(found[:, 0], found[:, 1 : 1 + d], found[:, 1 + d :].reshape(folds, d, d), center)
+
+
+@dataclass
+class Pairwise:
+    """Of each pair of columns (a, b), over the rows where both are there: n, the sum of a, of a^2 and of a * b, values less ``center``."""
+
+    n: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+    cross: np.ndarray
+
+    def correlation(self, a: int, b: int) -> tuple[int, float | None]:
+        """(n, Pearson's r or None without spread in both); spread below 1e-14 of the squares is rounding."""
+        n = int(self.n[a, b])
+        if not n:
+            return 0, None
+        va, vb = (self.squares[i, j] - self.sums[i, j] ** 2 / n for i, j in ((a, b), (b, a)))
+        if not (va > 1e-14 * self.squares[a, b] and vb > 1e-14 * self.squares[b, a]):
+            return n, None
+        r = (self.cross[a, b] - self.sums[a, b] * self.sums[b, a] / n) / np.sqrt(va) / np.sqrt(vb)
+        return n, max(-1.0, min(1.0, float(r)))
+
+
+def pairwise(df: DataFrame, columns: Sequence[str], center: Sequence[float] | None = None) -> Pairwise:
+    """One pass over double columns, null where missing; without ``center`` (near each column's mean) another pass finds the means."""
+    held, d = df.select(*[F.col(c) for c in columns]), len(columns)
+    if center is None:
+        center = [x or 0.0 for x in held.agg(*[F.avg(c) for c in columns]).first()]
+    shift = np.asarray(center, dtype=float)
+
+    def task(blocks: Iterator[np.ndarray]) -> np.ndarray:
+        out = np.zeros((4, d, d))
+        for block in blocks:
+            there = ~np.isnan(block)
+            x, m = np.where(there, block - shift, 0.0), there.astype(float)
+            out += m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+        return out.reshape(1, -1)
+
+    found = summed(held, task, 4 * d * d)
+    return Pairwise(*(found if len(found) else np.zeros((1, 4 * d * d))).reshape(4, d, d))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.scratch import scratch
+from loomwork.scratch import materialize
 
 
 def cumulated(df: DataFrame, value: Column, by: Sequence[Column] = ()) -> DataFrame:
@@ -20,8 +20,7 @@ def cumulated(df: DataFrame, value: Column, by: Sequence[Column] = ()) -> DataFr
     """
     keys = [f"k{i}" for i in range(len(by))]
     counts = df.select(*[c.alias(k) for c, k in zip(by, keys, strict=True)], value.alias("value")).filter("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    scratch(df.sparkSession, "")  # sees to a checkpoint folder
-    ranged = counts.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = materialize(counts.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()), "ranges")
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     held = ranged.groupBy(*keys, "part").agg(F.sum("n").alias("held"))
@@ -48,7 +47,7 @@ def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequenc
 
 def smallest_after(df: DataFrame, value: Column, measure: Column) -> DataFrame:
     """value, least: of each distinct value the least ``measure`` of it and of all larger values; ``measure`` may use before, n, total, value."""
-    held = cumulated(df, value).withColumn("m", measure).repartitionByRange("value").withColumn("part", F.spark_partition_id()).checkpoint()
+    held = materialize(cumulated(df, value).withColumn("m", measure).repartitionByRange("value").withColumn("part", F.spark_partition_id()), "least")
     later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     ends = held.groupBy("part").agg(F.min("m").alias("end")).select(F.col("part").alias("epart"), F.min("end").over(later).alias("later"))
     down = Window.partitionBy("part").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import charts, mapping, model, moments, nodes, pairs, profile, regression, suggest
 from loomwork.plans import flow, scan
+from loomwork.scratch import materialize, scratch_path
 from loomwork.sources import files, pages, push, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,8 +50,7 @@ def parts_of(df: DataFrame, key: str, order: str, rows: int = PART_ROWS) -> Data
     Smaller groups are one part. Ranks are taken within ranges, and totals of
     earlier ranges added, so a group that holds most rows is not one task's.
     """
-    files.scratch(df.sparkSession, "")  # sees to a checkpoint folder
-    ranged = df.repartitionByRange(key, order).withColumn("range", F.spark_partition_id()).checkpoint()
+    ranged = materialize(df.repartitionByRange(key, order).withColumn("range", F.spark_partition_id()), "parts")
     counts = ranged.groupBy(key, "range").agg(F.count("*").alias("n"))  # a row for each range of a group
     before = F.sum("n").over(Window.partitionBy(key).orderBy("range")) - F.col("n")
     starts = counts.select(F.col(key).alias("of"), F.col("range").alias("at"), before.alias("before"), F.sum("n").over(Window.partitionBy(key)).alias("total"))
@@ -332,9 +332,48 @@ def p7_classify(spark, sf_dir):
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS statistic, round(abs(corr({a}, {b})), 6) AS effect, count(*) AS n FROM lineitem" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]))
+def simpson(log_density: str, start: str, stop: str, steps: int = 4000) -> str:
+    """DuckDB: the integral of exp(log_density in x) from ``start`` to ``stop``."""
+    h = f"(({stop}) - ({start})) / {steps}"
+    return f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp({log_density.replace('{x}', f'(({start}) + i * {h})')}))) * {h} / 3"
+
+
+def f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """DuckDB: the tail of the F distribution, as an integral over the angle whose squared tangent is f * d1 / d2."""
+    start = f"atan(sqrt(({f}) * ({d1}) / ({d2})::DOUBLE))"
+    density = f"(({d1}) - 1) * ln(greatest(sin({{x}}), 1e-300)) + (({d2}) - 1) * ln(greatest(cos({{x}}), 1e-300)) + lgamma((({d1}) + ({d2})) / 2.0::DOUBLE) - lgamma(({d1}) / 2.0::DOUBLE) - lgamma(({d2}) / 2.0::DOUBLE) + ln(2)"
+    return simpson(density, start, f"least(pi() / 2, {start} + 40 / sqrt({d2}))")
+
+
+def t_tail_sql(r: str, n: str) -> str:
+    """DuckDB: the two-sided tail of a correlation."""
+    return f_tail_sql(f"({r}) * ({r}) * (({n}) - 2) / (1 - ({r}) * ({r}))", "1", f"(({n}) - 2)")
+
+
+def chi2_tail_sql(chi2: str, df: str) -> str:
+    """DuckDB: the tail of the chi-square distribution, as an integral over its root."""
+    density = f"(({df}) - 1) * ln(greatest({{x}}, 1e-300)) - {{x}} * {{x}} / 2 + (1 - ({df}) / 2.0::DOUBLE) * ln(2) - lgamma(({df}) / 2.0::DOUBLE)"
+    return simpson(density, f"sqrt({chi2})", f"sqrt({chi2}) + 14")
+
+
+PEARSON_SQL = "SELECT *, round({p}, 8) AS p_value FROM (SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM lineitem)".replace("{p}", t_tail_sql("r", "n"))
+
+
+@query(f"SELECT a, b, round(r, 6) AS statistic, p_value, round(abs(r), 6) AS effect, n FROM ({' UNION ALL '.join(PEARSON_SQL.replace('{a}', a).replace('{b}', b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :])})")
 def p8_pearson(spark, sf_dir):
-    return rounded(pairs.tests_frame(spark, pairs.pearson_tests(table(spark, sf_dir, "lineitem"), NUMBERS)).select("a", "b", "statistic", "effect", "n"))
+    found = pairs.tests_frame(spark, pairs.pearson_tests(table(spark, sf_dir, "lineitem"), NUMBERS, rank=False)).select("a", "b", "statistic", "p_value", "effect", "n")
+    return rounded(rounded(found, 8, ["p_value"]), 6, ["statistic", "effect"])
+
+
+#: Columns with different values missing, so that a column's ranks differ by the pair it is in.
+GAPS = {"quantity": "if(l_linenumber = 3, null, l_quantity)", "price": "l_extendedprice", "discount": "if(l_quantity > 40, null, l_discount)", "tax": "if(l_linenumber = 3, null, l_tax)"}
+RANKED_SQL = """SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr(x, y), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS y FROM g WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
+@query(f"WITH g AS (SELECT {', '.join(f'{v} AS {k}' for k, v in GAPS.items())} FROM lineitem) ".replace("if(", "IF(") + " UNION ALL ".join(RANKED_SQL.replace("{a}", a).replace("{b}", b) for i, a in enumerate(GAPS) for b in list(GAPS)[i + 1 :]))
+def p9_all_pairs(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(*[F.expr(v).alias(k) for k, v in GAPS.items()])
+    return rounded(pairs.tests_frame(spark, pairs.pearson_tests(lines, list(GAPS))).select("a", "b", "n", "rho"))
 
 
 @query("WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS x, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL) SELECT count(*) AS n, round(corr(x, y), 6) AS rho FROM r")
@@ -342,34 +381,56 @@ def p9_spearman(spark, sf_dir):
     return rounded(pairs.spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice"))
 
 
-@query("""WITH g AS (SELECT o_orderpriority AS l, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) * count(*) AS m2 FROM orders GROUP BY 1 HAVING count(*) >= 3), t AS (SELECT sum(n * m) / sum(n) AS grand FROM g)
-  SELECT 'o_totalprice' AS a, 'o_orderpriority' AS b, round(sum(n * (m - grand)^2) / (count(*) - 1) / (sum(m2) / (sum(n) - count(*))), 6) AS statistic, round(sum(n * (m - grand)^2) / (sum(n * (m - grand)^2) + sum(m2)), 8) AS effect, CAST(sum(n) AS BIGINT) AS n FROM g, t""")
+ANOVA_SQL = """SELECT '{a}' AS a, '{b}' AS b, f, {p} AS p, eta, n FROM (SELECT sum(n * (m - grand)^2) / (count(*) - 1) / (sum(m2) / (sum(n) - count(*))) AS f, count(*) - 1 AS d1, sum(n) - count(*) AS d2, sum(n * (m - grand)^2) / (sum(n * (m - grand)^2) + sum(m2)) AS eta, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS grand FROM (SELECT {b} AS l, count(*) AS n, avg({a}) AS m, var_pop({a}) * count(*) AS m2 FROM {t} GROUP BY 1 HAVING count(*) >= 3)))""".replace("{p}", f_tail_sql("f", "d1", "d2"))
+CHI_SQL = """SELECT '{a}' AS a, '{b}' AS b, chi2, {p} AS p, sqrt(chi2 / (n * (least(ra, rb) - 1))) AS v, n FROM (SELECT sum((abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END)^2 / e) AS chi2, any_value(dof) AS dof, any_value(ra) AS ra, any_value(rb) AS rb, CAST(any_value(total) AS BIGINT) AS n
+  FROM (SELECT *, (ra - 1) * (rb - 1) AS dof FROM (SELECT r.a, k.b, coalesce(c.n, 0) AS o, na * nb / total AS e, total, count(DISTINCT r.a) OVER () AS ra, count(DISTINCT k.b) OVER () AS rb
+  FROM (SELECT {a} AS a, count(*) AS na FROM {t} GROUP BY 1) r CROSS JOIN (SELECT {b} AS b, count(*) AS nb FROM {t} GROUP BY 1) k CROSS JOIN (SELECT count(*) AS total FROM {t}) t
+  LEFT JOIN (SELECT {a} AS a, {b} AS b, count(*) AS n FROM {t} GROUP BY ALL) c ON c.a = r.a AND c.b = k.b)))""".replace("{p}", chi2_tail_sql("chi2", "dof"))
+
+
+def filled(sql: str, **names: str) -> str:
+    for k, v in names.items():
+        sql = sql.replace("{" + k + "}", v)
+    return sql
+
+
+@query(f"SELECT a, b, round(f, 6) AS statistic, round(p, 8) AS p_value, round(eta, 8) AS effect, n FROM ({filled(ANOVA_SQL, a='o_totalprice', b='o_orderpriority', t='orders')} UNION ALL {filled(ANOVA_SQL, a='o_totalprice', b='o_custkey', t='orders')})")
 def p10_anova(spark, sf_dir):
-    found = pairs.tests_frame(spark, pairs.anova_tests(table(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderpriority"]))
-    return rounded(rounded(found.select("a", "b", "statistic", "effect", "n"), 6, ["statistic"]), 8, ["effect"])
+    """Five levels, and as many as there are customers."""
+    found = pairs.tests_frame(spark, pairs.anova_tests(table(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderpriority", "o_custkey"]))
+    return rounded(rounded(found.select("a", "b", "statistic", "p_value", "effect", "n"), 6, ["statistic"]), 8, ["effect", "p_value"])
 
 
-@query("""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), k AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1), t AS (SELECT sum(n) AS total FROM c),
-  e AS (SELECT coalesce(c.n, 0) AS o, na * nb / total AS e, total FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c USING (a, b))
-  SELECT 'o_orderstatus' AS a, 'o_orderpriority' AS b, round(sum((o - e)^2 / e), 6) AS statistic, round(sqrt(sum((o - e)^2 / e) / (any_value(total) * (least((SELECT count(*) FROM r), (SELECT count(*) FROM k)) - 1))), 6) AS effect FROM e""")
+CHI_SHOWN = "SELECT a, b, round(chi2, 6) AS statistic, round(p, 8) AS p_value, round(v, 6) AS effect FROM"
+
+
+@query(f"{CHI_SHOWN} ({filled(CHI_SQL, a='o_orderstatus', b='o_orderpriority', t='orders')})")
 def p11_chi_square(spark, sf_dir):
-    return rounded(pairs.tests_frame(spark, pairs.chi_square_tests(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])).select("a", "b", "statistic", "effect"))
+    found = pairs.tests_frame(spark, pairs.chi_square_tests(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])).select("a", "b", "statistic", "p_value", "effect")
+    return rounded(rounded(found, 8, ["p_value"]), 6, ["statistic", "effect"])
+
+
+@query(f"WITH t AS (SELECT l_tax > 0.04 AS taxed, l_quantity > 45 AS large, l_suppkey FROM lineitem) {CHI_SHOWN} ({' UNION ALL '.join(filled(CHI_SQL, a=a, b=b, t='t') for a, b in (('taxed', 'large'), ('taxed', 'l_suppkey'), ('large', 'l_suppkey')))})")
+def p11_yates_and_many_levels(spark, sf_dir):
+    """Two columns of two levels, so with Yates's correction, and each with all suppliers."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_tax") > 0.04).alias("taxed"), (F.col("l_quantity") > 45).alias("large"), "l_suppkey")
+    found = pairs.tests_frame(spark, pairs.chi_square_tests(lines, ["taxed", "large", "l_suppkey"])).select("a", "b", "statistic", "p_value", "effect")
+    return rounded(rounded(found, 8, ["p_value"]), 6, ["statistic", "effect"])
 
 
 LEVELS = ["l_returnflag", "l_linestatus", "l_linenumber"]
-PEARSON_SQL = "SELECT '{a}' AS a, '{b}' AS b, 'num-num' AS kind, 'pearson' AS test, round(corr({a}, {b}), 5) AS statistic, round(abs(corr({a}, {b})), 5) AS effect, count(*) AS n FROM lineitem"
-ANOVA_SQL = """SELECT '{a}', '{b}', 'num-cat', 'anova', round(sum(n * (m - grand)^2) / (count(*) - 1) / (sum(m2) / (sum(n) - count(*))), 5), round(sum(n * (m - grand)^2) / (sum(n * (m - grand)^2) + sum(m2)), 5), CAST(sum(n) AS BIGINT)
-  FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS grand FROM (SELECT {b} AS l, count(*) AS n, avg({a}) AS m, var_pop({a}) * count(*) AS m2 FROM lineitem GROUP BY 1 HAVING count(*) >= 3))"""
-CHI_SQL = """SELECT '{a}', '{b}', 'cat-cat', 'chi-square', round(sum((o - e)^2 / e), 5), round(sqrt(sum((o - e)^2 / e) / (any_value(total) * (least(count(DISTINCT a), count(DISTINCT b)) - 1))), 5), CAST(any_value(total) AS BIGINT)
-  FROM (SELECT r.a, k.b, coalesce(c.n, 0) AS o, na * nb / total AS e, total FROM (SELECT {a} AS a, count(*) AS na FROM lineitem GROUP BY 1) r CROSS JOIN (SELECT {b} AS b, count(*) AS nb FROM lineitem GROUP BY 1) k CROSS JOIN (SELECT count(*) AS total FROM lineitem) t
-  LEFT JOIN (SELECT {a} AS a, {b} AS b, count(*) AS n FROM lineitem GROUP BY ALL) c ON c.a = r.a AND c.b = k.b)"""
+ALL_SQL = (
+    [f"SELECT a, b, 'num-num' AS kind, 'pearson' AS test, r AS statistic, p_value, abs(r) AS effect, n FROM ({filled(PEARSON_SQL, a=a, b=b)})" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
+    + [f"SELECT a, b, 'num-cat', 'anova', f, p, eta, n FROM ({filled(ANOVA_SQL, a=a, b=b, t='lineitem')})" for a in NUMBERS for b in LEVELS]
+    + [f"SELECT a, b, 'cat-cat', 'chi-square', chi2, p, v, n FROM ({filled(CHI_SQL, a=a, b=b, t='lineitem')})" for i, a in enumerate(LEVELS) for b in LEVELS[i + 1 :]]
+)
 
 
-@query(" UNION ALL ".join(
-    [PEARSON_SQL.format(a=a, b=b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]] + [ANOVA_SQL.format(a=a, b=b) for a in NUMBERS for b in LEVELS] + [CHI_SQL.format(a=a, b=b) for i, a in enumerate(LEVELS) for b in LEVELS[i + 1 :]]
-))
+@query(f"SELECT a, b, kind, test, round(statistic, 5) AS statistic, round(p_value, 8) AS p_value, round(effect, 5) AS effect, n FROM ({' UNION ALL '.join(ALL_SQL)})")
 def p12_all_pairs(spark, sf_dir):
-    return rounded(pairs.tests_frame(spark, pairs.all_pairs(table(spark, sf_dir, "lineitem"), NUMBERS, LEVELS)).select("a", "b", "kind", "test", "statistic", "effect", "n"), 5)
+    found = pairs.tests_frame(spark, pairs.all_pairs(table(spark, sf_dir, "lineitem"), NUMBERS, LEVELS)).select("a", "b", "kind", "test", "statistic", "p_value", "effect", "n")
+    return rounded(rounded(found, 8, ["p_value"]), 5, ["statistic", "effect"])
 
 
 @query("""WITH t AS (SELECT p_partkey, p_retailprice / 2100.0 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS k, count(*) OVER () AS n FROM t)
@@ -494,14 +555,14 @@ def v7_fold_series(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s1_k1_csv_round_trip(spark, sf_dir):
-    path = files.scratch(spark, "orders.csv")
+    path = scratch_path(spark, "orders.csv")
     files.write_file(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, "csv", dry_run=False)
     return files.read_file(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def s2_json_lines(spark, sf_dir):
-    path = files.scratch(spark, "part.jsonl")
+    path = scratch_path(spark, "part.jsonl")
     table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").write.json(path)
     return files.read_file(spark, path, "p_partkey bigint, p_name string, p_size int")
 
@@ -515,7 +576,7 @@ def k2_table_round_trip(spark, sf_dir):
 
 @query("SELECT count(*) AS attempted, 0 AS written, count(*) AS skipped FROM orders")
 def k3_dry_run(spark, sf_dir):
-    report = files.write_file(table(spark, sf_dir, "orders"), files.scratch(spark, "none"))
+    report = files.write_file(table(spark, sf_dir, "orders"), scratch_path(spark, "none"))
     return spark.createDataFrame([(report.attempted, report.written, report.skipped)], "attempted long, written int, skipped long")
 
 
@@ -595,7 +656,7 @@ def k6_failures(spark, sf_dir):
 
 @query("SELECT l_returnflag AS x, CAST(count(*) AS DOUBLE) AS y FROM lineitem GROUP BY 1")
 def k7_chart_export(spark, sf_dir):
-    path = files.scratch(spark, "chart.csv")
+    path = scratch_path(spark, "chart.csv")
     files.write_chart(charts.chart(table(spark, sf_dir, "lineitem"), charts.ChartSpec("bar", "l_returnflag", agg="count")), path)
     return files.read_file(spark, path, "x string, series string, y double").select("x", "y")
 
@@ -617,14 +678,14 @@ def n15_map_fields(spark, sf_dir):
 
 @query("SELECT p_partkey AS id, p_brand || ': ' || p_type AS label, CAST(p_retailprice AS DECIMAL(10,1)) AS price, (SELECT count(*) FROM part) AS written FROM part")
 def f4_run_outputs(spark, sf_dir):
-    path = files.scratch(spark, "parts")
+    path = scratch_path(spark, "parts")
     report = flow.run_outputs(spark, _part_flow(sf_dir, path))["out"]
     return spark.read.parquet(path).withColumn("written", F.lit(report.written).cast("long"))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer")
 def f5_generated_flow(spark, sf_dir):
-    path = files.scratch(spark, "customers")
+    path = scratch_path(spark, "customers")
     flow.run_outputs(spark, flow.flow_from_columns(f"{sf_dir}/customer.parquet", ["c_custkey", "c_mktsegment"], path))
     return spark.read.parquet(path)
 
@@ -688,7 +749,7 @@ def p21_diagnostics(spark, sf_dir):
 def p25_saved_findings(spark, sf_dir):
     """Findings written with their lineage and read back."""
     result = scan.scan(mixed(spark, sf_dir), "y", name="mixed")
-    path = files.scratch(spark, "findings")
+    path = scratch_path(spark, "findings")
     scan.save_findings(spark, result, path)
     return spark.read.parquet(path).select("dataset", "target", "seed", "kind", "title", "n")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomwork.operators.nodes import column, quoted
-from loomwork.scratch import scratch  # noqa: F401
+from loomwork.scratch import scratch_path  # noqa: F401
 
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
 TABLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")

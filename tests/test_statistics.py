@@ -87,9 +87,51 @@ def test_anova_and_chi_square(spark):
     independent = spark.createDataFrame([(a, b) for a in "xy" for b in "pq" for _ in range(30)], "a string, b string")
     t = pairs.chi_square_tests(independent, ["a", "b"])[0]
     assert t.statistic == 0 and t.p_value == 1 and t.detail["dof"] == 1
-    chi2, dof, *_ = pairs.chi_square({("x", "p"): 10, ("x", "q"): 20, ("y", "p"): 30, ("y", "q"): 5})
+    counted = {("x", "p"): 10, ("x", "q"): 20, ("y", "p"): 30, ("y", "q"): 5}
+    t = pairs.chi_square_tests(spark.createDataFrame([pair for pair, n in counted.items() for _ in range(n)], "a string, b string"), ["a", "b"])[0]
     cells, expected = np.array([[10, 20], [30, 5]]), np.array([[40 * 30 / 65, 25 * 30 / 65], [40 * 35 / 65, 25 * 35 / 65]])
-    assert dof == 1 and math.isclose(chi2, ((np.abs(cells - expected) - 0.5) ** 2 / expected).sum(), rel_tol=1e-12)
+    assert t.detail["dof"] == 1 and math.isclose(t.statistic, ((np.abs(cells - expected) - 0.5) ** 2 / expected).sum(), rel_tol=1e-12)
+
+
+def test_missing_cells_count(spark):
+    rng = np.random.default_rng(8)
+    for levels in (2, 3, 9):
+        a, b = rng.integers(0, levels, 60), rng.integers(0, levels, 60)
+        b = np.where(a == 0, 0, b)  # the first row has one cell only
+        table = np.zeros((levels, levels))
+        np.add.at(table, (a, b), 1)
+        table = table[table.sum(axis=1) > 0][:, table.sum(axis=0) > 0]
+        expected = np.outer(table.sum(axis=1), table.sum(axis=0)) / table.sum()
+        off = np.abs(table - expected)
+        want = ((off - np.minimum(0.5, off) * (table.shape == (2, 2))) ** 2 / expected).sum()
+        t = pairs.chi_square_tests(spark.createDataFrame([(f"a{x}", f"b{y}") for x, y in zip(a, b, strict=True)], "a string, b string"), ["a", "b"])[0]
+        assert math.isclose(t.statistic, want, rel_tol=1e-10) and t.detail["dof"] == (table.shape[0] - 1) * (table.shape[1] - 1)
+
+
+def test_many_levels_stay_on_the_executors(spark):
+    df = spark.range(1_000_000).select((F.col("id") % 250_000).alias("level"), (F.hash("id") % 100).cast("double").alias("v"), (F.col("id") % 2).alias("half"))
+    t = pairs.anova_tests(df, ["v"], ["level"])[0]
+    assert t.n == 1_000_000 and t.detail == {"levels": 250_000}
+    t = pairs.chi_square_tests(df, ["level", "half"])[0]
+    assert t.detail["dof"] == 249_999 and math.isclose(t.effect, 1.0) and math.isclose(t.statistic, 1e6, rel_tol=1e-9)
+
+
+def test_rho_is_that_of_each_pairs_rows(spark):
+    rng = np.random.default_rng(6)
+    columns = {c: np.where(rng.random(160) < hole, np.nan, rng.integers(0, 9, 160) + 0.3 * k) for k, (c, hole) in enumerate({"a": 0, "b": 0.2, "c": 0.2, "d": 0, "e": 0.5}.items())}
+    columns["f"] = np.where(np.isnan(columns["b"]), np.nan, columns["a"] ** 2)  # missing where b is
+    df = frame(spark, **columns).repartition(5)
+    found = {(t.a, t.b): t for t in pairs.pearson_tests(df, list(columns))}
+    assert len(found) == 15
+
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    for (a, b), t in found.items():
+        both = ~np.isnan(columns[a]) & ~np.isnan(columns[b])
+        x, y = columns[a][both], columns[b][both]
+        assert t.n == both.sum() and math.isclose(t.statistic, np.corrcoef(x, y)[0, 1], rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(t.detail["rho"], np.corrcoef(ranks(x), ranks(y))[0, 1], rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_false_discovery(spark):
