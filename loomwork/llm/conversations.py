@@ -218,7 +218,8 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-#: kind: ``edit`` (of a row, for one entry, and one exit of the block or all), ``block`` (cost and rank of an exit) or ``pair`` (illegal neighbours inside).
+#: kind: ``edit`` (of a row, for one entry of a block or where its entry is known, and one exit or all), ``block`` (cost and rank of an exit), ``pair``
+#: (illegal neighbours inside), or ``way`` of a conversation inside one task and block: its cost, illegal neighbours as n, and before, what is inserted at its end.
 FOUND = "kind string, conv_id {id}, part int, block int, entry int, exit int, turn {turn}, role string, digest binary, n long, before string, edit string, given string, cost long, rank int, first string, last string"
 
 
@@ -236,7 +237,7 @@ def search(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out = TaskContext.get().partitionId(), []
-        none, searches, block = object(), {}, 0
+        none, searches, block, fresh = object(), {}, 0, False
         first = last = None
         illegal = 0
 
@@ -248,16 +249,26 @@ def search(rows: DataFrame) -> DataFrame:
                 turn, role, digest, n = x.row
                 row("edit", entry=entry, exit=leave, turn=turn, role=role, digest=digest, n=n, before=x.before, edit=x.edit, given=x.role)
 
+        def lead(entry: int) -> int | None:
+            """A conversation that begins in this task is entered with nothing there."""
+            return None if fresh and not block else entry
+
         def close() -> None:
             for entry, s in searches.items():
-                edits(s.shared(), entry, None)
+                edits(s.shared(), lead(entry), None)
                 for state, x in s.found.items():
                     edits(s.way(state), entry, state)
                     row("block", entry=entry, exit=state, cost=x.cost, rank=x.rank)
 
-        def leave() -> None:
-            nonlocal illegal
-            if conv is not none:
+        def leave(more: bool) -> None:
+            if conv is none:
+                return
+            if more and fresh and not block:
+                s = searches[NOTHING]
+                state = min(s.found, key=lambda q: (s.found[q].cost + INSERT * len(ENDS[q]), s.found[q].rank))
+                edits(s.way(state), None, None)
+                row("way", cost=s.found[state].cost + INSERT * len(ENDS[state]), n=illegal, before=ENDS[state])
+            else:
                 close()
                 row("pair", cost=illegal, first=first, last=last)
 
@@ -267,10 +278,10 @@ def search(rows: DataFrame) -> DataFrame:
             for values in zip(*(batch[c].to_pylist() for c in (*KEY, "n", "fault")), strict=True):
                 now, turn, role, digest, n, fault = values
                 if conv is none or now != conv:
-                    leave()
+                    leave(True)
                     # Only a task's first conversation may have begun in another one.
                     searches = {e: Search(e) for e in (range(4) if at_start else (NOTHING,))}
-                    conv, block, first, last, illegal, at_start = now, 0, None, None, 0, False
+                    conv, block, fresh, first, last, illegal, at_start = now, 0, not at_start, None, None, 0, False
                 initial = role[:1]
                 first = initial if last is None else first
                 illegal += (last is not None and last + initial not in ("su", "ua", "au")) + (n - 1)  # equal rows follow one another
@@ -278,7 +289,7 @@ def search(rows: DataFrame) -> DataFrame:
                 for entry, s in searches.items():
                     s.feed((turn, role, digest, n), initial, fault)
                     if len(s.found) == 1 or s.unresolved % 64 == 0:
-                        edits(s.shared(), entry, None)
+                        edits(s.shared(), lead(entry), None)
                     if n > 1:
                         for x in s.found.values():
                             x.cost += DELETE * (n - 1)
@@ -289,7 +300,7 @@ def search(rows: DataFrame) -> DataFrame:
                 if len(out) >= 5_000:
                     yield pa.RecordBatch.from_pylist(out, arrow)
                     out.clear()
-        leave()
+        leave(False)
         yield pa.RecordBatch.from_pylist(out, arrow)
 
     dealt = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -299,7 +310,9 @@ def search(rows: DataFrame) -> DataFrame:
 def ways(found: DataFrame) -> DataFrame:
     """conv_id, part, block, entry, exit of the blocks on each conversation's cheapest way, and its cost, illegal and after (inserted at its end).
 
-    A group holds one conversation's blocks: as many as it has tasks, and one more for every ``UNRESOLVED`` rows without agreement.
+    These are conversations that a task's rows begin or end with, or of several
+    blocks. A group holds one conversation's blocks: as many as it has tasks,
+    and one more for every ``UNRESOLVED`` rows without agreement.
     """
     kind = found.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, part int, block int, entry int, exit int, cost long, illegal long, after string"
@@ -337,7 +350,7 @@ def ways(found: DataFrame) -> DataFrame:
         made[0] |= facts  # the last block tells the whole
         return pa.Table.from_pylist(made, arrow)
 
-    return found.filter("kind != 'edit'").select("kind", "conv_id", "part", "block", "entry", "exit", "cost", "rank", "first", "last").groupBy("conv_id").applyInArrow(choose, schema)
+    return found.filter("kind in ('block', 'pair')").select("kind", "conv_id", "part", "block", "entry", "exit", "cost", "rank", "first", "last").groupBy("conv_id").applyInArrow(choose, schema)
 
 
 def repairs(each: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -348,10 +361,12 @@ def repairs(each: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     found = search(each)
     way = materialize(ways(found), "conversation-ways")
-    e, w = found.filter("kind = 'edit'").alias("e"), way.select("conv_id", "part", "block", "entry", F.col("exit").alias("left")).alias("w")
+    e, w = found.filter("kind = 'edit' and entry is not null").alias("e"), way.select("conv_id", "part", "block", "entry", F.col("exit").alias("left")).alias("w")
     same = F.col("e.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("e.part") == F.col("w.part")) & (F.col("e.block") == F.col("w.block")) & (F.col("e.entry") == F.col("w.entry"))
-    edits = e.join(w, same).filter("e.exit is null or e.exit = left").select(*[F.col(f"e.{k}") for k in KEY], "n", "before", "edit", "given")
-    return edits, way.filter("cost is not null").select("conv_id", "cost", "illegal", "after")
+    told = ["n", "before", "edit", "given"]
+    edits = e.join(w, same).filter("e.exit is null or e.exit = left").select(*[F.col(f"e.{k}") for k in KEY], *told)
+    whole = found.filter("kind = 'way'").select("conv_id", "cost", F.col("n").alias("illegal"), F.col("before").alias("after"))
+    return edits.unionByName(found.filter("kind = 'edit' and entry is null").select(*KEY, *told)), whole.unionByName(way.filter("cost is not null").select("conv_id", "cost", "illegal", "after"))
 
 
 def repair(rows: DataFrame) -> DataFrame:
