@@ -240,9 +240,10 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, base: dict[
     agreed = found.join(facts, "template").withColumn("share", F.col("weight") / F.col("full"))
 
     # A mandatory phrase stands near where the relative position puts it.
-    wanted = F.broadcast(spark.createDataFrame([(k, n, p, place_in(t.words, p)) for k, t in enumerate(templates) for n, p in enumerate(t.phrases)], "template int, phrase int, text string, at int"))
-    starts = stored.filter(F.size("may") > 0).select("row", F.explode("at").alias("p")).filter("p.phrase is not null").select("row", F.col("p.place").alias("place"), F.col("p.phrase").alias("follows"))
-    phrases = starts.join(wanted, F.startswith(F.concat("follows", F.lit(" ")), F.concat("text", F.lit(" ")))).select("row", "template", "phrase", (F.col("place") - F.col("at")).alias("offset"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(n).alias("phrase"), F.lit(p + " ").alias("text"), F.lit(place_in(t.words, p)).alias("at")) for k, t in enumerate(templates) for n, p in enumerate(t.phrases)])
+    starts = stored.filter(F.size("may") > 0).select("row", F.explode("at").alias("p")).filter("p.phrase is not null").select("row", F.col("p.place").alias("place"), F.concat("p.phrase", F.lit(" ")).alias("follows"))
+    begun = starts.select("row", "place", F.explode(F.filter(wanted, lambda x: F.startswith(F.col("follows"), x["text"]))).alias("w"))
+    phrases = begun.select("row", "w.template", "w.phrase", (F.col("place") - F.col("w.at")).alias("offset"))
     near = phrases.withColumn("b", F.explode(grids)).groupBy("row", "template", "b.grid", "b.bin").agg(F.expr("bit_or(shiftleft(1L, phrase))").alias("seen"))
     need = F.create_map(*[F.lit(x) for k, t in enumerate(templates) for x in (k, (1 << len(t.phrases)) - 1)])
     verified = agreed.join(near, ["row", "template", "grid", "bin"], "left").withColumn("stands", (100 * F.col("weight") >= LEAST_PERCENT * F.col("full")) & (F.coalesce("seen", F.lit(0)) == F.element_at(need, F.col("template"))))
