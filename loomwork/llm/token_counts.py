@@ -5,15 +5,16 @@ are sums. Pre-tokens do not depend on what stands before their start, and on
 two characters beyond their end at most. So an edit is counted by splitting
 anew from the last leaf that ends two characters before it, up to the first
 old leaf boundary after it that is a boundary still; the leaves between take
-the new pre-tokens, and the sums above them are updated. Strings of special
-tokens are ordinary text here.
+the new pre-tokens, and the sums above them are updated. Edits of one text are
+applied in one walk, which copies the text once. Strings of special tokens are
+ordinary text here.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,7 +101,7 @@ class Tree:
                 node += 1
         return node - self.size, before
 
-    def put(self, leaf: int, row: tuple[int, int, int]) -> None:
+    def put(self, leaf: int, row: Sequence[int]) -> None:
         node = self.size + leaf
         change = np.array(row, dtype=np.int64) - self.sums[node]
         while node:
@@ -114,45 +115,130 @@ def build_tree(text: str, counter: Counter) -> Tree:
     return Tree.build(words, counter.count(words))
 
 
+class Walk:
+    """The edited text of a region, read from the old text and its edits piece by piece, so that no edit copies the text.
+
+    ``buffer`` begins at the old place ``at``; it holds all edits that end by
+    ``upto`` and the old text up to there.
+    """
+
+    def __init__(self, text: str, edits: Sequence[tuple[int, int, str]], at: int, edit: int) -> None:
+        self.text, self.edits, self.at, self.edit, self.upto, self.buffer = text, edits, at, edit, at, ""
+        self.passed, self.shift = edit, 0  # edits that end by the last boundary asked for, and what they add
+
+    def fill(self, upto: int) -> None:
+        pieces = [self.buffer]
+        while self.edit < len(self.edits) and (self.edits[self.edit][0] < upto or self.edits[self.edit][1] <= upto):
+            start, stop, new = self.edits[self.edit]
+            pieces += self.text[self.upto : start], new
+            self.upto, self.edit = stop, self.edit + 1
+        if upto > self.upto:
+            pieces.append(self.text[self.upto : upto])
+            self.upto = min(upto, len(self.text))
+        self.buffer = "".join(pieces)
+
+    @property
+    def whole(self) -> bool:
+        return self.upto >= len(self.text) and self.edit == len(self.edits)
+
+    def boundary(self, old: int) -> int:
+        """Where an old place is in the buffer; places are asked for in order."""
+        while self.passed < len(self.edits) and self.edits[self.passed][1] <= old:
+            start, stop, new = self.edits[self.passed]
+            self.shift += len(new) - (stop - start)
+            self.passed += 1
+        return old - self.at + self.shift
+
+    def calm(self, old: int) -> bool:
+        """No edit reaches over an old place that boundary() was just asked for, or changes what its pre-token may depend on."""
+        return self.passed == len(self.edits) or self.edits[self.passed][0] >= old + CONTEXT
+
+
+def edit_all(tree: Tree, text: str, edits: Sequence[tuple[int, int, str]], counter: Counter) -> tuple[Tree, str, int]:
+    """(tree, text, characters split anew) after all ``edits`` (start, stop, new) at places of ``text``, which do not overlap, at once; the tree given is changed or replaced.
+
+    One walk over the edits, in time linear in the text and the edits, however
+    many there are: between edits that are far apart nothing is looked at, and
+    the window of a region grows until old and new boundaries meet.
+    """
+    edits = sorted(edits, key=lambda e: (e[0], e[1]))
+    reach = 0
+    for start, stop, _ in edits:
+        if not reach <= start <= stop <= len(text):
+            raise ValueError(f"no such place, or one of another edit: {start} to {stop} of {len(text)}")
+        reach = stop
+    if not edits:
+        return tree, text, 0
+    lengths = tree.sums[tree.size : tree.size + tree.leaves, 0]
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    regions: list[tuple[int, int, list[str]]] = []
+    work, edit = 0, 0
+    while edit < len(edits):
+        first = max(int(np.searchsorted(starts, edits[edit][0] - CONTEXT, "right")) - 1, 0)
+        walk, last, words, place, step = Walk(text, edits, int(starts[first]), edit), first, [], 0, 64
+        met = False
+        while not met:
+            walk.fill(max(walk.upto, int(ends[last])) + step)
+            step *= 2
+            rest = place
+            for m in counter.finditer(walk.buffer, rest):
+                if m.end() + CONTEXT > len(walk.buffer) and not walk.whole:
+                    break
+                words.append(m.group())
+                place = m.end()
+                while (at := walk.boundary(int(ends[last]))) < place and last + 1 < tree.leaves:
+                    last += 1
+                if at == place and walk.calm(int(ends[last])):
+                    met = True
+                    break
+            if walk.whole and not met and place == len(walk.buffer):
+                last, met = tree.leaves - 1, True
+                walk.boundary(len(text))
+        regions.append((first, last, words))
+        work, edit = work + place, walk.passed
+    counter.learn([w for _, _, w in regions])
+    rows, done, put = [], 0, []
+    old = tree.sums[tree.size : tree.size + tree.leaves].copy()
+    for first, last, words in regions:
+        tokens, room = counter.count(words), last - first + 1
+        if len(words) <= CROWDED * room:
+            cuts = [len(words) * k // room for k in range(room + 1)]
+            made = np.array([(sum(map(len, words[a:b])), int(tokens[a:b].sum()), b - a) for a, b in zip(cuts, cuts[1:], strict=False)], dtype=np.int64)
+        else:
+            middle = Tree.build(words, tokens)
+            made = middle.sums[middle.size : middle.size + middle.leaves]
+        rows += old[done:first], made
+        put.append((first, made, room))
+        done = last + 1
+    if all(len(made) == room for _, made, room in put) and 8 * sum(room for _, _, room in put) < tree.leaves:
+        for first, made, _ in put:  # few leaves: only the sums above them
+            for k, row in enumerate(made):
+                tree.put(first + k, row)
+    else:
+        tree = Tree.of(np.concatenate([*rows, old[done:]]))
+    pieces, upto = [], 0
+    for start, stop, new in edits:
+        pieces += text[upto:start], new
+        upto = stop
+    return tree, "".join([*pieces, text[upto:]]), work
+
+
 def edit_tree(tree: Tree, text: str, start: int, stop: int, new: str, counter: Counter) -> tuple[Tree, str, int]:
     """(tree, text, characters split anew) after text[start:stop] becomes ``new``; the tree given is changed or replaced."""
-    if not 0 <= start <= stop <= len(text):
-        raise ValueError(f"no such place: {start} to {stop} of {len(text)}")
-    edited, shift = text[:start] + new + text[stop:], len(new) - (stop - start)
-    first, at = tree.find(max(start - CONTEXT, 0))
-    # The leaf that holds start - CONTEXT may end at once before the edit; its start depends on nothing behind it.
-    while first and at + CONTEXT > start:
-        first -= 1
-        at -= int(tree.sums[tree.size + first, 0])
-    last, old_end = first, at + int(tree.sums[tree.size + first, 0])
-    while old_end < stop and last + 1 < tree.leaves:
-        last += 1
-        old_end += int(tree.sums[tree.size + last, 0])
-    words: list[str] = []
-    end = at
-    for m in counter.finditer(edited, at):
-        while old_end + shift < m.end() and last + 1 < tree.leaves:  # a pre-token reaches over the boundary: take in the next leaf
-            last += 1
-            old_end += int(tree.sums[tree.size + last, 0])
-        words.append(m.group())
-        end = m.end()
-        if end == old_end + shift and old_end >= stop and end >= start + len(new):
-            break
-    if end == len(edited):
-        last = tree.leaves - 1
-    counter.learn([words])
-    tokens = counter.count(words)
-    room = last - first + 1
-    if len(words) > CROWDED * room:
-        old = tree.sums[tree.size : tree.size + tree.leaves]
-        middle = Tree.build(words, tokens)
-        rows = np.concatenate([old[:first], middle.sums[middle.size : middle.size + middle.leaves], old[last + 1 :]])
-        return Tree.of(rows), edited, end - at
-    cuts = [len(words) * k // room for k in range(room + 1)]
-    for k in range(room):
-        part = words[cuts[k] : cuts[k + 1]]
-        tree.put(first + k, (sum(map(len, part)), int(tokens[cuts[k] : cuts[k + 1]].sum()), len(part)))
-    return tree, edited, end - at
+    return edit_all(tree, text, [(start, stop, new)], counter)
+
+
+def at_once(edits: Sequence[tuple[int, int, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """Edits that apply one after the other, in lists that may be applied at once: each stands before the one ahead of it in its list."""
+    run: list[tuple[int, int, str]] = []
+    for e in edits:
+        if run and e[1] > run[-1][0]:
+            yield run
+            run = []
+        run.append(e)
+    if run:
+        yield run
 
 
 def trees(text: Column, vocabulary_text) -> Column:
@@ -174,7 +260,11 @@ UPDATED = "n_tokens_before long, n_tokens long, n_chars long, n_edits int, recou
 
 
 def updated(text: Column, tree: Column, edits: Column, vocabulary_text) -> Column:
-    """``UPDATED`` struct after edits, applied in order, each at places of the text the ones before it left."""
+    """``UPDATED`` struct after edits, applied in order, each at places of the text the ones before it left.
+
+    Edits that each stand before the one ahead of them are applied at once; a
+    text is copied once for each such run of them.
+    """
 
     @F.arrow_udf(UPDATED)
     def of(texts: pa.Array, packed: pa.Array, changes: pa.Array) -> pa.Array:
@@ -182,8 +272,8 @@ def updated(text: Column, tree: Column, edits: Column, vocabulary_text) -> Colum
         for value, data, todo in zip(texts, packed, changes, strict=True):
             now, t = value.as_py() or "", Tree.unpacked(data.as_py())
             before, work, todo = t.tokens, 0, todo.as_py() or []
-            for e in todo:
-                t, now, n = edit_tree(t, now, e["start"], e["stop"], e["text"] or "", counter)
+            for run in at_once([(e["start"], e["stop"], e["text"] or "") for e in todo]):
+                t, now, n = edit_all(t, now, run, counter)
                 work += n
             rows.append((before, t.tokens, t.chars, len(todo), work, now, t.packed()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary())
@@ -246,7 +336,8 @@ def count_scrubbed(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ``COUNTED`` of every row of ``docs`` (doc_id, text) after scrubbing; text_sha256 is of the scrubbed text.
 
     Trees are built, edits found and counts updated in one pass without a
-    shuffle. Null is the empty text; very long texts are counted whole;
+    shuffle. Null is the empty text; very long texts are counted whole, in
+    linear time however many edits they take; an empty table gives no row;
     repeated rows come back as often; other columns are not read.
     """
     sent = send_vocabulary(docs.sparkSession, path)
@@ -259,10 +350,8 @@ def count_scrubbed(docs: DataFrame, path: str) -> DataFrame:
             counter.learn(words)
             built = [Tree.build(w, counter.count(w)) for w in words]
             for now, tree in zip(block, built, strict=True):
-                before, work, edits = tree.tokens, 0, scrub_edits(now)
-                for start, stop, new in edits:
-                    tree, now, n = edit_tree(tree, now, start, stop, new, counter)
-                    work += n
+                before, edits = tree.tokens, scrub_edits(now)
+                tree, now, work = edit_all(tree, now, edits, counter)
                 rows.append((before, tree.tokens, len(edits), tree.chars, work, hashlib.sha256(now.encode()).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)

@@ -210,6 +210,34 @@ def test_scrubbing_finds_what_plain_patterns_find():
         assert [e[:2] for e in token_counts.scrub_edits(text) if e[2] == "<email>"][::-1] == [m.span() for m in MAIL.finditer(text)], text
 
 
+def test_edits_at_once_are_those_one_by_one(library):
+    rng, counter = random.Random(12), token_counts.Counter(bpe.TrieEncoder(bpe.Vocabulary(open(BPE_FILE).read())))
+    some = lambda n: "".join(rng.choices("ab  \n1É'st.", k=n))
+    for _ in range(150):
+        text = some(rng.choice([0, 3, 90, 900, 4_000]))
+        places = sorted(rng.choices(range(len(text) + 1), k=2 * rng.choice([1, 2, 9, 40])))
+        edits = [(a, b, some(rng.choice([0, 0, 1, 5, 300]))) for a, b in zip(places[::2], places[1::2], strict=True)]
+        edits = [e for k, e in enumerate(edits) if not k or edits[k - 1][1] <= e[0] and edits[k - 1][0] < e[0]]
+        want = text
+        for a, b, new in edits[::-1]:
+            want = want[:a] + new + want[b:]
+        tree, got, _ = token_counts.edit_all(token_counts.build_tree(text, counter), text, edits, counter)
+        assert got == want and tree.chars == len(want) and tree.tokens == len(library.encode(want, add_special_tokens=False).ids)
+        assert (tree.sums[1] == tree.sums[tree.size : 2 * tree.size].sum(axis=0)).all()
+    assert [len(x) for x in token_counts.at_once([(9, 10, ""), (5, 7, ""), (6, 6, ""), (1, 2, "x")])] == [2, 2]
+
+
+def test_many_edits_of_a_long_text_take_linear_time(library):
+    """1 MB with 30,000 edits."""
+    counter = token_counts.Counter(bpe.TrieEncoder(bpe.Vocabulary(open(BPE_FILE).read())))
+    text = "write to a.b@mail.example.org now, " * 30_000
+    tree, edits = token_counts.build_tree(text, counter), token_counts.scrub_edits(text)
+    began = time.time()
+    tree, now, _ = token_counts.edit_all(tree, text, edits, counter)
+    assert time.time() - began < 5 and len(edits) == 30_000
+    assert now == "write to <email> now, " * 30_000 and tree.tokens == len(library.encode(now, add_special_tokens=False).ids)
+
+
 def test_scrubbing_takes_linear_time():
     began = time.perf_counter()
     for part in ("(", "+", "1 ", "+(", "@", "a@", "a.", "x" * 99 + "@", "9(", "-"):
