@@ -182,7 +182,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
     records.select(F.col("value").cast("string")).write.option("lineSep", line_end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", archive_records).option("compression", "none").text(path)
 
 
-READ = "type string, record_id string, refers_to string, digest string, origin string, number int, total long, payload_bytes long, payload binary"
+READ = "type string, record_id string, refers_to string, digest string, origin string, number int, total long, block_hash binary, payload_bytes long, payload binary"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -195,7 +195,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block_hash", pa.binary()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
         def row(h: dict[str, str], block: bytes) -> dict | None:
             kind, ident, digest = h.get("warc-type"), h.get("warc-record-id"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -203,7 +203,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 return {"type": kind, "record_id": ident, "refers_to": h.get("warc-refers-to"), "digest": digest}
             if kind == "continuation" or kind == "response" and "warc-segment-number" in h:
                 total = h.get("warc-segment-total-length")
-                return {"type": kind, "record_id": ident, "digest": digest, "origin": h.get("warc-segment-origin-id", ident), "number": int(h["warc-segment-number"]), "total": total and int(total), "payload": block}
+                return {"type": kind, "record_id": ident, "digest": digest, "origin": h.get("warc-segment-origin-id", ident), "number": int(h["warc-segment-number"]), "total": total and int(total), "block_hash": hashlib.sha256(block).digest(), "payload": block}
             if kind == "response":
                 payload = verified(payload_of(block), digest, ident)
                 return {"type": kind, "record_id": ident, "digest": payload_digest(payload), "payload_bytes": len(payload), "payload": payload if payloads else None}
@@ -249,19 +249,48 @@ def joined(numbers: list[int], totals: list[int | None], blocks: list[bytes], id
     return whole, len(numbers) // len(found)
 
 
+def one_of_each(parts: DataFrame) -> DataFrame:
+    """origin, number, total, digest, payload, n, forms of ``parts``: one row of each segment, which stands n times in so many forms.
+
+    Segments are counted without their blocks. Those archived more than once
+    are brought to one row by an aggregate that combines in each task before
+    the shuffle, so the copies of a record never meet; the others stay as they are.
+    """
+    counts = parts.groupBy("origin", "number").agg(F.count("*").alias("n"))
+    repeated = materialize(counts.filter("n > 1").select("origin").distinct(), "warc-repeated")
+    once = lambda df: df.select("origin", "number", "total", "digest", "payload", F.lit(1).cast("long").alias("n"), F.lit(1).alias("forms"))
+    if repeated.isEmpty():
+        return once(parts)
+    many = parts.join(repeated, "origin", "left_semi").groupBy("origin", "number").agg(
+        F.max("total").alias("total"), F.max("digest").alias("digest"), F.first("payload").alias("payload"), F.count("*").alias("n"),
+        F.when((F.min("block_hash") == F.max("block_hash")) & F.min("total").eqNullSafe(F.max("total")), 1).otherwise(2).alias("forms"),
+    )
+    return once(parts.join(repeated, "origin", "left_anti")).unionByName(many)
+
+
 def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
-    """type, record_id, digest, payload_bytes, payload of the segmented records among ``records``: a group is one record's parts."""
+    """type, record_id, digest, payload_bytes, payload of the segmented records among ``records``, each as often as it was archived: a group is one record's parts, each once.
+
+    ValueError where a segment is missing, comes in two forms, or is not as often there as the others.
+    """
 
     def join(parts: pa.Table) -> pa.Table:
         rows = parts.to_pylist()
-        ident = rows[0]["origin"]
-        whole, copies = joined([r["number"] for r in rows], [r["total"] for r in rows], [r["payload"] for r in rows], ident)
+        ident, copies = rows[0]["origin"], {r["n"] for r in rows}
+        if max(r["forms"] for r in rows) > 1:
+            raise ValueError(f"a segment of {ident} comes in two forms")
+        if len(copies) > 1:
+            raise ValueError(f"segments of {ident} are missing: they are there {sorted(copies)} times")
+        whole, _ = joined([r["number"] for r in rows], [r["total"] for r in rows], [r["payload"] for r in rows], ident)
         payload = verified(payload_of(whole), next((r["digest"] for r in rows if r["digest"]), None), ident)
-        row = {"type": "response", "record_id": ident, "digest": payload_digest(payload), "payload_bytes": len(payload), "payload": payload if payloads else None}
-        return pa.Table.from_pylist([row] * copies, pa.schema([("type", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]))
-
-    parts = records.filter("number is not null").select("origin", "number", "total", "digest", "payload")
-    return parts.groupBy("origin").applyInArrow(join, "type string, record_id string, digest string, payload_bytes long, payload binary")
+        row = {"type": "response", "record_id": ident, "digest": payload_digest(payload), "payload_bytes": len(payload), "payload": payload if payloads else None, "n": copies.pop()}
+        return pa.Table.from_pylist([row], pa.schema([("type", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("n", pa.int64())]))
+
+    parts = records.filter("number is not null").select("origin", "number", "total", "digest", "block_hash", "payload")
+    made = one_of_each(parts).groupBy("origin").applyInArrow(join, "type string, record_id string, digest string, payload_bytes long, payload binary, n long")
+    # Copies in thousands, so that no array grows with them.
+    thousands = made.withColumn("k", F.explode(F.expr("sequence(0, cast((n - 1) div 1000 as int))")))
+    return thousands.withColumn("copy", F.explode(F.expr("sequence(1, cast(least(1000, n - 1000 * k) as int))"))).drop("n", "k", "copy")
 
 
 def read_pages(spark: SparkSession, path: str, id_type: T.DataType, payloads: bool = False) -> DataFrame:
