@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -158,11 +158,16 @@ def solved(s: np.ndarray, mean: np.ndarray, n: int, pick: Sequence[int], y: int,
 def fit_multivariate(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], most: int = MAX_PREDICTORS) -> tuple[Model, dict[str, Column]] | None:
     """The stepwise model over rows complete in all candidates, and the columns it is made of; None under 20 rows or without a predictor."""
     columns = design(df, [c for c in numeric if c != target], [c for c in categorical if c != target])
-    names = [*columns, target]
-    g = gram(df, [*columns.values(), number(target)], FOLDS)
+    made = model_of(gram(df, [*columns.values(), number(target)], FOLDS), list(columns), target, most)
+    return (made, columns) if made else None
+
+
+def model_of(g: Gram, candidates: Sequence[str], target: str, most: int = MAX_PREDICTORS) -> Model | None:
+    """The stepwise model from the cross-products of the candidates and, last, the target."""
+    names = [*candidates, target]
     n, mean, s = g.total()
     y = len(names) - 1
-    if n < LEAST_ROWS or not columns or s[y, y] <= 0:
+    if n < LEAST_ROWS or not candidates or s[y, y] <= 0:
         return None
     pick = stepwise(s, n, y, names, most)
     if not pick:
@@ -171,7 +176,7 @@ def fit_multivariate(df: DataFrame, target: str, numeric: Sequence[str], categor
     model.weak = lasso_dropped(g, pick, y, names)
     if model.weak:
         model.notes.append(f"a cross-validated lasso would drop: {', '.join(model.weak)}")
-    return model, columns
+    return model
 
 
 @dataclass
@@ -186,6 +191,40 @@ class Diagnostics:
     verdict: str
 
 
+class Residuals:
+    """Sums over the residuals of a model, block by block: made from the cross-products of its predictors and, last, its target."""
+
+    def __init__(self, n: int, mean: np.ndarray, s: np.ndarray) -> None:
+        k = len(mean) - 1
+        self.n, self.k, self.mean, self.inverse = n, k, mean, np.linalg.inv(s[:k, :k])
+        self.w = self.inverse @ s[:k, k]
+        self.var = max(float(s[k, k] - s[:k, k] @ self.w), 0.0) / max(n - k - 1, 1)
+
+    @property
+    def width(self) -> int:
+        return 6 + self.k
+
+    def of(self, block: np.ndarray) -> np.ndarray:
+        n, k = self.n, self.k
+        x = block[:, :k] - self.mean[:k]
+        e = block[:, k] - self.mean[k] - x @ self.w
+        h = np.minimum(1 / n + np.einsum("ij,jk,ik->i", x, self.inverse, x), 1 - 1e-12)
+        cook = e**2 / ((k + 1) * self.var) * h / (1 - h) ** 2 if self.var else np.zeros(len(e))
+        return np.concatenate([[len(e), (e**2).sum(), (e**3).sum(), (e**4).sum(), (cook > 4 / n).sum(), e.sum()], (e**2) @ x])
+
+    def judged(self, m: np.ndarray) -> Diagnostics:
+        n = self.n
+        m2, m3, m4 = m[1] / n, m[2] / n, m[3] / n
+        jb = n / 6 * ((m3 / m2**1.5) ** 2 + (m4 / m2**2 - 3) ** 2 / 4) if m2 > 0 else 0.0
+        spread = m[3] - n * m2**2
+        bp = n * float(m[6:] @ self.inverse @ m[6:]) / spread if spread > 0 else 0.0
+        jb, bp, strong = float(jb), float(bp), int(m[4])
+        normal, even = chi2_tail(jb, 2), chi2_tail(bp, self.k)
+        found = {"residuals are not normal": normal < 0.05, "their spread changes with the predictors": even < 0.05, "over 5% of rows have much influence": strong > 0.05 * n}
+        problems = [text for text, holds in found.items() if holds]
+        return Diagnostics(n, jb, normal, bp, even, strong, problems, ("good", "caution", "poor")[min(len(problems), 2)])
+
+
 def diagnose(df: DataFrame, model: Model, columns: dict[str, Column]) -> Diagnostics:
     """Residual checks over the model's own rows: one pass for cross-products, one for residuals.
 
@@ -195,33 +234,8 @@ def diagnose(df: DataFrame, model: Model, columns: dict[str, Column]) -> Diagnos
     everything = [*columns.values(), number(model.target)]
     at = [list(columns).index(p) for p in model.predictors]
     held = complete(df, everything).select(*[f"x{j}" for j in at], f"x{len(columns)}")
-    k = len(at)
-    n, mean, s = gram(held, [F.col(c) for c in held.columns], 1).total()
-    inverse = np.linalg.inv(s[:k, :k])
-    w = inverse @ s[:k, k]
-    var = max(float(s[k, k] - s[:k, k] @ w), 0.0) / max(n - k - 1, 1)
-
-    def task(blocks: Iterator[np.ndarray]) -> np.ndarray:
-        out = np.zeros(6 + k)
-        for block in blocks:
-            x = block[:, :k] - mean[:k]
-            e = block[:, k] - mean[k] - x @ w
-            h = np.minimum(1 / n + np.einsum("ij,jk,ik->i", x, inverse, x), 1 - 1e-12)
-            cook = e**2 / ((k + 1) * var) * h / (1 - h) ** 2 if var else np.zeros(len(e))
-            out[:6] += [len(e), (e**2).sum(), (e**3).sum(), (e**4).sum(), (cook > 4 / n).sum(), e.sum()]
-            out[6:] += (e**2) @ x
-        return out
-
-    m = summed(held, task, 6 + k)[0]
-    m2, m3, m4 = m[1] / n, m[2] / n, m[3] / n
-    jb = n / 6 * ((m3 / m2**1.5) ** 2 + (m4 / m2**2 - 3) ** 2 / 4) if m2 > 0 else 0.0
-    spread = m[3] - n * m2**2
-    bp = n * float(m[6:] @ inverse @ m[6:]) / spread if spread > 0 else 0.0
-    jb, bp, strong = float(jb), float(bp), int(m[4])
-    normal, even = chi2_tail(jb, 2), chi2_tail(bp, k)
-    found = {"residuals are not normal": normal < 0.05, "their spread changes with the predictors": even < 0.05, "over 5% of rows have much influence": strong > 0.05 * n}
-    problems = [text for text, holds in found.items() if holds]
-    return Diagnostics(n, jb, normal, bp, even, strong, problems, ("good", "caution", "poor")[min(len(problems), 2)])
+    rest = Residuals(*gram(held, [F.col(c) for c in held.columns], 1).total())
+    return rest.judged(summed(held, lambda blocks: sum((rest.of(b) for b in blocks), np.zeros(rest.width)), rest.width)[0])
 
 
 @dataclass
@@ -242,9 +256,12 @@ def run_pca(df: DataFrame, numeric: Sequence[str], most: int = 8) -> Pca | None:
 
     Shares are of all components; a component's sign makes its largest loading positive.
     """
-    if len(numeric) < 3:
-        return None
-    n, mean, s = gram(df, [number(c) for c in numeric], 1).total()
+    return pca_of(gram(df, [number(c) for c in numeric], 1), numeric, most) if len(numeric) >= 3 else None
+
+
+def pca_of(g: Gram, numeric: Sequence[str], most: int = 8) -> Pca | None:
+    """Principal components from the columns' cross-products."""
+    n, mean, s = g.total()
     varying = [k for k in range(len(numeric)) if s[k, k] > 0]
     if n < 10 or len(varying) < 3:
         return None

@@ -26,6 +26,11 @@ class Gram:
         """(n, means, centred cross-products) over all folds."""
         return centred(self.n.sum(), self.sums.sum(axis=0), self.cross.sum(axis=0), self.center)
 
+    def only(self, columns: Sequence[int]) -> Gram:
+        """Some of the columns, in this order; rows stay those complete in all."""
+        at = np.asarray(columns, dtype=int)
+        return Gram(self.n, self.sums[:, at], self.cross[:, at[:, None], at[None, :]], self.center[at])
+
     def without(self, fold: int) -> tuple[int, np.ndarray, np.ndarray]:
         rest = [k for k in range(len(self.n)) if k != fold]
         return centred(self.n[rest].sum(), self.sums[rest].sum(axis=0), self.cross[rest].sum(axis=0), self.center)

@@ -73,10 +73,15 @@ def pearson_tests(df: DataFrame, columns: Sequence[str], rank: bool = True) -> l
         sums = pairwise(held, names)
         found = [(a, b, n, r) for a, b in combinations(range(len(columns)), 2) for n, r in [sums.correlation(a, b)] if n >= LEAST_PAIRS and r is not None]
         rho = spearman_of(held, names, sums.n, [(a, b) for a, b, _, _ in found]) if rank and found else {}
+    return pearson_of(columns, found, rho)
+
+
+def pearson_of(columns: Sequence[str], found: Sequence[tuple[int, int, int, float]], rho: dict[tuple[int, int], float | None]) -> list[PairTest]:
+    """Tests of (a, b, n, r), places in ``columns``."""
     out = []
     for a, b, n, r in found:
         t = math.inf if abs(r) == 1 else r * math.sqrt((n - 2) / (1 - r * r))
-        detail = {"r_squared": r * r} | ({"rho": rho[a, b]} if rank else {})
+        detail = {"r_squared": r * r} | ({"rho": rho[a, b]} if (a, b) in rho else {})
         out.append(PairTest(columns[a], columns[b], "num-num", "pearson", r, t_two_sided(t, n - 2), abs(r), "|r|", n, "positive" if r >= 0 else "negative", detail))
     return out
 
@@ -165,17 +170,20 @@ def anova_tests(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         groups[r["x"], r["c"]][r["level"]] = {"n": r["n"], "mean": r["mean"] + center[r["x"]]}
     out = []
     for (x, c), r in sorted(sums.items()):
-        k, rows, within = r["k"], r["n"], r["within"]
-        between = max(r["ss"] - r["s"] ** 2 / rows, 0.0)
+        between = max(r["ss"] - r["s"] ** 2 / r["n"], 0.0)
         # What rounding leaves of groups with equal means is no spread.
-        between = between if between > 1e-14 * r["ss"] else 0.0
-        if k < 2 or between + within <= 0:
-            continue
-        f = math.inf if within <= 0 else (between / (k - 1)) / (within / (rows - k))
-        eta = max(0.0, min(1.0, between / (between + within)))
-        detail = {"levels": k} | ({"groups": groups[x, c]} if k <= DETAIL_LEVELS else {})
-        out.append(PairTest(numeric[x], categorical[c], "num-cat", "anova", f, f_tail(f, k - 1, rows - k), eta, "eta squared", rows, "", detail))
-    return out
+        out.append(anova_of(numeric[x], categorical[c], r["k"], r["n"], between if between > 1e-14 * r["ss"] else 0.0, r["within"], groups[x, c]))
+    return [t for t in out if t]
+
+
+def anova_of(value: str, group: str, k: int, n: int, between: float, within: float, groups: dict[str, dict]) -> PairTest | None:
+    """The test of k groups with n rows in all, from the squares between and within them; None without two groups or spread."""
+    if k < 2 or between + within <= 0:
+        return None
+    f = math.inf if within <= 0 else (between / (k - 1)) / (within / (n - k))
+    eta = max(0.0, min(1.0, between / (between + within)))
+    detail = {"levels": k} | ({"groups": groups} if k <= DETAIL_LEVELS else {})
+    return PairTest(value, group, "num-cat", "anova", f, f_tail(f, k - 1, n - k), eta, "eta squared", n, "", detail)
 
 
 def chi_square_tests(df: DataFrame, categorical: Sequence[str]) -> list[PairTest]:
@@ -203,15 +211,21 @@ def chi_square_tests(df: DataFrame, categorical: Sequence[str]) -> list[PairTest
     for k, (a, b) in enumerate(pairs):
         if (r := found.get(k)) is None or min(r["levels_a"], r["levels_b"]) < 2:
             continue
-        n, dof = r["total_a"], (r["levels_a"] - 1) * (r["levels_b"] - 1)
+        n = r["total_a"]
         chi2 = r["chi2"] + float(n * n - int(r["there"])) / n
-        if dof == 1:  # all four cells are off by as much
-            chi2 = (r["off"] - min(0.5, r["off"])) ** 2 * n * r["inverse_a"] * r["inverse_b"]
-        v = min(1.0, math.sqrt(chi2 / (n * (min(r["levels_a"], r["levels_b"]) - 1))))
-        out.append(PairTest(a, b, "cat-cat", "chi-square", chi2, chi2_tail(chi2, dof), v, "Cramer's V", n, "", {"dof": dof}))
+        out.append(chi_square_of(a, b, r["levels_a"], r["levels_b"], n, chi2, r["off"], n * r["inverse_a"] * r["inverse_b"]))
     return out
 
 
+def chi_square_of(a: str, b: str, levels_a: int, levels_b: int, n: int, chi2: float, off: float, inverse: float) -> PairTest:
+    """``off``: by how much a cell differs from what is expected, at most; ``inverse``: the sum of 1 / expected. Both matter with one degree of freedom only."""
+    dof = (levels_a - 1) * (levels_b - 1)
+    if dof == 1:  # all four cells are off by as much
+        chi2 = (off - min(0.5, off)) ** 2 * inverse
+    v = min(1.0, math.sqrt(chi2 / (n * (min(levels_a, levels_b) - 1))))
+    return PairTest(a, b, "cat-cat", "chi-square", chi2, chi2_tail(chi2, dof), v, "Cramer's V", n, "", {"dof": dof})
+
+
 def all_pairs(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[PairTest]:
     """Every pair's test in column order, numeric columns first; one row a pair reaches the driver, whatever the number of rows and levels."""
     tests = pearson_tests(df, numeric) + anova_tests(df, numeric, categorical) + chi_square_tests(df, categorical)

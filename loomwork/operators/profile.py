@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,32 +149,53 @@ def rough_distinct(c: Column) -> Column:
     return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), F.lit(14))), F.lit(0).cast("long"))
 
 
-def _distinct(df: DataFrame) -> list[tuple[int, int, float]]:
-    """(rows, nulls, distinct) of each column: approximate for all in one pass, exact only where a rule could turn on the difference."""
+@dataclass
+class Summary:
+    """Of one column: rows, missing values, distinct values, mean and deviation of numbers, all values as text where there are few."""
+
+    rows: int
+    nulls: int
+    distinct: int
+    mean: float | None
+    deviation: float | None
+    values: list[str] | None
+
+
+def summaries(df: DataFrame) -> list[Summary]:
+    """Each column's summary, distinct values by a sketch in one pass; another pass has them exactly only where a rule could turn on the difference."""
     plain = [f for f in df.schema.fields if not is_nested(f.dataType)]
     rough = {r["column"]: r for r in _rough_counts(df).collect()}
-
     few = [f.name for f in plain if rough[f.name]["distinct"] <= 4 * MAX_LEVELS]
     share = lambda r: r["distinct"] / max(r["rows"] - r["nulls"], 1)
     unsure = few + [f.name for f in plain if f.name not in few and abs(share(rough[f.name]) - IDENTIFIER_SHARE) < 5 * ROUGH]
     # the sets of columns with few values stay small
-    exact = df.agg(*[(F.size(F.collect_set(quoted(c))) if c in few else F.countDistinct(quoted(c))).alias(f"c{k}") for k, c in enumerate(unsure)]).first() if unsure else ()
-    found = {c: r["distinct"] for c, r in rough.items()} | dict(zip(unsure, exact, strict=True))
-    return [(rough[c]["rows"], rough[c]["nulls"], found[c]) for c in df.columns]
-
+    exact = df.agg(*[(F.collect_set(quoted(c).cast("string")) if c in few else F.countDistinct(quoted(c))).alias(f"c{k}") for k, c in enumerate(unsure)]).first() if unsure else ()
+    known = dict(zip(unsure, exact, strict=True))
+    out = []
+    for c in df.columns:
+        r, found = rough[c], known.get(c, rough[c]["distinct"])
+        values = sorted(found) if isinstance(found, list) else None
+        out.append(Summary(r["rows"], r["nulls"], found if values is None else len(values), r["mean"], r["deviation"], values))
+    return out
 
 
 def _rough_counts(df: DataFrame) -> DataFrame:
-    parts = [F.struct(F.lit(f.name).alias("column"), F.count_if(quoted(f.name).isNull()).alias("nulls"), (F.lit(0).cast("long") if is_nested(f.dataType) else rough_distinct(quoted(f.name))).alias("distinct")).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]
-    found = df.agg(F.count("*").alias("rows"), *parts)
-    return found.select("rows", F.explode(F.array(*[F.col(f"c{k}") for k in range(len(df.columns))])).alias("x")).select("x.column", "rows", "x.nulls", "x.distinct")
+    def part(f: T.StructField) -> Column:
+        c = quoted(f.name)
+        value = c.cast("double") if is_number(f.dataType) or isinstance(f.dataType, T.BooleanType) else F.lit(None).cast("double")
+        value = F.when(~F.isnan(value), value)
+        distinct = F.lit(0).cast("long") if is_nested(f.dataType) else rough_distinct(c)
+        return F.struct(F.lit(f.name).alias("column"), F.count_if(c.isNull()).alias("nulls"), distinct.alias("distinct"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
 
+    found = df.agg(F.count("*").alias("rows"), *[part(f).alias(f"c{k}") for k, f in enumerate(df.schema.fields)])
+    return found.select("rows", F.explode(F.array(*[F.col(f"c{k}") for k in range(len(df.columns))])).alias("x")).select("x.column", "rows", "x.nulls", "x.distinct", "x.mean", "x.deviation")
 
-def classify(df: DataFrame) -> DataFrame:
-    """column, role (numeric, categorical or excluded), reason for every column; booleans are numbers, NaN is missing."""
+
+def roles_of(df: DataFrame, found: Sequence[Summary]) -> list[tuple[int, str, str, str | None]]:
+    """(position, column, role, reason) of every column."""
     rows = []
-    for k, (f, (total, nulls, distinct)) in enumerate(zip(df.schema.fields, _distinct(without_nan(df)), strict=True)):
-        filled, kind = total - nulls, f.dataType
+    for k, (f, s) in enumerate(zip(df.schema.fields, found, strict=True)):
+        filled, distinct, kind = s.rows - s.nulls, s.distinct, f.dataType
         if filled == 0:
             role, why = "excluded", "all values are missing"
         elif is_nested(kind) or isinstance(kind, T.BinaryType):
@@ -191,4 +213,10 @@ def classify(df: DataFrame) -> DataFrame:
         else:
             role, why = "categorical", None
         rows.append((k, f.name, role, why))
-    return df.sparkSession.createDataFrame(rows, "position int, column string, role string, reason string")
+    return rows
+
+
+def classify(df: DataFrame) -> DataFrame:
+    """column, role (numeric, categorical or excluded), reason for every column; booleans are numbers, NaN is missing."""
+    held = without_nan(df)
+    return df.sparkSession.createDataFrame(roles_of(df, summaries(held)), "position int, column string, role string, reason string")

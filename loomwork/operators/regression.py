@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.tails import f_tail
-from loomwork.operators.pairs import group_moments, number
+from loomwork.operators.moments import summed
+from loomwork.operators.pairs import Group, group_moments, number
 
 LEAST_ROWS = 12
-FORMS = ("linear", "log-x", "log-y", "log-log", "quadratic")
 
 
 @dataclass
@@ -45,62 +46,108 @@ def model_p(r2: float, n: int, k: int) -> float:
     return 0.0 if r2 >= 1 else f_tail(r2 / k / ((1 - r2) / (n - k - 1)), k, n - k - 1)
 
 
-def _pairs(df: DataFrame, target: str, predictors: Sequence[str]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
-    """(frame, its columns of each predictor and the target): both are null where either is; each value is made once a row."""
-    names = [*predictors, target]
-    held = df.select(*[number(c).alias(f"n{k}") for k, c in enumerate(names)])
-    y = F.col(f"n{len(predictors)}")
-    held = held.select(*[c for k in range(len(predictors)) for c in (F.when(y.isNotNull(), F.col(f"n{k}")).alias(f"x{k}"), F.when(F.col(f"n{k}").isNotNull(), y).alias(f"y{k}"))])
-    return held, [(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(len(predictors))]
+@dataclass
+class Ladder:
+    """Sums over the rows where predictor and target are there (``PREDICTOR`` x predictors x ``TARGET``): values less ``center``, powers in units of ``scale``."""
+
+    sums: np.ndarray
+    center: np.ndarray  # of the predictors, then of the target
+    scale: np.ndarray
 
 
 def ladder(df: DataFrame, target: str, predictors: Sequence[str]) -> list[Fit]:
     """All forms of all predictors: log forms only where every logged value is positive; three passes over the data in all.
 
-    The first gives means and bounds, the second all sums, the third the
-    residuals on the target's scale of the forms that log it.
+    The first gives means, the second all sums, the third the residuals on the
+    target's scale of the forms that log it.
     """
-    held, pairs = _pairs(df, target, predictors)
-    first = held.agg(*[F.struct(F.count(x).alias("n"), F.avg(x).alias("mx"), F.stddev_samp(x).alias("sx"), F.min(x).alias("lx"), F.avg(y).alias("my"), F.stddev_samp(y).alias("sy"), F.min(y).alias("ly")).alias(f"p{k}") for k, (x, y) in enumerate(pairs)]).first() if pairs else None
-    used, exprs, made = [], [], {}
-    for k, (x, y) in enumerate(pairs):
-        s = first[f"p{k}"]
-        if s["n"] < LEAST_ROWS or not s["sx"] or not s["sy"]:
-            continue
-        used.append(k)
-        made |= {f"z{k}": (x - s["mx"]) / s["sx"], f"v{k}": y - s["my"], f"lx{k}": F.ln(x), f"ly{k}": F.ln(y)}
-        z, v, lx, ly = (F.col(f"{n}{k}") for n in ("z", "v", "lx", "ly"))
-        shapes = {"linear": (x, y)} | ({"log-x": (lx, y)} if s["lx"] > 0 else {}) | ({"log-y": (x, ly)} if s["ly"] > 0 else {}) | ({"log-log": (lx, ly)} if min(s["lx"], s["ly"]) > 0 else {})
-        exprs.append(F.struct(*[F.struct(F.regr_slope(b, a).alias("b"), F.regr_intercept(b, a).alias("a"), F.regr_r2(b, a).alias("r2"), F.stddev_samp(a).alias("sa"), F.stddev_samp(b).alias("sb")).alias(f) for f, (a, b) in shapes.items()], *[F.sum(e).alias(n) for n, e in (("z2", z * z), ("z3", z * z * z), ("z4", z * z * z * z), ("zv", z * v), ("z2v", z * z * v), ("vv", v * v), ("z1", z), ("v1", v))]).alias(f"q{k}"))
-    if not used:
-        return []
-    second = held.withColumns(made).agg(*exprs).first()
+    names = [*predictors, target]
+    held = df.select(*[number(c).alias(f"x{k}") for k, c in enumerate(names)])
+    first = held.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in held.columns]).first()
+    center = np.array([first[c]["m"] or 0.0 for c in held.columns])
+    scale = np.array([first[c]["s"] or 1.0 for c in held.columns])
+    found = ladder_sums(held, center, scale)
+    fits, back = ladder_of(Ladder(found, center, scale), target, predictors)
+    if back:
+        at = {p: k for k, p in enumerate(predictors)}
+
+        def task(blocks: Iterator[np.ndarray]) -> np.ndarray:
+            out = np.zeros(len(back))
+            for block in blocks:
+                out += [back_residual(block[:, at[f.predictor]], block[:, -1], f.form, f.coefficients["intercept"], f.coefficients[f.predictor]) for f, _ in back]
+            return out
+
+        settle(back, summed(held, task, len(back))[0])
+    return fits
+
+
+def ladder_sums(held: DataFrame, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """``Ladder.sums`` of double columns, the target last: one pass."""
+    logs = np.array([math.log(c) if c > 0 else 0.0 for c in center])
+    shape = (8, len(center) - 1, 6)
+
+    def task(blocks: Iterator[np.ndarray]) -> np.ndarray:
+        out = np.zeros(shape)
+        for raw in blocks:
+            there = ~np.isnan(raw)
+            one, x, positive = there.astype(float), np.where(there, raw - center, 0.0), there & (raw > 0)
+            z, log = x / scale, np.where(positive, np.log(np.where(positive, raw, 1.0)) - logs, 0.0)
+            y = np.stack([one[:, -1], x[:, -1], x[:, -1] ** 2, log[:, -1], log[:, -1] ** 2, positive[:, -1]], axis=1)
+            out += np.stack([p[:, :-1].T @ y for p in (one, z, z**2, z**3, z**4, log, log**2, positive.astype(float))])
+        return out.reshape(1, -1)
+
+    found = summed(held, task, int(np.prod(shape)))
+    return found.reshape(shape) if len(found) else np.zeros(shape)
+
+
+def back_residual(x: np.ndarray, y: np.ndarray, form: str, a: float, b: float) -> float:
+    """The squared residuals, on the scale of y, of a fit to ln(y)."""
+    both = ~np.isnan(x) & ~np.isnan(y)
+    return float(((np.exp(a + b * (x[both] if form == "log-y" else np.log(x[both]))) - y[both]) ** 2).sum())
+
+
+def ladder_of(found: Ladder, target: str, predictors: Sequence[str]) -> tuple[list[Fit], list[tuple[Fit, float]]]:
+    """(fits, those to ln(y) with the target's squares): the latter's R2 are settle()d by their residuals."""
     fits: list[Fit] = []
-    back: list[tuple[Fit, Column]] = []
-    for k in used:
-        s, q, p = first[f"p{k}"], second[f"q{k}"].asDict(), predictors[k]
-        n, (x, y) = s["n"], pairs[k]
-        for form in FORMS[:4]:
-            if form not in q or q[form]["b"] is None:
+    back: list[tuple[Fit, float]] = []
+    cy, sy = found.center[-1], found.scale[-1]
+    ly = math.log(cy) if cy > 0 else 0.0
+    for k, p in enumerate(predictors):
+        s, cx, sx = found.sums[:, k, :], found.center[k], found.scale[k]
+        one, z, z2, z3, z4, log, log2, positive = s
+        n, lx = int(one[0]), math.log(cx) if cx > 0 else 0.0
+        # (sum, squares, center, unit) of each side; (sum of products) by form
+        left = {"x": (z[0], z2[0], cx, sx), "ln": (log[0], log2[0], lx, 1.0)}
+        right = {"y": (one[1], one[2], cy, 1.0), "ln": (one[3], one[4], ly, 1.0)}
+        sst = right["y"][1] - right["y"][0] ** 2 / n if n else 0.0
+        spread = z2[0] - z[0] ** 2 / n if n else 0.0
+        if n < LEAST_ROWS or spread <= 1e-14 * z2[0] or sst <= 1e-14 * right["y"][1]:
+            continue
+        all_x, all_y = positive[0] == n, one[5] == n
+        for form, a, b, product, able in (("linear", "x", "y", z[1], True), ("log-x", "ln", "y", log[1], all_x), ("log-y", "x", "ln", z[3], all_y), ("log-log", "ln", "ln", log[3], all_x and all_y)):
+            if not able:
                 continue
-            a, b, r2 = q[form]["a"], q[form]["b"], q[form]["r2"]
-            if r2 is None:
+            (ta, qa, ca, ua), (tb, qb, cb, ub) = left[a], right[b]
+            va, vb, cab = qa - ta * ta / n, qb - tb * tb / n, product - ta * tb / n
+            if va <= 0 or vb <= 0:
                 continue
-            fit = Fit(p, form, n, r2, r2, adjusted(r2, n, 1), model_p(r2, n, 1), {"intercept": a, p: b}, b * q[form]["sa"] / q[form]["sb"] if q[form]["sb"] else None, "positive" if b >= 0 else "negative", _equation(target, p, form, a, b))
+            slope, r2 = float(cab / va * ub / ua), float(min(1.0, cab * cab / (va * vb)))
+            intercept = float(cb + ub * tb / n - slope * (ca + ua * ta / n))
+            fit = Fit(p, form, n, r2, r2, adjusted(r2, n, 1), model_p(r2, n, 1), {"intercept": intercept, p: slope}, float(cab / va * math.sqrt(va / vb)), "positive" if slope >= 0 else "negative", _equation(target, p, form, intercept, slope))
             fits.append(fit)
-            if form in ("log-y", "log-log"):
+            if b == "ln":
                 fit.caveat = f"fitted on ln({target}); R2 is stated on the scale of {target}"
-                back.append((fit, F.exp(F.lit(a) + F.lit(b) * (x if form == "log-y" else F.ln(x))) - y))
-        fits += [f for f in [_quadratic(target, p, n, s, q)] if f]
-    if back:
-        third = held.agg(*[F.sum(e * e).alias(f"r{k}") for k, (_, e) in enumerate(back)]).first()
-        for k, (fit, _) in enumerate(back):
-            i = predictors.index(fit.predictor)
-            q = second[f"q{i}"]
-            sst = q["vv"] - q["v1"] ** 2 / fit.n
-            fit.r2 = 1 - third[f"r{k}"] / sst
-            fit.adj_r2 = adjusted(fit.r2, fit.n, 1)
-    return fits
+                back.append((fit, float(sst)))
+        moments = {"mx": float(cx), "sx": float(sx), "my": float(cy)}
+        sums = {"z1": z[0], "z2": z2[0], "z3": z3[0], "z4": z4[0], "zv": z[1], "z2v": z2[1], "v1": one[1], "vv": one[2]}
+        fits += [f for f in [_quadratic(target, p, n, moments, {a: float(b) for a, b in sums.items()})] if f]
+    return fits, back
+
+
+def settle(back: Sequence[tuple[Fit, float]], residuals: Sequence[float]) -> None:
+    for (fit, sst), rest in zip(back, residuals, strict=True):
+        fit.r2 = float(1 - rest / sst)
+        fit.adj_r2 = adjusted(fit.r2, fit.n, 1)
 
 
 def _equation(target: str, p: str, form: str, a: float, b: float) -> str:
@@ -128,22 +175,30 @@ def _quadratic(target: str, p: str, n: int, s, q: dict) -> Fit | None:
 
 def categorical_fits(df: DataFrame, target: str, predictors: Sequence[str]) -> list[Fit]:
     """Level means as a regression on dummies, the first level in text order the baseline; groups of any size."""
-    out = []
-    for (_, p), groups in group_moments(df, [target], predictors).items():
-        n, k = sum(g.n for g in groups), len(groups) - 1
-        grand = sum(g.n * g.mean for g in groups) / n
-        between, within = sum(g.n * (g.mean - grand) ** 2 for g in groups), sum(g.m2 for g in groups)
-        if n < LEAST_ROWS or k < 1 or between + within <= 0:
-            continue
-        r2 = between / (between + within)
-        coefficients = {"intercept": groups[0].mean} | {f"{p}_{g.level}": g.mean - groups[0].mean for g in groups[1:]}
-        out.append(Fit(p, "categorical", n, r2, r2, adjusted(r2, n, k), model_p(r2, n, k), coefficients, None, "", f"{target} = mean of {p}"))
-    return sorted(out, key=lambda f: list(predictors).index(f.predictor))
+    fits = [categorical_of(target, p, groups) for (_, p), groups in group_moments(df, [target], predictors).items()]
+    return sorted((f for f in fits if f), key=lambda f: list(predictors).index(f.predictor))
+
+
+def categorical_of(target: str, p: str, groups: Sequence[Group]) -> Fit | None:
+    """The fit of level means, levels in text order; None under 12 rows, with one level or without spread."""
+    if not groups:
+        return None
+    n, k = sum(g.n for g in groups), len(groups) - 1
+    grand = sum(g.n * g.mean for g in groups) / n
+    between, within = sum(g.n * (g.mean - grand) ** 2 for g in groups), sum(g.m2 for g in groups)
+    if n < LEAST_ROWS or k < 1 or between + within <= 0:
+        return None
+    r2 = between / (between + within)
+    coefficients = {"intercept": groups[0].mean} | {f"{p}_{g.level}": g.mean - groups[0].mean for g in groups[1:]}
+    return Fit(p, "categorical", n, r2, r2, adjusted(r2, n, k), model_p(r2, n, k), coefficients, None, "", f"{target} = mean of {p}")
 
 
 def best_fits(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str]) -> list[Fit]:
     """Each predictor's form with the best finite adjusted R2, best first; the earlier form and predictor of equals."""
-    fits = ladder(df, target, [c for c in numeric if c != target]) + categorical_fits(df, target, [c for c in categorical if c != target])
+    return best_of(ladder(df, target, [c for c in numeric if c != target]) + categorical_fits(df, target, [c for c in categorical if c != target]))
+
+
+def best_of(fits: Sequence[Fit]) -> list[Fit]:
     best: dict[str, Fit] = {}
     for f in fits:
         if math.isfinite(f.adj_r2) and (f.predictor not in best or f.adj_r2 > best[f.predictor].adj_r2):

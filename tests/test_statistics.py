@@ -258,3 +258,33 @@ def test_scan_finds_planted_truth_and_no_decoys(spark, tutorial, tmp_path):
         scan.scan(tutorial, "date")
     part = scan.scan(tutorial, None, max_rows=300)
     assert part.sampled and part.n_rows == 1095 and part.model is None
+
+
+def test_one_pass_says_what_the_single_tests_say(spark):
+    """The scan's tests, drivers and model against those made one by one, with values missing here and there and levels in some rows only."""
+    rng = np.random.default_rng(21)
+    n = 700
+    a, b = rng.uniform(1, 9, n), rng.normal(size=n)
+    g = np.array(["x", "y", "z"])[rng.integers(0, 3, n)]
+    h = np.array(["p", "q"])[(rng.random(n) < 0.3 + 0.2 * (g == "x")).astype(int)]
+    y = np.exp(0.2 * a) + (g == "z") * 2 + rng.normal(0, 0.2, n) + 3
+    holes = lambda v: np.where(rng.random(n) < 0.1, np.nan, v)
+    df = frame(spark, y=holes(y), a=holes(a), b=b, flag=rng.random(n) < 0.5, g=g, h=h).withColumn("g", F.when(F.col("b") < 1.5, F.col("g"))).repartition(5)
+    numeric, categorical = ["y", "a", "b", "flag"], ["g", "h"]
+    got = scan.scan(df, "y")
+    want = pairs.all_pairs(profile.without_nan(df), numeric, categorical)
+    assert [(t.a, t.b, t.kind, t.n, t.direction) for t in got.tests] == [(t.a, t.b, t.kind, t.n, t.direction) for t in want] and len(want) == 15
+    for x, w in zip(got.tests, want, strict=True):
+        assert np.allclose([x.statistic, x.p_value, x.effect], [w.statistic, w.p_value, w.effect], rtol=1e-8, atol=1e-12)
+        assert set(x.detail) == set(w.detail)
+        if "rho" in w.detail:
+            assert math.isclose(x.detail["rho"], w.detail["rho"], rel_tol=1e-9, abs_tol=1e-12)
+    fits = regression.best_fits(profile.without_nan(df), "y", numeric, categorical)
+    assert [(f.predictor, f.form, f.n) for f in got.drivers] == [(f.predictor, f.form, f.n) for f in fits]
+    assert np.allclose([f.adj_r2 for f in got.drivers], [f.adj_r2 for f in fits], rtol=1e-8)
+    made, columns = model.fit_multivariate(profile.without_nan(df), "y", numeric, categorical)
+    assert got.model.predictors == made.predictors and got.model.n == made.n
+    assert np.allclose(list(got.model.coefficients.values()), list(made.coefficients.values()), rtol=1e-7)
+    d = model.diagnose(profile.without_nan(df), made, columns)
+    assert np.allclose([got.diagnostics.jarque_bera, got.diagnostics.breusch_pagan, got.diagnostics.influential], [d.jarque_bera, d.breusch_pagan, d.influential], rtol=1e-6)
+    assert np.allclose(got.pca.explained, model.run_pca(profile.without_nan(df), numeric).explained, rtol=1e-9)
