@@ -6,14 +6,15 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.nodes import column, quoted, sample
-from loomwork.operators.ranks import quantiles
+from loomwork.operators.ranks import quantiles, with_medians
 
 SCALES = ("linear", "log")
-AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "median": F.median, "count": F.count, "min": F.min, "max": F.max}
+#: A median is no aggregate expression: it comes from ranks.
+AGGREGATES: dict[str, Callable[[Column], Column] | None] = {"sum": F.sum, "mean": F.avg, "median": None, "count": F.count, "min": F.min, "max": F.max}
 #: Default limits of groups on an axis, of points, of box groups and of series (fixed values).
 GROUPS, POINTS, BOXES, SERIES = 30, 5_000, 16, 8
 
@@ -103,6 +104,9 @@ def aggregated(df: DataFrame, spec: ChartSpec) -> DataFrame:
     """x, series, y of every group whose x is there."""
     x = quoted(column(df, spec.x))
     series = quoted(column(df, spec.color)).cast("string") if spec.color else F.lit(None).cast("string")
+    if spec.agg == "median":
+        held = df.filter(x.isNotNull()).select(x.alias("x"), series.alias("series"), quoted(column(df, spec.y)).cast("double").alias("v"))
+        return with_medians(held.select("x", "series").distinct(), held, {"x": F.col("x"), "series": F.col("series")}, {"y": F.col("v")})
     y = F.count("*") if spec.agg == "count" and not spec.y else AGGREGATES[spec.agg](quoted(column(df, spec.y)))
     return df.filter(x.isNotNull()).groupBy(x.alias("x"), series.alias("series")).agg(y.cast("double").alias("y"))
 
@@ -197,15 +201,20 @@ def chart(df: DataFrame, spec: ChartSpec | Mapping) -> ChartData:
     return {"scatter": scatter, "box": box, "histogram": histogram}.get(spec.mark, grouped_chart)(df, spec)
 
 
-def fold_series(data: DataFrame, most: int = SERIES, order: list[Column] | None = None) -> DataFrame:
-    """Series beyond the first ``most`` by first appearance in the order become "Other"; a missing series stays missing.
+def fold_series(data: DataFrame, most: int = SERIES, by: str = "y") -> DataFrame:
+    """Series beyond the first ``most`` by first appearance become "Other"; a missing series stays missing.
 
-    Chart data is small by its limits, so the order is one window.
+    Rows are in order of falling y, then x, or with ``by="x"`` of x. A series
+    first appears at the minimum of these, a grouped aggregate, and the
+    ``most`` first series are kept: there may be any number of them.
     """
-    order = order or [F.col("y").desc_nulls_last(), F.col("x"), F.col("series")]
-    placed = data.withColumn("__at", F.row_number().over(Window.orderBy(*order)))
-    first = placed.filter("series is not null").groupBy("series").agg(F.min("__at").alias("__first")).withColumn("__rank", F.row_number().over(Window.orderBy("__first"))).select("series", "__rank")
-    return placed.join(F.broadcast(first), "series", "left").withColumn("series", F.when(F.col("__rank") > most, "Other").otherwise(F.col("series"))).drop("__at", "__rank").select(*data.columns)
+    if by not in ("x", "y"):
+        raise ValueError(f"series are ordered by x or y, not {by!r}")
+    place = F.struct(F.col("y").isNull().alias("none"), (-F.col("y")).alias("y"), F.col("x").alias("x")) if by == "y" else F.struct(F.col("x").alias("x"))
+    first = data.filter("series is not null").groupBy("series").agg(F.min(place).alias("first"))
+    kept = first.orderBy("first", "series").limit(most).select(F.col("series").alias("__kept"))
+    out = data.join(F.broadcast(kept), F.col("series") == F.col("__kept"), "left")
+    return out.withColumn("series", F.when(F.col("series").isNotNull() & F.col("__kept").isNull(), "Other").otherwise(F.col("series"))).select(*data.columns)
 
 
 @dataclass

@@ -185,12 +185,63 @@ def outliers(df: DataFrame, column_name: str, method: str = "iqr", factor: float
     return found if action == "flag" else found.filter(~F.col("is_outlier")).drop("is_outlier")
 
 
-def sample(df: DataFrame, rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """Exactly ``rows`` rows, or all: those of the least seeded hash, the same ones however the input is partitioned."""
+#: Samples of so many rows or fewer are the best of each task, merged; larger ones are cut at a hash found from counts.
+SMALL_SAMPLE = 10_000
+#: Bits of the hash that a histogram tells apart, and rows of a bin whose hashes are looked at one by one.
+SAMPLE_BITS, SAMPLE_BIN = 12, 100_000
+
+
+def sample(df: DataFrame, rows: int = 10_000, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
+    """Exactly ``rows`` rows, or all: those of the least seeded hash, the same ones however the input is partitioned.
+
+    The hash is of all columns, or with ``keys`` the first 60 bits of the MD5
+    of ``seed:key:key...`` as text, which other engines can make too. A large
+    sample is a filter: histograms of the hash find the one at which to cut,
+    so nothing is sorted and no task gets the sample.
+    """
     if rows < 1:
         raise ValueError("a sample has one row at least")
-    plain = [F.to_json(F.struct(quoted(f.name))) if _has_map(f.dataType) else quoted(f.name) for f in df.schema.fields]
-    return df.withColumn("__h", F.xxhash64(F.lit(seed), *plain)).orderBy("__h").limit(rows).drop("__h")
+    if keys:
+        text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(quoted(column(df, k)).cast("string"), F.lit("")) for k in keys])
+        h = F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long")
+    else:
+        h = F.xxhash64(F.lit(seed), *[F.to_json(F.struct(quoted(f.name))) if _has_map(f.dataType) else quoted(f.name) for f in df.schema.fields])
+    if rows <= SMALL_SAMPLE:
+        return df.withColumn("__h", h).orderBy("__h").limit(rows).drop("__h")
+    cut, more = cut_off(df.select(h.alias("h")), rows)
+    if cut is None:
+        return df
+    held = df.withColumn("__h", h)
+    below, ties = held.filter(F.col("__h") < cut), held.filter(F.col("__h") == cut)
+    return (below.unionByName(ties.limit(more)) if more else below).drop("__h")
+
+
+def cut_off(hashes: DataFrame, rows: int) -> tuple[int | None, int]:
+    """(hash, n) such that ``rows`` rows of ``hashes`` (h) are below the hash or among n that have it; (None, 0) if there are no more rows than that.
+
+    A histogram of the hash's leading bits finds the bin in which the cut
+    falls, one of the next bits looks into it, until few rows are left.
+    """
+    low, bits, need = -(1 << 63), 64, rows
+    while True:
+        bits = max(bits - SAMPLE_BITS, 0)
+        bin_ = F.shiftright(F.col("h") - F.lit(low) if bits < 52 else F.col("h"), bits)
+        top = low if bits < 52 else 0
+        span = hashes if bits == 52 else hashes.filter((F.col("h") >= low) & (F.col("h") <= low + (1 << (bits + SAMPLE_BITS)) - 1))
+        counts = sorted((r["b"], r["n"]) for r in span.groupBy(bin_.alias("b")).agg(F.count("*").alias("n")).collect())
+        if bits == 52 and sum(n for _, n in counts) <= rows:
+            return None, 0
+        for b, n in counts:
+            if n >= need:
+                break
+            need -= n
+        low = top + (b << bits)
+        if n <= SAMPLE_BIN or not bits:
+            exact = hashes.filter((F.col("h") >= low) & (F.col("h") <= low + (1 << bits) - 1)).groupBy("h").agg(F.count("*").alias("n")).collect() if bits else [(low, n)]
+            for h, n in sorted(map(tuple, exact)):
+                if n >= need:
+                    return h, need
+                need -= n
 
 
 def _has_map(kind: T.DataType) -> bool:

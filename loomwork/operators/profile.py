@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.operators.nodes import column, quoted, sample
-from loomwork.operators.ranks import quantiles
+from loomwork.operators.ranks import distinct_values, quantiles, with_medians
 
 BINS = 10
 TOP = 8
 ROWS = 200
-METRICS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median, "stddev": F.stddev_samp}
+METRICS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp}
+#: Metrics that are no aggregate expression.
+MEDIAN = "median"
 
 
 def is_number(kind: T.DataType) -> bool:
@@ -95,35 +97,58 @@ def column_stats(df: DataFrame, name: str, accuracy: int | None = None) -> DataF
     Both are exact, the median by ranges of values; ``accuracy`` takes approximate ones.
     """
     c, numeric = quoted(column(df, name)), is_number(df.schema[column(df, name)].dataType)
-    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), (rough_distinct(c) if accuracy else F.count_distinct(c)).alias("distinct")]
+    parts = [F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls")] + ([rough_distinct(c).alias("distinct")] if accuracy else [])
     if numeric:
         parts += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("stddev")]
     if numeric and accuracy:
         parts.append(F.percentile_approx(c, 0.5, accuracy).cast("double").alias("median"))
     found = df.agg(*parts)
-    return found.crossJoin(F.broadcast(quantiles(df, c, (0.5,)).select(F.col("q0").alias("median")))) if numeric and not accuracy else found
+    if accuracy:
+        return found
+    # One row each.
+    more = quantiles(df, c, (0.5,)).select(F.col("levels").alias("distinct"), F.col("q0").alias("median")) if numeric else distinct_values(df, c)
+    whole = found.crossJoin(F.broadcast(more))
+    return whole.select("rows", "nulls", "distinct", *[x for x in whole.columns if x not in ("rows", "nulls", "distinct")])
 
 
 def governed_aggregate(df: DataFrame, metrics: Sequence[tuple[str, str]], group_by: Sequence[str] = (), limit: int = ROWS, min_group_size: int = 1) -> DataFrame:
     """Aggregates only, never a row: (metric, column) pairs of a closed list, named ``metric_column``, ordered by the keys.
 
+    Medians are exact, by ranges of the values of the groups that are shown.
     ``count`` of ``*`` counts rows. Groups under ``min_group_size`` rows are left out. At most ``limit`` and 200 rows.
     """
     if not metrics:
         raise ValueError("an aggregate needs a metric")
 
     def one(metric: str, name: str) -> Column:
-        if metric not in METRICS:
-            raise ValueError(f"unknown metric {metric!r}: {', '.join(METRICS)}")
         if name == "*":
             if metric != "count":
                 raise ValueError(f"{metric} needs a column")
             return F.count("*").alias("count_rows")
         return METRICS[metric](quoted(column(df, name))).alias(f"{metric}_{column(df, name)}")
 
-    keys = [column(df, g) for g in group_by]
-    found = df.groupBy(*map(quoted, keys)).agg(*[one(m, c) for m, c in metrics], F.count("*").alias("__n"))
-    return found.filter(F.col("__n") >= min_group_size).drop("__n").orderBy(*[quoted(k).asc_nulls_last() for k in keys]).limit(max(1, min(limit, ROWS)))
+    if unknown := [m for m, _ in metrics if m not in METRICS and m != MEDIAN]:
+        raise ValueError(f"unknown metric {unknown[0]!r}: {', '.join([*METRICS, MEDIAN])}")
+    if (MEDIAN, "*") in metrics:
+        raise ValueError("median needs a column")
+    keys, medians = [column(df, g) for g in group_by], {f"median_{column(df, c)}": quoted(column(df, c)) for m, c in metrics if m == MEDIAN}
+    order = [quoted(k).asc_nulls_last() for k in keys]
+    found = df.groupBy(*map(quoted, keys)).agg(*[one(m, c) for m, c in metrics if m != MEDIAN], F.count("*").alias("__n"))
+    sort = lambda x: x.orderBy(*order) if order else x
+    found = sort(found.filter(F.col("__n") >= min_group_size).drop("__n")).limit(max(1, min(limit, ROWS)))
+    if not medians:
+        return found
+    # Medians of the groups that are shown, which are few.
+    shown = df
+    if keys:
+        few = F.broadcast(found.select(*[quoted(k).alias(f"__s{i}") for i, k in enumerate(keys)]))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & quoted(k).eqNullSafe(F.col(f"__s{i}"))
+        shown = df.join(few, same, "left_semi")
+    out = with_medians(found, shown, {k: quoted(k) for k in keys}, medians)
+    named = [f"{m}_{column(df, c)}" if c != "*" else "count_rows" for m, c in metrics]
+    return sort(out.select(*map(quoted, [*keys, *named])))
 
 
 def capped(df: DataFrame, rows: int = ROWS) -> DataFrame:

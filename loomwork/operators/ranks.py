@@ -45,6 +45,29 @@ def quantiles(df: DataFrame, value: Column, shares: Sequence[float], by: Sequenc
     return found.select(*keys, *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q{i}") for i in range(len(shares))], "n", "levels")
 
 
+def with_medians(groups: DataFrame, df: DataFrame, keys: dict[str, Column], medians: dict[str, Column]) -> DataFrame:
+    """``groups`` with exact medians of ``df`` by name, a null key a key as any; ``keys``: columns of ``groups`` and what they are of ``df``.
+
+    Each median comes from cumulated counts of its values, so a group may hold
+    any number of them.
+    """
+    for name, value in medians.items():
+        found = quantiles(df, value, (0.5,), list(keys.values())).select(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))], F.col("q0").alias(name))
+        if not keys:
+            groups = groups.crossJoin(F.broadcast(found))  # one row
+            continue
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+        groups = groups.join(found, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    return groups
+
+
+def distinct_values(df: DataFrame, value: Column) -> DataFrame:
+    """One row, distinct: how many values there are, null left out; values are grouped and counted, none held in a set."""
+    return df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.lit(1)).agg(F.count("*").alias("distinct"))
+
+
 def smallest_after(df: DataFrame, value: Column, measure: Column) -> DataFrame:
     """value, least: of each distinct value the least ``measure`` of it and of all larger values; ``measure`` may use before, n, total, value."""
     held = materialize(cumulated(df, value).withColumn("m", measure).repartitionByRange("value").withColumn("part", F.spark_partition_id()), "least")

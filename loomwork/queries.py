@@ -188,6 +188,12 @@ def n14_sample(spark, sf_dir):
     return nodes.sample(table(spark, sf_dir, "lineitem"), 5000, seed=7).agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY left(md5('7:' || l_orderkey || ':' || l_linenumber), 15) LIMIT 20000")
+def n14_large_sample(spark, sf_dir):
+    """More rows than a task's best are merged for; which rows they are depends on their keys only."""
+    return nodes.sample(table(spark, sf_dir, "lineitem"), 20_000, 7, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+
+
 # --- mapping ------------------------------------------------------------------
 
 PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium"}
@@ -316,6 +322,11 @@ def p5_governed_aggregate(spark, sf_dir):
     return rounded(profile.governed_aggregate(table(spark, sf_dir, "orders"), [("count", "*"), ("avg", "o_totalprice"), ("median", "o_totalprice"), ("stddev", "o_totalprice")], ["o_orderstatus", "o_orderpriority"], min_group_size=5), 4)
 
 
+@query("SELECT count(*) AS rows, count(*) - count(o_orderpriority) AS nulls, count(DISTINCT o_orderpriority) AS distinct FROM orders")
+def p4_text_column_stats(spark, sf_dir):
+    return profile.column_stats(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
 @query("SELECT CAST(least(200, count(DISTINCT l_partkey)) AS INTEGER) AS n FROM lineitem")
 def p6_capped(spark, sf_dir):
     return profile.capped(table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"))).agg(F.count("*").cast("int").alias("n"))
@@ -518,6 +529,12 @@ def v2_line(spark, sf_dir):
     return charts.chart(orders, charts.ChartSpec("line", "day", "", "o_orderstatus", "count")).df
 
 
+@query("SELECT p_brand AS x, p_size::VARCHAR AS series, round(median(p_retailprice), 4) AS y FROM part WHERE p_brand IS NOT NULL GROUP BY ALL ORDER BY y DESC, x, series LIMIT 30")
+def v1_median_bar(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return rounded(charts.chart(part, charts.ChartSpec("bar", "p_brand", "p_retailprice", "p_size", "median")).df, 4)
+
+
 @query("SELECT least(count(*), 5000) AS n FROM lineitem")
 def v3_scatter(spark, sf_dir):
     return charts.chart(table(spark, sf_dir, "lineitem"), charts.ChartSpec("scatter", "l_quantity", "l_extendedprice", "l_returnflag")).df.agg(F.count("*").alias("n"))

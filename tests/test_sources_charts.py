@@ -9,46 +9,53 @@ from loomwork.sources import files, pages, push, records
 
 
 def test_json_paths(spark):
-    df = spark.createDataFrame([('{"data":{"items":[{"id":1,"user":{"name":"ann"}},{"id":2}]}}',), ('{"data":{"items":null}}',), ("not json",)], "body string")
-    docs = records.parse_documents(df, "body")
-    got = records.to_table(docs, "data.items", {"id": "id", "who": "user.name", "none": "x.y[0]", "raw": "user"}, "body")
-    assert sorted(map(tuple, got.collect()), key=repr) == [(1, "ann", None, '{"name":"ann"}'), (2, None, None, None)]
-    one = records.to_table(docs, "", {"first": "data.items[0].user.name", "last": "data.items[-1].id", "all": "data.items[*].id", "over": "data.items.id", "far": "data.items[7].id"}, "body")
-    assert ("ann", 2, "[1,2]", "[1,2]", None) in list(map(tuple, one.collect()))
-    assert records.parse_path("a.b[0].c[*]") == ["a", "b", 0, "c", "*"]
+    """Bell towers of a valley: lists in lists, a tower without bells, a body that is cut off."""
+    valley = '{"valley":"Enn","towers":[{"bells":[{"kg":310,"cast":{"by":"Oda","in":[1702,1711]}},{"kg":95.5}],"steps":64},{"bells":[],"steps":7}]}'
+    docs = records.parse_documents(spark.createDataFrame([(valley,), ('{"valley":"Ost","towers":null}',), ('{"valley":',)], "sheet string"), "sheet")
+    bells = records.to_table(docs, "towers[0].bells", {"weight": "kg", "founder": "cast.by", "recast": "cast.in[-1]", "cast": "cast", "pitch": "tone.hz[2]"}, "sheet")
+    assert sorted(map(tuple, bells.collect()), key=repr) == [(310.0, "Oda", 1711, '{"by":"Oda","in":[1702,1711]}', None), (95.5, None, None, None, None)]
+    whole = records.to_table(docs, "", {"name": "valley", "steps": "towers.steps", "each": "towers[*].steps", "low": "towers[-1].steps", "third": "towers[2].steps"}, "sheet")
+    assert ("Enn", "[64,7]", "[64,7]", 7, None) in list(map(tuple, whole.collect()))
+    assert records.parse_path("m[3][*].n.o[-2]") == ["m", 3, "*", "n", "o", -2]
     with pytest.raises(ValueError):
-        records.parse_path("a[x]")
+        records.parse_path("m[one]")
 
 
 def test_json_inference_and_flattening(spark, tmp_path):
-    body = '{"total":2,"issues":[{"key":"A-1","fields":{"summary":"s","status":{"name":"open"},"tags":["x"]}},{"key":"A-2","fields":{"summary":"t","status":{"name":"done"}}}]}'
-    docs = records.parse_documents(spark.createDataFrame([(body,)], "body string"), "body")
-    path, columns = records.infer_mapping(docs, "body")
-    assert path == "issues" and columns["fields_status_name"] == "fields.status.name"
-    flat = records.to_table(docs, path, None, "body")
-    assert flat.columns == ["fields.status.name", "fields.summary", "fields.tags", "key"] and flat.filter("`fields.tags` = '[\"x\"]'").count() == 1
-    deep = spark.read.json(spark.createDataFrame([('{"a":{"b":{"c":{"d":{"e":1}}}}}',)], "v string").rdd.map(lambda r: r[0]))
-    assert records.to_table(deep).first().asDict() == {"a.b.c.d": '{"e":1}'}
-    odd = records.parse_documents(spark.createDataFrame([('{"n":1,"few":[{"a":1}],"many":[{"a":1},{"a":2}]}',)], "body string"), "body")
-    assert records.infer_mapping(odd, "body")[0] == "many"
-
-
-WIKI = """<html><body><nav><table><tr><td>Home</td><td>About</td></tr></table></nav><h1>Countries [1]</h1>
-<table><caption>GDP by country[a]</caption><thead><tr><th>Country</th><th colspan="2">GDP</th></tr><tr><th>Country</th><th>nominal[2]</th><th>nominal[3]</th></tr></thead>
-<tr><td>A</td><td>1</td><td>2</td></tr><tr><td rowspan="2">B</td><td>3 [x]</td><td>4</td></tr><tr><td>5</td><td>6</td></tr></table>
-<table><tr><td>legend</td><td>x</td></tr></table><h2>Other &amp; more</h2><table><tr><td>p</td><td>q</td></tr><tr><td>r</td></tr></table></body></html>"""
+    """A log of a hut's birds: a list under a customary name, though another is longer; then one where length decides."""
+    hut = '{"season":9,"rows":[{"bird":"wren","seen":{"from":{"hut":3,"path":"low"},"times":[5,8]}}],"guests":[{"n":1},{"n":2},{"n":4}]}'
+    docs = records.parse_documents(spark.createDataFrame([(hut,)], "sheet string"), "sheet")
+    path, columns = records.infer_mapping(docs, "sheet")
+    assert path == "rows" and columns["seen_from_hut"] == "seen.from.hut" and columns["bird"] == "bird"
+    flat = records.to_table(docs, path, None, "sheet")
+    assert flat.columns == ["bird", "seen.from.hut", "seen.from.path", "seen.times"] and flat.first()["seen.times"] == "[5,8]"
+    tide = spark.read.json(spark.createDataFrame([('{"p":{"q":{"r":{"s":{"t":[true]}}}},"u":0}',)], "v string").rdd.map(lambda r: r[0]))
+    assert records.to_table(tide).first().asDict() == {"p.q.r.s": '{"t":[true]}', "u": 0}
+    lengths = records.parse_documents(spark.createDataFrame([('{"oars":[{"cm":1}],"ropes":[{"cm":1},{"cm":2}],"mast":{"cm":9}}',)], "sheet string"), "sheet")
+    assert records.infer_mapping(lengths, "sheet")[0] == "ropes"
+
+
+#: A harbour's page: a header of two rows whose second one names the halves of the tide, a cell that spans rows, a table too small to count, one without a caption under a heading.
+HARBOUR = """<html><head><title>Pilot's notes</title></head><body><h3>Depths &amp; tides[c]</h3>
+<table><thead><tr><th>Buoy</th><th colspan="2">Tide [m]</th><th>Lit</th></tr><tr><th>Buoy</th><th>low</th><th>low</th><th>Lit</th></tr></thead>
+<caption>Soundings [7] off the pier</caption><tr><td rowspan="3">North</td><td>1.5[b]</td><td>1.7</td><td>yes</td></tr><tr><td>0.9</td><td>1.1</td><td>no</td></tr>
+<tr><td>0.2</td><td>0.4</td><td>no</td></tr></table><table><tr><td>only one row</td><td>here</td></tr></table>
+<footer><table><tr><td>a</td></tr><tr><td>b</td></tr></table></footer><h4>Dues</h4><table><tr><td>yawl</td><td>12</td></tr><tr><td>barge</td></tr></table></body></html>"""
+NOTICE = "<style>p{}</style><h1>Ebb <i>and</i> flow</h1><script>document.write('<p>ad</p>')</script><header><p>menu</p></header><p>The bar dries.<p>Keep <em>east</em></p>"
 
 
 def test_html_tables(spark):
-    df = spark.createDataFrame([(1, "http://x.org/wiki/List_of-A/", WIKI), (2, "http://y.org", "<title>T</title><script>var t='<p>no</p>'</script><nav><p>no</p></nav><p>one <b>two</b><p>three</p>"), (3, "u", None)], "page_id int, url string, html string")
-    got = [tuple(r) for r in pages.extract_tables(df).orderBy("table_index", "row_index").collect()]
-    assert got == [
-        (1, 1, "GDP by country", 0, {"Country": "A", "GDP nominal": "1", "GDP nominal_2": "2"}), (1, 1, "GDP by country", 1, {"Country": "B", "GDP nominal": "3", "GDP nominal_2": "4"}), (1, 1, "GDP by country", 2, {"Country": "B", "GDP nominal": "5", "GDP nominal_2": "6"}),
-        (1, 3, "Other & more", 0, {"0": "p", "1": "q"}), (1, 3, "Other & more", 1, {"0": "r", "1": ""}),
-    ]
-    assert {tuple(r) for r in pages.dataset_names(df).collect()} == {(1, "table", 1, "list_of_a_gdp_by_country"), (1, "table", 3, "list_of_a_other_more"), (2, "article", None, "y_org")}
-    assert pages.extract_tables(df, max_tables=1).select("table_index").distinct().count() == 1 and pages.dataset_names(df, tables_only=True).count() == 2
-    assert [tuple(r) for r in pages.extract_articles(df).filter("page_id = 2").collect()] == [(2, "T", "one two\n\nthree")]
+    df = spark.createDataFrame([(7, "https://quay.example/charts/North_Pier.2/", HARBOUR), (8, "https://quay.example", NOTICE), (9, "w", None)], "page_id int, url string, html string")
+    tables = {}
+    for r in pages.extract_tables(df).orderBy("table_index", "row_index").collect():
+        tables.setdefault((r[0], r[2]), []).append(r[4])
+    depths = [{"Buoy": "North", "Tide low": low, "Tide low_2": high, "Lit": lit} for low, high, lit in (("1.5", "1.7", "yes"), ("0.9", "1.1", "no"), ("0.2", "0.4", "no"))]
+    assert tables == {(7, "Soundings off the pier"): depths, (7, "Dues"): [{"0": "yawl", "1": "12"}, {"0": "barge", "1": ""}]}
+    named = {tuple(r)[:2] + (r[3],) for r in pages.dataset_names(df).collect()}
+    assert named == {(7, "table", "north_pier_2_soundings_off_the_pier"), (7, "table", "north_pier_2_dues"), (8, "article", "quay_example")}
+    assert pages.dataset_names(df, tables_only=True).count() == 2
+    assert pages.extract_tables(df, max_tables=1).select("table_index").distinct().count() == 1
+    assert [tuple(r) for r in pages.extract_articles(df).filter("page_id = 8").collect()] == [(8, "Ebb and flow", "The bar dries.\n\nKeep east")]
 
 
 def test_files_catalog_and_reports(spark, tmp_path):
