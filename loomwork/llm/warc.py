@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,7 +204,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 return {"type": kind, "record_id": ident, "refers_to": h.get("warc-refers-to"), "digest": digest}
             if kind == "continuation" or kind == "response" and "warc-segment-number" in h:
                 total = h.get("warc-segment-total-length")
-                return {"type": kind, "record_id": ident, "digest": digest, "origin": h.get("warc-segment-origin-id", ident), "number": int(h["warc-segment-number"]), "total": total and int(total), "block_hash": hashlib.sha256(block).digest(), "payload": block}
+                return {"type": kind, "record_id": ident, "digest": digest, "origin": h.get("warc-segment-origin-id", ident), "number": int(h["warc-segment-number"]), "total": total and int(total), "block_hash": xxhash.xxh3_128_digest(block), "payload": block}
             if kind == "response":
                 payload = verified(payload_of(block), digest, ident)
                 return {"type": kind, "record_id": ident, "digest": payload_digest(payload), "payload_bytes": len(payload), "payload": payload if payloads else None}
