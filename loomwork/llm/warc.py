@@ -206,8 +206,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 total = h.get("warc-segment-total-length")
                 return {"type": kind, "record_id": ident, "digest": digest, "origin": h.get("warc-segment-origin-id", ident), "number": int(h["warc-segment-number"]), "total": total and int(total), "block_hash": xxhash.xxh3_128_digest(block), "payload": block}
             if kind == "response":
-                payload = verified(payload_of(block), digest, ident)
-                return {"type": kind, "record_id": ident, "digest": payload_digest(payload), "payload_bytes": len(payload), "payload": payload if payloads else None}
+                payload = payload_of(block)
+                return {"type": kind, "record_id": ident, "digest": verified(payload, digest, ident), "payload_bytes": len(payload), "payload": payload if payloads else None}
             return None
 
         for batch in batches:
@@ -227,10 +227,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, READ)
 
 
-def verified(payload: bytes, digest: str | None, ident: str | None) -> bytes:
-    if digest is not None and payload_digest(payload) != digest:
+def verified(payload: bytes, digest: str | None, ident: str | None) -> str:
+    """The payload's digest; ValueError if another one is declared."""
+    found = payload_digest(payload)
+    if digest not in (None, found):
         raise ValueError(f"payload of {ident} does not have the digest {digest}")
-    return payload
+    return found
 
 
 def joined(numbers: list[int], totals: list[int | None], blocks: list[bytes], ident: str) -> tuple[bytes, int]:
@@ -270,25 +272,43 @@ def one_of_each(parts: DataFrame) -> DataFrame:
 
 
 def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
-    """type, record_id, digest, payload_bytes, payload of the segmented records among ``records``, each as often as it was archived: a group is one record's parts, each once.
+    """type, record_id, digest, payload_bytes, payload of the segmented records among ``records``, each as often as it was archived.
 
+    Segments come grouped by origin and in order; a task holds one record's.
     ValueError where a segment is missing, comes in two forms, or is not as often there as the others.
     """
+    schema = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("n", pa.int64())])
 
-    def join(parts: pa.Table) -> pa.Table:
-        rows = parts.to_pylist()
-        ident, copies = rows[0]["origin"], {r["n"] for r in rows}
-        if max(r["forms"] for r in rows) > 1:
+    def whole(ident: str, rows: list[tuple]) -> dict:
+        """rows: (number, total, digest, block, n, forms)."""
+        if max(r[5] for r in rows) > 1:
             raise ValueError(f"a segment of {ident} comes in two forms")
-        if len(copies) > 1:
+        if len(copies := {r[4] for r in rows}) > 1:
             raise ValueError(f"segments of {ident} are missing: they are there {sorted(copies)} times")
-        whole, _ = joined([r["number"] for r in rows], [r["total"] for r in rows], [r["payload"] for r in rows], ident)
-        payload = verified(payload_of(whole), next((r["digest"] for r in rows if r["digest"]), None), ident)
-        row = {"type": "response", "record_id": ident, "digest": payload_digest(payload), "payload_bytes": len(payload), "payload": payload if payloads else None, "n": copies.pop()}
-        return pa.Table.from_pylist([row], pa.schema([("type", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("n", pa.int64())]))
+        block, _ = joined([r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows], ident)
+        payload = payload_of(block)
+        digest = verified(payload, next((r[2] for r in rows if r[2]), None), ident)
+        return {"type": "response", "record_id": ident, "digest": digest, "payload_bytes": len(payload), "payload": payload if payloads else None, "n": copies.pop()}
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ident, rows, out, size = None, [], [], 0
+        for batch in batches:
+            for origin, *row in zip(*(batch[c].to_pylist() for c in ("origin", "number", "total", "digest", "payload", "n", "forms")), strict=True):
+                if origin != ident and rows:
+                    out.append(whole(ident, rows))
+                    size, rows = size + (len(out[-1]["payload"] or b"")), []
+                    if size > 8_000_000 or len(out) >= 5_000:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, size = [], 0
+                ident = origin
+                rows.append(tuple(row))
+        if rows:
+            out.append(whole(ident, rows))
+        yield pa.RecordBatch.from_pylist(out, schema)
 
     parts = records.filter("number is not null").select("origin", "number", "total", "digest", "block_hash", "payload")
-    made = one_of_each(parts).groupBy("origin").applyInArrow(join, "type string, record_id string, digest string, payload_bytes long, payload binary, n long")
+    ordered = one_of_each(parts).repartition("origin").sortWithinPartitions("origin", "number")
+    made = ordered.mapInArrow(join, "type string, record_id string, digest string, payload_bytes long, payload binary, n long")
     # Copies in thousands, so that no array grows with them.
     thousands = made.withColumn("k", F.explode(F.expr("sequence(0, cast((n - 1) div 1000 as int))")))
     return thousands.withColumn("copy", F.explode(F.expr("sequence(1, cast(least(1000, n - 1000 * k) as int))"))).drop("n", "k", "copy")
