@@ -15,6 +15,7 @@ from loomwork.operators.moments import FOLDS, Gram, complete, gram, summed
 from loomwork.operators.nodes import quoted
 from loomwork.operators.pairs import number
 from loomwork.operators.regression import adjusted, model_p
+from loomwork.scratch import materialize, scratch
 
 LEAST_ROWS, MAX_PREDICTORS, HIGH_VIF = 20, 12, 10.0
 
@@ -36,18 +37,35 @@ class Model:
     notes: list[str] = field(default_factory=list)
 
 
-def design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, Column]:
+#: Levels of all categories together up to which cross-products of all of them are made at once; with more, those of levels are counted as they are picked.
+DENSE_LEVELS = 1_000
+
+
+def levels_of(df: DataFrame, categorical: Sequence[str], most: int) -> dict[str, list[str]] | None:
+    """The levels of each category in text order; None if there are more than ``most`` in all."""
+    if not categorical:
+        return {}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), quoted(c).cast("string").alias("v")) for c in categorical])).alias("e")
+    found = df.select(each).select("e.*").filter("v is not null").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    out: dict[str, list[str]] = {c: [] for c in categorical}
+    for r in sorted(found, key=lambda r: r["v"].encode()):
+        out[r["c"]].append(r["v"])
+    return out
+
+
+def dummy(name: str, level: str) -> Column:
+    """0 or 1, null where the column is."""
+    return F.when(quoted(name).isNotNull(), (quoted(name).cast("string") == level).cast("double"))
+
+
+def design(numeric: Sequence[str], levels: dict[str, list[str]]) -> dict[str, Column]:
     """Predictor columns: numbers, and 0/1 columns ``name_level`` for all levels but the first in text order.
 
     A dummy is null where its column is, so that complete rows are those of all candidates.
     """
-    out = {c: number(c) for c in numeric}
-    for c in categorical:
-        levels = sorted(r[0] for r in df.select(quoted(c).cast("string").alias("v")).filter("v is not null").distinct().limit(1_001).collect())
-        if len(levels) > 1_000:
-            raise ValueError(f"{c!r} has more than 1,000 levels")
-        out |= {f"{c}_{v}": F.when(quoted(c).isNotNull(), (quoted(c).cast("string") == v).cast("double")) for v in levels[1:]}
-    return out
+    return {c: number(c) for c in numeric} | {f"{c}_{v}": dummy(c, v) for c, of in levels.items() for v in of[1:]}
 
 
 def _bic(ssr: float, n: int, k: int) -> float:
@@ -157,11 +175,94 @@ def solved(s: np.ndarray, mean: np.ndarray, n: int, pick: Sequence[int], y: int,
 
 def fit_multivariate(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], most: int = MAX_PREDICTORS) -> tuple[Model, dict[str, Column]] | None:
     """The stepwise model over rows complete in all candidates, and the columns it is made of; None under 20 rows or without a predictor."""
-    columns = design(df, [c for c in numeric if c != target], [c for c in categorical if c != target])
+    numeric, categorical = [c for c in numeric if c != target], [c for c in categorical if c != target]
+    levels = levels_of(df, categorical, DENSE_LEVELS)
+    if levels is None:
+        return fit_many_levels(df, target, numeric, categorical, most)
+    columns = design(numeric, levels)
     made = model_of(gram(df, [*columns.values(), number(target)], FOLDS), list(columns), target, most)
     return (made, columns) if made else None
 
 
+def fit_many_levels(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], most: int = MAX_PREDICTORS) -> tuple[Model, dict[str, Column]] | None:
+    """fit_multivariate() for categories of any number of levels: the same model, from sparse cross-products.
+
+    Of a level only its rows, and its sums of numbers and target, are kept, as
+    a row of a table. Each round that table tells, on the executors, by how
+    much each level would lower the squares left, given what is picked; one row
+    reaches the driver. When a level is picked, the rows that have it are
+    counted by the levels of the other columns, and the table gets a number more.
+    """
+    with scratch(df.sparkSession):
+        x, k = [f"x{i}" for i in range(len(numeric))], len(numeric)
+        made = [*[number(c).alias(n) for n, c in zip(x, numeric, strict=True)], number(target).alias("y"), *[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)]]
+        held = materialize(df.select(*made).dropna(), "model-rows")
+        g = gram(held, [F.col(c) for c in [*x, "y"]], 1)
+        n, mean, s = g.total()
+        if n < LEAST_ROWS or s[k, k] <= 0:
+            return None
+        every = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"c{i}").alias("v")) for i in range(len(categorical))])).alias("e")
+        shifted = [F.sum(F.col(c) - F.lit(float(m))).alias(f"s_{c}") for c, m in zip([*x, "y"], mean, strict=True)]
+        table = held.select(*x, "y", every).groupBy("e.c", "e.v").agg(F.count("*").alias("n"), *shifted)
+        first = table.groupBy("c").agg(F.min("v").alias("v"))
+        names = F.element_at(F.array(*map(F.lit, categorical)), F.col("c") + 1)
+        # cross: with what is picked, in its order
+        table = materialize(table.join(F.broadcast(first), ["c", "v"], "left_anti").select("*", F.concat(names, F.lit("_"), F.col("v")).alias("name"), F.array().cast("array<double>").alias("cross")), "model-levels")
+        picked: list[tuple[str, object]] = []  # (name, place among the numbers or (column, level))
+        a, b = np.zeros((0, 0)), np.zeros(0)
+        best = _bic(s[k, k], n, 1)
+        while len(picked) < most:
+            inverse = np.linalg.inv(a) if len(picked) else a
+            left = float(s[k, k] - b @ inverse @ b)
+            options = []
+            for j in range(k):
+                if s[j, j] > 0 and j not in [place for _, place in picked]:
+                    cross = np.array([s[j, place] if isinstance(place, int) else place[2][j] for _, place in picked])
+                    own, with_y = s[j, j] - cross @ inverse @ cross, s[j, k] - cross @ inverse @ b
+                    if own > 1e-12 * s[j, j]:
+                        options.append((left - with_y**2 / own, numeric[j], j, cross, s[j, j], s[j, k]))
+            variance = F.col("n") - F.col("n") * F.col("n") / F.lit(float(n))
+            dot = lambda w: F.aggregate(F.zip_with("cross", F.array(*[F.lit(float(v)) for v in w]).cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
+            solved_cross = F.array(*[dot(row) for row in inverse]).cast("array<double>")
+            quadratic = F.aggregate(F.zip_with("cross", solved_cross, lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
+            own, with_y = variance - quadratic, F.col("s_y") - dot(inverse @ b)
+            done = [F.lit(name) for name, place in picked if not isinstance(place, int)]
+            able = table.filter(~F.col("name").isin(done)) if done else table
+            able = able.select("*", variance.alias("variance"), own.alias("own"), (F.lit(left) - with_y * with_y / own).alias("rest")).filter("variance > 0 and own > 1e-12 * variance")
+            # Ties at 9 digits of the criterion are settled by name, as among numbers.
+            scored = able.withColumn("bic", F.round(F.lit(n * (math.log(2 * math.pi) + 1) + (len(picked) + 2) * math.log(n)) + n * F.ln(F.greatest("rest", F.lit(1e-300)) / n), 9))
+            if top := scored.orderBy("bic", "name").first():
+                options.append((top["rest"], top["name"], top, np.array(top["cross"]), top["variance"], top["s_y"]))
+            trials = [(round(_bic(max(rest, 0.0), n, len(picked) + 2), 9), name, place, cross, own, with_y) for rest, name, place, cross, own, with_y in options]
+            if not trials or min(t[:2] for t in trials)[0] >= best:
+                break
+            best, name, place, cross, own, with_y = min(trials, key=lambda t: t[:2])
+            a, b = np.block([[a, cross[:, None]], [cross[None, :], np.array([[own]])]]), np.append(b, with_y)
+            if isinstance(place, int):
+                table = table.withColumn("cross", F.array_append("cross", F.col(f"s_x{place}")))
+                picked.append((name, place))
+            else:
+                both = held.filter(F.col(f"c{place['c']}") == place["v"]).select(every).groupBy("e.c", "e.v").agg(F.count("*").alias("both"))
+                more = F.coalesce("both", F.lit(0)) - F.col("n") * F.lit(place["n"] / n)
+                table = table.join(both, ["c", "v"], "left").withColumn("cross", F.array_append("cross", more)).drop("both")
+                picked.append((name, (place["c"], place["v"], [place[f"s_{c}"] for c in x])))
+            table = materialize(table, "model-levels")
+        if not picked:
+            return None
+        columns = {name: number(numeric[place]) if isinstance(place, int) else dummy(categorical[place[0]], place[1]) for name, place in picked}
+        own = [F.col(f"x{place}") if isinstance(place, int) else (F.col(f"c{place[0]}") == place[1]).cast("double") for _, place in picked]
+        g = gram(held, [*own, F.col("y")], FOLDS)
+    n, mean, s = g.total()
+    pick, y = list(range(len(picked))), len(picked)
+    model = solved(s, mean, n, pick, y, [*columns, target], target)
+    model.weak = lasso_dropped(g, pick, y, [*columns, target])
+    if model.weak:
+        model.notes.append(f"a cross-validated lasso would drop: {', '.join(model.weak)}")
+    # The other candidates say which rows are complete.
+    rest = {c: number(c) for c in numeric if c not in columns} | {f"{c} is there": F.when(quoted(c).isNotNull(), F.lit(1.0)) for c in categorical}
+    return model, columns | rest
+
+
 def model_of(g: Gram, candidates: Sequence[str], target: str, most: int = MAX_PREDICTORS) -> Model | None:
     """The stepwise model from the cross-products of the candidates and, last, the target."""
     names = [*candidates, target]

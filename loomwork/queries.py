@@ -488,6 +488,23 @@ def p16_best_fits(spark, sf_dir):
     return regression.fits_frame(spark, regression.best_fits(worth(spark, sf_dir), "worth", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]))
 
 
+FORMS_SQL = """SELECT '{x}' AS predictor, CAST(n AS BIGINT) AS n, form, r2, 1 - (1 - r2) * (n - 1) / (n - k - 1) AS adj_r2 FROM (
+  SELECT n, unnest([{'form': 'linear', 'k': 1, 'r2': lin}, {'form': 'log-x', 'k': 1, 'r2': lg}, {'form': 'quadratic', 'k': 2, 'r2': quad}], recursive := true) FROM (
+    SELECT n, lin, CASE WHEN least_x > 0 THEN lg END AS lg, ((p * c - q * b) / (a * c - b * b) * p + (a * q - b * p) / (a * c - b * b) * q) / v AS quad FROM (
+      SELECT count(*) AS n, min({x}) AS least_x, regr_r2(worth, {x}) AS lin, regr_r2(worth, ln(CASE WHEN {x} > 0 THEN {x} END)) AS lg, covar_pop(z, z) AS a, covar_pop(z, z*z) AS b, covar_pop(z*z, z*z) AS c, covar_pop(z, worth) AS p, covar_pop(z*z, worth) AS q, var_pop(worth) AS v
+      FROM (SELECT *, ({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () AS z FROM w)))) WHERE r2 IS NOT NULL"""
+LEVEL_SQL = """SELECT '{x}' AS predictor, CAST(n AS BIGINT) AS n, 'categorical' AS form, r2, 1 - (1 - r2) * (n - 1) / (n - k - 1) AS adj_r2 FROM (SELECT sum(n) AS n, count(*) - 1 AS k, sum(n * (m - grand)^2) / (sum(n * (m - grand)^2) + sum(m2)) AS r2
+  FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS grand FROM (SELECT {x}, count(*) AS n, avg(worth) AS m, var_pop(worth) * count(*) AS m2 FROM w GROUP BY 1)))"""
+WORTH_SQL = "SELECT l_extendedprice + 500 * l_quantity - 40000 * l_discount + CASE WHEN l_returnflag = 'R' THEN 3000 ELSE 0 END AS worth, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem"
+
+
+#: Worth falls below zero, so no form takes its logarithm.
+@query(f"WITH w AS ({WORTH_SQL}), f AS ({' UNION ALL '.join([FORMS_SQL.replace('{x}', x) for x in ('l_quantity', 'l_discount', 'l_tax')] + [LEVEL_SQL.replace('{x}', x) for x in ('l_returnflag', 'l_linestatus')])}) SELECT predictor, form, n, round(r2, 7) AS r2, round(adj_r2, 7) AS adj_r2 FROM f QUALIFY row_number() OVER (PARTITION BY predictor ORDER BY adj_r2 DESC) = 1")
+def p16_best_forms(spark, sf_dir):
+    fits = regression.best_fits(worth(spark, sf_dir), "worth", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"])
+    return rounded(regression.fits_frame(spark, fits).select("predictor", "form", "n", "r2", "adj_r2"), 7)
+
+
 @query()
 def p17_model(spark, sf_dir):
     rows = worth(spark, sf_dir)
@@ -511,6 +528,32 @@ def p23_scan(spark, sf_dir):
     return scan.scan(worth(spark, sf_dir), "worth").frame(spark)
 
 
+FLAGS, WORTHS = ["l_returnflag", "l_linestatus"], ["worth", "l_quantity", "l_discount", "l_tax"]
+PAIR_SQL = (
+    [f"SELECT a, b, 'correlation' AS kind, printf('Where %s is higher, %s tends to be %s (r = %+.2f; %.0f%% of the variation is shared).', a, b, CASE WHEN r >= 0 THEN 'higher' ELSE 'lower' END, r, 100 * r * r) AS headline, '|r|' AS effect_name, p, abs(r) AS effect, n FROM ({filled(PEARSON_SQL.replace(' AS p_value', ' AS p').replace('FROM lineitem', 'FROM w'), a=a, b=b)})" for i, a in enumerate(WORTHS) for b in WORTHS[i + 1 :]]
+    + [f"SELECT a, b, 'group-difference', printf('The average of %s differs between the groups of %s, which go with %.0f%% of its variation.', a, b, 100 * eta), 'eta squared', p, eta, n FROM ({filled(ANOVA_SQL, a=a, b=b, t='w')})" for a in WORTHS for b in FLAGS]
+    + [f"SELECT a, b, 'association', printf('%s and %s are not independent (Cramer''s V = %.2f).', a, b, v), 'Cramer''s V', p, v, n FROM ({filled(CHI_SQL, a=FLAGS[0], b=FLAGS[1], t='w')})"]
+)
+FINDING_SQL = f"""WITH w AS ({WORTH_SQL}) SELECT kind, CASE kind WHEN 'group-difference' THEN a || ' by ' || b ELSE a || ' and ' || b END AS title, headline, effect_name, round(effect, 6) AS effect, CASE WHEN effect >= 0.5 THEN 'strong' WHEN effect >= 0.3 THEN 'moderate' WHEN effect >= 0.1 THEN 'weak' ELSE 'negligible' END AS strength, round(q, 7) AS q_value, q <= 0.05 AS significant, n
+  FROM (SELECT *, least(1, min(p * m / k) OVER (ORDER BY k DESC)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM ({' UNION ALL '.join(PAIR_SQL)})))"""
+
+
+@query(FINDING_SQL)
+def p24_findings(spark, sf_dir):
+    """What a scan without a target says of all pairs, found or rejected."""
+    result = scan.scan(worth(spark, sf_dir).select(*WORTHS, *FLAGS))
+    told = result.frame(spark).withColumn("significant", F.lit(True)).unionByName(result.frame(spark, False).withColumn("significant", F.lit(False)))
+    return rounded(rounded(told.select("kind", "title", "headline", "effect_name", "effect", "strength", "q_value", "significant", "n"), 6, ["effect"]), 7, ["q_value"])
+
+
+@query(f"SELECT 'lines' AS dataset, CAST(NULL AS VARCHAR) AS target, 42 AS seed, kind, title, strength, q_value, n FROM ({FINDING_SQL}) WHERE significant")
+def p25_saved_pairs(spark, sf_dir):
+    """The findings of all pairs, written with their lineage and read back."""
+    path = scratch_path(spark, "findings")
+    scan.save_findings(spark, scan.scan(worth(spark, sf_dir).select(*WORTHS, *FLAGS), name="lines"), path)
+    return rounded(spark.read.parquet(path).select("dataset", "target", "seed", "kind", "title", "strength", "q_value", "n"), 7)
+
+
 # --- charts -----------------------------------------------------------------------
 
 
@@ -700,6 +743,17 @@ def f4_run_outputs(spark, sf_dir):
     return spark.read.parquet(path).withColumn("written", F.lit(report.written).cast("long"))
 
 
+@query("SELECT o_orderkey, o_totalprice, 2 AS sinks, (SELECT count(*) FROM orders WHERE o_totalprice > 200000) AS written, (SELECT least(1000, count(*)) FROM orders WHERE o_totalprice > 200000) AS planned FROM orders WHERE o_totalprice > 200000")
+def n16_table_and_request_sinks(spark, sf_dir):
+    """One flow into a table and into planned requests; the table is replaced, the requests are a dry run of their own."""
+    made = flow.Flow().add("in", "input_file", {"path": f"{sf_dir}/orders.parquet"}).add("large", "filter", {"expression": "o_totalprice > 200000"}).add("kept", "select", {"keep": ["o_orderkey", "o_totalprice"]})
+    made.add("table", "output_dataset", {"table": "loomwork_large_orders"}).add("rest", "output_rest", {"url_template": "https://api.example.com/orders/{o_orderkey}", "method": "PUT", "key_column": "o_orderkey", "order": ["o_orderkey"]})
+    made.connect("in", "large").connect("large", "kept").connect("kept", "table").connect("kept", "rest")
+    reports = flow.run_outputs(spark, made, ["table"], allow_writes=True) | flow.run_outputs(spark, made, ["rest"], dry_run=True)
+    found = spark.table("loomwork_large_orders")
+    return found.withColumns({"sinks": F.lit(len(reports)), "written": F.lit(reports["table"].written).cast("long"), "planned": F.lit(reports["rest"].attempted).cast("long")})
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer")
 def f5_generated_flow(spark, sf_dir):
     path = scratch_path(spark, "customers")

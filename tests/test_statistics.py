@@ -288,3 +288,27 @@ def test_one_pass_says_what_the_single_tests_say(spark):
     d = model.diagnose(profile.without_nan(df), made, columns)
     assert np.allclose([got.diagnostics.jarque_bera, got.diagnostics.breusch_pagan, got.diagnostics.influential], [d.jarque_bera, d.breusch_pagan, d.influential], rtol=1e-6)
     assert np.allclose(got.pca.explained, model.run_pca(profile.without_nan(df), numeric).explained, rtol=1e-9)
+
+
+def test_models_of_many_levels_are_those_of_all_cross_products(spark, monkeypatch):
+    rng = np.random.default_rng(33)
+    n = 900
+    level, other, x, z = rng.integers(0, 40, n), rng.integers(0, 6, n), rng.normal(size=n), rng.normal(size=n)
+    y = 2 * x + 4 * (level == 7) - 3 * (level == 21) + 1.5 * (other == 2) + (level == 7) * (other == 3) + rng.normal(0, 0.7, n)
+    df = frame(spark, y=y, x=np.where(rng.random(n) < 0.05, np.nan, x), z=z, g=np.array([f"l{v:02d}" for v in level]), h=np.array([f"o{v}" for v in other])).withColumn("h", F.when(F.col("z") < 2, F.col("h"))).repartition(4)
+    want, columns = model.fit_multivariate(df, "y", ["x", "z"], ["g", "h"])
+    checked = model.diagnose(df, want, columns)
+    monkeypatch.setattr(model, "DENSE_LEVELS", 3)
+    got, columns = model.fit_multivariate(df, "y", ["x", "z"], ["g", "h"])
+    assert got.predictors == want.predictors and got.n == want.n and {"x", "g_l07", "g_l21", "h_o2"} <= set(got.predictors)
+    for part in ("coefficients", "p_values", "std_coefficients", "vif"):
+        assert np.allclose([getattr(got, part)[c] for c in getattr(want, part)], list(getattr(want, part).values()), rtol=1e-7, atol=1e-12)
+    assert math.isclose(got.bic, want.bic, rel_tol=1e-10) and model.diagnose(df, got, columns).verdict == checked.verdict
+
+
+def test_a_model_with_ten_thousand_levels(spark):
+    df = spark.range(60_000).select((F.col("id") % 10_000).alias("g"), (F.hash("id") % 1000 / 1000.0).alias("x"))
+    df = df.withColumn("y", F.expr("3 * x + if(g = 77, 40, 0) - if(g = 4321, 30, 0) + hash(x, g) % 100 / 1000.0"))
+    made, _ = model.fit_multivariate(df, "y", ["x"], ["g"])
+    assert set(made.predictors[:3]) == {"x", "g_77", "g_4321"}
+    assert abs(made.coefficients["g_77"] - 40) < 0.1 and abs(made.coefficients["g_4321"] + 30) < 0.1 and abs(made.coefficients["x"] - 3) < 0.01
