@@ -225,7 +225,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     Each text is encoded and its ids are decoded again in the same task, with
     no shuffle. Null is the empty text; very long texts are encoded whole;
-    repeated rows come back as often.
+    repeated rows come back as often; an empty table gives no row.
     """
     sent = send_vocabulary(docs.sparkSession, path)
 

@@ -290,7 +290,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width
 
     mode "documents": contaminated rows go, all others stay as they are.
     mode "spans": every row stays; hit words and what stands between them are cut out of ``text``.
-    Passages of a benchmark row with a null item_id go like any other.
+    Passages of a benchmark row with a null item_id go like any other. Null and
+    empty texts share nothing and stay, very long texts are read whole, repeated
+    rows stay or go together, an empty table stays so.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}: documents or spans")

@@ -225,13 +225,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; no other column is read).
 
     Repeated rows come back as often; a null id is in no held-out fold; a null
-    text scores as the empty one; very long texts are read whole.
+    text scores as the empty one; very long texts are read whole; an empty
+    table gives no row.
     """
     scored = pick(docs, "doc_id", "text").select("doc_id", (~learning_fold()).alias("held_out"), score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model takes for label 1."""
+    """The rows of ``docs``, all columns, that the model takes for label 1.
+
+    A null or empty text is judged by its score as any other, very long texts
+    are read whole, repeated rows stay or go together, an empty table stays so.
+    """
     held, at = numbered(docs)
     return held.withColumn("s", score(F.col(at["text"]), model)).filter("s >= 0.5").drop("s").toDF(*docs.columns)

@@ -163,7 +163,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
     One row for each row of ``docs``, repeated ones included; other columns are
     not read. A null text has no words and so fails the base rules; very long
-    texts are counted whole.
+    texts are counted whole; an empty table gives no row.
     """
     counted = pick(docs, "doc_id", "text").select("doc_id", text_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
     judged = counted.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
@@ -171,7 +171,11 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of ``docs``, all columns, that neither the base rules nor a learned rule rejects."""
+    """The rows of ``docs``, all columns, that neither the base rules nor a learned rule rejects.
+
+    Null and empty texts have no words and go, very long texts are counted
+    whole, repeated rows stay or go together, an empty table stays so.
+    """
     held, at = numbered(docs)
     own = held.columns
     held = held.withColumn("s", text_stats(F.col(at["text"]))).select(*own, "s.*")

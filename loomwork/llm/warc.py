@@ -163,7 +163,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
 
     A null html is an empty payload, a null url leaves its header out. Of rows
     with equal payloads those of the largest page_id are responses, repeated
-    rows each of them; rows with another page_id or none are revisits.
+    rows each of them; rows with another page_id or none are revisits. Very long
+    payloads are cut into segments, each row held by one task; an empty table
+    writes no archive.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +320,7 @@ def read_pages(spark: SparkSession, path: str, id_type: T.DataType, payloads: bo
     """page_id, payload_bytes, payload_digest, record_type, refers_to, and with ``payloads`` payload, of every archived page.
 
     A revisit takes length and payload from the response it names; one whose
-    response is not there has null for both.
+    response is not there has null for both. A folder without archives gives no row.
     """
     records = materialize(read_archives(spark, path, payloads), "warc-records")
     names = ["type", "record_id", "digest", "payload_bytes", "payload"]
