@@ -15,6 +15,7 @@ from loomwork.operators import charts, mapping, model, moments, nodes, pairs, pr
 from loomwork.plans import flow, scan
 from loomwork.scratch import materialize, scratch_path
 from loomwork.sources import files, pages, push, records
+from loomwork.streaming import losses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -769,6 +770,17 @@ def f3_preview(spark, sf_dir):
     return spark.createDataFrame([(total, first.count(), ",".join(sorted(c for c, _ in schema)))], "total long, shown long, columns string")
 
 
+@query("SELECT count(*) AS rows, count(*) FILTER (o_orderstatus <> 'F') AS done__lost_cast, count(*) AS word__lost, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS name__unmatched, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders")
+def m5_stream_losses(spark, sf_dir):
+    """Orders as a stream, mapped batch by batch; counters and rows of all batches."""
+    done, pairs_of = steps(("replace", {"find": "F", "with": "1"}), ("cast", {"type": "BIGINT"})), [["1-URGENT", "urgent"], ["2-HIGH", "high"]]
+    doc = mapping.MappingDoc.from_dict({"fields": [{"target": "done", "sources": ["o_orderstatus"], "steps": done}, {"target": "word", "sources": ["o_orderpriority"], "type": "BIGINT"}, {"target": "name", "sources": ["o_orderpriority"], "steps": steps(("lookup", {"pairs": pairs_of}))}]})
+    path, orders = scratch_path(spark, "stream"), table(spark, sf_dir, "orders")
+    losses.write_mapped(spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parquet"), doc, path, f"{path}/checkpoint").awaitTermination()
+    counted = losses.read_mapped(spark, path).agg(F.count("done").alias("done"))
+    return losses.read_losses(spark, path).crossJoin(F.broadcast(counted))  # one row each
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
 def m7_inline_lookup(spark, sf_dir):
     fields = [{"target": "o_orderkey", "sources": ["o_orderkey"]}, {"target": "status", "sources": ["o_orderstatus"], "steps": steps(("lookup", {"pairs": [["F", "done"], ["O", "open"], ["F", "again"]]}))}]
