@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_file(spark: SparkSession, name: str) -> str:
+    """A new path that ends in ``name``, whose suffix says what is in it."""
+    return f"{scratch_path(spark, 'file')}/{name}"
+
+
 def rounded(df: DataFrame, digits: int = 6, only: Sequence[str] | None = None) -> DataFrame:
     """Doubles at so many digits after the point, without a negative zero."""
     names = [c for c, t in df.dtypes if t == "double" and (only is None or c in only)]
@@ -616,14 +621,14 @@ def v7_fold_series(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s1_k1_csv_round_trip(spark, sf_dir):
-    path = scratch_path(spark, "orders.csv")
+    path = scratch_file(spark, "orders.csv")
     files.write_file(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, "csv", dry_run=False)
     return files.read_file(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def s2_json_lines(spark, sf_dir):
-    path = scratch_path(spark, "part.jsonl")
+    path = scratch_file(spark, "part.jsonl")
     table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").write.json(path)
     return files.read_file(spark, path, "p_partkey bigint, p_name string, p_size int")
 
@@ -717,7 +722,7 @@ def k6_failures(spark, sf_dir):
 
 @query("SELECT l_returnflag AS x, CAST(count(*) AS DOUBLE) AS y FROM lineitem GROUP BY 1")
 def k7_chart_export(spark, sf_dir):
-    path = scratch_path(spark, "chart.csv")
+    path = scratch_file(spark, "chart.csv")
     files.write_chart(charts.chart(table(spark, sf_dir, "lineitem"), charts.ChartSpec("bar", "l_returnflag", agg="count")), path)
     return files.read_file(spark, path, "x string, series string, y double").select("x", "y")
 
@@ -776,7 +781,8 @@ def m5_stream_losses(spark, sf_dir):
     done, pairs_of = steps(("replace", {"find": "F", "with": "1"}), ("cast", {"type": "BIGINT"})), [["1-URGENT", "urgent"], ["2-HIGH", "high"]]
     doc = mapping.MappingDoc.from_dict({"fields": [{"target": "done", "sources": ["o_orderstatus"], "steps": done}, {"target": "word", "sources": ["o_orderpriority"], "type": "BIGINT"}, {"target": "name", "sources": ["o_orderpriority"], "steps": steps(("lookup", {"pairs": pairs_of}))}]})
     path, orders = scratch_path(spark, "stream"), table(spark, sf_dir, "orders")
-    losses.write_mapped(spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parquet"), doc, path, f"{path}/checkpoint").awaitTermination()
+    arriving = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]")  # a pattern: a table may be one file
+    losses.write_mapped(arriving, doc, path, f"{path}/checkpoint").awaitTermination()
     counted = losses.read_mapped(spark, path).agg(F.count("done").alias("done"))
     return losses.read_losses(spark, path).crossJoin(F.broadcast(counted))  # one row each
 
