@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.operators.ranks import quantiles
+from loomwork.operators.ranks import cumulated, quantiles
+from loomwork.scratch import materialize
 
 JOIN_KINDS = ("inner", "left", "right", "full")
 NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
@@ -132,21 +133,71 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), widened)
 
 
+#: Columns of a pivot that one aggregate makes; wider pivots are made in slices of so many.
+PIVOT_WIDTH = 10_000
+
+
+def pivot_keys(df: DataFrame, key: str, using: Sequence[str], group_by: Sequence[str] | None) -> list[str]:
+    """Columns a pivot groups by: those given, else every one that ``key`` and ``using`` do not mention."""
+    if group_by is not None:
+        return [column(df, g) for g in group_by]
+    mentioned = " ".join(using).lower()
+    return [c for c in df.columns if c != key and not re.search(rf"\b{re.escape(c.lower())}\b", mentioned)]
+
+
 def pivot(df: DataFrame, on: str, using: Sequence[str], group_by: Sequence[str] | None = None, values: Sequence[object] | None = None) -> DataFrame:
     """Values of ``on`` become columns. Without ``group_by``, by every column that ``on`` and ``using`` do not mention.
 
     Null makes no column, but its group stays. Without ``values`` they are
-    read in a first job; give them on large tables.
+    read in a first job; give them on large tables. There is a name on the
+    driver for each column, so a result of very many values is better had
+    long (``pivot_cells``) or by slices (``pivot_slice``).
     """
     key = column(df, on)
     if values is None:
-        values = [r[0] for r in df.select(quoted(key)).filter(quoted(key).isNotNull()).distinct().orderBy(quoted(key)).limit(10_001).collect()]
-        if len(values) > 10_000:
-            raise ValueError(f"{on!r} has more than 10,000 values")
-    if group_by is None:
-        mentioned = " ".join(using).lower()
-        group_by = [c for c in df.columns if c != key and not re.search(rf"\b{re.escape(c.lower())}\b", mentioned)]
-    return df.groupBy(*[quoted(column(df, g)) for g in group_by]).pivot(key, list(values)).agg(*[F.expr(u) for u in using])
+        values = [r[0] for r in df.select(quoted(key)).filter(quoted(key).isNotNull()).distinct().orderBy(quoted(key)).collect()]
+    return df.groupBy(*[quoted(g) for g in pivot_keys(df, key, using, group_by)]).pivot(key, list(values)).agg(*[F.expr(u) for u in using])
+
+
+def pivot_cells(df: DataFrame, on: str, using: Sequence[str], group_by: Sequence[str] | None = None) -> DataFrame:
+    """A pivot in long form: groups, the value of ``on``, ``position`` of its column (from 0, by value), the aggregates; any number of values.
+
+    ``using`` are aliased aggregates. Positions are ranks by ranges, so
+    nothing of the values reaches the driver. A group whose values are all
+    null has one row of null value, position and aggregates; an empty table
+    gives no row. Rows are of groups that have the value.
+    """
+    key = column(df, on)
+    keys = pivot_keys(df, key, using, group_by)
+    if "position" in {c.lower() for c in [*keys, key]}:
+        raise ValueError("there is a column 'position' already")
+    cells = materialize(df.groupBy(*[quoted(k) for k in keys], quoted(key)).agg(*[F.expr(u) for u in using]), "cells")
+    made = [c for c in cells.columns if c not in (*keys, key)]
+    ranks = cumulated(cells.select(quoted(key)).distinct(), quoted(key)).select(F.col("value").alias("__value"), F.col("before").alias("position"))
+    there = cells.filter(quoted(key).isNotNull()).join(ranks, quoted(key) == F.col("__value"))
+    named = there.select(*[quoted(k) for k in keys], quoted(key), "position", *[quoted(m) for m in made])
+    groups = lambda d: d.select(*[quoted(k) for k in keys])
+    only_null = groups(cells.filter(quoted(key).isNull()))
+    if keys:
+        has = groups(cells.filter(quoted(key).isNotNull())).distinct().toDF(*[f"__g{i}" for i in range(len(keys))])
+        only_null = only_null.join(has, reduce(lambda x, y: x & y, [quoted(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)]), "left_anti")
+    else:
+        only_null = only_null.limit(0) if not cells.filter(quoted(key).isNotNull()).isEmpty() else only_null
+    return named.unionByName(only_null, allowMissingColumns=True)
+
+
+def pivot_slice(cells: DataFrame, on: str, keys: Sequence[str], first: int, width: int = PIVOT_WIDTH) -> DataFrame:
+    """Columns ``first`` to ``first + width`` - 1 of the pivot of which ``cells`` is the long form: every group, a column for each value and aggregate.
+
+    Only the slice's names reach the driver, and a group's row is ``width``
+    wide at most in any task. ``cells`` should be written: each slice reads it.
+    """
+    key = column(cells, on)
+    held = F.col("position").between(first, first + width - 1)
+    values = [r[0] for r in cells.filter(held).select("position", quoted(key)).distinct().orderBy("position").select(quoted(key)).collect()]
+    names = [column(cells, k) for k in keys]
+    made = [c for c in cells.columns if c not in (*names, key, "position")]
+    return cells.groupBy(*[quoted(k) for k in names]).pivot(key, values).agg(*[F.first(quoted(m), True).alias(m) for m in made])
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], name_to: str = "name", value_to: str = "value") -> DataFrame:

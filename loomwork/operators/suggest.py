@@ -9,12 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 from loomwork.operators.nodes import column, quoted
+from loomwork.scratch import materialize
 
 LEAST_CONFIDENCE = 0.45
 #: Weights of shared words, of similar spelling and of agreeing types (fixed values).
 WEIGHTS = (0.5, 0.3, 0.2)
+#: Targets are first matched at this confidence, by fewer words; room for rounding in bounds.
+LEVEL, EPSILON = 0.75, 1e-9
+PAIR = ("source", "sf", "target", "tf")
 
 #: Abbreviations of column names and what they stand for (fixed values).
 ABBREVIATIONS = {
@@ -50,28 +55,122 @@ def _family(kind):
     return found
 
 
+@pandas_udf(StringType())
+def _flat(names: pd.Series) -> pd.Series:
+    return names.map(lambda s: re.sub(r"[\W_]", "", s.lower()))
+
+
+@pandas_udf(DoubleType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def _numbered(parts):
+    """Each element with how often it came before, so that sets of these meet in as many elements as the multisets do."""
+    return F.transform(parts, lambda x, i: F.concat(x, F.lit("\0"), F.size(F.filter(F.slice(parts, 1, i), lambda y: y == x)).cast("string")))
+
+
+def _described(columns: DataFrame) -> DataFrame:
+    """name, words, family, flat, chars, grams of each distinct column; names that differ in type stay apart."""
+    held = columns.filter("name is not null").select("name", _words(F.col("name")).alias("words"), _family(F.coalesce("type", F.lit(""))).alias("family")).distinct().withColumn("flat", _flat("name"))
+    length = F.char_length("flat")
+    pairs = F.when(length > 1, F.transform(F.sequence(F.lit(1), length - 1), lambda i: F.substring("flat", i, F.lit(2)))).otherwise(F.array("flat"))
+    return held.withColumn("chars", _numbered(F.when(length > 0, F.split("flat", "")).otherwise(F.array().cast("array<string>")))).withColumn("grams", _numbered(pairs))
+
+
+def _rarest(df: DataFrame, tokens: str, size, counts: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with ``token``: the ``size`` tokens of a row that fewest rows of both catalogs have."""
+    each = df.select(*keep, size.alias("__size"), F.explode(tokens).alias("token")).join(counts, "token")
+    order = Window.partitionBy("name", "family").orderBy("n", "token")
+    return each.withColumn("__k", F.row_number().over(order)).filter("__k <= __size").select(*keep, "token")
+
+
+def _frequencies(s: DataFrame, t: DataFrame, tokens: str) -> DataFrame:
+    return s.select(F.explode(tokens).alias("token")).unionAll(t.select(F.explode(tokens).alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _sharing_words(s: DataFrame, t: DataFrame, level: float) -> DataFrame:
+    """(source, sf, target, tf) of all pairs with a common word whose confidence may be ``level``.
+
+    Such a pair shares at least ceil(j * words) of either's words, j being the
+    overlap needed when spelling and types agree in full; so one of each
+    side's rarest size - ceil(j * size) + 1 words is shared.
+    """
+    need = max(0.0, (level - WEIGHTS[1] - WEIGHTS[2]) / WEIGHTS[0] - EPSILON)
+    size = F.size("words") - F.greatest(F.ceil(F.lit(need) * F.size("words")), F.lit(1)) + 1
+    counts = _frequencies(s, t, "words")
+    a, b = (_rarest(x, "words", size, counts, ["name", "family"]) for x in (s, t))
+    return a.toDF("source", "sf", "token").join(b.toDF("target", "tf", "token"), "token").select(*PAIR)
+
+
+def _sharing_spelling(s: DataFrame, t: DataFrame, ratio: float) -> DataFrame:
+    """(source, sf, target, tf) of all pairs of one known family whose spellings agree by ``ratio`` (over 2/3) at least.
+
+    Of m and n letters such a pair has k >= ratio * (m + n) / 2 in common, in
+    order, and m >= n * ratio / (2 - ratio). So k letters are shared, and at
+    least 3 * k - m - n - 1 pairs of neighbours, as a letter left out takes two
+    of its side's and one of the other's. One rare letter and one rare pair of
+    both sides must be the same: rows meet on both at once.
+    """
+    length = F.char_length("flat")
+    shortest = F.lit(2 / (2 - ratio)) * length  # m + n at least
+    letters = F.ceil(F.lit(ratio / 2) * shortest - EPSILON)
+    pairs = F.greatest(F.ceil(F.lit(1.5 * ratio - 1) * shortest - 1 - EPSILON), F.lit(1))
+    chars, grams = _frequencies(s, t, "chars"), _frequencies(s, t, "grams")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        df = df.filter("family != 'unknown'")
+        rare = _rarest(df.filter(length > 0), "chars", F.size("chars") - letters + 1, chars, ["name", "family"]).withColumnRenamed("token", "letter")
+        empty = df.filter(length == 0).select("name", "family", F.lit("").alias("letter"))
+        return rare.unionByName(empty).join(_rarest(df, "grams", F.size("grams") - pairs + 1, grams, ["name", "family", "flat"]), ["name", "family"]).withColumn("m", length)
+
+    a = keyed(s).select(F.col("name").alias("source"), F.col("family").alias("sf"), F.col("m").alias("sm"), "letter", "token")
+    b = keyed(t).select(F.col("name").alias("target"), F.col("family").alias("tf"), F.col("m").alias("tm"), "letter", "token")
+    near = 2 * F.least("sm", "tm") >= F.lit(ratio - EPSILON) * (F.col("sm") + F.col("tm"))
+    return a.join(b, ["letter", "token"]).filter((F.col("sf") == F.col("tf")) & near).select(*PAIR)
+
+
 def suggest_by_name(sources: DataFrame, targets: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """source, target, confidence, shared for the best source of each target; inputs are (name, type) rows of a catalog.
 
     Weighs the Jaccard overlap of words, the similarity of spellings and the
     agreement of types (half a point where one is unknown). Of equal sources
-    the first by name. Columns pair all with all: catalogs, not data.
-    """
-
-    @pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        flat = lambda s: re.sub(r"[\W_]", "", s.lower())
-        return pd.Series([SequenceMatcher(None, flat(x), flat(y)).ratio() for x, y in zip(a, b, strict=True)])
+    the first by name; null names are left out, repeated rows count once.
 
-    s = sources.select(F.col("name").alias("source"), _words(F.col("name")).alias("sw"), _family(F.col("type")).alias("sf"))
-    t = targets.select(F.col("name").alias("target"), _words(F.col("name")).alias("tw"), _family(F.col("type")).alias("tf"))
-    pairs = t.crossJoin(F.broadcast(s))
+    Candidates come from indexes of rare words, letters and pairs of letters,
+    which hold every pair that may reach ``least``; bounds from word overlap,
+    types and shared letters leave few whose spellings are compared. Targets
+    that have found a source at LEVEL or above don't look at weaker ones.
+    Below a ``least`` of LEAST_CONFIDENCE there is no such index: refused.
+    """
+    if least < LEAST_CONFIDENCE:
+        raise ValueError(f"a confidence of {LEAST_CONFIDENCE} at least")
+    s, t = materialize(_described(sources), "sources"), materialize(_described(targets), "targets")
+    found = None
+    for level in sorted({max(LEVEL, least), least}, reverse=True):
+        pairs = _sharing_words(s, t, level)
+        if level <= WEIGHTS[1] + WEIGHTS[2]:  # spelling and types alone may do
+            pairs = pairs.unionByName(_sharing_spelling(s, t, (level - WEIGHTS[2]) / WEIGHTS[1]))
+        best = materialize(_best(pairs, s, t, level), "suggested")
+        found = best if found is None else found.unionByName(best)
+        t = t.join(best.select(F.col("target").alias("name")), "name", "left_anti")
+    return found.orderBy(F.desc("confidence"), "target")
+
+
+def _best(pairs: DataFrame, s: DataFrame, t: DataFrame, level: float) -> DataFrame:
+    """The best source of each target among candidate ``pairs``, at ``level`` or above."""
+    side = lambda df, name, k: df.select(F.col("name").alias(name), F.col("family").alias(f"{k}f"), F.col("words").alias(f"{k}w"), F.col("flat").alias(f"{k}flat"), F.col("chars").alias(f"{k}c"))
+    known = pairs.distinct().join(side(s, "source", "s"), ["source", "sf"]).join(side(t, "target", "t"), ["target", "tf"])
     union = F.size(F.array_union("sw", "tw"))
     jaccard = F.when(union > 0, F.size(F.array_intersect("sw", "tw")) / union).otherwise(0.0)
     types = F.when((F.col("sf") == "unknown") | (F.col("tf") == "unknown"), 0.5).when(F.col("sf") == F.col("tf"), 1.0).otherwise(0.0)
-    scored = pairs.withColumn("confidence", WEIGHTS[0] * jaccard + WEIGHTS[1] * alike("source", "target") + WEIGHTS[2] * types).filter(F.col("confidence") >= least)
-    best = Window.partitionBy("target").orderBy(F.desc("confidence"), "source")
-    return scored.withColumn("k", F.row_number().over(best)).filter("k = 1").select("source", "target", "confidence", F.array_sort(F.array_intersect("sw", "tw")).alias("shared")).orderBy(F.desc("confidence"), "target")
+    letters = F.size("sc") + F.size("tc")
+    most = F.when(letters > 0, 2 * F.size(F.array_intersect("sc", "tc")) / letters).otherwise(1.0)
+    bounded = known.withColumn("jaccard", jaccard).withColumn("types", types).filter(WEIGHTS[0] * F.col("jaccard") + WEIGHTS[1] * most + WEIGHTS[2] * F.col("types") >= level - EPSILON)
+    scored = bounded.withColumn("confidence", WEIGHTS[0] * F.col("jaccard") + WEIGHTS[1] * _alike("sflat", "tflat") + WEIGHTS[2] * F.col("types")).filter(F.col("confidence") >= level)
+    shared = F.array_sort(F.array_intersect("sw", "tw"))
+    order = Window.partitionBy("target").orderBy(F.desc("confidence"), "source", F.desc("types"))
+    return scored.withColumn("k", F.row_number().over(order)).filter("k = 1").select("source", "target", "confidence", shared.alias("shared"))
 
 
 def _values(df: DataFrame, columns: list[str] | None) -> DataFrame:

@@ -173,6 +173,12 @@ def n10_pivot(spark, sf_dir):
     return wide.fillna(0, ["F_n", "O_n"])
 
 
+@query("SELECT o_orderpriority, o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS position, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, NULL, NULL, NULL, NULL FROM orders GROUP BY 1 HAVING count(o_custkey) = 0")
+def n10_pivot_cells(spark, sf_dir):
+    """A pivot with a column for each customer, in long form: their number grows with the table."""
+    return nodes.pivot_cells(table(spark, sf_dir, "orders"), "o_custkey", ["round(sum(o_totalprice), 2) AS total", "count(1) AS n"], ["o_orderpriority"])
+
+
 @query("SELECT p_partkey, name, value FROM (SELECT p_partkey, 'p_size' AS name, CAST(nullif(p_size, 7) AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part) WHERE value IS NOT NULL")
 def n11_unpivot(spark, sf_dir):
     wide = table(spark, sf_dir, "part").select("p_partkey", F.nullif("p_size", F.lit(7)).cast("double").alias("p_size"), "p_retailprice")
@@ -292,6 +298,42 @@ def m10_suggest_values(spark, sf_dir):
     return rounded(suggest.suggest_by_values(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), ["c_nationkey", "c_mktsegment"]))
 
 
+#: The names in the tables as two catalogs of columns, and SequenceMatcher's blocks: the longest common run, the first of equal ones, then what is left and right of it.
+M9_SQL = """WITH RECURSIVE s AS (SELECT DISTINCT c_name AS source FROM customer WHERE c_name IS NOT NULL UNION SELECT p_name FROM part WHERE p_name IS NOT NULL),
+  t AS (SELECT DISTINCT s_name AS target, 1e0 AS types FROM supplier WHERE s_name IS NOT NULL UNION SELECT p_brand, 1e0 FROM part WHERE p_brand IS NOT NULL UNION SELECT n_name, 0.5e0 FROM nation WHERE n_name IS NOT NULL),
+  sw AS (SELECT *, list_distinct(list_transform(regexp_extract_all(source, '[A-Z]*[a-z0-9]+|[A-Z]+'), lambda w: lower(w))) AS w, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS a FROM s),
+  tw AS (SELECT *, list_distinct(list_transform(regexp_extract_all(target, '[A-Z]*[a-z0-9]+|[A-Z]+'), lambda w: lower(w))) AS v, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS b FROM t),
+  overlap AS (SELECT source, target, types, a, b, list_sort(list_intersect(w, v)) AS shared, len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v)))::DOUBLE AS jaccard FROM sw, tw),
+  pairs AS (SELECT * FROM overlap WHERE 0.5e0 * jaccard + 0.3e0 * 2 * least(len(a), len(b)) / (len(a) + len(b)) + 0.2e0 * types > 0.449999 AND (jaccard > 0 OR (abs(len(a) - len(b)) <= (len(a) + len(b)) / 6e0 AND types = 1
+    AND 2 * list_sum(list_transform(list_distinct(string_split(a, '')), lambda x: least(len(a) - len(replace(a, x, '')), len(b) - len(replace(b, x, ''))))) >= 0.8333 * (len(a) + len(b))))),
+  letters AS (SELECT source, target, i, j FROM pairs, unnest(range(1, len(a) + 1)) x(i), unnest(range(1, len(b) + 1)) y(j) WHERE a[i] = b[j]),
+  islands AS (SELECT *, i - row_number() OVER (PARTITION BY source, target, i - j ORDER BY i) AS island FROM letters),
+  runs AS (SELECT source, target, i, j, max(i) OVER (PARTITION BY source, target, i - j, island) - i + 1 AS k FROM islands),
+  blocks AS (SELECT source, target, CAST(1 AS BIGINT) AS al, CAST(len(a) AS BIGINT) AS ah, CAST(1 AS BIGINT) AS bl, CAST(len(b) AS BIGINT) AS bh, CAST(0 AS BIGINT) AS m FROM pairs
+    UNION ALL SELECT source, target, CASE side WHEN 0 THEN al ELSE best.i + best.k END, CASE side WHEN 0 THEN best.i - 1 ELSE ah END, CASE side WHEN 0 THEN bl ELSE best.j + best.k END, CASE side WHEN 0 THEN best.j - 1 ELSE bh END, CASE side WHEN 0 THEN best.k ELSE 0 END
+    FROM (SELECT source, target, al, ah, bl, bh, arg_max({'i': i, 'j': j, 'k': least(k, ah - i + 1, bh - j + 1)}, [least(k, ah - i + 1, bh - j + 1), -i, -j]) AS best FROM blocks JOIN runs USING (source, target) WHERE i BETWEEN al AND ah AND j BETWEEN bl AND bh GROUP BY ALL), unnest([0, 1]) z(side)),
+  scored AS (SELECT source, target, 0.5e0 * any_value(jaccard) + 0.3e0 * (2e0 * sum(m) / any_value(len(a) + len(b))) + 0.2e0 * any_value(types) AS confidence, any_value(shared) AS shared FROM blocks JOIN pairs USING (source, target) GROUP BY ALL)
+  SELECT source, target, round(confidence, 6) AS confidence, array_to_string(shared, ',') AS shared FROM scored WHERE confidence >= 0.45 QUALIFY row_number() OVER (PARTITION BY target ORDER BY confidence DESC, source) = 1"""
+
+
+@query(M9_SQL)
+def m9_suggest_names(spark, sf_dir):
+    """Names of customers and parts for those of suppliers, brands and nations."""
+    names = lambda t, c, kind: table(spark, sf_dir, t).select(F.col(c).alias("name"), F.lit(kind).alias("type"))
+    sources = names("customer", "c_name", "string").unionAll(names("part", "p_name", "varchar"))
+    targets = names("supplier", "s_name", "string").unionAll(names("part", "p_brand", "char(10)")).unionAll(names("nation", "n_name", "binary"))
+    return rounded(suggest.suggest_by_name(sources, targets).withColumn("shared", F.array_join("shared", ",")))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def s4_database_parts(spark, sf_dir):
+    """Orders written to an embedded database and read back in parts of like size. The database lives in one JVM, so this runs in local sessions only."""
+    options = files.jdbc_options("derby", {"database": f"memory:loom{uuid.uuid4().hex};create=true"})
+    table(spark, sf_dir, "orders").coalesce(4).write.format("jdbc").options(**options, dbtable="orders").save()
+    parts = files.database_parts(spark, options, "orders", ['"o_custkey"', '"o_orderkey"'], 8)
+    return files.read_database(spark, options, "orders", parts=parts).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
 # --- profile --------------------------------------------------------------------
 
 

@@ -62,6 +62,8 @@ DIALECTS = {
         Dialect("trino", "jdbc:trino://{host}:{port}/{catalog}/{schema}", ("host", "catalog", "user"), "8080", "io.trino.jdbc.TrinoDriver"),
         Dialect("clickhouse", "jdbc:clickhouse://{host}:{port}/{database}", ("host", "database"), "8123", "com.clickhouse.jdbc.ClickHouseDriver"),
         Dialect("db2", "jdbc:db2://{host}:{port}/{database}", ("host", "database", "user"), "50000", "com.ibm.db2.jcc.DB2Driver"),
+        Dialect("bigquery", "jdbc:bigquery://https://www.googleapis.com/bigquery/v2:443;ProjectId={project};DefaultDataset={dataset};OAuthType=3", ("project",), "", "com.simba.googlebigquery.jdbc.Driver"),
+        Dialect("athena", "jdbc:athena://Region={region};Database={database};OutputLocation={output};CredentialsProvider=DefaultChain", ("region", "output"), "", "com.amazon.athena.jdbc.AthenaDriver"),
         Dialect("databricks", "jdbc:databricks://{host}:443;httpPath={http_path}", ("host", "http_path"), "", "com.databricks.client.jdbc.Driver"),
     )
 }
@@ -75,9 +77,9 @@ def jdbc_options(dialect: str, values: Mapping[str, str]) -> dict[str, str]:
     if missing := [f for f in d.required if not str(values.get(f, "")).strip()]:
         raise ValueError(f"{dialect} needs: {', '.join(missing)}")
     names = re.findall(r"{(\w+)}", d.url)
-    kept = "/:;=" if dialect in ("derby", "sqlite", "databricks") else ""
+    kept = {"derby": "/:;=", "sqlite": "/:;=", "databricks": "/:;=", "athena": "/:"}.get(dialect, "")
     filled = {n: quote(str(values.get(n) or (d.port if n == "port" else "")).strip(), safe=kept) for n in names}
-    out = {"url": re.sub(r"[?&]\w+=(?=&|$)", "", d.url.format(**filled)), "driver": d.driver}
+    out = {"url": re.sub(r"[?&;]\w+=(?=[&;]|$)", "", d.url.format(**filled)), "driver": d.driver}
     return out | {k: str(values[k]) for k in ("user", "password") if values.get(k)}
 
 
@@ -87,10 +89,16 @@ def redacted(options: Mapping[str, str]) -> dict[str, str]:
     return {k: "***" if k == "password" else hide(v) for k, v in options.items()}
 
 
-def read_database(spark: SparkSession, options: Mapping[str, str], table: str = "", query: str = "", partition: tuple[str, object, object, int] | None = None) -> DataFrame:
-    """A table or a query (which wins) over JDBC; ``partition`` (column, low, high, parts) reads a table in parallel."""
+def read_database(
+    spark: SparkSession, options: Mapping[str, str], table: str = "", query: str = "", partition: tuple[str, object, object, int] | None = None, parts: Sequence[str] = ()
+) -> DataFrame:
+    """A table or a query (which wins) over JDBC, in parallel with ``partition`` (column, low, high, parts of equal width) or ``parts`` (conditions, one a task: see database_parts)."""
     if not query and not table:
         raise ValueError("a table or a query is needed")
+    if partition and parts:
+        raise ValueError("give partition or parts, not both")
+    if parts:
+        return spark.read.jdbc(options["url"], f"({query}) q" if query else table, predicates=list(parts), properties={k: v for k, v in options.items() if k != "url"})
     reader = spark.read.format("jdbc").options(**options)
     if query and not partition:
         return reader.option("query", query).load()
@@ -101,6 +109,67 @@ def read_database(spark: SparkSession, options: Mapping[str, str], table: str =
     return reader.load()
 
 
+#: Bins of each count that database_parts() asks for.
+PART_BINS = 64
+
+
+def database_parts(spark: SparkSession, options: Mapping[str, str], table: str, by: Sequence[str], parts: int) -> list[str]:
+    """Conditions that cut a table (or a query in brackets, with an alias) into some ``parts`` of like row counts, for read_database().
+
+    ``by`` are whole-number columns as the database spells them. The database
+    counts rows in bins of the first; a bin that holds over a quarter of a part
+    is counted again in finer bins, a single value that does is cut by the next
+    column. Neighbouring bins are then joined up to a part's size. Each count
+    returns PART_BINS rows, whatever the table's size. The conditions cover
+    every row once, nulls and rows that come later too. An empty table is one part.
+    """
+    if parts < 1 or not by:
+        raise ValueError("name a column and a part at least")
+    ask = lambda sql: [tuple(r) for r in spark.read.format("jdbc").options(**options, query=sql).load().collect()]
+    total = int(ask(f"SELECT count(*) AS n FROM {table}")[0][0])
+    small = max(total / parts / 4, 1)
+
+    def bins(where: str, c: str, low: int, high: int, n: int) -> list[tuple[int, int, int]]:
+        """(least, largest, rows) of bins in order, none over ``small`` but single values."""
+        if n <= small or low == high:
+            return [(low, high, n)]
+        width = (high - low) // PART_BINS + 1
+        inner = f"SELECT {c} AS k, ({c} - ({low})) / {width} AS b FROM {table} WHERE {where} AND {c} BETWEEN {low} AND {high}"
+        counted = sorted(tuple(map(int, r)) for r in ask(f"SELECT min(k) AS a, max(k) AS z, count(*) AS n FROM ({inner}) x GROUP BY b"))
+        return [x for a, z, k in counted for x in bins(where, c, a, z, k)]
+
+    def cells(where: str, columns: Sequence[str]) -> list[tuple[str, str, int | None, int | None, int]]:
+        """(where, column, from, below, rows): ranges of the column among the rows of ``where``; None is open, no column means all of them."""
+        c = columns[0]
+        low, high, n, there = ask(f"SELECT min({c}) AS a, max({c}) AS b, count(*) AS n, count({c}) AS k FROM {table} WHERE {where}")[0]
+        cut = lambda condition, k: cells(condition, columns[1:]) if k > small and len(columns) > 1 else [(condition, "", None, None, k)]
+        out = cut(f"{where} AND {c} IS NULL", int(n - there))
+        found = bins(where, c, int(low), int(high), int(there)) if there else []
+        edges = [None, *[a for a, _, _ in found[1:]], None]
+        for (a, z, k), start, stop in zip(found, edges, edges[1:], strict=False):
+            if a == z and k > small and len(columns) > 1:
+                out += [*cut(f"{where} AND {c} = {a}", k), (f"{where} AND {c} <> {a}", c, start, stop, 0)]  # the latter: rows that come later
+            else:
+                out.append((where, c, start, stop, k))
+        return out if found else [*out, (f"{where} AND {c} IS NOT NULL", "", None, None, 0)]
+
+    made: list[tuple[list[tuple[str, str, int | None, int | None]], int]] = []
+    for where, c, start, stop, n in cells("1 = 1", list(by)):
+        if made and made[-1][1] + n <= total / parts:
+            held, before = made[-1]
+            w, k, a, z = held[-1]
+            joined = [*held[:-1], (w, k, a, stop)] if c and (w, k, z) == (where, c, start) else [*held, (where, c, start, stop)]
+            made[-1] = (joined, before + n)
+        else:
+            made.append(([(where, c, start, stop)], n))
+
+    def condition(where: str, c: str, start: int | None, stop: int | None) -> str:
+        ends = ([f"{c} >= {start}"] if start is not None else []) + ([f"{c} < {stop}"] if stop is not None else [])
+        return " AND ".join([where, *(ends or ([f"{c} IS NOT NULL"] if c else []))])
+
+    return [" OR ".join(f"({condition(*x)})" for x in held) for held, _ in made]
+
+
 @dataclass
 class Dataset:
     df: DataFrame

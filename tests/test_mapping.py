@@ -1,6 +1,8 @@
 """Transforms, mappings with their loss counters, suggestions."""
 
 import datetime as dt
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,42 @@ def test_suggestions_by_name(spark):
     assert got["http-status"][0] == "HTTPStatusCd" and got["http-status"][2] == ["http", "status"] and "w" not in got
 
 
+def test_suggestions_are_those_of_all_pairs(spark):
+    rnd = random.Random(11)
+    words, kinds = ["cust", "customer", "id", "ship", "dt", "total", "tot", "line", "é", "a"], ["string", "int", "date", "binary", "double"]
+
+    def made():
+        if rnd.random() < 0.6:
+            return rnd.choice(["_", "", "-"]).join(rnd.choices(words, k=rnd.randint(0, 4)))
+        return "".join(rnd.choices("abcdeé1_", k=rnd.randint(1, 14)))
+
+    sources = [(made(), rnd.choice(kinds)) for _ in range(150)]
+    edited = [n[:k] + rnd.choice(["", "x", "7"]) + n[k + rnd.randint(0, 1) :] for n, _ in sources for k in [rnd.randint(0, len(n))]]
+    targets = [(n, rnd.choice(kinds)) for n in edited + [made() for _ in range(50)]]
+    frames = [spark.createDataFrame(x, "name string, type string") for x in (sources, targets)]
+    plain = [df.select("name", suggest._words(F.col("name")).alias("w"), suggest._family(F.col("type")).alias("f")).collect() for df in frames]
+    flat = lambda n: "".join(c for c in n.lower() if c.isalnum())
+    want = {}
+    for t in plain[1]:
+        for s in plain[0]:
+            jaccard = len(set(s.w) & set(t.w)) / len(set(s.w) | set(t.w)) if s.w or t.w else 0.0
+            types = 0.5 if "unknown" in (s.f, t.f) else float(s.f == t.f)
+            confidence = 0.5 * jaccard + 0.3 * SequenceMatcher(None, flat(s.name), flat(t.name)).ratio() + 0.2 * types
+            if confidence >= 0.45:
+                want[t.name] = min(want.get(t.name, (0.0, "")), (-confidence, s.name))
+    got = {r["target"]: (-r["confidence"], r["source"]) for r in suggest.suggest_by_name(*frames).collect()}
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+
+
+def test_suggestions_on_empty_catalogs_and_nulls(spark):
+    some = spark.createDataFrame([("x_id", "int"), (None, "int"), ("x_id", "int"), ("y", None)], "name string, type string")
+    assert suggest.suggest_by_name(some, some.limit(0)).collect() == [] == suggest.suggest_by_name(some.limit(0), some).collect()
+    assert [(r["target"], r["source"], r["confidence"]) for r in suggest.suggest_by_name(some, some).collect()] == [("x_id", "x_id", 1.0), ("y", "y", 0.9)]
+    with pytest.raises(ValueError):
+        suggest.suggest_by_name(some, some, 0.2)
+
+
 @pytest.mark.parametrize("name,words", [("HTTPStatusCd", ["http", "status", "code"]), ("a1B2", ["a1", "b2"]), ("XYZ", ["xyz"]), ("__x--y9Z", ["x", "y9", "z"]), ("qtyQTY", ["quantity"]), ("", []), ("éa", ["a"])])
 def test_words_of_names(spark, name, words):
     assert spark.createDataFrame([(name,)], "n string").select(suggest._words(F.col("n"))).first()[0] == words

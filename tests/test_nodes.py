@@ -91,6 +91,25 @@ def test_pivot_and_back(spark, orders):
     assert rows(long) == [("East", "ann", 20), ("West", "ann", 100), ("West", "bob", 50)]
 
 
+def test_pivots_of_any_number_of_values(spark):
+    values = 50_000
+    df = spark.range(values).select(F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("g"), F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("none", None, 1), (None, 7, 5), ("even", None, 9)], "g string, k long, v long"))
+    cells = nodes.pivot_cells(df, "k", ["sum(v) AS s"], ["g"])
+    assert cells.columns == ["g", "k", "position", "s"] and cells.count() == values + 2
+    assert cells.filter("k is not null").filter("position <> k").count() == 0
+    assert [tuple(r) for r in cells.filter("k is null").collect()] == [("none", None, None, None)]
+    part = nodes.pivot_slice(cells, "k", ["g"], 49_998, 1000)
+    assert part.columns == ["g", "49998", "49999"]
+    assert rows(part) == sorted([("even", 149994, None), ("odd", None, 149997), ("none", None, None), (None, None, None)], key=repr)
+    narrow = nodes.pivot_slice(nodes.pivot_cells(df.filter("k < 10 or k is null"), "k", ["sum(v) AS s", "count(1) AS n"], ["g"]), "k", ["g"], 0)
+    assert rows(narrow.select("g", "7_s", "7_n", "0_s")) == rows(nodes.pivot(df.filter("k < 10 or k is null"), "k", ["sum(v) AS s", "count(1) AS n"], ["g"]).select("g", "7_s", "7_n", "0_s"))
+    assert nodes.pivot_cells(df.limit(0), "k", ["sum(v) AS s"], ["g"]).count() == 0
+    assert [tuple(r) for r in nodes.pivot_cells(df.filter("k is null"), "k", ["sum(v) AS s"], []).collect()] == [(None, None, None)]
+    with pytest.raises(ValueError):
+        nodes.pivot_cells(df.withColumnRenamed("g", "position"), "k", ["sum(v) AS s"], ["position"])
+
+
 def test_outliers(spark):
     spikes = spark.createDataFrame([(v,) for v in (10, 11, 9, 10, 12, 900)] + [(None,)], "v long")
     flagged = nodes.outliers(spikes, "v")

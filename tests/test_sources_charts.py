@@ -94,6 +94,34 @@ def test_database_options_and_round_trip(spark):
     assert files.read_database(spark, d, "t", partition=('"id"', 0, 10, 3)).rdd.getNumPartitions() == 3
 
 
+def test_database_urls_of_cloud_warehouses():
+    big = files.jdbc_options("bigquery", {"project": "p-1"})
+    assert big["url"].endswith(":443;ProjectId=p-1;OAuthType=3") and "password" not in big
+    athena = files.jdbc_options("athena", {"region": "eu-west-1", "output": "s3://b/out/", "database": "logs"})
+    assert athena["url"] == "jdbc:athena://Region=eu-west-1;Database=logs;OutputLocation=s3://b/out/;CredentialsProvider=DefaultChain"
+    with pytest.raises(ValueError, match="output"):
+        files.jdbc_options("athena", {"region": "eu-west-1"})
+
+
+def test_database_parts_are_even_on_skewed_keys(spark):
+    d = files.jdbc_options("derby", {"database": "memory:parts;create=true"})
+    # A third of all rows have one key, a tenth none; the others crowd at one end.
+    key = F.when(F.col("id") % 3 == 0, 77).when(F.col("id") % 10 == 1, None).otherwise(F.floor(F.pow(F.col("id"), 3) / 1_000_000) - 500).cast("long")
+    spark.range(6000).select(key.alias("k"), "id").write.format("jdbc").options(**d, dbtable="skewed").save()
+    parts = files.database_parts(spark, d, "skewed", ['"k"', '"id"'], 8)
+    read = files.read_database(spark, d, "skewed", parts=parts)
+    sizes = [r["n"] for r in read.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sorted(r["id"] for r in read.collect()) == list(range(6000))
+    assert 8 <= len(sizes) <= 16 and max(sizes) <= 750 and sorted(sizes)[1] * 2 >= max(sizes)
+    # One column cannot cut the hot key, and rows that come later, beyond all bounds too, are in one part each.
+    parts = files.database_parts(spark, d, "skewed", ['"k"'], 8)
+    spark.createDataFrame([(-(10**9), -1), (10**12, -2), (None, -3), (78, -4)], "k long, id long").write.format("jdbc").options(**d, dbtable="skewed").mode("append").save()
+    both = [files.read_database(spark, d, "skewed", parts=p) for p in (parts, files.database_parts(spark, d, "(select * from skewed) s", ['"k"', '"id"'], 3))]
+    assert [df.count() for df in both] == [6004, 6004] and all(df.select("id").distinct().count() == 6004 for df in both)
+    spark.range(0).select(F.col("id").alias("k")).write.format("jdbc").options(**d, dbtable="nothing").save()
+    assert files.read_database(spark, d, "nothing", parts=files.database_parts(spark, d, "nothing", ['"k"'], 4)).count() == 0
+
+
 def test_push_plans(spark):
     df = spark.createDataFrame([(f"A-{k}", "n m*~é") for k in range(10)] + [(None, "x")], "sku string, name string")
     spec = push.PushSpec("https://api/products/{sku}?n={name}", "PUT", "sku", max_rows=8)
