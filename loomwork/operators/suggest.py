@@ -19,6 +19,8 @@ LEAST_CONFIDENCE = 0.45
 WEIGHTS = (0.5, 0.3, 0.2)
 #: Targets are first matched at this confidence, by fewer words; room for rounding in bounds.
 LEVEL, EPSILON = 0.75, 1e-9
+#: Rows at most of a table of frequencies that is broadcast (1 MB).
+TOKEN_BUCKETS = 1 << 16
 PAIR = ("source", "sf", "target", "tf")
 
 #: Abbreviations of column names and what they stand for (fixed values).
@@ -78,15 +80,20 @@ def _described(columns: DataFrame) -> DataFrame:
     return held.withColumn("chars", _numbered(F.when(length > 0, F.split("flat", "")).otherwise(F.array().cast("array<string>")))).withColumn("grams", _numbered(pairs))
 
 
+def _bucket(token):
+    return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS))
+
+
 def _rarest(df: DataFrame, tokens: str, size, counts: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with ``token``: the ``size`` tokens of a row that fewest rows of both catalogs have."""
-    each = df.select(*keep, size.alias("__size"), F.explode(tokens).alias("token")).join(counts, "token")
+    """``keep`` with ``token``: the ``size`` tokens of a row that are rarest by ``counts``, which both catalogs share."""
+    each = df.select(*keep, size.alias("__size"), F.explode(tokens).alias("token")).withColumn("bucket", _bucket("token")).join(F.broadcast(counts), "bucket")
     order = Window.partitionBy("name", "family").orderBy("n", "token")
     return each.withColumn("__k", F.row_number().over(order)).filter("__k <= __size").select(*keep, "token")
 
 
 def _frequencies(s: DataFrame, t: DataFrame, tokens: str) -> DataFrame:
-    return s.select(F.explode(tokens).alias("token")).unionAll(t.select(F.explode(tokens).alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
+    """bucket, n: how often tokens of each hash occur. Any order that both sides share gives all pairs, so a table of TOKEN_BUCKETS rows will do, and no token is a key."""
+    return s.select(F.explode(tokens).alias("token")).unionAll(t.select(F.explode(tokens).alias("token"))).groupBy(_bucket("token").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def _sharing_words(s: DataFrame, t: DataFrame, level: float) -> DataFrame:
