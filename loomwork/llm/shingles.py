@@ -1,20 +1,24 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: an exact join of shingle sets by prefixes, rare shingles first.
 
 The fingerprint of simhash.py links hardly any edited copy within two bits;
-this finds those too. A text's signature is cut into bands;
-texts that agree on a band share a bucket. Small buckets are compared pair by
-pair. Each round compares the members of a crowded bucket with its least one;
-those that are not similar to it are the next round's, in buckets that further
-values of the signature divide. Rows thus grow with the members of
-buckets, not with the square of a group, and rounds with the logarithm of the
-number of texts that share a passage and little else. One run of connected
-components over all links, SimHash's among them, makes the groups.
+this finds all of those too. Shingles have one order, those of crowded cells
+of a count sketch last. Two sets that share 4 of 5 of their union share a
+shingle among the first fifth of each, so texts that have such a shingle in
+common are all candidates, and none other is. Any order gives the same links;
+a good one makes few candidates.
+Small buckets of texts with a shingle are compared pair by pair. The members
+of a crowded one are compared with one of them; then those whom no links join
+to most others there are compared with all of it, in blocks. So no pair is
+left out but of texts that links join already.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +31,12 @@ from loomwork.llm.shared import LOWER_AZ, materialize, numbered, utf8
 WIDTH = 5
 #: Two texts are near copies if their sets share 4 of 5 shingles of their union.
 SHARE = (4, 5)
-#: Of pairs at exactly that share (1 - 0.8 ** 8) ** 32 = 0.3 % agree on no band, of closer ones fewer; of pairs that share half, 12 % agree on one.
-BANDS, BAND_ROWS = 32, 8
-#: Further values of a signature, which divide crowded buckets, so many of them a round.
-DIVIDERS, DIVIDERS_A_ROUND = 32, 2
+#: Cells of the count sketch that orders shingles, a power of two.
+CELLS = 1 << 18
 #: Buckets of up to so many members are compared pair by pair.
 SMALL_BUCKET = 16
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS + DIVIDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.random.default_rng(43).integers(0, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles, and texts, of one side of a block, about.
+BLOCK_SHINGLES, BLOCK_TEXTS = 200_000, 1_024
 
 
 def shingles_of(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -42,21 +44,19 @@ def shingles_of(text: bytes, width: int = WIDTH) -> np.ndarray:
     words = text.translate(LOWER_AZ).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    hashed = xxhash.xxh64_intdigest
-    found = (hashed(b" ".join(words[k : k + width])) for k in range(max(len(words) - width + 1, 1)))
-    return np.unique(np.fromiter(found, dtype=np.uint64))
+    runs = zip(*(words[k:] for k in range(width)), strict=False) if len(words) > width else [words]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs)), dtype=np.uint64))
 
 
-def bands_of(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band, its number and BAND_ROWS least values mixed, then DIVIDERS least values; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, dtype=np.uint64)
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):  # bounds the memory of very long texts
-        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
-    least ^= least >> np.uint64(29)
-    mixed = (least[DIVIDERS:].reshape(BANDS, BAND_ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
-    return np.append((mixed ^ (mixed >> np.uint64(32))) * _MIX[:, 0] + np.arange(BANDS, dtype=np.uint64), least[:DIVIDERS])
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix_of(hashes: np.ndarray, crowding: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by the crowding of their cells, then by value: so many that a set that reaches SHARE with it has one of them among its own."""
+    part, whole = SHARE
+    first = len(hashes) - -(-part * len(hashes) // whole) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, crowding[cells_of(hashes)]))[:first]]
 
 
 def _lists(found: list[np.ndarray]) -> pa.Array:
@@ -75,12 +75,45 @@ def shingle_set(text: Column) -> Column:
     return of(text)
 
 
-def band_keys(text: Column) -> Column:
-    """The band keys of each text and its dividers as an array of longs; null and word-less texts have none."""
+def crowding(texts: DataFrame) -> np.ndarray:
+    """Four times the binary logarithm of the shingles in each of ``CELLS`` cells, over all rows of ``texts`` (text).
 
-    @arrow_udf("array<long>")
+    Tasks count in a table of that size; what reaches the driver is one row a cell, whatever the corpus.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held, waiting = np.zeros(CELLS, dtype=np.int64), [], 0
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                held.append(cells_of(shingles_of(text)))
+                waiting += len(held[-1])
+                if waiting > CELLS:
+                    n += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, waiting = [], 0
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=CELLS)
+        cells = np.flatnonzero(n)
+        yield pa.record_batch({"cell": pa.array(cells, pa.int32()), "n": pa.array(n[cells], pa.int64())})
+
+    counts = texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = counts.select("cell", F.floor(4 * F.log2(F.col("n") + 1)).cast("short").alias("level")).toArrow()
+    found = np.zeros(CELLS, dtype=np.uint8)
+    found[rows["cell"].to_numpy()] = np.minimum(rows["level"].to_numpy(), 255)
+    return found
+
+
+def text_keys(text: Column, levels) -> Column:
+    """A struct of a text's words as a 128-bit digest, its number of different shingles and its prefix. Takes a broadcast of crowding()."""
+
+    @arrow_udf("same binary, n int, keys array<long>")
     def of(texts: pa.Array) -> pa.Array:
-        return _lists([bands_of(shingles_of(t)) for t in utf8(texts)])
+        same, n, keys = [], [], []
+        for t in utf8(texts):
+            found = shingles_of(t)
+            same.append(xxhash.xxh3_128_digest(b" ".join(t.translate(LOWER_AZ).split())))
+            n.append(len(found))
+            keys.append(prefix_of(found, levels.value))
+        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(n, pa.int32()), _lists(keys)], names=["same", "n", "keys"])
 
     return of(text)
 
@@ -101,56 +134,157 @@ def _similar(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
-def near_links(firsts: DataFrame, texts: DataFrame, small_bucket: int = SMALL_BUCKET) -> list[DataFrame]:
-    """Tables of links (u, v) between near copies of ``firsts`` (node, o, keys), so that the least node of each component is no near copy of another's.
+def _shared(a: np.ndarray, a_of: np.ndarray, b: np.ndarray, b_of: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many values each set of ``a`` (values, and the set each is of) shares with each of ``b``."""
+    both = np.intersect1d(a, b)
+    common = np.zeros(shape, dtype=np.float32)
+    if not len(both):
+        return common.astype(np.int64)
+    at_a, at_b = np.searchsorted(both, a), np.searchsorted(both, b)
+    held_a, held_b = both[np.minimum(at_a, len(both) - 1)] == a, both[np.minimum(at_b, len(both) - 1)] == b
+    at_a, a_of, at_b, b_of = at_a[held_a], a_of[held_a], at_b[held_b], b_of[held_b]
+    pairs = np.bincount(at_a, minlength=len(both)) * np.bincount(at_b, minlength=len(both))
+    # Values of many sets go through products of matrices, others pair by pair.
+    often = pairs * 100 > shape[0] * shape[1]
+    place = np.where(often, np.cumsum(often) - 1, -1)
+    for first in range(0, int(often.sum()), 2048):
+        sides = []
+        for at, of, sets in ((at_a, a_of, shape[0]), (at_b, b_of, shape[1])):
+            column = place[at] - first
+            inside = (place[at] >= 0) & (column >= 0) & (column < 2048)
+            sides.append(np.zeros((sets, 2048), dtype=np.float32))
+            sides[-1][of[inside], column[inside]] = 1
+        common += sides[0] @ sides[1].T
+    common = common.astype(np.int64)
+    seldom_a, seldom_b = ~often[at_a], ~often[at_b]
+    at_a, a_of, at_b, b_of = at_a[seldom_a], a_of[seldom_a], at_b[seldom_b], b_of[seldom_b]
+    order = np.argsort(at_b, kind="stable")
+    at_b, b_of = at_b[order], b_of[order]
+    starts, ends = np.searchsorted(at_b, at_a, "left"), np.searchsorted(at_b, at_a, "right")
+    upto = np.cumsum(ends - starts)
+    first = 0
+    while first < len(at_a):  # some million pairs at once
+        last = max(int(np.searchsorted(upto, (upto[first - 1] if first else 0) + 4_000_000)), first + 1)
+        n = (ends - starts)[first:last]
+        each = np.repeat(starts[first:last] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common += np.bincount(np.repeat(a_of[first:last], n) * shape[1] + b_of[each], minlength=shape[0] * shape[1]).reshape(shape)
+        first = last
+    return common
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """The pairs of roots (u, v) that similar sets of a block's two sides join."""
+    part, whole = SHARE
+    sides = []
+    for left in (True, False):
+        half = table.filter(pa.compute.equal(table["left"], left))
+        sets = half["set"].combine_chunks()
+        n = np.diff(sets.offsets.to_numpy())
+        sides.append((sets.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), n, half["root"].to_numpy()))
+    (a, a_of, n_a, root_a), (b, b_of, n_b, root_b) = sides
+    common = _shared(a, a_of, b, b_of, (len(n_a), len(n_b)))
+    alike = (common > 0) & (whole * common >= part * (n_a[:, None] + n_b[None, :] - common)) & (root_a[:, None] != root_b[None, :])
+    u, v = np.nonzero(alike)
+    found = np.unique(np.stack([np.maximum(root_a[u], root_b[v]), np.minimum(root_a[u], root_b[v])], axis=1), axis=0)
+    return pa.table({"u": pa.array(found[:, 0], pa.int64()), "v": pa.array(found[:, 1], pa.int64())})
+
 
-    ``node`` is unique, ``keys`` are band_keys() of the text, ``o`` is a struct
-    that orders them, whose field ``row`` names the text in ``texts`` (row,
-    text). v is the lesser of a link. Give rows read from storage.
+def _by_row(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """row and shingle set of the distinct rows ``wanted`` (row)."""
+    wanted = materialize(wanted.distinct(), "shingle-wanted")  # mostly few, so that they are sent and texts stay where they are
+    return materialize(texts.join(wanted, "row").select("row", shingle_set(F.col("text")).alias("set")), "shingle-sets")
+
+
+def shared_keys(firsts: DataFrame) -> DataFrame:
+    """Table of row, at, key, m (the members of the key's bucket), node and n: the prefix shingles that texts have in common.
+
+    ``firsts`` (node, row, n, keys) has a row for each text; ``keys`` is its prefix, ``at`` a place in it.
     """
-    every = firsts.select("node", "o", F.explode(F.slice("keys", 1, BANDS)).alias("key"))
+    every = firsts.select("row", F.posexplode("keys").alias("at", "key"))
     # Nearly all keys are one text's alone: they are counted without the rest of the row, and only shared ones go on.
-    shared = materialize(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shingle-keys")
-    members = materialize(every.join(shared, "key", "left_semi"), "shingle-shared")
-    wanted = members.select("node", F.col("o.row").alias("row")).distinct()
-    sets = materialize(texts.join(wanted, "row").select("node", shingle_set(F.col("text")).alias("set")), "shingle-sets")
-    found: list[DataFrame] = []
-    for at in range(0, 1 << 31, DIVIDERS_A_ROUND):
-        least = members.groupBy("key").agg(F.min("o").alias("least"), F.min_by("node", "o").alias("first"), F.count("*").alias("n")).filter("n > 1")
-        members = materialize(members.join(least, "key"), "shingle-members")
-        few, crowded = members.filter(F.col("n") <= small_bucket), members.filter((F.col("n") > small_bucket) & (F.col("o") != F.col("least")))
-        lesser = few.select("key", F.col("node").alias("v"), F.col("o").alias("before"))
-        pairs = few.join(lesser, "key").filter("before < o").select(F.col("node").alias("u"), "v")
-        pairs = pairs.union(crowded.select("node", "first")).distinct()
-        held = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-        found.append(materialize(held.filter(_similar(F.col("a"), F.col("b"))).select("u", "v"), "shingle-links"))
-        if crowded.isEmpty():
-            return found
-        # What has a lesser near copy goes anyway; the rest is divided further.
-        rest = crowded.join(found[-1].select(F.col("u").alias("node")).distinct(), "node", "left_anti")
-        dividers = firsts.select("node", *[F.get("keys", F.lit(BANDS + (at + k) % DIVIDERS)).alias(f"d{k}") for k in range(DIVIDERS_A_ROUND)])
-        divided = F.xxhash64("key", *[f"d{k}" for k in range(DIVIDERS_A_ROUND)])
-        members = rest.join(dividers, "node").select("node", "o", divided.alias("key"))
-
-
-def keep_one(docs: DataFrame, radius: int = 2, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    shared = materialize(every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shingle-keys")
+    found = materialize(every.join(shared, "key"), "shingle-found")
+    return materialize(found.join(firsts.select("row", "node", "n"), "row"), "shingle-shared")
+
+
+def near_links(members: DataFrame, texts: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """Links (u, v) between near copies among ``members`` (of shared_keys()): all of small buckets, in crowded ones those of one member.
+
+    ``texts`` (row, text) has the texts. That member is the one with the fewest
+    rarer shingles, as it is likest the others. Give rows read from storage.
+    """
+    part, whole = SHARE
+    few, crowded = members.filter(F.col("m") <= small_bucket), members.filter(F.col("m") > small_bucket)
+    other = few.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "row", "n", "at")])
+    # The first shingle that two sets share leaves room for all others that they must share.
+    room = f"{part + whole} * least(n - at, n_b - at_b) >= {part} * (n + n_b)"
+    pairs = few.join(other, "key").filter(f"row_b < row and {room}")
+    chosen = crowded.groupBy("key").agg(F.min(F.struct("at", "row", "node", "n")).alias("x")).select("key", *[F.col(f"x.{c}").alias(f"{c}_b") for c in ("node", "row", "n", "at")])
+    pairs = pairs.unionByName(crowded.join(chosen, "key").filter("row_b != row"))
+    pairs = pairs.filter(f"node != node_b and {whole} * least(n, n_b) >= {part} * greatest(n, n_b)")
+    pairs = materialize(pairs.select("node", "node_b", F.greatest("row", "row_b").alias("row"), F.least("row", "row_b").alias("row_b")).dropDuplicates(["row", "row_b"]), "shingle-pairs")
+    sets = _by_row(pairs.select("row").union(pairs.select("row_b")), texts)
+    held = pairs.join(sets.withColumnRenamed("set", "a"), "row").join(sets.toDF("row_b", "b"), "row_b")
+    return materialize(held.filter(_similar(F.col("a"), F.col("b"))).select(F.greatest("node", "node_b").alias("u"), F.least("node", "node_b").alias("v")), "shingle-links")
+
+
+def links_left(members: DataFrame, roots: DataFrame, texts: DataFrame, small_bucket: int = SMALL_BUCKET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame | None:
+    """Links (u, v) between roots, for near copies in crowded buckets that no links join yet; None if crowded buckets have no such members.
+
+    ``roots`` (node, root) has every node. In a bucket, members of other roots
+    than most of it have are compared with all of it. Members of like sizes are
+    dealt at random to blocks of about ``block_shingles`` shingles a side.
+    """
+    part, whole = SHARE
+    crowded = members.filter(F.col("m") > small_bucket).select("key", "node", "row", "n").join(roots, "node")
+    main = crowded.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
+    # Sets that reach SHARE are in one class of sizes or in neighbours.
+    size = F.floor(F.log("n") / F.log(F.lit(1.01 * whole / part))).cast("int")
+    mixed = crowded.join(main.filter("roots > 1"), "key").select("key", "row", "n", "root", (F.col("root") != F.col("main")).alias("minor"), size.alias("size"))
+    mixed = materialize(mixed, "shingle-mixed")
+    if mixed.isEmpty():
+        return None
+    cut = mixed.groupBy("key", "minor", "size").agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / block_shingles, F.count("*") / BLOCK_TEXTS)).alias("chunks"))
+    dealt = mixed.join(cut, ["key", "minor", "size"]).withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks"))
+    one = dealt.select("key", "minor", "size", "chunk").distinct()
+    a, b = one.filter("minor").drop("minor"), one.toDF("key", "minor_b", "size_b", "chunk_b")
+    # Minor chunks meet each other once, and all chunks of the others.
+    met = a.join(b, "key").filter("abs(size - size_b) <= 1 and (not minor_b or struct(size, chunk) <= struct(size_b, chunk_b))")
+    met = materialize(met.withColumn("block", F.struct("key", "size", "chunk", "minor_b", "size_b", "chunk_b")), "shingle-blocks")
+    left = dealt.filter("minor").join(met.select("block", "key", "size", "chunk"), ["key", "size", "chunk"])
+    right = dealt.join(met.select("block", "key", F.col("minor_b").alias("minor"), F.col("size_b").alias("size"), F.col("chunk_b").alias("chunk")), ["key", "minor", "size", "chunk"])
+    held = left.select("block", "row", "root", F.lit(True).alias("left")).union(right.select("block", "row", "root", F.lit(False).alias("left")))
+    held = held.join(_by_row(mixed.select("row"), texts), "row").select("block", "left", "root", "set")
+    return materialize(held.groupBy("block").applyInArrow(_block, "u long, v long").distinct(), "shingle-left")
+
+
+def keep_one(docs: DataFrame, radius: int = 2, small_bucket: int = SMALL_BUCKET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs`` with one row of each group that SimHash links of at most ``radius`` bits and near copies make together.
 
     Of a group the row of the least doc_id stays (null ids last, of equals any
-    one). Rows of one fingerprint are one node, which is the first of them.
-    Null and word-less texts share fingerprint zero; very long texts are read
-    whole; repeated rows are told apart by an id of their own in a written copy;
-    other columns pass through whatever their names; an empty table stays so.
+    one). Rows of one fingerprint are one node of the graph; every different
+    text among them brings its own links. Null and word-less texts share
+    fingerprint zero; very long texts are read whole; repeated rows are told
+    apart by an id of their own in a written copy; other columns pass through
+    whatever their names; an empty table stays so.
     """
     names, (held, at) = docs.columns, numbered(docs)
     text = F.col(at["text"])
-    held = materialize(held.withColumns({"row": F.monotonically_increasing_id(), "fp": simhash.fingerprint(text), "keys": band_keys(text)}), "shingle-docs")
+    levels = docs.sparkSession.sparkContext.broadcast(crowding(held.select(text.alias("text"))))
+    held = held.withColumns({"row": F.monotonically_increasing_id(), "fp": simhash.fingerprint(text), "of": text_keys(text, levels)})
+    held = materialize(held, "shingle-docs")
+    levels.destroy()
     order = (F.col(at["doc_id"]).isNull().alias("no"), F.col(at["doc_id"]).alias("id"), F.col("row"))
-    firsts = held.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct(*order, "keys")).alias("x"))
-    firsts = materialize(firsts.select("node", F.struct("x.no", "x.id", "x.row").alias("o"), "x.keys"), "shingle-firsts")
-    edges = simhash.links(firsts.select(F.col("node").alias("fp")), radius)
-    for links in near_links(firsts, held.select("row", text.alias("text")), small_bucket):
-        edges = edges.union(links)
-    roots = firsts.select("node", "o").join(connected_components(edges), "node", "left")
-    kept = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o")).select("o.row")
+    firsts = held.groupBy(F.col("fp").alias("node"), "of.same").agg(F.min(F.struct(*order, "of.n", "of.keys")).alias("x"))
+    firsts = materialize(firsts.select("node", F.struct("x.no", "x.id", "x.row").alias("o"), "x.row", "x.n", "x.keys"), "shingle-firsts")
+    nodes = materialize(firsts.groupBy("node").agg(F.min("o").alias("o")), "shingle-nodes")
+    texts, members = held.select("row", text.alias("text")), shared_keys(firsts)
+    edges = simhash.links(nodes.select(F.col("node").alias("fp")), radius).union(near_links(members, texts, small_bucket))
+    roots = nodes.join(connected_components(edges), "node", "left").select("node", "o", F.coalesce("root", "node").alias("root"))
+    roots = materialize(roots, "shingle-roots")
+    left = links_left(members, roots.select("node", "root"), texts, small_bucket, block_shingles)
+    if left is not None:
+        above = connected_components(left).toDF("root", "above")
+        roots = roots.join(above, "root", "left").select("node", "o", F.coalesce("above", "root").alias("root"))
+    kept = roots.groupBy("root").agg(F.min("o").alias("o")).select("o.row")
     return held.join(kept, "row", "left_semi").select(*[F.col(f"c{k}") for k in range(len(names))]).toDF(*names)

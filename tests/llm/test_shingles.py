@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from loomwork.llm import shingles, simhash
-from tests.llm.test_operators import EDGE_TEXTS, documents, lower, random_texts
+from tests.llm.test_operators import EDGE_TEXTS, brute_components, brute_print, documents, lower, random_texts
 
 
 def brute_set(text):
@@ -66,3 +67,55 @@ def test_a_passage_that_many_texts_share_neither_joins_them_nor_hides_their_copi
     assert not any(similar(a, b) for a in sets for b in sets if a is not b)
     kept = sorted(r["doc_id"] for r in shingles.keep_one(documents(spark, texts + others + copies), small_bucket=4).collect())
     assert kept == list(range(65))
+
+
+def kept_ids(docs, **limits):
+    return sorted(r["doc_id"] for r in shingles.keep_one(docs, **limits).collect())
+
+
+def least_of_components(texts):
+    """Numbers of the texts that stay, by all pairs."""
+    sets, prints = [brute_set(t) for t in texts], [brute_print(t) for t in texts]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2 or similar(sets[a], sets[b])]
+    root = brute_components(linked)
+    return [k for k in range(len(texts)) if root.get(k, k) == k]
+
+
+@pytest.mark.parametrize(("small_bucket", "block_shingles"), [(16, 200_000), (1, 200_000), (2, 1_500)])
+def test_crowded_buckets_lose_no_link(spark, small_bucket, block_shingles):
+    # around one text stand families, most of them too far from it and from each other, whose members are close to one another
+    rng = random.Random(8)
+    base = " ".join(f"v{k}" for k in range(150))
+    families = [edited(base, 4 + k % 5, rng) for k in range(25)]
+    texts = [edited(f, 1 + k % 3, rng) for k in range(4) for f in families]
+    want = least_of_components(texts)
+    assert 5 < len(want) < 60
+    assert kept_ids(documents(spark, texts), small_bucket=small_bucket, block_shingles=block_shingles) == want
+
+
+def test_every_text_of_a_fingerprint_brings_its_links(spark):
+    # repetition alone decides the fingerprint of the first two; the third is a near copy of the second only
+    many, tails = "x y z " * 300, [" ".join(f"{t}{k}" for k in range(50)) for t in "ab"]
+    texts = [many + tails[0], many + tails[1], tails[1]]
+    prints = [simhash.fingerprint_of(t.encode()) for t in texts]
+    assert prints[0] == prints[1] and (prints[1] ^ prints[2]).bit_count() > 2
+    assert kept_ids(documents(spark, texts)) == least_of_components(texts) == [0]
+
+
+def test_pairs_at_exactly_the_share(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"{n}x{k}" for k in range(rng.choice([8, 12, 24, 44, 84]))) for n in range(400)]
+    copies = [t + "".join(f" e{n}x{k}" for k in range((len(t.split()) - 4) // 4)) for n, t in enumerate(texts)]
+    assert all(5 * len(brute_set(a) & brute_set(b)) == 4 * len(brute_set(a) | brute_set(b)) for a, b in zip(texts, copies, strict=True))
+    assert kept_ids(documents(spark, texts + copies)) == list(range(400))
+    farther = [c + " more" for c in copies]
+    assert len(kept_ids(documents(spark, texts + farther))) == len(least_of_components(texts + farther))
+
+
+def test_shared_counts_of_blocks():
+    rng = np.random.default_rng(10)
+    for values in (60, 4000):  # many in common, few in common
+        sides = [[np.unique(rng.integers(0, values, 40)) for _ in range(n)] for n in (30, 45)]
+        flat = [x for s in sides for x in (np.concatenate(s), np.repeat(np.arange(len(s)), list(map(len, s))))]
+        want = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+        assert shingles._shared(*flat, (30, 45)).tolist() == want
