@@ -59,6 +59,23 @@ def prefix_of(hashes: np.ndarray, crowding: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, crowding[cells_of(hashes)]))[:first]]
 
 
+def bits_of(hashes: np.ndarray) -> bytes:
+    """A bitmap of a set, of four bits a shingle or more, a power of two: the lowest bits of each shingle name its bit."""
+    size = max(64, 1 << (4 * len(hashes)).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_share(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
+    """The most shingles that two sets of n_a and n_b may share: each bit of one bitmap alone is a shingle of one set alone."""
+    x, y = np.unpackbits(np.frombuffer(a, dtype=np.uint8)), np.unpackbits(np.frombuffer(b, dtype=np.uint8))
+    size = min(len(x), len(y))
+    x, y = x.reshape(-1, size).max(axis=0), y.reshape(-1, size).max(axis=0)
+    both = np.count_nonzero(x & y)
+    return min(n_a - np.count_nonzero(x) + both, n_b - np.count_nonzero(y) + both)
+
+
 def _lists(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
     values = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
@@ -75,6 +92,20 @@ def shingle_set(text: Column) -> Column:
     return of(text)
 
 
+def _likely(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether the bitmaps of two sets leave it open that they reach SHARE."""
+    part, whole = SHARE
+
+    @arrow_udf("boolean")
+    def of(left: pa.Array, right: pa.Array, n_left: pa.Array, n_right: pa.Array) -> pa.Array:
+        found = []
+        for x, y, n, m in zip(left.to_pylist(), right.to_pylist(), n_left.to_pylist(), n_right.to_pylist(), strict=True):
+            found.append((part + whole) * may_share(x, y, n, m) >= part * (n + m))
+        return pa.array(found, pa.bool_())
+
+    return of(a, b, n_a, n_b)
+
+
 def crowding(texts: DataFrame) -> np.ndarray:
     """Four times the binary logarithm of the shingles in each of ``CELLS`` cells, over all rows of ``texts`` (text).
 
@@ -103,17 +134,18 @@ def crowding(texts: DataFrame) -> np.ndarray:
 
 
 def text_keys(text: Column, levels) -> Column:
-    """A struct of a text's words as a 128-bit digest, its number of different shingles and its prefix. Takes a broadcast of crowding()."""
+    """A struct of a text's words as a 128-bit digest, its number of different shingles, its prefix and its bitmap. Takes a broadcast of crowding()."""
 
-    @arrow_udf("same binary, n int, keys array<long>")
+    @arrow_udf("same binary, n int, keys array<long>, bits binary")
     def of(texts: pa.Array) -> pa.Array:
-        same, n, keys = [], [], []
+        same, n, keys, bits = [], [], [], []
         for t in utf8(texts):
             found = shingles_of(t)
             same.append(xxhash.xxh3_128_digest(b" ".join(t.translate(LOWER_AZ).split())))
             n.append(len(found))
             keys.append(prefix_of(found, levels.value))
-        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(n, pa.int32()), _lists(keys)], names=["same", "n", "keys"])
+            bits.append(bits_of(found))
+        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(n, pa.int32()), _lists(keys), pa.array(bits, pa.binary())], names=["same", "n", "keys", "bits"])
 
     return of(text)
 
@@ -207,10 +239,10 @@ def shared_keys(firsts: DataFrame) -> DataFrame:
     return materialize(found.join(firsts.select("row", "node", "n"), "row"), "shingle-shared")
 
 
-def near_links(members: DataFrame, texts: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def near_links(members: DataFrame, firsts: DataFrame, texts: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """Links (u, v) between near copies among ``members`` (of shared_keys()): all of small buckets, in crowded ones those of one member.
 
-    ``texts`` (row, text) has the texts. That member is the one with the fewest
+    ``firsts`` (row, n, bits) has bitmaps, which settle most pairs, ``texts`` (row, text) the texts. That member is the one with the fewest
     rarer shingles, as it is likest the others. Give rows read from storage.
     """
     part, whole = SHARE
@@ -223,6 +255,10 @@ def near_links(members: DataFrame, texts: DataFrame, small_bucket: int = SMALL_B
     pairs = pairs.unionByName(crowded.join(chosen, "key").filter("row_b != row"))
     pairs = pairs.filter(f"node != node_b and {whole} * least(n, n_b) >= {part} * greatest(n, n_b)")
     pairs = materialize(pairs.select("node", "node_b", F.greatest("row", "row_b").alias("row"), F.least("row", "row_b").alias("row_b")).dropDuplicates(["row", "row_b"]), "shingle-pairs")
+    maps = firsts.join(materialize(pairs.select("row").union(pairs.select("row_b")).distinct(), "shingle-wanted"), "row").select("row", "bits", "n")
+    maps = materialize(maps, "shingle-bits")
+    likely = pairs.join(maps.toDF("row", "a", "n_a"), "row").join(maps.toDF("row_b", "b", "n_b"), "row_b").filter(_likely(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b")))
+    pairs = materialize(likely.select("node", "node_b", "row", "row_b"), "shingle-likely")
     sets = _by_row(pairs.select("row").union(pairs.select("row_b")), texts)
     held = pairs.join(sets.withColumnRenamed("set", "a"), "row").join(sets.toDF("row_b", "b"), "row_b")
     return materialize(held.filter(_similar(F.col("a"), F.col("b"))).select(F.greatest("node", "node_b").alias("u"), F.least("node", "node_b").alias("v")), "shingle-links")
@@ -275,11 +311,11 @@ def keep_one(docs: DataFrame, radius: int = 2, small_bucket: int = SMALL_BUCKET,
     held = materialize(held, "shingle-docs")
     levels.destroy()
     order = (F.col(at["doc_id"]).isNull().alias("no"), F.col(at["doc_id"]).alias("id"), F.col("row"))
-    firsts = held.groupBy(F.col("fp").alias("node"), "of.same").agg(F.min(F.struct(*order, "of.n", "of.keys")).alias("x"))
-    firsts = materialize(firsts.select("node", F.struct("x.no", "x.id", "x.row").alias("o"), "x.row", "x.n", "x.keys"), "shingle-firsts")
+    firsts = held.groupBy(F.col("fp").alias("node"), "of.same").agg(F.min(F.struct(*order, "of.n", "of.keys", "of.bits")).alias("x"))
+    firsts = materialize(firsts.select("node", F.struct("x.no", "x.id", "x.row").alias("o"), "x.row", "x.n", "x.keys", "x.bits"), "shingle-firsts")
     nodes = materialize(firsts.groupBy("node").agg(F.min("o").alias("o")), "shingle-nodes")
     texts, members = held.select("row", text.alias("text")), shared_keys(firsts)
-    edges = simhash.links(nodes.select(F.col("node").alias("fp")), radius).union(near_links(members, texts, small_bucket))
+    edges = simhash.links(nodes.select(F.col("node").alias("fp")), radius).union(near_links(members, firsts, texts, small_bucket))
     roots = nodes.join(connected_components(edges), "node", "left").select("node", "o", F.coalesce("root", "node").alias("root"))
     roots = materialize(roots, "shingle-roots")
     left = links_left(members, roots.select("node", "root"), texts, small_bucket, block_shingles)

@@ -119,3 +119,13 @@ def test_shared_counts_of_blocks():
         flat = [x for s in sides for x in (np.concatenate(s), np.repeat(np.arange(len(s)), list(map(len, s))))]
         want = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
         assert shingles._shared(*flat, (30, 45)).tolist() == want
+
+
+def test_bitmaps_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(11)
+    for n, m, both in [(1, 1, 1), (1, 1, 0), (100, 120, 90), (63, 65, 60), (500, 400, 400), (300, 300, 20)]:
+        values = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        a, b = values[:n], values[n - both : n - both + m]
+        most = shingles.may_share(shingles.bits_of(a), shingles.bits_of(b), n, m)
+        assert both <= most <= min(n, m)
+    assert most < 200  # the last sets are told apart
