@@ -285,8 +285,8 @@ def updated(text: Column, tree: Column, edits: Column, vocabulary_text) -> Colum
 
 #: Parts of a mail address, the one before the @ from its end.
 MAIL_NAME, MAIL_HOST = re.compile(r"[\w.+-]+"), re.compile(r"@[\w-]+(?:\.[\w-]+)+")
-#: What telephone numbers are made of; one begins at a digit, + or (, ends at a digit and has 9 characters or more.
-PHONE_PARTS, PHONE_LENGTH = re.compile(r"\+?[\d ().-]+"), 9
+#: What telephone numbers are made of, in runs that have room for one; one begins at a digit, + or (, ends at a digit and has 9 characters or more.
+PHONE_PARTS, PHONE_LENGTH = re.compile(r"\+?[\d ().-]{8,}"), 9
 KEY, KEY_LENGTH = re.compile(r"(?<!\w)\w{32,}"), 32
 
 
@@ -348,11 +348,18 @@ def count_scrubbed(docs: DataFrame, path: str) -> DataFrame:
         for block in in_blocks(texts):
             words = [counter.findall(t) for t in block]
             counter.learn(words)
-            built = [Tree.build(w, counter.count(w)) for w in words]
-            for now, tree in zip(block, built, strict=True):
-                before, edits = tree.tokens, scrub_edits(now)
-                tree, now, work = edit_all(tree, now, edits, counter)
-                rows.append((before, tree.tokens, len(edits), tree.chars, work, hashlib.sha256(now.encode()).hexdigest()))
+            known = counter.encoder.known.__getitem__
+            # Only a text with edits needs a tree; trees are made before any edit, as what they count may be forgotten then.
+            found = [scrub_edits(now) for now in block]
+            built = [Tree.build(w, counter.count(w)) if edits else sum(map(len, map(known, w))) // 4 for w, edits in zip(words, found, strict=True)]
+            for now, edits, made in zip(block, found, built, strict=True):
+                if edits:
+                    before = made.tokens
+                    tree, now, work = edit_all(made, now, edits, counter)
+                    after, chars = tree.tokens, tree.chars
+                else:
+                    before, after, chars, work = made, made, len(now), 0
+                rows.append((before, after, len(edits), chars, work, hashlib.sha256(now.encode()).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split(" ")[0] for f in COUNTED.split(", ")])

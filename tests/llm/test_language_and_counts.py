@@ -259,3 +259,12 @@ def test_scrubbed_documents(spark, library):
     assert sorted(got) == sorted(want * 2) and want[2][3] == 3
     assert token_counts.count_scrubbed(docs.limit(0), BPE_FILE).count() == 0
     assert token_counts.scrub_edits(texts[2])[-1] == (5, 21, "<email>")
+
+
+def test_runs_without_room_for_a_number_are_not_looked_at():
+    assert not list(token_counts.PHONE_PARTS.finditer("some words (and) 1234 or +123456 more."))
+    wide = re.compile(token_counts.PHONE_PARTS.pattern.replace("{8,}", "+"))
+    rng = random.Random(13)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123 ().-+ax") for _ in range(40))
+        assert [m.span() for m in token_counts.PHONE_PARTS.finditer(text)] == [m.span() for m in wide.finditer(text) if len(m[0].lstrip("+")) >= 8], text
