@@ -8,7 +8,9 @@ common are all candidates, and none other is. Any order gives the same links;
 a good one makes few candidates.
 Small buckets of texts with a shingle are compared pair by pair. The members
 of a crowded one are compared with one of them; then those whom no links join
-to most others there are compared with all of it, in blocks. So no pair is
+to most others there meet all of it, in blocks of their numbers: pairs whose
+sizes and places leave room for enough shared shingles go on, each once for all
+buckets. Only blocks of very many such pairs compare whole sets. So no pair is
 left out but of texts that links join already.
 """
 
@@ -31,12 +33,16 @@ from loomwork.llm.shared import LOWER_AZ, materialize, numbered, utf8
 WIDTH = 5
 #: Two texts are near copies if their sets share 4 of 5 shingles of their union.
 SHARE = (4, 5)
+#: Of two texts with a shingle at places at and at_b: whether it may be the first that they share, which leaves room for all others that they must share.
+ROOM = f"{sum(SHARE)} * least(n - at, n_b - at_b) >= {SHARE[0]} * (n + n_b)"
 #: Cells of the count sketch that orders shingles, a power of two.
 CELLS = 1 << 18
 #: Buckets of up to so many members are compared pair by pair.
 SMALL_BUCKET = 16
 #: Shingles, and texts, of one side of a block, about.
 BLOCK_SHINGLES, BLOCK_TEXTS = 200_000, 1_024
+#: Blocks of more pairs a text than this that may be near copies compare whole sets.
+DENSE = 64
 
 
 def shingles_of(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -227,6 +233,19 @@ def _by_row(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(texts.join(wanted, "row").select("row", shingle_set(F.col("text")).alias("set")), "shingle-sets")
 
 
+def _links_of(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) of those of ``pairs`` (row, row_b, u, v) that are near copies; bitmaps settle most pairs, whole sets the rest."""
+    pairs = pairs.select(F.greatest("row", "row_b").alias("row"), F.least("row", "row_b").alias("row_b"), F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = materialize(pairs.dropDuplicates(["row", "row_b"]), "shingle-pairs")
+    maps = firsts.join(materialize(pairs.select("row").union(pairs.select("row_b")).distinct(), "shingle-wanted"), "row").select("row", "bits", "n")
+    maps = materialize(maps, "shingle-bits")
+    likely = pairs.join(maps.toDF("row", "a", "n_a"), "row").join(maps.toDF("row_b", "b", "n_b"), "row_b").filter(_likely(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b")))
+    pairs = materialize(likely.select("u", "v", "row", "row_b"), "shingle-likely")
+    sets = _by_row(pairs.select("row").union(pairs.select("row_b")), texts)
+    held = pairs.join(sets.withColumnRenamed("set", "a"), "row").join(sets.toDF("row_b", "b"), "row_b")
+    return materialize(held.filter(_similar(F.col("a"), F.col("b"))).select("u", "v"), "shingle-links")
+
+
 def shared_keys(firsts: DataFrame) -> DataFrame:
     """Table of row, at, key, m (the members of the key's bucket), node and n: the prefix shingles that texts have in common.
 
@@ -248,53 +267,69 @@ def near_links(members: DataFrame, firsts: DataFrame, texts: DataFrame, small_bu
     part, whole = SHARE
     few, crowded = members.filter(F.col("m") <= small_bucket), members.filter(F.col("m") > small_bucket)
     other = few.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "row", "n", "at")])
-    # The first shingle that two sets share leaves room for all others that they must share.
-    room = f"{part + whole} * least(n - at, n_b - at_b) >= {part} * (n + n_b)"
-    pairs = few.join(other, "key").filter(f"row_b < row and {room}")
+    pairs = few.join(other, "key").filter(f"row_b < row and {ROOM}")
     chosen = crowded.groupBy("key").agg(F.min(F.struct("at", "row", "node", "n")).alias("x")).select("key", *[F.col(f"x.{c}").alias(f"{c}_b") for c in ("node", "row", "n", "at")])
     pairs = pairs.unionByName(crowded.join(chosen, "key").filter("row_b != row"))
     pairs = pairs.filter(f"node != node_b and {whole} * least(n, n_b) >= {part} * greatest(n, n_b)")
-    pairs = materialize(pairs.select("node", "node_b", F.greatest("row", "row_b").alias("row"), F.least("row", "row_b").alias("row_b")).dropDuplicates(["row", "row_b"]), "shingle-pairs")
-    maps = firsts.join(materialize(pairs.select("row").union(pairs.select("row_b")).distinct(), "shingle-wanted"), "row").select("row", "bits", "n")
-    maps = materialize(maps, "shingle-bits")
-    likely = pairs.join(maps.toDF("row", "a", "n_a"), "row").join(maps.toDF("row_b", "b", "n_b"), "row_b").filter(_likely(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b")))
-    pairs = materialize(likely.select("node", "node_b", "row", "row_b"), "shingle-likely")
-    sets = _by_row(pairs.select("row").union(pairs.select("row_b")), texts)
-    held = pairs.join(sets.withColumnRenamed("set", "a"), "row").join(sets.toDF("row_b", "b"), "row_b")
-    return materialize(held.filter(_similar(F.col("a"), F.col("b"))).select(F.greatest("node", "node_b").alias("u"), F.least("node", "node_b").alias("v")), "shingle-links")
+    return _links_of(pairs.select("row", "row_b", F.col("node").alias("u"), F.col("node_b").alias("v")), firsts, texts)
 
 
-def links_left(members: DataFrame, roots: DataFrame, texts: DataFrame, small_bucket: int = SMALL_BUCKET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame | None:
+def links_left(
+    members: DataFrame, roots: DataFrame, firsts: DataFrame, texts: DataFrame, small_bucket: int = SMALL_BUCKET, block_shingles: int = BLOCK_SHINGLES, dense: int = DENSE
+) -> DataFrame | None:
     """Links (u, v) between roots, for near copies in crowded buckets that no links join yet; None if crowded buckets have no such members.
 
     ``roots`` (node, root) has every node. In a bucket, members of other roots
     than most of it have are compared with all of it. Members of like sizes are
-    dealt at random to blocks of about ``block_shingles`` shingles a side.
+    dealt at random to blocks of about ``block_shingles`` shingles a side. What
+    meets in a block are rows, sizes and places; pairs that these leave open
+    are told once, however many buckets they share. A block of over ``dense``
+    such pairs a text compares whole sets and tells no pair.
     """
     part, whole = SHARE
-    crowded = members.filter(F.col("m") > small_bucket).select("key", "node", "row", "n").join(roots, "node")
+    crowded = members.filter(F.col("m") > small_bucket).select("key", "node", "row", "n", "at").join(roots, "node")
     main = crowded.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
-    # Sets that reach SHARE are in one class of sizes or in neighbours.
+    # Sets that reach SHARE are in one class of sizes or in neighbours, and their first shared shingle stands early in the smaller one.
     size = F.floor(F.log("n") / F.log(F.lit(1.01 * whole / part))).cast("int")
-    mixed = crowded.join(main.filter("roots > 1"), "key").select("key", "row", "n", "root", (F.col("root") != F.col("main")).alias("minor"), size.alias("size"))
+    early = F.expr(f"{part + whole} * (n - at) >= {2 * part} * n")
+    mixed = crowded.join(main.filter("roots > 1"), "key").select("key", "row", "n", "at", "root", (F.col("root") != F.col("main")).alias("minor"), early.alias("early"), size.alias("size"))
     mixed = materialize(mixed, "shingle-mixed")
     if mixed.isEmpty():
         return None
-    cut = mixed.groupBy("key", "minor", "size").agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / block_shingles, F.count("*") / BLOCK_TEXTS)).alias("chunks"))
-    dealt = mixed.join(cut, ["key", "minor", "size"]).withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks"))
-    one = dealt.select("key", "minor", "size", "chunk").distinct()
-    a, b = one.filter("minor").drop("minor"), one.toDF("key", "minor_b", "size_b", "chunk_b")
+    kind = ["key", "minor", "early", "size"]
+    cut = mixed.groupBy(*kind).agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / block_shingles, F.count("*") / BLOCK_TEXTS)).alias("chunks"))
+    dealt = mixed.join(cut, kind).withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks"))
+    one = dealt.groupBy(*kind, "chunk").agg(F.count("*").alias("texts"))
+    a, b = one.filter("minor").drop("minor"), one.toDF("key", "minor_b", "early_b", "size_b", "chunk_b", "texts_b")
     # Minor chunks meet each other once, and all chunks of the others.
-    met = a.join(b, "key").filter("abs(size - size_b) <= 1 and (not minor_b or struct(size, chunk) <= struct(size_b, chunk_b))")
-    met = materialize(met.withColumn("block", F.struct("key", "size", "chunk", "minor_b", "size_b", "chunk_b")), "shingle-blocks")
-    left = dealt.filter("minor").join(met.select("block", "key", "size", "chunk"), ["key", "size", "chunk"])
-    right = dealt.join(met.select("block", "key", F.col("minor_b").alias("minor"), F.col("size_b").alias("size"), F.col("chunk_b").alias("chunk")), ["key", "minor", "size", "chunk"])
-    held = left.select("block", "row", "root", F.lit(True).alias("left")).union(right.select("block", "row", "root", F.lit(False).alias("left")))
-    held = held.join(_by_row(mixed.select("row"), texts), "row").select("block", "left", "root", "set")
-    return materialize(held.groupBy("block").applyInArrow(_block, "u long, v long").distinct(), "shingle-left")
-
-
-def keep_one(docs: DataFrame, radius: int = 2, small_bucket: int = SMALL_BUCKET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    met = a.join(b, "key").filter("(early or early_b) and abs(size - size_b) <= 1 and (not minor_b or struct(early, size, chunk) <= struct(early_b, size_b, chunk_b))")
+    met = materialize(met.withColumn("block", F.struct("key", "early", "size", "chunk", "minor_b", "early_b", "size_b", "chunk_b")), "shingle-blocks")
+
+    def sides(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = dealt.filter("minor").join(blocks.select("block", "key", "early", "size", "chunk"), ["key", "early", "size", "chunk"])
+        right = dealt.join(blocks.select("block", "key", *[F.col(f"{c}_b").alias(c) for c in ("minor", "early", "size", "chunk")]), [*kind, "chunk"])
+        return left.select("block", "row", "n", "at", "root"), right.select("block", "row", "n", "at", "root")
+
+    def open_pairs(blocks: DataFrame) -> DataFrame:
+        left, right = sides(blocks)
+        return left.join(right.toDF("block", "row_b", "n_b", "at_b", "root_b"), "block").filter(f"root != root_b and {ROOM} and {whole} * least(n, n_b) >= {part} * greatest(n, n_b)")
+
+    found, most = [], f"{dense} * (texts + texts_b)"
+    large = met.filter(f"texts * texts_b > {most}")
+    if not large.isEmpty():
+        pairs = open_pairs(large).groupBy("block").agg(F.count("*").alias("pairs"))
+        full = materialize(large.join(pairs, "block").filter(f"pairs > {most}").drop("pairs"), "shingle-full")
+        if not full.isEmpty():
+            left, right = sides(full)
+            held = left.select("block", "row", "root", F.lit(True).alias("left")).union(right.select("block", "row", "root", F.lit(False).alias("left")))
+            held = held.join(_by_row(held.select("row"), texts), "row").select("block", "left", "root", "set")
+            found.append(materialize(held.groupBy("block").applyInArrow(_block, "u long, v long").distinct(), "shingle-left"))
+            met = met.join(full.select("block"), "block", "left_anti")
+    found.append(_links_of(open_pairs(met).select("row", "row_b", F.col("root").alias("u"), F.col("root_b").alias("v")), firsts, texts))
+    return found[0].union(found[-1]) if len(found) > 1 else found[0]
+
+
+def keep_one(docs: DataFrame, radius: int = 2, small_bucket: int = SMALL_BUCKET, block_shingles: int = BLOCK_SHINGLES, dense: int = DENSE) -> DataFrame:
     """``docs`` with one row of each group that SimHash links of at most ``radius`` bits and near copies make together.
 
     Of a group the row of the least doc_id stays (null ids last, of equals any
@@ -318,7 +353,7 @@ def keep_one(docs: DataFrame, radius: int = 2, small_bucket: int = SMALL_BUCKET,
     edges = simhash.links(nodes.select(F.col("node").alias("fp")), radius).union(near_links(members, firsts, texts, small_bucket))
     roots = nodes.join(connected_components(edges), "node", "left").select("node", "o", F.coalesce("root", "node").alias("root"))
     roots = materialize(roots, "shingle-roots")
-    left = links_left(members, roots.select("node", "root"), texts, small_bucket, block_shingles)
+    left = links_left(members, roots.select("node", "root"), firsts, texts, small_bucket, block_shingles, dense)
     if left is not None:
         above = connected_components(left).toDF("root", "above")
         roots = roots.join(above, "root", "left").select("node", "o", F.coalesce("above", "root").alias("root"))

@@ -93,6 +93,29 @@ def test_crowded_buckets_lose_no_link(spark, small_bucket, block_shingles):
     assert kept_ids(documents(spark, texts), small_bucket=small_bucket, block_shingles=block_shingles) == want
 
 
+@pytest.mark.parametrize("dense", [64, 0])
+def test_blocks_of_pairs_and_of_whole_sets_find_the_same(spark, dense):
+    rng = random.Random(12)
+    base = " ".join(f"v{k}" for k in range(150))
+    families = [edited(base, 4 + k % 5, rng) for k in range(20)]
+    texts = [edited(f, 1 + k % 3, rng) for k in range(3) for f in families]
+    want = least_of_components(texts)
+    assert 5 < len(want) < 40
+    assert kept_ids(documents(spark, texts), small_bucket=1, dense=dense) == want
+
+
+def test_whole_sets_are_not_brought_to_blocks_of_a_shared_passage(spark, monkeypatch):
+    # all texts meet in the passage's buckets, but leave no room there for enough shared shingles; their sets went to every block before
+    rng = random.Random(13)
+    passage = " ".join(f"p{k}" for k in range(90))
+    texts = [passage + " " + " ".join(f"t{n}x{rng.randrange(1000)}" for _ in range(14)) for n in range(40)]
+    wanted = []
+    by_row = shingles._by_row
+    monkeypatch.setattr(shingles, "_by_row", lambda rows, texts: wanted.append(rows.count()) or by_row(rows, texts))
+    assert kept_ids(documents(spark, texts), small_bucket=4) == least_of_components(texts)
+    assert len(wanted) == 2 and wanted[1] < 10
+
+
 def test_every_text_of_a_fingerprint_brings_its_links(spark):
     # repetition alone decides the fingerprint of the first two; the third is a near copy of the second only
     many, tails = "x y z " * 300, [" ".join(f"{t}{k}" for k in range(50)) for t in "ab"]
