@@ -144,6 +144,45 @@ def test_suggestions_are_those_of_all_pairs(spark):
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
 
 
+def test_numbered_names_do_not_all_meet(spark, monkeypatch):
+    """Catalogs of numbered names: a few of the 120,000 pairs are compared, also for numbers that the other side does not have."""
+    seen, best = [], suggest._best
+
+    def spied(pairs, *rest):
+        seen.append(pairs.distinct().count())
+        return best(pairs, *rest)
+
+    monkeypatch.setattr(suggest, "_best", spied)
+    sources = spark.createDataFrame([(f"Customer#{k:09d}", "string") for k in range(400)], "name string, type string")
+    targets = spark.createDataFrame([(f"Supplier#{k:09d}", "string") for k in range(250, 550)], "name string, type string")
+    got = suggest.suggest_by_name(sources, targets).collect()
+    assert sorted((r["source"], r["target"]) for r in got) == [(f"Customer#{k:09d}", f"Supplier#{k:09d}") for k in range(250, 400)]
+    assert sum(seen) <= 600
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_numbered_names_of_like_spelling(spark, monkeypatch, small):
+    """Names that share no word but most letters, in groups of one shape each, crowded or not, against all pairs; also with small tables."""
+    if small:
+        for name, n in {"HOT": 3, "SLOTS": 2, "BROADCAST": 0, "DIRECT": 0}.items():
+            monkeypatch.setattr(suggest, name, n)
+    rnd = random.Random(5)
+    sources = [f"custmer{rnd.randrange(900):05d}" for _ in range(60)] + [f"shp{k}date" for k in range(4)] + ["ordertotal", "Big Red lid 7", "x", "7", ""]
+    targets = [f"customr{rnd.randrange(900):05d}" for _ in range(50)] + ["shipdate1", "orderstotal", "Red lid 7", "big green lid 7", "X", "8", "__"]
+    want = {}
+    for t in targets:
+        for x in sources:
+            a, b = ("".join(c for c in n.lower() if c.isalnum()) for n in (x, t))
+            v, w = (set(n.lower().replace("_", "").split()) for n in (x, t))
+            confidence = 0.5 * (len(v & w) / len(v | w) if v | w else 0.0) + 0.3 * SequenceMatcher(None, a, b).ratio() + 0.2
+            if confidence >= 0.45:
+                want[t] = min(want.get(t, (0.0, "")), (-confidence, x))
+    frames = [spark.createDataFrame([(n, "string") for n in x], "name string, type string") for x in (sources, targets)]
+    got = {r["target"]: (-r["confidence"], r["source"]) for r in suggest.suggest_by_name(*frames).collect()}
+    assert len(want) > 45 and got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+
+
 def test_suggestions_on_empty_catalogs_and_nulls(spark):
     some = spark.createDataFrame([("x_id", "int"), (None, "int"), ("x_id", "int"), ("y", None)], "name string, type string")
     assert suggest.suggest_by_name(some, some.limit(0)).collect() == [] == suggest.suggest_by_name(some.limit(0), some).collect()
