@@ -128,8 +128,7 @@ def _sharing_words(s: DataFrame, t: DataFrame, level: float, rank: Callable) ->
     j being the overlap needed when spelling and types agree in full, names of
     a and b words have k = ceil(j / (1 + j) * (a + b)) words in common at
     least; so one of each side's first a - k + 1 and b - k + 1 words is shared,
-    and rows meet on it and on both sizes. Those that share n there share
-    n + k - 1 at most, which bounds the confidence.
+    and rows meet on it and on both sizes. Bounds are taken where they meet.
     """
     need = max(0.0, (level - WEIGHTS[1] - WEIGHTS[2]) / WEIGHTS[0] - EPSILON)
     common = lambda a, b: F.greatest(F.ceil(F.lit(need / (1 + need)) * (a + b) - EPSILON), F.lit(1)).cast("int")
@@ -145,19 +144,18 @@ def _sharing_words(s: DataFrame, t: DataFrame, level: float, rank: Callable) ->
 
         keys = F.flatten(F.transform(F.array(*[F.lit(x) for x in others]).cast("array<int>"), first)) if sized else F.col("ordered")
         rows = df.withColumn("ordered", _sorted("words", rank) if sized else _hashed("words"))
-        return rows.select(F.col("id").alias(f"{k}id"), F.col("family").alias(f"{k}f"), size.alias(f"{k}n"), F.char_length("flat").alias(f"{k}m"), F.explode(keys).alias("key"))
+        return rows.select(F.col("id").alias(f"{k}id"), F.col("family").alias(f"{k}f"), F.col("flat").alias(f"{k}flat"), _hashed("words").alias(f"{k}w"), F.explode(keys).alias("key"))
 
     met = keyed(s, "s", sizes[1]).join(keyed(t, "t", sizes[0]), "key")
-    rest = WEIGHTS[1] * _by_length("sm", "tm") + WEIGHTS[2] * _types("sf", "tf")
-    met = met.withColumn("rest", rest).filter(WEIGHTS[0] * F.least("sn", "tn") / F.greatest("sn", "tn") + F.col("rest") >= level - EPSILON)
-    most = F.least(F.col("n") + common(F.col("sn"), F.col("tn")) - 1, "sn", "tn")
-    counted = met.groupBy("sid", "tid", "sn", "tn", "rest").agg(F.count("*").alias("n")).withColumn("most", most)
-    return counted.filter(WEIGHTS[0] * F.col("most") / (F.col("sn") + F.col("tn") - F.col("most")) + F.col("rest") >= level - EPSILON).select("sid", "tid")
+    shared = F.size(F.array_intersect("sw", "tw"))
+    sure = WEIGHTS[0] * shared / (F.size("sw") + F.size("tw") - shared) + WEIGHTS[2] * _types("sf", "tf")
+    return met.filter((sure + WEIGHTS[1] >= level - EPSILON) & (sure + WEIGHTS[1] * _by_edits("sflat", "tflat") >= level - EPSILON)).select("sid", "tid").distinct()
 
 
-def _by_length(m: str, n: str):
-    """How like spellings of so many letters can be."""
-    return F.when(F.col(m) + F.col(n) > 0, 2 * F.least(m, n) / (F.col(m) + F.col(n))).otherwise(1.0)
+def _by_edits(a: str, b: str):
+    """How like two spellings can be: k letters in common, in order, leave m + n - 2 * k to take out or put in, and no fewer edits will do."""
+    letters = F.char_length(a) + F.char_length(b)
+    return F.when(letters > 0, 1 - F.levenshtein(a, b) / letters).otherwise(1.0)
 
 
 def _types(a: str, b: str):
@@ -184,7 +182,8 @@ def _meeting(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
         rows = df.select("id", "at", length.alias("m"), F.when(length > 0, F.slice(x, 1, (length - letters + 1).cast("int"))).otherwise(F.array(F.lit(0))).alias("x"), F.slice(y, 1, (F.greatest(length - 1, F.lit(1)) - pairs + 1).cast("int")).alias("y"))
         return rows.select(F.col("id").alias(f"{k}id"), F.col("m").alias(f"{k}m"), "at", "y", F.explode("x").alias("x")).select(f"{k}id", f"{k}m", F.explode(F.transform("y", lambda p: F.xxhash64("at", "x", p))).alias("key"))
 
-    return keyed(a, "s").join(keyed(b, "t"), "key").filter(_by_length("sm", "tm") >= ratio - EPSILON).select("sid", "tid").distinct()
+    near = 2 * F.least("sm", "tm") >= F.lit(ratio - EPSILON) * (F.col("sm") + F.col("tm"))
+    return keyed(a, "s").join(keyed(b, "t"), "key").filter(near).select("sid", "tid").distinct()
 
 
 def _sharing_spelling(s: DataFrame, t: DataFrame, ratio: float) -> DataFrame | None:
@@ -223,7 +222,7 @@ def suggest_by_name(sources: DataFrame, targets: DataFrame, least: float = LEAST
 
     Candidates come from indexes of rare words, letters and pairs of letters,
     which hold every pair that may reach ``least``; bounds from word overlap,
-    types and lengths leave few whose spellings are compared. Targets that have
+    types and edits leave few whose spellings are compared. Targets that have
     found a source at one of LEVELS don't look at weaker ones, so spellings
     without a common word are sought for those alone that no word has matched.
     Below a ``least`` of LEAST_CONFIDENCE there is no such index: refused.
@@ -251,9 +250,9 @@ def _best(pairs: DataFrame, s: DataFrame, t: DataFrame, level: float) -> DataFra
     known = side(s, "source", "s").join(F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs, "sid").join(side(t, "target", "t"), "tid")
     union = F.size(F.array_union("sw", "tw"))
     jaccard = F.when(union > 0, F.size(F.array_intersect("sw", "tw")) / union).otherwise(0.0)
-    known = known.withColumn("jaccard", jaccard).withColumn("types", _types("sf", "tf")).withColumn("sm", F.char_length("sflat")).withColumn("tm", F.char_length("tflat"))
+    known = known.withColumn("jaccard", jaccard).withColumn("types", _types("sf", "tf"))
     rest = WEIGHTS[0] * F.col("jaccard") + WEIGHTS[2] * F.col("types")
-    bounded = known.filter(rest + WEIGHTS[1] * _by_length("sm", "tm") >= level - EPSILON).withColumn("alike", _alike("sflat", "tflat", (level - EPSILON - rest) / WEIGHTS[1]))
+    bounded = known.filter(rest + WEIGHTS[1] * _by_edits("sflat", "tflat") >= level - EPSILON).withColumn("alike", _alike("sflat", "tflat", (level - EPSILON - rest) / WEIGHTS[1]))
     scored = bounded.filter("alike >= 0").withColumn("confidence", WEIGHTS[0] * F.col("jaccard") + WEIGHTS[1] * F.col("alike") + WEIGHTS[2] * F.col("types")).filter(F.col("confidence") >= level)
     shared = F.array_sort(F.array_intersect("sw", "tw"))
     order = Window.partitionBy("target").orderBy(F.desc("confidence"), "source", F.desc("types"))
